@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinespark.llm import bpe, fingerprint, mixing, sstable
+from kinespark.llm import bpe, chat, fingerprint, licenses, media, mixing, sstable, warc
 
 #: Rows of an Arrow batch: with texts of 3 kB, 6 MB.
 ARROW_ROWS = "2000"
@@ -17,16 +17,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.audio_features(media.store_texts(table(spark, sf_dir, "documents")))
+
+
+def op3_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op4_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = sstable.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return sstable.read_shards(manifest)
 
 
+def op5_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.schedule(table(spark, sf_dir, "documents")).withColumn("twin", F.explode(F.sequence(F.lit(1), F.col("twins").cast("int"))))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read(warc.write(table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_canonical_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edits(table(spark, sf_dir, "documents"))
 
@@ -35,5 +52,11 @@ def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op4_token_sstable, op6_fair_queue_mix, op9_canonical_fingerprint, op10_bpe_transducer)}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_signature_sniffing, op3_perspective_rotation, op4_token_sstable, op5_license_digest, op6_fair_queue_mix, op7_zip_warc,
+        op9_canonical_fingerprint, op10_bpe_transducer,
+    )
+}
+ORACLE = {"op3_perspective_rotation": chat.oracle(), "op5_license_digest": licenses.oracle(), "op7_zip_warc": warc.ORACLE}
