@@ -62,9 +62,9 @@ WITH t AS (SELECT conv_id, coalesce(turn // {block}, 0)::BIGINT AS segment, turn
 s AS (SELECT DISTINCT conv_id, segment, role AS speaker FROM t WHERE role <> 'system'),
 p AS (SELECT s.conv_id, s.segment, s.speaker, t.turn, t.role, t.text, {head} AS head, t.role = s.speaker AS target
       FROM s JOIN t ON s.conv_id = t.conv_id AND s.segment = t.segment),
-o AS (SELECT *, coalesce(sum(length(head) + length(text) + {len(CLOSE) + 1}) OVER (PARTITION BY conv_id, segment, speaker ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at FROM p)
+o AS (SELECT *, coalesce(sum(length(head) + length(text) + {len(CLOSE) + 1}) OVER (PARTITION BY conv_id, segment, speaker ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM p)
 SELECT conv_id, segment, speaker, count(*)::BIGINT AS n_turns, count(*) FILTER (WHERE target)::BIGINT AS n_target,
   string_agg(head || text || '{CLOSE}' || chr(10), '' ORDER BY turn, role, text) AS rendered,
   string_agg(CASE WHEN target THEN '1' ELSE '0' END, '' ORDER BY turn, role, text) AS turn_mask,
-  coalesce(string_agg((at + length(head))::VARCHAR || '-' || (at + length(head) + length(text))::VARCHAR, ',' ORDER BY turn, role, text) FILTER (WHERE target), '') AS spans
+  coalesce(string_agg((pos + length(head))::VARCHAR || '-' || (pos + length(head) + length(text))::VARCHAR, ',' ORDER BY turn, role, text) FILTER (WHERE target), '') AS spans
 FROM o GROUP BY conv_id, segment, speaker"""

@@ -80,11 +80,11 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and lengths of the runs of bytes other than 0x20 and 0x09-0x0D, and each row's first word (n + 1 bounds)."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of bytes other than space's (0x20 and 0x09-0x0D), and each row's first word (n + 1 bounds)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[data]
+    inside = ~space[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     starts = inside.copy()

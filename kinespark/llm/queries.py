@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinespark.llm import bpe, chat, fingerprint, licenses, media, mixing, sstable, warc
+from kinespark.llm import bpe, chat, fingerprint, licenses, media, mixing, sstable, toxicity, warc
 
 #: Rows of an Arrow batch: with texts of 3 kB, 6 MB.
 ARROW_ROWS = "2000"
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.audio_features(media.store_texts(table(spark, sf_dir, "documents")))
 
@@ -55,7 +59,7 @@ def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_signature_sniffing, op3_perspective_rotation, op4_token_sstable, op5_license_digest, op6_fair_queue_mix, op7_zip_warc,
+        op1_kneser_ney_toxicity, op2_signature_sniffing, op3_perspective_rotation, op4_token_sstable, op5_license_digest, op6_fair_queue_mix, op7_zip_warc,
         op9_canonical_fingerprint, op10_bpe_transducer,
     )
 }
