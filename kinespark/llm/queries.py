@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinespark.llm import bpe, chat, fingerprint, licenses, media, mixing, sstable, toxicity, warc
+from kinespark.llm import bpe, chat, fingerprint, licenses, media, mixing, neardup, sstable, toxicity, warc
 
 #: Rows of an Arrow batch: with texts of 3 kB, 6 MB.
 ARROW_ROWS = "2000"
@@ -48,6 +48,11 @@ def op7_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = neardup.link(table(spark, sf_dir, "documents"), k=2, percent=80)
+    return linked.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
 def op9_canonical_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edits(table(spark, sf_dir, "documents"))
 
@@ -60,7 +65,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_kneser_ney_toxicity, op2_signature_sniffing, op3_perspective_rotation, op4_token_sstable, op5_license_digest, op6_fair_queue_mix, op7_zip_warc,
-        op9_canonical_fingerprint, op10_bpe_transducer,
+        op8_chosen_path_dedup, op9_canonical_fingerprint, op10_bpe_transducer,
     )
 }
 ORACLE = {"op3_perspective_rotation": chat.oracle(), "op5_license_digest": licenses.oracle(), "op7_zip_warc": warc.ORACLE}
