@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from kinespark.llm.common import stored
 
 #: Rows that a bucket of a source's queue or of the finish order is meant to hold.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 #: The table of sources is broadcast up to this many, else joined by shuffle.
 BROADCAST_SOURCES = 50_000
 
