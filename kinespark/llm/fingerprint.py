@@ -65,8 +65,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     odd = joined.filter(~same).select(id_col, "fingerprint", "canonical")
     apart = odd.withColumn("group_id", F.min(id_col).over(Window.partitionBy("fingerprint", "canonical"))).drop("canonical")
     grouped = settled.unionByName(apart)
-    sizes = grouped.groupBy("fingerprint", F.col("group_id").alias("__g")).agg(F.count("*").alias("n_copies"))
-    return grouped.join(sizes, (grouped["fingerprint"] == sizes["fingerprint"]) & grouped["group_id"].eqNullSafe(F.col("__g"))).select(id_col, grouped["fingerprint"], "group_id", "n_copies")
+    sizes = grouped.groupBy(F.col("fingerprint").alias("__f"), F.col("group_id").alias("__g")).agg(F.count("*").alias("n_copies"))
+    return grouped.join(sizes, (F.col("fingerprint") == F.col("__f")) & F.col("group_id").eqNullSafe(F.col("__g"))).select(id_col, "fingerprint", "group_id", "n_copies")
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

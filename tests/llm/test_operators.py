@@ -1,0 +1,330 @@
+"""The training-data operators against brute force, round trips and edge cases on small tables."""
+
+import hashlib
+import io
+import itertools
+import math
+import random
+import re
+import struct
+import zipfile
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+from pyspark.sql import functions as F
+
+from kinespark.llm import bpe, chat, fingerprint, licenses, media, mixing, neardup, sstable, toxicity, warc
+from kinespark.llm.license_texts import LICENSES
+from kinespark.llm.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
+MULTI = P.path("byte_bpe_multi_50k.tiktoken")
+EDGE = [None, "", " ", "\n\t", "a", "The cat sat on the mat. " * 4, "The cat sat on the mat. " * 4, "naïve café ＡＢＣ  x", "日本語　テスト 😀", "x" * 30_000, "w " * 20_000, "don't  we'll\x1c\x85 ok\r\n"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, node string, a int"
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    """Nulls, empty and long texts, ties, repeated rows, and extra columns whose names clash with the operators' own."""
+    rows = [(k, t, None, None if k % 3 == 0 else f"s{k % 2}", None, 7, "n", 1) for k, t in enumerate(EDGE)]
+    return spark.createDataFrame([*rows, rows[5], (None, "no id here", "en", "s0", 1, 1, "", 2)], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def test_bpe_equals_tiktoken_and_decodes(docs, edge, empty):
+    import tiktoken
+
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(MULTI), special_tokens={})
+    for table in (docs, edge):
+        texts = [(r.doc_id, r.text or "") for r in table.select("doc_id", "text").collect()]
+        want = sorted((str(i), len(x := own.encode_ordinary(t)), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t in texts)
+        assert sorted((str(r[0]), *r[1:]) for r in bpe.round_trip(table, MULTI, P.PATTERN, portion=3).collect()) == want
+    ids = bpe.encode(edge, MULTI, P.PATTERN)
+    assert sorted(r.text for r in bpe.decode(ids, MULTI, P.PATTERN).collect()) == sorted(t or "" for t in [*EDGE, EDGE[5], "no id here"])
+    assert bpe.round_trip(empty, MULTI, P.PATTERN).count() == 0
+
+
+def test_transducer_on_random_bytes():
+    import tiktoken
+
+    ranks = bpe.read_ranks(MULTI)
+    machine, own, rng = bpe.Transducer(ranks, max_states=500), tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={}), random.Random(3)
+    for _ in range(1500):
+        text = "".join(rng.choice("aaabcdeinorst éß日😀\n ") for _ in range(rng.randrange(1, 30)))
+        assert machine.encode(text.encode()) == own.encode_ordinary(text), text
+
+
+def test_utf8_stream_any_cut():
+    raw = "aé日😀z".encode() * 3
+    for size in (1, 2, 3, 5):
+        stream = bpe.Utf8Stream()
+        assert "".join([*(stream.feed(raw[k : k + size]) for k in range(0, len(raw), size)), stream.end()]) == raw.decode()
+    stream = bpe.Utf8Stream()
+    assert stream.feed(b"\xff\xe6") + stream.end() == b"\xff\xe6".decode("utf-8", "replace")
+
+
+def test_sstable(spark, docs, edge, empty):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path := P.path("byte_bpe_50k.json"))
+    for table in (docs, edge):
+        manifest = sstable.write_shards(table, path)
+        rows, start, want = [(r.doc_id, r.text or "") for r in table.select("doc_id", "text").collect()], 0, []
+        for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1])):
+            ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 0]
+            want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+            start += len(ids)
+        assert sorted(map(tuple, sstable.read_shards(manifest).collect()), key=lambda r: r[1]) == want
+    assert len(sstable.lookup(manifest, 5)) == 2 and sstable.lookup(manifest, 99) == []
+    assert sstable.lookup(manifest, 0)[0].tolist() == [0]
+    assert sstable.read_shards(sstable.write_shards(empty, path)).count() == 0
+
+
+def test_sstable_blocks():
+    class Source(io.BytesIO):
+        def size(self):
+            return len(self.getbuffer())
+
+    writer = sstable.Writer(out := io.BytesIO(), 2)
+    rng = np.random.default_rng(0)
+    values = {k * 3: rng.integers(0, 50_000, 200).astype("<u2") for k in range(-500, 1500)}
+    for k in sorted(values):
+        writer.add(sstable.key_of(k), values[k].tobytes())
+    writer.close()
+    reader = sstable.Reader(Source(out.getvalue()))
+    assert len(reader.index) > 5 and [k for k, _ in reader.values()] == sorted(values)
+    assert all((reader.lookup(k)[0] == v).all() for k, v in values.items()) and not any(reader.lookup(k + 1) for k in values)
+
+
+def test_mixing(docs, edge, empty, spark):
+    done = mixing.schedule(docs).collect()
+    words = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in docs.collect()}
+    assert {r.doc_id: r["size"] for r in done} == words and all(r.copies <= 3 for r in done)
+    by, most = {}, max(words.values())
+    for r in done:
+        by.setdefault(r.source, [0, r.target, r.source_size])[0] += r["size"] * r.copies
+    assert all(abs(t - target) <= 2 * most and target <= 3 * n + 1e-6 for t, target, n in by.values())
+    assert sum(target for _, target, _ in by.values()) == pytest.approx(sum(words.values()))
+    again = mixing.schedule(docs.repartition(7)).collect()
+    assert sorted((r.doc_id, r.copies) for r in done) == sorted((r.doc_id, r.copies) for r in again)
+    assert mixing.mix(docs).count() == sum(r.copies for r in done) and mixing.mix(docs).columns == docs.columns
+    assert mixing.schedule(edge).agg(F.sum("twins")).first()[0] == edge.count() and mixing.mix(edge).columns == edge.columns
+    assert mixing.schedule(empty).count() == 0
+
+
+def test_mixing_targets_are_capped_and_reshared():
+    got = mixing.targets([("b", 10), ("a", 100), (None, 890)])
+    assert got["b"] == 30 and sum(got.values()) == pytest.approx(1000)
+    assert got["a"] == pytest.approx(970 * 1 / 4) and got[None] == pytest.approx(970 * 3 / 4)
+
+
+def test_fingerprints(docs, edge, empty):
+    assert fingerprint.canonical("  Ａb  STRASSE\n") == fingerprint.canonical("ab straße")
+    for table in (docs, edge):
+        rows = sorted(((r.doc_id, r.text or "") for r in table.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0], r[1]))
+        want = []
+        for k, (i, t) in enumerate(rows):
+            following, n = rows[(k + 1) % len(rows)][1], len(t) // 4
+            edited = t[: len(t) - n] + following[:n]
+            own = fingerprint.canonical(t)
+            want.append((str(i), len(t), hashlib.sha256(edited.encode()).hexdigest(), float(own == fingerprint.canonical(edited)), float(own == fingerprint.canonical(following))))
+        got = [(str(r.doc_id), r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in fingerprint.edits(table).collect()]
+        assert sorted(got) == sorted(want)
+    groups = {r.doc_id: (r.group_id, r.n_copies) for r in fingerprint.exact_groups(edge).collect() if r.doc_id is not None}
+    assert groups[6] == (5, 3) and groups[1] == (0, 4) and groups[4] == (4, 1)
+    assert fingerprint.edits(empty).count() == 0 and fingerprint.exact_groups(empty).count() == 0
+
+
+def shingle_set(text, k):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return set() if not words else {tuple(words)} if len(words) < k else set(zip(*(words[j:] for j in range(k)), strict=False))
+
+
+def brute_components(rows, k):
+    rows = [(i, shingle_set(t, k)) for i, t in rows if i is not None]
+    parent = {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (i, x), (j, y) in itertools.combinations(rows, 2):
+        if x and y and 100 * len(x & y) >= 80 * len(x | y):
+            a, b = root(i), root(j)
+            parent[max(a, b)] = min(a, b)
+    return {i: root(i) for i, _ in rows}
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_duplicates_against_all_pairs(docs, edge, empty, spark, k):
+    rng = random.Random(5)
+    base, near = [f"w{rng.randrange(10**6)}" for _ in range(120)], []
+    for i in range(90):  # one large group of near copies: a crowded node
+        words = list(base)
+        for _ in range(rng.randrange(1, 7)):
+            words[rng.randrange(120)] = f"v{rng.randrange(10**6)}"
+        near.append((10_000 + i, " ".join(words)))
+    group = spark.createDataFrame(near, "doc_id long, text string")
+    for table in (docs.select("doc_id", "text").unionByName(group), edge):
+        rows = [(r.doc_id, r.text) for r in table.select("doc_id", "text").collect()]
+        got = [r for r in neardup.link(table, k=k).collect() if r.doc_id is not None]
+        want = brute_components(rows, k)
+        assert len(got) == sum(i is not None for i, _ in rows)
+        assert all(r.component_id == want[r.doc_id] for r in got)
+        assert {r.doc_id: r.n_shingles for r in got} == {i: len(shingle_set(t, k)) for i, t in rows if i is not None}
+    assert neardup.link(empty).count() == 0 and neardup.dedup(edge).columns == edge.columns
+
+
+def test_toxicity(spark, edge, empty):
+    rng = random.Random(1)
+    words = [f"w{k}" for k in range(300)]
+    rows = []
+    for i in range(600):
+        text, toxic = [rng.choice(words) for _ in range(rng.randrange(10, 200))], i % 4 == 0
+        for _ in range(3 * toxic):
+            text[rng.randrange(len(text))] = rng.choice(["scumbag", "idiotic", "moronic"])
+        rows.append((i, " ".join(text), int(toxic)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = table.select("doc_id", "toxic", F.lit(1).alias("quality"))
+    got = toxicity.classify(table.select("doc_id", "text"), labels).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    held = [(r.predicted, rows[r.doc_id][2]) for r in got if r.held_out]
+    assert sum(p == y for p, y in held) / len(held) > 0.95
+    scored = toxicity.classify(edge, labels).collect()
+    assert len(scored) == edge.count() and all(math.isfinite(r.score) for r in scored)
+    model = toxicity.fit(table, labels)
+    assert toxicity.score(edge, model).count() == edge.count() and toxicity.score(empty, model).count() == 0
+    assert toxicity.fit(table, labels.limit(0)) == 0.5 and toxicity.fit(table, labels.filter("toxic = 0")) == 0.0
+
+
+def test_media(edge, empty):
+    for r in media.audio_features(media.store_texts(edge)).collect():
+        text = next((t or "") for i, t in [*enumerate(EDGE), (None, "no id here")] if i == r.doc_id).encode()
+        payload = text + b" " * (max(192, -(-len(text) // 192) * 192) - len(text))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.corrected_type) == (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), "audio/wav")
+        assert r.media_bytes == len(payload) + 44
+    assert media.audio_features(media.store_texts(empty)).count() == 0
+
+
+def png():
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
+
+
+def test_sniffing(spark):
+    gif = b"GIF89a\x01\x00\x01\x00\x80\x00\x00\xff\xff\xff\x00\x00\x00,\x00\x00\x00\x00\x01\x00\x01\x00\x00\x02\x02D\x01\x00;"
+    bmp = b"BM" + struct.pack("<IIIIiiHH", 58, 0, 54, 40, 1, 1, 1, 24) + b"\0" * 28
+    archive = io.BytesIO()
+    with zipfile.ZipFile(archive, "w") as z:
+        z.writestr("a.txt", "hello")
+    whole = {"png": png(), "gif": gif, "bmp": bmp, "wav": media.wave(b"abcd"), "zip": archive.getvalue(), "gzip": __import__("gzip").compress(b"x" * 99)}
+    for name, blob in whole.items():
+        assert (name, 0, len(blob)) in media.findings(blob), name
+        assert (name, 5, len(blob)) in media.findings(b"junk." + blob + b"tail" * (name != "flac")), name
+        assert not [f for f in media.findings(blob[: len(blob) - 3]) if f[0] == name and f[1] == 0], name
+    rows = [(1, whole["png"], "image/jpeg"), (2, b"text " + whole["gif"] + b" more", "text/plain"), (3, None, "x"), (4, b"", None), (5, b"BM BM RIFF GIF89a", "text/plain")]
+    table = spark.createDataFrame(rows, "k long, blob binary, kind string")
+    got = {r.k: r for r in media.sniff(table, "k", "blob", "kind", carve=True).collect()}
+    assert got[1].corrected == "image/png" and got[2].corrected == "text/plain" and bytes(got[2].media) == gif and got[2].offset == 5
+    assert got[3].corrected == "x" and got[3].format is None and got[4].corrected is None and got[5].format is None
+
+
+def test_warc(spark, empty):
+    big = "<p>" + "y" * 1200
+    rows = [(1, "http://a", big), (2, None, big), (3, "http://c", "small"), (4, "d", "small"), (5, "e", None), (None, "f", big), (2, "g", big), (6, "h\r\nx", "é" * 700)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    manifest = warc.write(pages)
+    got = warc.read(manifest).collect()
+    payload = lambda h: (h or "").encode()
+    want = sorted((str(i), len(payload(h)), hashlib.sha1(payload(h)).hexdigest(), "revisit" if h == big and i != 2 else "response", 2 if h == big and i != 2 else None) for i, _, h in rows)
+    assert sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
+    assert all(r.payload is None or hashlib.sha1(bytes(r.payload)).hexdigest() == r.payload_digest for r in got)
+    assert warc.read(warc.write(pages.limit(0))).count() == 0
+
+
+def test_zip64_directory():
+    class Source(io.BytesIO):
+        def size(self):
+            return len(self.getbuffer())
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z, z.open("big", "w", force_zip64=True) as f:
+        f.write(b"stored bytes")
+    raw = out.getvalue()
+    source = Source(raw)
+    (member,) = warc.directory(source)
+    at = warc.data_offset(source, member)
+    assert raw[at : at + member.size] == b"stored bytes"
+    # the same archive with a ZIP64 end record and full 32-bit fields
+    end = raw.rfind(b"PK\x05\x06")
+    size, start = struct.unpack_from("<II", raw, end + 12)
+    entry = bytearray(raw[start : start + size])
+    n_name, n_extra = struct.unpack_from("<HH", entry, 28)
+    extra = struct.pack("<HHQQQ", 1, 24, 12, 12, 0)
+    struct.pack_into("<II", entry, 20, 0xFFFFFFFF, 0xFFFFFFFF)
+    struct.pack_into("<H", entry, 30, len(extra))
+    struct.pack_into("<I", entry, 42, 0xFFFFFFFF)
+    central = bytes(entry[: 46 + n_name]) + extra
+    end64 = start + len(central)
+    big = raw[:start] + central + struct.pack("<4sQHHIIQQQQ", b"PK\x06\x06", 44, 45, 45, 0, 0, 1, 1, len(central), start) + struct.pack("<4sIQI", b"PK\x06\x07", 0, end64, 1) + struct.pack("<4sHHHHIIH", b"PK\x05\x06", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0)
+    (member,) = warc.directory(source := Source(big))
+    at = warc.data_offset(source, member)
+    assert member.size == 12 and big[at : at + 12] == b"stored bytes"
+
+
+def test_chat(spark):
+    rows = [(1, 0, "system", "S"), (1, 1, "ann", "hi"), (1, 2, "bob", "yo"), (1, 3, "ann", "bye"), (2, 0, None, None), (None, 0, "x", "q"), (3, 0, "system", "only"), (4, 300, "ann", "late"), (4, 0, "ann", "early"), (4, 0, "ann", "early")]
+    turns = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, speaker string")
+    got = {(r.conv_id, r.segment, r.speaker): r for r in chat.rotate(turns).collect()}
+    assert set(got) == {(1, 0, "ann"), (1, 0, "bob"), (2, 0, "unknown"), (None, 0, "x"), (4, 0, "ann"), (4, 1, "ann")}
+    ann = got[1, 0, "ann"]
+    assert ann.rendered == "<|im_start|>system\nS<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name=bob\nyo<|im_end|>\n<|im_start|>assistant\nbye<|im_end|>\n"
+    assert ann.turn_mask == "0101" and [ann.rendered[int(a) : int(b)] for a, b in (s.split("-") for s in ann.spans.split(","))] == ["hi", "bye"]
+    assert got[4, 0, "ann"].n_turns == 2 and chat.rotate(turns.limit(0)).count() == 0
+
+
+def test_licenses(spark, edge, empty):
+    mit = LICENSES["MIT"]
+    texts = [mit, "Copyright (c) 2020 Somebody\n\n" + mit.upper(), mit.replace("\n", "\r\n * "), LICENSES["ISC"].replace("License", "Licence"), mit + " and more", "© 1999 me\nAll rights reserved.", None, ""]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k].license for k in range(8)] == ["MIT", "MIT", "MIT", "ISC", None, None, None, None]
+    assert got[5].digest == got[6].digest == got[7].digest
+    assert licenses.scan(edge).count() == edge.count() and licenses.scan(empty).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op3_perspective_rotation", "op5_license_digest", "op7_zip_warc"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from kinespark.llm.queries import ORACLE
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "conversations"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    got, want = QUERIES[name](spark, SF), con.execute(ORACLE[name])
+    names = [c[0] for c in want.description]
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(str, got.select(*names).collect())) == sorted(f"Row({', '.join(f'{n}={v!r}' for n, v in zip(names, row, strict=True))})" for row in want.fetchall())
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "mixing", "bpe"]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, docs, SF)
+        assert made.columns == docs.columns, name
+    assert corpus_pipeline.run(spark, SF).count() > 0
