@@ -41,7 +41,7 @@ def roc_points(df: DataFrame, keys: Sequence[str], y: str, score: str) -> DataFr
     down = Window.partitionBy(*keys).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
     c = score_counts(df, keys, y, score).withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down))
-    return c.select(*keys, F.col("s").alias("threshold"), (F.col("tp") / F.sum("pos").over(whole)).alias("tpr"), (F.col("fp") / F.sum("neg").over(whole)).alias("fpr"), "tp", "fp")
+    return c.select(*keys, F.col("s").alias("threshold"), F.try_divide("tp", F.sum("pos").over(whole)).alias("tpr"), F.try_divide("fp", F.sum("neg").over(whole)).alias("fpr"), "tp", "fp")
 
 
 def average_precision(df: DataFrame, keys: Sequence[str], y: str, score: str) -> DataFrame:

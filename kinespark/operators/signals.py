@@ -113,9 +113,9 @@ def band_power(psd: DataFrame, keys: Sequence[str], low: float, high: float) ->
 
 def spectrum_shape(psd: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Dominant frequency (the lowest on ties), centroid and entropy of a spectrum."""
-    x = psd.withColumn("_p", F.col("power") / F.sum("power").over(Window.partitionBy(*keys)))
+    x = psd.withColumn("_p", F.try_divide("power", F.sum("power").over(Window.partitionBy(*keys))))
     return x.groupBy(*keys).agg(
-        F.max_by("freq", F.struct("power", -F.col("freq"))).alias("dominant"), (F.sum(F.col("freq") * F.col("power")) / F.sum("power")).alias("centroid"),
+        F.max_by("freq", F.struct("power", -F.col("freq"))).alias("dominant"), F.try_divide(F.sum(F.col("freq") * F.col("power")), F.sum("power")).alias("centroid"),
         (-F.sum(F.when(F.col("_p") > 0, F.col("_p") * F.log("_p")).otherwise(0.0))).alias("entropy"),
     )
 

@@ -66,7 +66,7 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     ties = df.groupBy(value).agg(F.count("*").alias("t")).agg(F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
     s = by.agg(F.count("*").alias("groups"), F.sum("n").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s")).crossJoin(F.broadcast(ties))
     n = F.col("n").cast("double")
-    h = (12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / (1 - F.col("ties") / (n * n * n - n))
+    h = F.try_divide(12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1), 1 - F.try_divide("ties", n * n * n - n))
     return s.select("groups", "n", h.alias("h"))
 
 
@@ -90,7 +90,7 @@ def friedman(df: DataFrame, block: str, treatment: str, value: str) -> DataFrame
     sums = r.groupBy(treatment).agg(F.sum("rank").alias("r"), F.count("*").alias("n")).agg(F.count("*").alias("k"), F.max("n").alias("n"), F.sum(F.col("r") * F.col("r")).alias("rr"))
     ties = r.groupBy(block, value).agg(F.count("*").alias("t")).agg(F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
     n, k = F.col("n").cast("double"), F.col("k").cast("double")
-    chi = (12 / (n * k * (k + 1)) * F.col("rr") - 3 * n * (k + 1)) / (1 - F.col("ties") / (n * (k * k * k - k)))
+    chi = F.try_divide(12 / (n * k * (k + 1)) * F.col("rr") - 3 * n * (k + 1), 1 - F.try_divide("ties", n * (k * k * k - k)))
     return sums.crossJoin(F.broadcast(ties)).select(F.col("n").alias("blocks"), F.col("k").alias("treatments"), chi.alias("chi2"))
 
 

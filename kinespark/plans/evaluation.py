@@ -165,8 +165,8 @@ def a11_class_report(spark, sf):
 
 
 @query(f"""WITH {OOF}, c AS (SELECT cohort, {C.replace(' AS tp', '::DOUBLE AS tp').replace(' AS fp', '::DOUBLE AS fp').replace(' AS tn', '::DOUBLE AS tn').replace(' AS fn', '::DOUBLE AS fn')} FROM oof GROUP BY 1)
-SELECT cohort, round(((tp + fn) * (2 * tp / (2 * tp + fp + fn)) + (tn + fp) * (2 * tn / (2 * tn + fp + fn))) / (tp + fp + tn + fn), 6) AS weighted_f1, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced_accuracy,
-  round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 6) AS mcc,
+SELECT cohort, round(((tp + fn) * coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) + (tn + fp) * coalesce(2 * tn / nullif(2 * tn + fp + fn, 0), 0)) / (tp + fp + tn + fn), 6) AS weighted_f1,
+  round((coalesce(tp / nullif(tp + fn, 0), 0) + coalesce(tn / nullif(tn + fp, 0), 0)) / 2, 6) AS balanced_accuracy, coalesce(round((tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 6), 0) AS mcc,
   round(((tp + tn) / (tp + fp + tn + fn) - ((tp + fp) * (tp + fn) + (tn + fn) * (tn + fp)) / (tp + fp + tn + fn) ** 2) / (1 - ((tp + fp) * (tp + fn) + (tn + fn) * (tn + fp)) / (tp + fp + tn + fn) ** 2), 6) AS kappa FROM c""")
 def a12_discriminative(spark, sf):
     r = m.discriminative(oof(spark, sf).groupBy("cohort").agg(*m.binary_counts("y", F.col("a") >= 0.5)))
