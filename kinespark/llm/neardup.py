@@ -7,18 +7,18 @@ Independent trees share out the classes: at a node, a class goes to the children
 that the node chooses (1 / similarity of them on average), so two similar classes share a path with known probability.
 In nodes of at most LEAF classes all pairs are held against each other by sketch. Larger nodes branch again, DEPTH levels at
 most, but for those that mostly hold near copies, which branching would only scatter. In these, every class is held against
-PIVOTS of the node, others in each tree: its likeliest pivot is a candidate, and those classes that the confirmed links leave
-outside the node's main component try all pivots they resemble. Other pairs whose sketches agree are candidates; their full
+PIVOTS of the node, others in each tree, and its likeliest pivot is a candidate. Those classes that the confirmed links leave
+outside the node's main component are then held against all classes of the node, in blocks. Other pairs whose sketches agree are candidates; their full
 sets are compared, first each class's likeliest, then those between components that are still apart.
 
 Recall: two classes of the least similarity 0.8 meet in one tree's first node with probability 0.8, and TREES trees miss
 them with probability 0.2 ** TREES where nodes stay small; each branching costs a factor of about 1. The sketch test passes
-such a pair with probability above 0.99999. Nodes and lists of partners in small nodes are not cut. In a crowded node a class
-meets PIVOTS members a tree, so one that resembles a share q of a crowd and nothing else is missed with probability
-(1 - q) ** (0.8 * PIVOTS * TREES): below 0.002 for a hundredth of the crowd.
+such a pair with probability above 0.99999. Nothing is capped: no node, block or list of partners is cut. The work in a
+crowded node is the product of its classes and of those outside its main component, so it is quadratic where most of a
+large node's classes resemble each other without being linked.
 
 Counts of nodes are pre-aggregated; rows of a large node stay spread over tasks, as they are joined with its pivots by a join
-that Spark may split, and never gathered. Components are found by passing on smallest ids with pointer jumping; all tables
+that Spark may split, and are gathered in blocks of bounded size alone. Components are found by passing on smallest ids with pointer jumping; all tables
 of a step are written to the shared folder.
 
 Defined results: null and empty texts and texts without words have the empty set and are linked with nothing; fewer words
@@ -37,9 +37,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinespark.llm.common import lower_ascii, mixed, n_partitions, span_hashes, stored, text_or_empty, text_slices, word_spans
+from kinespark.llm.common import lower_ascii, mixed, n_partitions, ragged, span_hashes, stored, text_or_empty, text_slices, word_spans
 
-SIGNATURE, TREES, LEAF, DEPTH, PIVOTS, DENSE, TURNS = 64, 12, 32, 4, 64, 0.25, (8, 64)
+SIGNATURE, TREES, LEAF, DEPTH, PIVOTS, DENSE = 64, 12, 32, 4, 64, 0.25
+#: Classes and shingles of a block of a crowded node, on average; decide the size of a group alone.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
 #: Bits of 64 that agree in the sketches of a candidate: 4.5 deviations below the mean of 57.6 at similarity 0.8.
 AGREE = 47
 #: Minwise values of 64 that agree in a pair of the least similarity: 3.5 deviations below the mean of 51.2.
@@ -213,38 +215,97 @@ def candidates(classes: DataFrame, similarity: float, trees: int = TREES, leaf:
         # where most classes resemble a pivot, branching would only scatter near copies
         dense = held.groupBy("node").agg(F.avg(F.exists("near", lambda p: p["agree"] >= CLOSE).cast("int")).alias("share")).filter(F.col("share") >= (DENSE if level < depth else 0.0))
         held = stored(held.join(stored(dense, "dup-dense"), "node", "left"), "dup-crowded")
-        here = held.filter("share is not null").select("node", "doc_id", "near")
+        here = held.filter("share is not null").select("node", "doc_id", "sketch", "near")
         crowded = here if crowded is None else crowded.unionByName(here)
-        found.append(met_pivots(here, 1).select("a", "b", "agree"))
+        found.append(met_pivots(here))
         child = held.filter("share is null").withColumn("at", F.explode(chosen(F.col("node"), level, similarity)))
         rows = child.select(F.xxhash64("node", "at", F.element_at("signature", F.col("at") + 1)).alias("node"), "doc_id", "sketch")
     return stored(reduce(DataFrame.unionByName, found).groupBy("a", "b").agg(F.max("agree").alias("agree")), "dup-candidates"), crowded
 
 
-def met_pivots(crowded: DataFrame, best: int) -> DataFrame:
-    """(a, b, agree, own, with): each class with the likeliest pivots of its nodes."""
-    met = crowded.select(F.col("doc_id").alias("own"), F.explode(F.slice("near", 1, best)).alias("n")).select("own", F.col("n.pivot").alias("with"), F.col("n.agree").cast("int").alias("agree")).distinct()
-    return met.withColumn("a", F.least("own", "with")).withColumn("b", F.greatest("own", "with"))
+def met_pivots(crowded: DataFrame) -> DataFrame:
+    """(a, b, agree): each class with the likeliest pivot of each of its nodes."""
+    met = crowded.select(F.col("doc_id").alias("own"), F.explode(F.slice("near", 1, 1)).alias("n")).select("own", F.col("n.pivot").alias("with"), F.col("n.agree").cast("int").alias("agree")).distinct()
+    return met.select(F.least("own", "with").alias("a"), F.greatest("own", "with").alias("b"), "agree")
 
 
-def settle(crowded: DataFrame, links: DataFrame, labels: DataFrame, tested: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Labels after the classes that lie outside their crowded node's main component met more of the node's pivots.
+def settle(crowded: DataFrame, classes: DataFrame, links: DataFrame, labels: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Labels after the classes outside their crowded node's main component were held against all classes of the node.
 
-    A class has its likeliest pivot tested at first. Those that this leaves outside are few; they are tested with the next,
-    then with all pivots that they resemble, in each of the trees. Work grows with the rows, not with a node's square.
+    Two classes of a node in different components are not both in its main one, so all such pairs are met. Outsiders and
+    classes are dealt out in blocks, each pair of blocks is a cell, and a cell is one group: its size is bounded, whatever
+    the node's. Sketches are compared first, and only classes with a partner there bring their texts.
     """
-    for best in TURNS:
-        known = crowded.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        shares = known.groupBy("node", "component").agg(F.count("*").alias("n"))
-        main = shares.groupBy("node").agg(F.max(F.struct("n", "component")).alias("m")).select("node", F.col("m.component").alias("main"))
-        outside = known.join(stored(main, "dup-main"), "node").filter("component <> main")
-        pairs = met_pivots(outside, best).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        apart = between(pairs, labels)
-        if apart.isEmpty():
-            continue
-        links = links.unionByName(stored(confirmed(apart, texts, k, percent), "dup-confirmed"))
-        tested, labels = tested.unionByName(apart), components(links)
-    return labels
+    known = crowded.join(labels, "doc_id", "left").join(classes.select("doc_id", "n_shingles"), "doc_id")
+    known = stored(known.select("node", "doc_id", "sketch", "n_shingles", F.coalesce("component", "doc_id").alias("component")), "dup-known")
+    shares = known.groupBy("node", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    nodes = shares.groupBy("node").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "component", "s")).alias("m")).filter(F.col("n") > F.col("m.n"))
+    blocks = lambda n, s: F.ceil(F.greatest(n / BLOCK_ROWS, s / BLOCK_SHINGLES))
+    nodes = nodes.select("node", F.col("m.component").alias("main"), blocks(F.col("n"), F.col("s")).alias("parts"), blocks(F.col("n") - F.col("m.n"), F.col("s") - F.col("m.s")).alias("outer_parts"))
+    rows = known.join(stored(nodes, "dup-main"), "node").withColumn("salt", F.xxhash64("doc_id", "node"))
+    dealt = lambda column: F.pmod("salt", column)
+    each = lambda column: F.explode(F.sequence(F.lit(0).cast("long"), F.col(column) - 1))
+    inner = rows.select("node", each("outer_parts").alias("outer"), dealt(F.col("parts")).alias("inner"), F.lit(False).alias("outside"), "doc_id", "component", "sketch")
+    outer = rows.filter("component <> main").select("node", dealt(F.col("outer_parts")).alias("outer"), each("parts").alias("inner"), F.lit(True).alias("outside"), "doc_id", "component", "sketch")
+    near = stored(with_partner(inner.unionByName(outer)), "dup-near")
+    if near.isEmpty():
+        return labels
+    found = stored(cell_links(near.join(texts, "doc_id"), k, percent), "dup-confirmed")
+    return labels if found.isEmpty() else components(links.unionByName(found.distinct()))
+
+
+def with_partner(cells: DataFrame) -> DataFrame:
+    """The rows of cells whose sketch agrees with one of another component on the cell's other side."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        outside, sketch, component = (cell.column(c).to_numpy() for c in ("outside", "sketch", "component"))
+        own, others = np.flatnonzero(outside), np.flatnonzero(~outside)
+        met = np.zeros(len(outside), bool)
+        for at in range(0, len(own), 256):
+            some = own[at : at + 256]
+            agree = 64 - np.bitwise_count((sketch[some, None] ^ sketch[others]).view(np.uint64)) >= AGREE
+            agree &= component[some, None] != component[others]
+            met[some] = agree.any(1)
+            met[others] |= agree.any(0)
+        return cell.drop_columns("sketch").filter(pa.array(met))
+
+    return cells.groupBy("node", "outer", "inner").applyInArrow(run, "node long, outer long, inner long, outside boolean, doc_id long, component long")
+
+
+def cell_links(cells: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) of full sets that join all components of a cell that any of its pairs joins."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        sets = []
+        for _, data, offsets in text_slices(iter(cell.select(["text"]).combine_chunks().to_batches()), "text"):
+            h, bounds = shingles(data, offsets, k)
+            sets += [np.unique(h[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        outside, doc = cell.column("outside").to_numpy(), cell.column("doc_id").to_numpy()
+        component = np.unique(cell.column("component").to_numpy(), return_inverse=True)[1]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        # outsiders of common shingles first: an original that all copies resemble joins them at once
+        common = np.bincount(np.repeat(np.arange(len(sizes)), sizes), np.bincount(codes)[codes], len(sizes)) / np.maximum(sizes, 1)
+        own, others = np.flatnonzero(outside & (sizes > 0)), np.flatnonzero(~outside)
+        mark, found = np.zeros(len(codes), np.int32), []
+        for x in own[np.argsort(-common[own], kind="stable")]:
+            live = others[component[others] != component[x]]
+            live = live[100 * np.minimum(sizes[live], sizes[x]) >= percent * np.maximum(sizes[live], sizes[x])]
+            if not len(live):
+                continue
+            mine = codes[bounds[x] : bounds[x + 1]]
+            mark[mine] = 1
+            both = np.add.reduceat(mark[codes[ragged(bounds[live], sizes[live])]], np.cumsum(sizes[live]) - sizes[live])
+            mark[mine] = 0
+            for y in live[(both > 0) & (100 * both >= percent * (sizes[x] + sizes[live] - both))]:
+                if component[y] != component[x]:
+                    found.append((min(doc[x], doc[y]), max(doc[x], doc[y])))
+                    component[component == component[y]] = component[x]
+        ends = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
+
+    return cells.groupBy("node", "outer", "inner").applyInArrow(run, "a long, b long")
 
 
 def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -301,7 +362,7 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     # classes of equal sets: the smallest id stands for all
     heads = marked.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("head"), F.count("*").alias("n"))
     heads = stored(heads, "dup-heads")
-    classes = stored(heads.join(marked.select("doc_id", "digest", "sketch", "signature").dropDuplicates(["doc_id", "digest"]), (heads["head"] == F.col("doc_id")) & (heads["digest"] == marked["digest"])).select("doc_id", "sketch", "signature"), "dup-classes")
+    classes = stored(heads.join(marked.select("doc_id", "digest", "n_shingles", "sketch", "signature").dropDuplicates(["doc_id", "digest"]), (heads["head"] == F.col("doc_id")) & (heads["digest"] == marked["digest"])).select("doc_id", "n_shingles", "sketch", "signature"), "dup-classes")
     pairs, crowded = candidates(classes, percent / 100)
     # a class is the text of its head; ids of several rows keep the row whose set is the class's
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
@@ -318,7 +379,7 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     second = stored(confirmed(apart, texts, k, percent), "dup-confirmed")
     labels = components(first.unionByName(second))
     if crowded is not None:
-        labels = settle(crowded, first.unionByName(second), labels, best.unionByName(apart), texts, k, percent)
+        labels = settle(crowded, classes, first.unionByName(second), labels, texts, k, percent)
     named = heads.filter("n > 1").select("digest", "head")
     # only classes of several documents or with links are looked up; the rest stand alone
     linked = labels.join(heads.select(F.col("head").alias("doc_id"), "digest"), "doc_id").select("digest", "component")

@@ -187,6 +187,20 @@ def test_near_duplicates_against_all_pairs(docs, edge, empty, spark, k):
     assert neardup.link(empty).count() == 0 and neardup.dedup(edge).columns == edge.columns
 
 
+def changed(rng, words, share, tag):
+    words = list(words)
+    for at in rng.sample(range(len(words)), round(len(words) * share)):
+        words[at] = f"{tag}{rng.randrange(10**9)}"
+    return words
+
+
+def test_near_duplicates_in_a_star(spark):
+    """Copies resemble the original alone: whoever doesn't meet it is lost."""
+    rng, base = random.Random(11), [f"w{k}" for k in range(200)]
+    rows = [(600, " ".join(base))] + [(k, " ".join(changed(rng, base, 0.1, "c"))) for k in range(600)]
+    assert {r.component_id for r in neardup.link(spark.createDataFrame(rows, "doc_id long, text string"), k=1).collect()} == {0}
+
+
 def test_toxicity(spark, edge, empty):
     rng = random.Random(1)
     words = [f"w{k}" for k in range(300)]
