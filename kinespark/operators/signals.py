@@ -254,6 +254,10 @@ def dfa(x: np.ndarray) -> float:
     return float(np.polyfit(*zip(*points, strict=True), 1)[0]) if len(points) > 1 else float("nan")
 
 
+#: Distances that lyapunov() holds at once.
+DISTANCES = 1 << 20
+
+
 def lyapunov(x: np.ndarray, delay: int, dim: int, steps: int) -> float:
     """Largest exponent: mean log divergence of nearest neighbours (apart in time by more than delay * dim) against time."""
     n = len(x) - (dim - 1) * delay
@@ -261,9 +265,13 @@ def lyapunov(x: np.ndarray, delay: int, dim: int, steps: int) -> float:
         return float("nan")
     parts = np.stack([x[k * delay : k * delay + n] for k in range(dim)], 1)
     base = n - steps
-    d = np.abs(parts[:base, None] - parts[None, :base]).max(2)
-    d[np.abs(np.subtract.outer(np.arange(base), np.arange(base))) <= delay * dim] = np.inf
-    near = d.argmin(1)
+    near, times = np.empty(base, np.int64), np.arange(base)
+    # a block of rows at a time: memory grows with the signal, not with its square
+    rows = max(1, DISTANCES // base)
+    for at in range(0, base, rows):
+        d = np.abs(parts[at : min(at + rows, base), None] - parts[None, :base]).max(2)
+        d[np.abs(times[at : at + rows, None] - times) <= delay * dim] = np.inf
+        near[at : at + rows] = d.argmin(1)
     curve = []
     for s in range(steps):
         gap = np.linalg.norm(parts[np.arange(base) + s] - parts[near + s], axis=1)

@@ -221,7 +221,7 @@ def f17_welch_features(spark, sf):
 
 @query()
 def f23_f25_nonlinear(spark, sf):
-    return kernel(spark, sf, lambda x: {"sample_entropy": g.sample_entropy(x), "dfa": g.dfa(x), "lyapunov": g.lyapunov(x[:2000], 2, 3, 8)}, "sample_entropy double, dfa double, lyapunov double")
+    return kernel(spark, sf, lambda x: {"sample_entropy": g.sample_entropy(x), "dfa": g.dfa(x), "lyapunov": g.lyapunov(x, 2, 3, 8)}, "sample_entropy double, dfa double, lyapunov double")
 
 
 @query()

@@ -142,3 +142,29 @@ def test_gap_stream(spark, tmp_path):
     q = streams.gap_stream(stream, "k", "c").writeStream.format("memory").queryName("z3").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [tuple(r) for r in spark.table("z3").collect()] == [(1, 2, 5)]
+
+
+def test_lyapunov_takes_the_whole_trial(spark):
+    """The second half of the trial is another signal; the query gives what brute force gives for both."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.sin(np.arange(2000) / 9) + rng.normal(size=2000) / 50, rng.normal(size=1000)])
+    parts = np.stack([x[k * 2 : k * 2 + 2996] for k in range(3)], 1)
+    near = []
+    for k in range(2988):
+        d = np.abs(parts[:2988] - parts[k]).max(1)
+        d[max(0, k - 6) : k + 7] = np.inf
+        near.append(int(d.argmin()))
+    curve = [np.log(np.linalg.norm(parts[np.arange(2988) + s] - parts[np.array(near) + s], axis=1)).mean() for s in range(8)]
+    want = np.polyfit(np.arange(8), curve, 1)[0]
+    assert math.isclose(signals.lyapunov(x, 2, 3, 8), want, rel_tol=1e-9) and not math.isclose(signals.lyapunov(x[:2000], 2, 3, 8), want, rel_tol=1e-3)
+    # as in the query, whose trials come from events
+    made = {}
+    from kinespark.plans import signal_plans
+
+    kept = signal_plans.kernel
+    signal_plans.kernel = lambda spark, sf, run, schema: made.update(run(x))
+    try:
+        __spark_entry__.queries()["f23_f25_nonlinear"](spark, SF)
+    finally:
+        signal_plans.kernel = kept
+    assert math.isclose(made["lyapunov"], want, rel_tol=1e-9)
