@@ -4,17 +4,21 @@ In a participant's rendering their turns are the assistant's, other participants
 of fixed roles (system) stay as they are. The mask marks the assistant's text: `turn_mask` by turn, `spans` by
 characters of the rendering.
 
-Rows are grouped by conversation and by blocks of BLOCK turn numbers, so a dialogue without end is rendered in segments
-and no group grows with it. Only DataFrame functions are used.
+Rows are grouped by conversation and by blocks of BLOCK turn numbers, so a dialogue without end is rendered in segments.
+Every participant of the dialogue has all its segments, spoken in or not, and spans go on from segment to segment (the SQL
+below begins anew in each, so it is the same up to BLOCK turns). Turns of equal or null numbers are in one segment, however
+many. Only DataFrame functions are used.
 
 Defined results: turns go by number, then role, then text (null numbers first, in the first segment); repeated rows are
 repeated turns; a null or empty text is an empty turn; a null role speaks as "unknown"; rows without a conversation
-form a dialogue for each role and text; a segment without participants (system only) has no rendering.
+form a dialogue for each role and text; a dialogue without participants (system only) has no rendering.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK, FIXED_ROLES = 256, ("system",)
@@ -22,24 +26,27 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
 def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", block: int = BLOCK, fixed_roles: tuple[str, ...] = FIXED_ROLES) -> DataFrame:
-    """(conv_id, segment, speaker, n_turns, n_target, rendered, turn_mask, spans) for every participant of a segment."""
+    """(conv_id, segment, speaker, n_turns, n_target, rendered, turn_mask, spans) of every segment for every participant of the dialogue.
+
+    A participant's segments in order, joined, are the dialogue's rendering; spans count characters in that.
+    """
     rows = turns.select(
         turns[conv_col].alias("conv_id"), F.coalesce(F.floor(turns[turn_col] / block), F.lit(0)).cast("long").alias("segment"), turns[turn_col].alias("turn"),
         F.coalesce(turns[role_col], F.lit("unknown")).alias("role"), F.coalesce(turns[text_col], F.lit("")).alias("text"),
     )
     rows = rows.withColumn("alone", F.when(F.col("conv_id").isNull(), F.sha2(F.concat_ws(":", "role", "text"), 256)))
-    grouped = rows.groupBy("conv_id", "segment", "alone").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    here = ["conv_id", "alone", "segment"]
+    grouped = rows.groupBy(*here).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     # array_sort puts null turn numbers first inside a struct, as documented
-    who = F.array_sort(F.array_distinct(F.filter(F.transform("turns", lambda t: t["role"]), lambda r: ~r.isin(*fixed_roles))))
-    each = grouped.withColumn("speaker", F.explode(who))
+    each = joined(grouped, starts(rows, fixed_roles), here)
 
     def head(t):
         return F.concat(F.lit(OPEN), F.when(t["role"] == F.col("speaker"), F.lit("assistant\n")).when(t["role"].isin(*fixed_roles), F.concat(t["role"], F.lit("\n"))).otherwise(F.concat(F.lit("user name="), t["role"], F.lit("\n"))))
 
     parts = each.withColumn("parts", F.transform("turns", lambda t: F.struct(head(t).alias("head"), t["text"].alias("text"), (t["role"] == F.col("speaker")).alias("target"))))
-    start = F.aggregate(
+    spans = F.aggregate(
         "parts",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans")),
+        F.struct(F.col("start").alias("at"), F.array().cast("array<string>").alias("spans")),
         lambda acc, p: F.struct(
             (acc["at"] + F.length(p["head"]) + F.length(p["text"]) + len(CLOSE) + 1).alias("at"),
             F.when(p["target"], F.concat(acc["spans"], F.array(F.concat_ws("-", (acc["at"] + F.length(p["head"])).cast("string"), (acc["at"] + F.length(p["head"]) + F.length(p["text"])).cast("string"))))).otherwise(acc["spans"]).alias("spans"),
@@ -51,10 +58,36 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         F.size(F.filter("parts", lambda p: p["target"])).cast("long").alias("n_target"),
         F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["text"], F.lit(f"{CLOSE}\n"))), "").alias("rendered"),
         F.array_join(F.transform("parts", lambda p: F.when(p["target"], "1").otherwise("0")), "").alias("turn_mask"),
-        F.array_join(start, ",").alias("spans"),
+        F.array_join(spans, ",").alias("spans"),
     )
 
 
+def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """The join on keys whose nulls are equal; left's keys stay."""
+    named = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    return left.join(named, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), how).drop(*(f"__{k}" for k in keys))
+
+
+def starts(rows: DataFrame, fixed_roles: tuple[str, ...]) -> DataFrame:
+    """(conv_id, alone, segment, speaker, start): characters of the speaker's rendering before a segment, for all segments.
+
+    Lengths are summed by segment and role first, so running totals are over a row a segment. A speaker's own turns differ
+    from others' in their heads alone.
+    """
+    dialogue = ["conv_id", "alone"]
+    frame = len(OPEN) + 1 + len(CLOSE) + 1
+    counts = rows.groupBy(*dialogue, "segment", "role").agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("chars"))
+    chars = F.col("chars") + F.col("n") * (F.lit(frame) + F.length("role") + F.when(F.col("role").isin(*fixed_roles), 0).otherwise(len("user name=")))
+    earlier = lambda *keys: Window.partitionBy(*keys).orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    segments = counts.groupBy(*dialogue, "segment").agg(F.sum(chars).alias("chars"))
+    segments = segments.withColumn("before", F.coalesce(F.sum("chars").over(earlier(*dialogue)), F.lit(0))).drop("chars")
+    own = counts.filter(~F.col("role").isin(*fixed_roles)).withColumnRenamed("role", "speaker").drop("chars")
+    every = joined(segments, own.select(*dialogue, "speaker").distinct(), dialogue)
+    every = joined(every, own, [*dialogue, "segment", "speaker"], "left")
+    spoken = F.coalesce(F.sum("n").over(earlier(*dialogue, "speaker")), F.lit(0))
+    return every.select(*dialogue, "segment", "speaker", (F.col("before") - spoken * (F.length("speaker") + len("user name=") - len("assistant"))).alias("start"))
+
+
 def oracle(block: int = BLOCK) -> str:
     head = f"CASE WHEN t.role = s.speaker THEN '{OPEN}assistant' WHEN t.role = 'system' THEN '{OPEN}system' ELSE '{OPEN}user name=' || t.role END || chr(10)"
     return f"""

@@ -319,6 +319,20 @@ def test_chat(spark):
     assert got[4, 0, "ann"].n_turns == 2 and chat.rotate(turns.limit(0)).count() == 0
 
 
+def test_chat_segments_join_to_the_dialogue(spark):
+    """Also for a participant who is silent in a segment, and without a conversation id's help."""
+    roles = ["system", "ann", "bob", "ann", "ann", "system", "ann", "bob", "ann", "ann"]
+    turns = [(k, r, f"text {k} " * (k % 3)) for k, r in enumerate(roles)]
+    table = spark.createDataFrame([(c, *t) for c in (1, 2) for t in turns], "conv_id long, turn long, role string, text string")
+    whole = {(r.conv_id, r.speaker): r for r in chat.rotate(table).collect()}
+    parts = chat.rotate(table, block=3).orderBy("segment").collect()
+    assert set(whole) == {(c, s) for c in (1, 2) for s in ("ann", "bob")} and len(parts) == 16
+    for key, want in whole.items():
+        own = [r for r in parts if (r.conv_id, r.speaker) == key]
+        assert "".join(r.rendered for r in own) == want.rendered and "".join(r.turn_mask for r in own) == want.turn_mask
+        assert ",".join(r.spans for r in own if r.spans) == want.spans
+
+
 def test_licenses(spark, edge, empty):
     mit = LICENSES["MIT"]
     texts = [mit, "Copyright (c) 2020 Somebody\n\n" + mit.upper(), mit.replace("\n", "\r\n * "), LICENSES["ISC"].replace("License", "Licence"), mit + " and more", "© 1999 me\nAll rights reserved.", None, ""]
