@@ -205,7 +205,7 @@ def test_near_duplicates_inside_a_template(spark):
     """Documents of one template resemble each other below the limit; the pairs inside them are links."""
     rng, base, rows = random.Random(11), [f"w{k}" for k in range(200)], []
     for k in range(0, 600, 2):
-        own = changed(rng, base, 0.17, "t")
+        own = changed(rng, base, 0.09, "t")
         rows += [(k, " ".join(own)), (k + 1, " ".join(changed(rng, own, 0.1, "u")))]
     got = neardup.link(spark.createDataFrame(rows, "doc_id long, text string"), k=1).collect()
     assert {r.doc_id: r.component_id for r in got} == {k: k - k % 2 for k in range(600)}
