@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +34,35 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: later failures recompute from the files, not from the source."""
+_STEPS: ContextVar[list[str] | None] = ContextVar("steps", default=None)
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: later failures recompute from the files, not from the source.
+
+    Inside temporary(), the table goes with the others of the block unless it is to be kept.
+    """
     spark = df.sparkSession
     df.write.parquet(path := scratch(spark, name))
+    if not keep and (steps := _STEPS.get()) is not None:
+        steps.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that stored() writes in the block are deleted at its end; nothing lazy that reads them may leave it."""
+    token = _STEPS.set([])
+    try:
+        yield
+    finally:
+        conf = spark._jsc.hadoopConfiguration()
+        for path in _STEPS.get():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+        _STEPS.reset(token)
+
+
 def n_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,25 +5,31 @@ them. Each class has SIGNATURE minwise values and a sketch of one bit of each.
 
 Independent trees share out the classes: at a node, a class goes to the children named by its minwise values at positions
 that the node chooses (1 / similarity of them on average), so two similar classes share a path with known probability.
-In nodes of at most LEAF classes all pairs are held against each other by sketch. Larger nodes branch again, DEPTH levels at
-most, but for those that mostly hold near copies, which branching would only scatter. In these, every class is held against
-PIVOTS of the node, others in each tree, and its likeliest pivot is a candidate. Those classes that the confirmed links leave
-outside the node's main component are then held against all classes of the node, in blocks. Other pairs whose sketches agree are candidates; their full
-sets are compared, first each class's likeliest, then those between components that are still apart.
+In nodes of at most LEAF classes all pairs are held against each other by sketch; candidates are compared on full sets, first
+each class's likeliest, then those between components that are still apart.
+
+Larger nodes branch again, DEPTH levels at most, but for those that mostly hold near copies, which branching would only
+scatter. What is left is crowded, and compared exhaustively as well, only that pairs which are linked already are passed
+over: first each class and the likeliest of PIVOTS members of the node, which makes one main component of most near copies;
+then all classes outside the main component against all classes of the node. These are dealt out in cells of bounded size,
+and a cell counts the intersections of its full sets by matrix products. It returns the links that join components, fewer
+than it has classes, so no table grows with the pairs of a group. Nothing is capped or dropped.
 
 Recall: two classes of the least similarity 0.8 meet in one tree's first node with probability 0.8, and TREES trees miss
-them with probability 0.2 ** TREES where nodes stay small; each branching costs a factor of about 1. The sketch test passes
-such a pair with probability above 0.99999. Nothing is capped: no node, block or list of partners is cut. The work in a
-crowded node is the product of its classes and of those outside its main component, so it is quadratic where most of a
-large node's classes resemble each other without being linked.
+them with probability 0.2 ** TREES where nodes stay small or are crowded; each branching costs a factor of about 1. The sketch
+test passes such a pair with probability above 0.99999. The work in a crowded node is its classes times those outside its main
+component, so it is quadratic where most of a large node's classes resemble each other without being linked; there, a
+class that met another in the first tree's node isn't held against it in other trees.
 
 Counts of nodes are pre-aggregated; rows of a large node stay spread over tasks, as they are joined with its pivots by a join
-that Spark may split, and are gathered in blocks of bounded size alone. Components are found by passing on smallest ids with pointer jumping; all tables
-of a step are written to the shared folder.
+that Spark may split, and are gathered in cells alone. Components are found by passing on smallest ids with pointer jumping.
+All tables of a step are written to the shared folder and deleted when the labels are there. Shingles are told apart by
+64-bit hashes.
 
 Defined results: null and empty texts and texts without words have the empty set and are linked with nothing; fewer words
-than k are one shingle; ids may be null (each null-id row's component is null if no smaller id is linked); equal ids are
-one document of several rows with the smallest's component; repeated rows are copies of each other.
+than k are one shingle; ids may be null (each null-id row's component is null if no smaller id is linked); rows of an equal id
+are one document, that of its smallest text, though each row's set size is its own text's; repeated rows are copies of each
+other.
 """
 
 from __future__ import annotations
@@ -37,11 +43,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinespark.llm.common import lower_ascii, mixed, n_partitions, ragged, span_hashes, stored, text_or_empty, text_slices, word_spans
+from kinespark.llm.common import lower_ascii, mixed, n_partitions, ragged, span_hashes, stored, temporary, text_or_empty, text_slices, word_spans
 
 SIGNATURE, TREES, LEAF, DEPTH, PIVOTS, DENSE = 64, 12, 32, 4, 64, 0.25
 #: Classes and shingles of a block of a crowded node, on average; decide the size of a group alone.
-BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
+BLOCK_ROWS, BLOCK_SHINGLES = 4096, 1 << 20
 #: Bits of 64 that agree in the sketches of a candidate: 4.5 deviations below the mean of 57.6 at similarity 0.8.
 AGREE = 47
 #: Minwise values of 64 that agree in a pair of the least similarity: 3.5 deviations below the mean of 51.2.
@@ -96,11 +102,21 @@ def sketch_bits(signature: np.ndarray) -> np.ndarray:
     return (bits << np.arange(SIGNATURE, dtype=np.uint64)).sum(1, dtype=np.uint64)
 
 
-def describe(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, digest, sketch, signature) of every whole text; digest is null for the empty set."""
+def own_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
+    """(doc_id, text, own) of every row, own where the text stands for the id; and whether ids repeat at all."""
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    many = stored(rows.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "dup-repeated")
+    if many.isEmpty():
+        return rows.withColumn("own", F.lit(True)), False
+    least = stored(rows.join(many, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("least")), "dup-least")
+    return rows.join(least, "doc_id", "left").select("doc_id", "text", F.coalesce(F.col("text") == F.col("least"), F.lit(True)).alias("own")), True
+
+
+def describe(rows: DataFrame, k: int) -> DataFrame:
+    """(doc_id, own, n_shingles, digest, sketch, signature) of own_texts; digest is null for the empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in text_slices(batches, "__text"):
+        for part, data, offsets in text_slices(batches):
             h, bounds = shingles(data, offsets, k)
             values = signatures(h, bounds)
             sizes, digests = [], []
@@ -110,10 +126,9 @@ def describe(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "t
                 digests.append(xxhash.xxh3_128_hexdigest(own.tobytes()) if len(own) else None)
             flat = pa.array((values.ravel() >> np.uint64(32)).astype(np.uint32).view(np.int32))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * SIGNATURE, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([part.column("__id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(sketch_bits(values).view(np.int64)), lists], names=["doc_id", "n_shingles", "digest", "sketch", "signature"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("own"), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(sketch_bits(values).view(np.int64)), lists], names=["doc_id", "own", "n_shingles", "digest", "sketch", "signature"])
 
-    read = docs.select(docs[id_col].cast("long").alias("__id"), text_or_empty(text_col).alias("__text"))
-    return read.mapInArrow(run, "doc_id long, n_shingles long, digest string, sketch long, signature array<int>")
+    return rows.select("doc_id", "own", "text").mapInArrow(run, "doc_id long, own boolean, n_shingles long, digest string, sketch long, signature array<int>")
 
 
 def agreement(a: Column, b: Column) -> Column:
@@ -191,7 +206,7 @@ def with_pivots(rows: DataFrame, pivots: int) -> DataFrame:
     met = F.filter("pivots", lambda p: (p["doc_id"] != F.col("doc_id")) & (agreement(p["sketch"], F.col("sketch")) >= AGREE))
     met = F.transform(met, lambda p: F.struct(equal(p["signature"], F.col("signature")).alias("agree"), p["doc_id"].alias("pivot")))
     near = F.sort_array(F.filter(met, lambda p: p["agree"] >= EQUAL), asc=False)
-    return rows.join(stored(listed, "dup-pivots"), "node").select("node", "doc_id", "sketch", "signature", near.alias("near"))
+    return rows.join(stored(listed, "dup-pivots"), "node").select("tree", "node", "doc_id", "sketch", "signature", near.alias("near"))
 
 
 def candidates(classes: DataFrame, similarity: float, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame | None]:
@@ -202,7 +217,7 @@ def candidates(classes: DataFrame, similarity: float, trees: int = TREES, leaf:
     tree = F.explode(F.sequence(F.lit(1), F.lit(trees)))
     rows = classes.select("doc_id", "sketch", "signature", tree.alias("tree"))
     position = (F.col("tree") * 5) % SIGNATURE  # 5 and 64 have no common factor: each tree begins at another
-    rows = rows.select(F.xxhash64("tree", F.element_at("signature", position + 1)).alias("node"), "doc_id", "sketch")
+    rows = rows.select("tree", F.xxhash64("tree", F.element_at("signature", position + 1)).alias("node"), "doc_id", "sketch")
     found: list[DataFrame] = []
     crowded: DataFrame | None = None
     signed = classes.select("doc_id", "signature")
@@ -215,11 +230,11 @@ def candidates(classes: DataFrame, similarity: float, trees: int = TREES, leaf:
         # where most classes resemble a pivot, branching would only scatter near copies
         dense = held.groupBy("node").agg(F.avg(F.exists("near", lambda p: p["agree"] >= CLOSE).cast("int")).alias("share")).filter(F.col("share") >= (DENSE if level < depth else 0.0))
         held = stored(held.join(stored(dense, "dup-dense"), "node", "left"), "dup-crowded")
-        here = held.filter("share is not null").select("node", "doc_id", "sketch", "near")
+        here = held.filter("share is not null").select("tree", "node", "doc_id", "sketch", "near")
         crowded = here if crowded is None else crowded.unionByName(here)
         found.append(met_pivots(here))
         child = held.filter("share is null").withColumn("at", F.explode(chosen(F.col("node"), level, similarity)))
-        rows = child.select(F.xxhash64("node", "at", F.element_at("signature", F.col("at") + 1)).alias("node"), "doc_id", "sketch")
+        rows = child.select("tree", F.xxhash64("node", "at", F.element_at("signature", F.col("at") + 1)).alias("node"), "doc_id", "sketch")
     return stored(reduce(DataFrame.unionByName, found).groupBy("a", "b").agg(F.max("agree").alias("agree")), "dup-candidates"), crowded
 
 
@@ -230,46 +245,105 @@ def met_pivots(crowded: DataFrame) -> DataFrame:
 
 
 def settle(crowded: DataFrame, classes: DataFrame, links: DataFrame, labels: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Labels after the classes outside their crowded node's main component were held against all classes of the node.
+    """Labels after the classes outside their crowded node's main kind were held against all classes of the node.
 
-    Two classes of a node in different components are not both in its main one, so all such pairs are met. Outsiders and
-    classes are dealt out in blocks, each pair of blocks is a cell, and a cell is one group: its size is bounded, whatever
-    the node's. Sketches are compared first, and only classes with a partner there bring their texts.
+    A kind is a component or, in the trees after the first, the classes that were together in a crowded node of the first:
+    two of a kind need no look. A node's main kind is its largest, so all other pairs have an end outside it.
     """
-    known = crowded.join(labels, "doc_id", "left").join(classes.select("doc_id", "n_shingles"), "doc_id")
-    known = stored(known.select("node", "doc_id", "sketch", "n_shingles", F.coalesce("component", "doc_id").alias("component")), "dup-known")
-    shares = known.groupBy("node", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    nodes = shares.groupBy("node").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "component", "s")).alias("m")).filter(F.col("n") > F.col("m.n"))
+    rows = crowded.select("tree", "node", "doc_id", "sketch").join(classes.select("doc_id", "n_shingles"), "doc_id")
+    met = crowded.filter("tree = 1").groupBy("doc_id").agg(F.min("node").alias("met"))
+    later = rows.filter("tree > 1").join(met, "doc_id", "left")
+    for part in (rows.filter("tree = 1").withColumn("met", F.lit(None).cast("long")), later):
+        known = part.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        known = stored(known.withColumn("met", F.coalesce("met", F.xxhash64("doc_id"))), "dup-known")
+        near = stored(with_partner(cells(known)), "dup-near")
+        if near.isEmpty():
+            continue
+        found = stored(cell_links(near.join(texts, "doc_id"), k, percent).distinct(), "dup-confirmed")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = components(links)
+    return labels
+
+
+def cells(known: DataFrame) -> DataFrame:
+    """The rows dealt out in cells (node, outer, inner): each class outside the main kind and each of the node share one.
+
+    Both are dealt out in blocks, and each pair of blocks is a cell: its size is bounded, whatever the node's.
+    """
+    kinds = known.select("node", "n_shingles", F.explode(F.array(F.struct(F.lit(True).alias("linked"), F.col("component").alias("kind")), F.struct(F.lit(False).alias("linked"), F.col("met").alias("kind")))).alias("k"))
+    shares = kinds.groupBy("node", "k").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    whole = F.col("k.linked").cast("int")  # each class counts once in either way of telling kinds
+    nodes = shares.groupBy("node").agg(F.sum(F.col("n") * whole).alias("n"), F.sum(F.col("s") * whole).alias("s"), F.max(F.struct("n", "k", "s")).alias("m")).filter(F.col("n") > F.col("m.n"))
     blocks = lambda n, s: F.ceil(F.greatest(n / BLOCK_ROWS, s / BLOCK_SHINGLES))
-    nodes = nodes.select("node", F.col("m.component").alias("main"), blocks(F.col("n"), F.col("s")).alias("parts"), blocks(F.col("n") - F.col("m.n"), F.col("s") - F.col("m.s")).alias("outer_parts"))
+    nodes = nodes.select("node", F.col("m.k").alias("main"), blocks(F.col("n"), F.col("s")).alias("parts"), blocks(F.col("n") - F.col("m.n"), F.col("s") - F.col("m.s")).alias("outer_parts"))
     rows = known.join(stored(nodes, "dup-main"), "node").withColumn("salt", F.xxhash64("doc_id", "node"))
     dealt = lambda column: F.pmod("salt", column)
     each = lambda column: F.explode(F.sequence(F.lit(0).cast("long"), F.col(column) - 1))
-    inner = rows.select("node", each("outer_parts").alias("outer"), dealt(F.col("parts")).alias("inner"), F.lit(False).alias("outside"), "doc_id", "component", "sketch")
-    outer = rows.filter("component <> main").select("node", dealt(F.col("outer_parts")).alias("outer"), each("parts").alias("inner"), F.lit(True).alias("outside"), "doc_id", "component", "sketch")
-    near = stored(with_partner(inner.unionByName(outer)), "dup-near")
-    if near.isEmpty():
-        return labels
-    found = stored(cell_links(near.join(texts, "doc_id"), k, percent), "dup-confirmed")
-    return labels if found.isEmpty() else components(links.unionByName(found.distinct()))
+    inner = rows.select("node", each("outer_parts").alias("outer"), dealt(F.col("parts")).alias("inner"), F.lit(False).alias("outside"), "doc_id", "component", "met", "sketch")
+    outside = F.when(F.col("main.linked"), F.col("component")).otherwise(F.col("met")) != F.col("main.kind")
+    outer = rows.filter(outside).select("node", dealt(F.col("outer_parts")).alias("outer"), each("parts").alias("inner"), F.lit(True).alias("outside"), "doc_id", "component", "met", "sketch")
+    return inner.unionByName(outer)
 
 
 def with_partner(cells: DataFrame) -> DataFrame:
-    """The rows of cells whose sketch agrees with one of another component on the cell's other side."""
+    """The rows of cells whose sketch agrees with one of another kind on the cell's other side."""
 
     def run(cell: pa.Table) -> pa.Table:
-        outside, sketch, component = (cell.column(c).to_numpy() for c in ("outside", "sketch", "component"))
+        outside, sketch, component, met = (cell.column(c).to_numpy() for c in ("outside", "sketch", "component", "met"))
         own, others = np.flatnonzero(outside), np.flatnonzero(~outside)
-        met = np.zeros(len(outside), bool)
+        found = np.zeros(len(outside), bool)
         for at in range(0, len(own), 256):
             some = own[at : at + 256]
             agree = 64 - np.bitwise_count((sketch[some, None] ^ sketch[others]).view(np.uint64)) >= AGREE
-            agree &= component[some, None] != component[others]
-            met[some] = agree.any(1)
-            met[others] |= agree.any(0)
-        return cell.drop_columns("sketch").filter(pa.array(met))
-
-    return cells.groupBy("node", "outer", "inner").applyInArrow(run, "node long, outer long, inner long, outside boolean, doc_id long, component long")
+            agree &= (component[some, None] != component[others]) & (met[some, None] != met[others])
+            found[some] = agree.any(1)
+            found[others] |= agree.any(0)
+        return cell.drop_columns("sketch").filter(pa.array(found))
+
+    return cells.groupBy("node", "outer", "inner").applyInArrow(run, "node long, outer long, inner long, outside boolean, doc_id long, component long, met long")
+
+
+def intersections(sets: list[np.ndarray], own: np.ndarray, others: np.ndarray, block: int = 1024, steps: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(some of own, sizes of their intersections with each of others). Shingles that a sixteenth of the sets have are counted
+    by products of 0-1 matrices, a block of shingles at a time; the others by the lists of their sets."""
+    rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(codes, kind="stable")
+    codes, rows = codes[order], rows[order]
+    n = np.bincount(codes)
+    common = n * 16 >= len(sets)
+    number = np.cumsum(common) - 1
+
+    def split(members: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Shingles and places among the members, for common and for rare shingles, by shingle."""
+        place = np.full(len(sets), -1)
+        place[members] = np.arange(len(members))
+        here = place[rows] >= 0
+        c, r = codes[here], place[rows[here]]
+        many = common[c]
+        return number[c[many]], r[many], c[~many], r[~many]
+
+    def matrix(c: np.ndarray, r: np.ndarray, size: int, low: int) -> np.ndarray:
+        a, b = np.searchsorted(c, [low, low + block])
+        made = np.zeros((size, block), np.float32)
+        made[r[a:b], c[a:b] - low] = 1
+        return made
+
+    far_common, far_common_rows, far_rare, far_rare_rows = split(others)
+    first = np.searchsorted(far_rare, np.arange(len(n) + 1))
+    for at in range(0, len(own), block):
+        some = own[at : at + block]
+        both = np.zeros((len(some), len(others)), np.float32)
+        c, r, rare, rare_rows = split(some)
+        for low in range(0, int(common.sum()), block):
+            both += matrix(c, r, len(some), low) @ matrix(far_common, far_common_rows, len(others), low).T
+        lens = first[rare + 1] - first[rare]
+        cuts = np.unique(np.searchsorted(np.cumsum(lens), np.arange(0, int(lens.sum()) + 1, steps)))
+        for a, b in zip(cuts, np.append(cuts[1:], len(lens)), strict=True):
+            partner = far_rare_rows[ragged(first[rare[a:b]], lens[a:b])]
+            np.add.at(both.reshape(-1), np.repeat(rare_rows[a:b], lens[a:b]) * len(others) + partner, np.float32(1))
+        yield some, both
 
 
 def cell_links(cells: DataFrame, k: int, percent: int) -> DataFrame:
@@ -280,28 +354,20 @@ def cell_links(cells: DataFrame, k: int, percent: int) -> DataFrame:
         for _, data, offsets in text_slices(iter(cell.select(["text"]).combine_chunks().to_batches()), "text"):
             h, bounds = shingles(data, offsets, k)
             sets += [np.unique(h[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        outside, doc = cell.column("outside").to_numpy(), cell.column("doc_id").to_numpy()
-        component = np.unique(cell.column("component").to_numpy(), return_inverse=True)[1]
+        outside, doc, component, met = (cell.column(c).to_numpy() for c in ("outside", "doc_id", "component", "met"))
+        component = np.unique(component, return_inverse=True)[1]
         sizes = np.array([len(x) for x in sets], np.int64)
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
-        codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
-        # outsiders of common shingles first: an original that all copies resemble joins them at once
-        common = np.bincount(np.repeat(np.arange(len(sizes)), sizes), np.bincount(codes)[codes], len(sizes)) / np.maximum(sizes, 1)
-        own, others = np.flatnonzero(outside & (sizes > 0)), np.flatnonzero(~outside)
-        mark, found = np.zeros(len(codes), np.int32), []
-        for x in own[np.argsort(-common[own], kind="stable")]:
-            live = others[component[others] != component[x]]
-            live = live[100 * np.minimum(sizes[live], sizes[x]) >= percent * np.maximum(sizes[live], sizes[x])]
-            if not len(live):
-                continue
-            mine = codes[bounds[x] : bounds[x + 1]]
-            mark[mine] = 1
-            both = np.add.reduceat(mark[codes[ragged(bounds[live], sizes[live])]], np.cumsum(sizes[live]) - sizes[live])
-            mark[mine] = 0
-            for y in live[(both > 0) & (100 * both >= percent * (sizes[x] + sizes[live] - both))]:
-                if component[y] != component[x]:
-                    found.append((min(doc[x], doc[y]), max(doc[x], doc[y])))
-                    component[component == component[y]] = component[x]
+        own, others, found = np.flatnonzero(outside), np.flatnonzero(~outside), []
+        for some, both in intersections(sets, own, others) if len(own) and len(others) else ():
+            good = (both > 0) & (100 * both >= percent * (sizes[some, None] + sizes[others] - both))
+            good &= (component[some, None] != component[others]) & (met[some, None] != met[others])
+            for x, partners in zip(some, good, strict=True):
+                partners = others[partners]
+                # one partner of each component is enough
+                for y in partners[np.unique(component[partners], return_index=True)[1]]:
+                    if component[y] != component[x]:
+                        found.append((min(doc[x], doc[y]), max(doc[x], doc[y])))
+                        component[component == component[y]] = component[x]
         ends = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
 
@@ -358,37 +424,53 @@ def components(links: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs."""
-    marked = stored(describe(docs, k, id_col, text_col), "dup-sets")
+    with temporary(docs.sparkSession):
+        rows, repeated = own_texts(docs, id_col, text_col)
+        marked = stored(describe(rows, k), "dup-sets", keep=True)
+        known = stored(labelled(marked, rows.filter("own").select("doc_id", "text"), repeated, k, percent), "dup-known", keep=True)
+    if not repeated:
+        return marked.join(known, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    # where ids repeat, rows go by their id's own text
+    own = marked.filter("own and doc_id is not null").select("doc_id", "digest").distinct().join(known, "digest").select("doc_id", "component")
+    named = marked.select("doc_id", "n_shingles").filter("doc_id is not null").join(own, "doc_id", "left")
+    nameless = marked.filter("doc_id is null").join(known, "digest", "left")
+    return named.unionByName(nameless.select(*named.columns)).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def labelled(marked: DataFrame, texts: DataFrame, repeated: bool, k: int, percent: int) -> DataFrame:
+    """(digest, component) of the classes of several documents or with links; the rest stand alone."""
     # classes of equal sets: the smallest id stands for all
-    heads = marked.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("head"), F.count("*").alias("n"))
-    heads = stored(heads, "dup-heads")
-    classes = stored(heads.join(marked.select("doc_id", "digest", "n_shingles", "sketch", "signature").dropDuplicates(["doc_id", "digest"]), (heads["head"] == F.col("doc_id")) & (heads["digest"] == marked["digest"])).select("doc_id", "n_shingles", "sketch", "signature"), "dup-classes")
+    named = marked.filter("own and digest is not null and doc_id is not null")
+    heads = stored(named.groupBy("digest").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")), "dup-heads")
+    alike = named.select("doc_id", "digest", "n_shingles", "sketch", "signature")
+    alike = alike.dropDuplicates(["doc_id"]) if repeated else alike
+    classes = stored(alike.join(heads.select(F.col("head").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", "sketch", "signature"), "dup-classes")
     pairs, crowded = candidates(classes, percent / 100)
-    # a class is the text of its head; ids of several rows keep the row whose set is the class's
-    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
     needed = needed if crowded is None else needed.unionByName(crowded.select("doc_id"))  # pivots are rows of their nodes
-    needed = needed.distinct()
-    texts = texts.join(stored(needed, "dup-needed"), "doc_id", "left_semi")
+    texts = texts.join(stored(needed.distinct(), "dup-needed"), "doc_id", "left_semi")
+    texts = texts.dropDuplicates(["doc_id", "text"]) if repeated else texts
     # each class's likeliest partner first; what then lies in one component needs no look
     best = pairs.groupBy("b").agg(F.max(F.struct("agree", F.col("a").alias("with"))).alias("m")).select(F.col("m.with").alias("a"), "b")
     best = stored(best, "dup-best")
     first = stored(confirmed(best, texts, k, percent), "dup-confirmed")
     labels = components(first)
     apart = between(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), labels)
-    second = stored(confirmed(apart, texts, k, percent), "dup-confirmed")
-    labels = components(first.unionByName(second))
+    links = first.unionByName(stored(confirmed(apart, texts, k, percent), "dup-confirmed"))
+    labels = components(links)
     if crowded is not None:
-        labels = settle(crowded, classes, first.unionByName(second), labels, texts, k, percent)
-    named = heads.filter("n > 1").select("digest", "head")
-    # only classes of several documents or with links are looked up; the rest stand alone
+        labels = settle(crowded, classes, links, labels, texts, k, percent)
     linked = labels.join(heads.select(F.col("head").alias("doc_id"), "digest"), "doc_id").select("digest", "component")
-    known = stored(named.join(linked, "digest", "full").select("digest", F.coalesce("component", "head").alias("component")), "dup-known")
-    return marked.select("doc_id", "n_shingles", "digest").join(known, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return heads.filter("n > 1").select("digest", "head").join(linked, "digest", "full").select("digest", F.coalesce("component", "head").alias("component"))
 
 
 def dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that are their component's smallest id, one row of each id; rows without id stay."""
-    kept = link(docs, k, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null"))
+    """The rows of docs that are their component's smallest id, one row of each id, that of the smallest text; rows without id stay."""
+    kept = stored(link(docs, k, percent).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).withColumnsRenamed({"doc_id": "__kept", "n": "__n"}), "dup-kept")
+    once = docs.join(kept.filter("__n = 1"), docs["doc_id"] == kept["__kept"], "left_semi")
+    nameless = docs.filter("doc_id is null")
+    if kept.filter("__n > 1").isEmpty():
+        return once.unionByName(nameless)
+    order = Window.partitionBy("doc_id").orderBy(*(F.col(f"`{c}`").cast("string").asc_nulls_first() for c in dict.fromkeys(["text", *docs.columns])))
+    several = docs.join(kept.filter("__n > 1"), docs["doc_id"] == kept["__kept"], "left_semi").withColumn("__place", F.row_number().over(order)).filter("__place = 1").drop("__place")
+    return once.unionByName(several).unionByName(nameless)
