@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kinespark.llm.common import ragged, span_hashes, text_or_empty, text_slices
+from kinespark.llm.common import ragged, same_spans, span_hashes, text_or_empty, text_slices
 
 #: White space as the tokenizer libraries' patterns see it (Unicode White_Space). Fixed values.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -42,6 +42,8 @@ class Transducer:
     """The deterministic transducer of one rank table, built as bytes come."""
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000):
+        if missing := [k for k in range(256) if bytes([k]) not in ranks]:
+            raise ValueError(f"a rank table needs all 256 single bytes; {len(missing)} are missing, the first is {missing[0]:#04x}")
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.halves: dict[int, tuple[int, int] | None] = {}
@@ -163,16 +165,19 @@ class Transducer:
 class PieceEncoder:
     """Ids of texts from the ids of their distinct pieces: white space and the run of non-spaces after it.
 
-    encode_pieces turns strings to lists of ids. The table of pieces seen is bounded: beyond `limit` it starts anew.
+    encode_pieces turns strings to lists of ids. Pieces are looked up by hash and their bytes compared; one that shares its
+    hash with another is encoded by itself. The table of pieces seen is bounded: beyond `limit` it starts anew. Without
+    `cuts` a text is one piece.
     """
 
-    def __init__(self, encode_pieces: Callable[[list[str]], list[list[int]]], limit: int = 1_500_000):
-        self.encode_pieces, self.limit = encode_pieces, limit
+    def __init__(self, encode_pieces: Callable[[list[str]], list[list[int]]], limit: int = 1_500_000, cuts: bool = True):
+        self.encode_pieces, self.limit, self.cuts = encode_pieces, limit, cuts
         self.forget()
 
     def forget(self) -> None:
         self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.int32)
+        self.text_at, self.text_n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.text = np.zeros(0, np.int32), np.zeros(0, np.uint8)
 
     @staticmethod
     def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,9 +197,15 @@ class PieceEncoder:
         at = np.flatnonzero(cut)
         return at, np.searchsorted(at, offsets)
 
+    def made(self, raw: bytes, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of these pieces, and how many each has."""
+        ids = self.encode_pieces([raw[a : a + n].decode() for a, n in zip(starts.tolist(), lens.tolist(), strict=True)])
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((x for part in ids for x in part), np.int32, int(n.sum())), n
+
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and n + 1 bounds of the rows in them."""
-        starts, rows = self.pieces(data, offsets)
+        starts, rows = self.pieces(data, offsets) if self.cuts else (offsets[:-1], np.arange(len(offsets)))
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         lens = np.diff(np.append(starts, len(data)))
@@ -205,17 +216,25 @@ class PieceEncoder:
             if len(self.keys) + len(new) > self.limit:
                 self.forget()
                 new = np.arange(len(keys))
-            raw = data.tobytes()
-            made = self.encode_pieces([raw[starts[k] : starts[k] + lens[k]].decode() for k in first[new]])
-            n = np.fromiter(map(len, made), np.int64, len(made))
-            begin = len(self.ids) + np.cumsum(n) - n
-            self.ids = np.concatenate([self.ids, np.fromiter((x for ids in made for x in ids), np.int32, int(n.sum()))])
+            n_text = lens[first[new]]
+            ids, n = self.made(data.tobytes(), starts[first[new]], n_text)
+            begin, text_at = len(self.ids) + np.cumsum(n) - n, len(self.text) + np.cumsum(n_text) - n_text
+            self.ids, self.text = np.concatenate([self.ids, ids]), np.concatenate([self.text, data[ragged(starts[first[new]], n_text)]])
             to = np.searchsorted(self.keys, keys[new])
             self.keys, self.at, self.n = np.insert(self.keys, to, keys[new]), np.insert(self.at, to, begin), np.insert(self.n, to, n)
+            self.text_at, self.text_n = np.insert(self.text_at, to, text_at), np.insert(self.text_n, to, n_text)
             at = np.searchsorted(self.keys, keys)
         here = at[which]
-        count = self.n[here]
-        return self.ids[ragged(self.at[here], count)], np.concatenate([[0], np.cumsum(count)])[rows]
+        begin, count, ids = self.at[here], self.n[here], self.ids
+        # equal hashes of equal lengths up to 8 bytes are equal bytes (the hash is one to one there); longer ones are compared
+        other = self.text_n[here] != lens
+        long = np.flatnonzero((lens > 8) & ~other)
+        other[long] = ~same_spans(data, starts[long], self.text, self.text_at[here[long]], lens[long])
+        if other.any():
+            apart, n = self.made(data.tobytes(), starts[other], lens[other])
+            begin[other], count[other] = len(ids) + np.cumsum(n) - n, n
+            ids = np.concatenate([ids, apart])
+        return ids[ragged(begin, count)], np.concatenate([[0], np.cumsum(count)])[rows]
 
 
 class Utf8Stream:

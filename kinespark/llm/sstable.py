@@ -23,10 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from kinespark.llm.bpe import PieceEncoder
 from kinespark.llm.common import scratch, stored, text_or_empty, text_slices
@@ -68,7 +70,8 @@ def read_varint(data: bytes, at: int) -> tuple[int, int]:
 
 
 def bloom_places(key: bytes, hashes: int, bits: int) -> list[int]:
-    a, b = zlib.crc32(key), zlib.crc32(key, 0x9747B28C) | 1
+    a, b = divmod(xxhash.xxh3_128_intdigest(key), 1 << 64)  # two independent halves
+    b |= 1
     return [(a + k * b) % bits for k in range(hashes)]
 
 
@@ -175,17 +178,22 @@ class Reader:
         return found
 
 
-_CODERS: dict[str, PieceEncoder] = {}
+_CODERS: dict[tuple[str, bool], PieceEncoder] = {}
 
 
-def coder(path: str) -> PieceEncoder:
-    if path not in _CODERS:
+def coder(path: str, special_as_text: bool = False) -> PieceEncoder:
+    """The library's ids of a text's pieces. Special tokens' strings are their tokens, or ordinary text if asked for.
+
+    Added tokens that take in white space around them can't be found in pieces; with such, texts are encoded whole.
+    """
+    if (path, special_as_text) not in _CODERS:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _CODERS[path] = PieceEncoder(lambda texts: [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)])
-    return _CODERS[path]
+        tokenizer.encode_special_tokens = special_as_text
+        wide = any(t.lstrip or t.rstrip or t.single_word or t.content.split() != [t.content] for t in tokenizer.get_added_tokens_decoder().values())
+        _CODERS[path, special_as_text] = PieceEncoder(lambda texts: [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)], cuts=not wide)
+    return _CODERS[path, special_as_text]
 
 
 def vocabulary(path: str) -> int:
@@ -193,10 +201,11 @@ def vocabulary(path: str) -> int:
         return max(json.load(f)["model"]["vocab"].values()) + 1
 
 
-def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, special_as_text: bool = False) -> DataFrame:
     """Encode the texts and write the shards under folder; returns the manifest (shard, path, n_docs, n_ids).
 
-    Texts are range-partitioned by id and sorted within partitions. A single text moves once.
+    Texts are range-partitioned by id and sorted within partitions; rows of one id (or none) are also cut by their texts'
+    beginnings. A single text moves once.
     """
     spark = docs.sparkSession
     folder = folder or scratch(spark, "sst")
@@ -204,7 +213,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, id_
     width = 2 if vocabulary(tokenizer) <= 1 << 16 else 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context, writer, encode = TaskContext.get(), None, coder(tokenizer)
+        context, writer, encode = TaskContext.get(), None, coder(tokenizer, special_as_text)
         shard = context.partitionId()
         fs, root = filesystem(folder)
         draft, final = f"{root}/.{shard}-{context.taskAttemptId()}", f"{root}/{shard:08d}.sst"
@@ -222,7 +231,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, id_
             fs.move(draft, final)
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [f"{folder}/{shard:08d}.sst"], "n_docs": [writer.entries], "n_ids": [writer.ids]})
 
-    ordered = docs.select(docs[id_col].cast("long").alias("__id"), text_or_empty(text_col).alias("__text")).repartitionByRange("__id").sortWithinPartitions("__id", "__text")
+    ordered = docs.select(docs[id_col].cast("long").alias("__id"), text_or_empty(text_col).alias("__text")).repartitionByRange("__id", F.substring("__text", 1, 64)).sortWithinPartitions("__id", "__text")
     return stored(ordered.mapInArrow(run, "shard long, path string, n_docs long, n_ids long"), "sst-manifest")
 
 

@@ -21,7 +21,7 @@ from kinespark.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 MULTI = P.path("byte_bpe_multi_50k.tiktoken")
-EDGE = [None, "", " ", "\n\t", "a", "The cat sat on the mat. " * 4, "The cat sat on the mat. " * 4, "naïve café ＡＢＣ  x", "日本語　テスト 😀", "x" * 30_000, "w " * 20_000, "don't  we'll\x1c\x85 ok\r\n"]
+EDGE = [None, "", " ", "\n\t", "a", "The cat sat on the mat. " * 4, "The cat sat on the mat. " * 4, "naïve café ＡＢＣ  x", "日本語　テスト 😀", "x" * 30_000, "w " * 20_000, "don't  we'll\x1c\x85 ok\r\n", "x <|endoftext|> y<|endoftext|>  <|endoftext|>\n"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, node string, a int"
 
 
@@ -55,6 +55,26 @@ def test_bpe_equals_tiktoken_and_decodes(docs, edge, empty):
     assert bpe.round_trip(empty, MULTI, P.PATTERN).count() == 0
 
 
+def test_pieces_of_equal_hash_are_told_apart(monkeypatch):
+    """With a hash that knows lengths alone, nearly all pieces collide; the ids stay right."""
+    monkeypatch.setattr(bpe, "span_hashes", lambda data, starts, lens: np.minimum(lens, 9).astype(np.uint64) + np.where(lens <= 8, bpe_hashes(data, starts, lens), 0).astype(np.uint64))
+    encoder, texts = bpe.PieceEncoder(lambda pieces: [[sum(p.encode()), len(p)] for p in pieces]), ["abcdefghijk lmnopqrstuv", "abcdefghijl lmnopqrstuw short", "abcdefghijk"]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    bounds = np.cumsum([0, *map(len, texts)])
+    for _ in range(2):  # the second time from the table
+        ids, rows = encoder(raw, bounds)
+        want = [[x for piece in re.findall(r"\s*\S+", t) for x in (sum(piece.encode()), len(piece))] for t in texts]
+        assert [ids[a:b].tolist() for a, b in zip(rows, rows[1:], strict=False)] == want
+
+
+bpe_hashes = bpe.span_hashes
+
+
+def test_rank_tables_need_all_bytes():
+    with pytest.raises(ValueError, match="256 single bytes"):
+        bpe.Transducer({b"a": 0, b"b": 1, b"ab": 2})
+
+
 def test_transducer_on_random_bytes():
     import tiktoken
 
