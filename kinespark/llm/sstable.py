@@ -25,22 +25,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinespark.llm.bpe import PieceEncoder
-from kinespark.llm.common import scratch, stored, text_or_empty, text_slices
+from kinespark.llm.common import filesystem, scratch, stored, text_or_empty, text_slices
 
 BLOCK_BYTES, RESTART, MAGIC = 64 << 10, 16, b"KSSTTOK1"
 FOOTER = struct.Struct("<QQQQQQBB6x8s")
 
 
-def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1) if uri.startswith("file:") else f"file://{uri}")
-
-
 def key_of(doc_id: int | None) -> bytes:
     return b"" if doc_id is None else struct.pack(">Q", doc_id + (1 << 63))
 

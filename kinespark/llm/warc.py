@@ -27,8 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinespark.llm.common import n_partitions, scratch, stored
-from kinespark.llm.sstable import filesystem
+from kinespark.llm.common import filesystem, n_partitions, scratch, stored
 
 MIN_REVISIT, PACKAGE_BYTES, RANGE_BYTES = 1000, 256 << 20, 8 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
