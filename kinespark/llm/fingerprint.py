@@ -1,8 +1,9 @@
 """Canonical exact fingerprints: Unicode normalisation, case and white-space folding, then a 128-bit xxhash.
 
 canonical() is NFKC, casefold, NFKC again, runs of white space as one space, none at the ends. Texts with equal
-canonical forms have equal fingerprints. exact_groups() groups by fingerprint and compares the canonical bytes of each
-document with those of its bucket's first, so a collision of hashes joins nothing.
+canonical forms have equal fingerprints. exact_groups() and edits() group by fingerprint and compare the canonical bytes of
+each document with those of its bucket's first, so a collision of hashes joins nothing. Fingerprints alone tell which
+documents share a bucket; only these bring their canonical bytes to the comparison.
 
 Defined results: a null text counts as empty; all empty texts have one fingerprint; repeated rows are separate
 documents; ids may repeat or be null (null first), ties of the order are settled by text.
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinespark.llm.common import n_partitions, text_or_empty, text_slices
+from kinespark.llm.common import n_partitions, stored, text_or_empty, text_slices
 
 #: Up to so many range bounds are compared in one expression.
 MANY_CUTS = 1000
@@ -38,41 +39,54 @@ def digest(form: str) -> str:
     return xxhash.xxh3_128_hexdigest(form.encode())
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint, canonical) of every whole text."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", forms: bool = True) -> DataFrame:
+    """(id, fingerprint, canonical) of every whole text; canonical is null unless forms are asked for."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _, _ in text_slices(batches, "__text"):
-            forms = [canonical(t) for t in part.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("__id"), pa.array([digest(f) for f in forms], pa.string()), pa.array(forms, pa.string())], names=["id", "fingerprint", "canonical"])
+            made = [canonical(t) for t in part.column("__text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("__id"), pa.array([digest(f) for f in made], pa.string()), pa.array(made if forms else [None] * len(made), pa.string())], names=["id", "fingerprint", "canonical"])
 
     return docs.select(docs[id_col].alias("__id"), text_or_empty(text_col).alias("__text")).mapInArrow(run, f"id {kind}, fingerprint string, canonical string").withColumnRenamed("id", id_col)
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint, group_id, n_copies): group_id is the smallest id with the same canonical bytes.
+def shared_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id) of the documents whose fingerprint another row has too, written; no text is moved."""
+    prints = stored(fingerprints(docs, id_col, text_col, forms=False).select(id_col, "fingerprint"), "prints")
+    shared = prints.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1").select("fingerprint")
+    return stored(prints.join(shared, "fingerprint").select(id_col).distinct(), "prints-shared")
+
+
+def in_groups(marked: DataFrame, id_col: str) -> DataFrame:
+    """marked's columns but canonical, and group_id, n_copies: group_id is the smallest id with the same canonical bytes.
 
     Buckets are pre-aggregated to a first id and its form, so a bucket with a third of all rows sends a row a task; the
     join back is one that Spark splits where a bucket is large. Rows whose bytes differ from the first's (a collision) are
-    grouped by the bytes themselves.
+    grouped by the bytes themselves. Rows without a canonical form are known to be alone.
     """
-    marked = fingerprints(docs, id_col, text_col)
-    first = marked.groupBy("fingerprint").agg(F.count("*").alias("__n"), F.min(F.struct(F.col(id_col).alias("i"), F.col("canonical").alias("c"))).alias("__first")).filter("__n > 1")
-    joined = marked.join(first.repartition(n_partitions(docs), "fingerprint"), "fingerprint", "left")
+    others = [c for c in marked.columns if c != "canonical"]
+    several, alone = marked.filter("canonical is not null"), marked.filter("canonical is null").select(*others)
+    first = several.groupBy("fingerprint").agg(F.count("*").alias("__n"), F.min(F.struct(F.col(id_col).alias("i"), F.col("canonical").alias("c"))).alias("__first")).filter("__n > 1")
+    joined = several.join(first.withColumnRenamed("fingerprint", "__f"), F.col("fingerprint") == F.col("__f"), "left")
     same = F.col("__n").isNull() | (F.col("canonical") == F.col("__first.c"))
-    settled = joined.filter(same).select(id_col, "fingerprint", F.when(F.col("__n").isNull(), F.col(id_col)).otherwise(F.col("__first.i")).alias("group_id"))
-    odd = joined.filter(~same).select(id_col, "fingerprint", "canonical")
-    apart = odd.withColumn("group_id", F.min(id_col).over(Window.partitionBy("fingerprint", "canonical"))).drop("canonical")
-    grouped = settled.unionByName(apart)
+    settled = joined.filter(same).select(*others, F.when(F.col("__n").isNull(), F.col(id_col)).otherwise(F.col("__first.i")).alias("group_id"))
+    apart = joined.filter(~same).select(*others, F.min(id_col).over(Window.partitionBy("fingerprint", "canonical")).alias("group_id"))
+    grouped = stored(settled.unionByName(apart), "print-groups")
     sizes = grouped.groupBy(F.col("fingerprint").alias("__f"), F.col("group_id").alias("__g")).agg(F.count("*").alias("n_copies"))
-    return grouped.join(sizes, (F.col("fingerprint") == F.col("__f")) & F.col("group_id").eqNullSafe(F.col("__g"))).select(id_col, "fingerprint", "group_id", "n_copies")
+    counted = grouped.join(sizes, (F.col("fingerprint") == F.col("__f")) & F.col("group_id").eqNullSafe(F.col("__g"))).drop("__f", "__g")
+    return counted.unionByName(alone.select(*others, F.col(id_col).alias("group_id"), F.lit(1).cast("long").alias("n_copies")))
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fingerprint, group_id, n_copies) of every document."""
+    return in_groups(fingerprints(docs, id_col, text_col), id_col)
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, next_text): the text of the next document by ascending id; after the last, the first.
+def with_next(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, next_text, marked): the text of the next document by ascending id; after the last, the first.
 
-    Ids are cut into ranges by quantiles, a bounded list. The first document of each range is also sent to the range
+    marked tells whether marks (id) holds the id, or there is none; marks come as rows beside the texts, which so stay put. Ids are cut into ranges by quantiles, a bounded list. The first document of each range is also sent to the range
     before it, so each range is windowed by itself and every text moves once.
     """
     base = docs.select(docs[id_col].cast("long").alias("__id"), text_or_empty(text_col).alias("__text"))
@@ -83,7 +97,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     heads = sorted((r["__range"], r["h"]) for r in ranged.groupBy("__range").agg(F.min("__id").alias("h")).collect())
     order = [F.col("__range"), F.col("__id").asc_nulls_first(), F.col("__text")]
     if not heads:
-        return base.select(F.col("__id").alias(id_col), F.col("__text").alias("text"), F.col("__text").alias("next_text"))
+        return base.select(F.col("__id").alias(id_col), F.col("__text").alias("text"), F.col("__text").alias("next_text"), F.lit(False).alias("marked"))
     before = {heads[(k + 1) % len(heads)][0]: r for k, (r, _) in enumerate(heads)}
     # the smallest (id, text) of each range: a min by range that every task pre-aggregates
     spark = docs.sparkSession
@@ -92,8 +106,12 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     to = spark.createDataFrame([(k, v, v == heads[-1][0]) for k, v in before.items()], "__range int, __to int, __wraps boolean")
     copies = firsts.join(F.broadcast(to), "__range").select(F.lit(None).cast("long").alias("__id"), "__text", F.col("__to").alias("__range"), F.lit(1).alias("__copy"))
     rows = ranged.withColumn("__copy", F.lit(0)).unionByName(copies)
-    window = Window.partitionBy("__range").orderBy("__copy", *order[1:])
-    return rows.withColumn("next_text", F.lead("__text").over(window)).filter("__copy = 0").select(F.col("__id").alias(id_col), F.col("__text").alias("text"), "next_text")
+    ids = marks.select(marks[id_col].cast("long").alias("__id")).filter("__id is not null")
+    rows = rows.unionByName(ids.select("__id", F.lit(None).cast("string").alias("__text"), place(cuts, F.col("__id")).alias("__range"), F.lit(2).alias("__copy")))
+    follow = Window.partitionBy("__range").orderBy("__copy", *order[1:])
+    marked = F.col("__id").isNull() | (F.max("__copy").over(Window.partitionBy("__range", "__id")) == 2)
+    rows = rows.withColumn("next_text", F.lead("__text").over(follow)).withColumn("marked", marked)
+    return rows.filter("__copy = 0").select(F.col("__id").alias(id_col), F.col("__text").alias("text"), "next_text", "marked")
 
 
 def place(cuts: list[int], value: Column) -> Column:
@@ -119,22 +137,28 @@ def likeness(a: str, b: str, form_a: str, form_b: str) -> float:
 
 
 def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = 4) -> DataFrame:
-    """Fingerprints of every text, of its edited text and of the next text.
+    """Fingerprints of every text, of its edited text and of the next text, and the text's group of exact copies.
 
     The edited text has its last floor(n / part) code points replaced by the first as many of the next document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, _, _ in text_slices(batches):
-            found = []
-            for text, following in zip(rows.column("text").to_pylist(), rows.column("next_text").to_pylist(), strict=True):
+            found, texts = [], rows.column("text").to_pylist()
+            forms = [canonical(t) for t in texts]
+            prints = [digest(f) for f in forms]
+            for at, (text, following, marked) in enumerate(zip(texts, rows.column("next_text").to_pylist(), rows.column("marked").to_pylist(), strict=True)):
                 k = len(text) // part
                 edited = text[: len(text) - k] + following[:k]
-                forms = canonical(text), canonical(edited), canonical(following)
-                own, other, after = map(digest, forms)
-                found.append((len(text), hashlib.sha256(edited.encode()).hexdigest(), own, other, likeness(own, other, forms[0], forms[1]), likeness(own, after, forms[0], forms[2])))
+                form = canonical(edited)
+                # the next text is the next row's but at a slice's end
+                known = at + 1 < len(texts) and texts[at + 1] == following
+                after = (prints[at + 1], forms[at + 1]) if known else (digest(f := canonical(following)), f)
+                own, other = prints[at], digest(form)
+                found.append((len(text), hashlib.sha256(edited.encode()).hexdigest(), own, other, forms[at] if marked else None, likeness(own, other, forms[at], form), likeness(own, after[0], forms[at], after[1])))
             columns = list(zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([rows.column(id_col).cast(pa.int64()), pa.array(columns[0], pa.int64()), *(pa.array(c, pa.string()) for c in columns[1:4]), *(pa.array(c, pa.float64()) for c in columns[4:])], names=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            yield pa.RecordBatch.from_arrays([rows.column(id_col).cast(pa.int64()), pa.array(columns[0], pa.int64()), *(pa.array(c, pa.string()) for c in columns[1:5]), *(pa.array(c, pa.float64()) for c in columns[5:])], names=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "canonical", "near_edited", "near_next"])
 
-    paired = with_next(docs, id_col, text_col)
-    return paired.mapInArrow(run, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").withColumnRenamed("id", id_col)
+    paired = with_next(docs, shared_ids(docs, id_col, text_col), id_col, text_col)
+    made = paired.mapInArrow(run, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, canonical string, near_edited double, near_next double").withColumnRenamed("id", id_col)
+    return in_groups(stored(made, "edits"), id_col)

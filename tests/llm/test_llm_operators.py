@@ -161,11 +161,21 @@ def test_fingerprints(docs, edge, empty):
             want.append((str(i), len(t), hashlib.sha256(edited.encode()).hexdigest(), float(own == fingerprint.canonical(edited)), float(own == fingerprint.canonical(following))))
         got = [(str(r.doc_id), r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in fingerprint.edits(table).collect()]
         assert sorted(got) == sorted(want)
+        forms = [fingerprint.canonical(t) for _, t in rows]
+        groups = sorted((str(i), str(min((i for (i, _), g in zip(rows, forms, strict=True) if g == f), key=lambda i: (i is not None, i))), forms.count(f)) for (i, _), f in zip(rows, forms, strict=True))
+        assert sorted((str(r.doc_id), str(r.group_id), r.n_copies) for r in fingerprint.edits(table).collect()) == groups
     groups = {r.doc_id: (r.group_id, r.n_copies) for r in fingerprint.exact_groups(edge).collect() if r.doc_id is not None}
     assert groups[6] == (5, 3) and groups[1] == (0, 4) and groups[4] == (4, 1)
     assert fingerprint.edits(empty).count() == 0 and fingerprint.exact_groups(empty).count() == 0
 
 
+def test_fingerprints_that_collide_are_told_apart(edge):
+    """Rows of one bucket with other bytes are grouped by the bytes."""
+    forms = fingerprint.fingerprints(edge.filter("doc_id is not null")).withColumn("fingerprint", F.lit("one bucket"))
+    groups = {r.doc_id: (r.group_id, r.n_copies) for r in fingerprint.in_groups(forms, "doc_id").collect()}
+    assert groups[6] == (5, 3) and groups[1] == (0, 4) and groups[4] == (4, 1)
+
+
 def shingle_set(text, k):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
     return set() if not words else {tuple(words)} if len(words) < k else set(zip(*(words[j:] for j in range(k)), strict=False))
