@@ -1,7 +1,8 @@
 """Signature sniffing in media columns: find magic bytes, confirm structure, correct types, carve what is embedded.
 
-One Aho-Corasick automaton looks for all signatures in one pass over a blob. At each hit a validator of that format walks
-the structure (chunks, boxes, blocks, pages) and returns the length it vouches for, or nothing. A valid object at the
+One Aho-Corasick automaton looks for all signatures in one pass over a blob, and for the marks that end PDF and ZIP files.
+At each hit a validator of that format walks the structure (chunks, boxes, blocks, pages) and returns the length it vouches
+for, or nothing; the hits of formats that end in a mark are paired with the marks found, so no hit searches the rest again. A valid object at the
 blob's start gives the blob's true type, whatever was declared; valid objects elsewhere are embedded media.
 
 The WAVE functions store a payload as 8-bit mono samples and read it back.
@@ -15,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -170,31 +172,38 @@ def mp4_length(b: bytes, at: int) -> int | None:
     return x - at if names[:1] == [b"ftyp"] and {b"moov", b"moof", b"meta"} & set(names) else None
 
 
-def pdf_length(b: bytes, at: int) -> int | None:
-    if not b[at + 5 : at + 6].isdigit() or (start := b.find(b"startxref", at)) < 0:
+def pdf_length(b: bytes, at: int, marks: dict[str, list[int]]) -> int | None:
+    """To the first end mark after the first startxref."""
+    starts, ends = marks["startxref"], marks["%%EOF"]
+    if not b[at + 5 : at + 6].isdigit() or (k := bisect_left(starts, at)) == len(starts):
         return None
-    end = b.find(b"%%EOF", start)
-    return end + 5 - at if end >= 0 else None
+    k = bisect_left(ends, starts[k])
+    return ends[k] + 5 - at if k < len(ends) else None
 
 
-def zip_length(b: bytes, at: int) -> int | None:
-    end = at
-    while (end := b.find(b"PK\x05\x06", end)) >= 0 and end + 22 <= len(b):
-        n, directory, n_comment = struct.unpack_from("<I I H".replace(" ", ""), b, end + 12)
-        if directory + n == end - at and b[at + directory : at + directory + 4] in (b"PK\x01\x02", b"PK\x05\x06"):
-            return min(end + 22 + n_comment, len(b)) - at
-        end += 4
-    return None
+def zip_ends(b: bytes, ends: list[int]) -> dict[int, int]:
+    """Where archives begin, by their end records (the first of each), and where they end."""
+    found: dict[int, int] = {}
+    for end in ends:
+        if end + 22 <= len(b):
+            n, directory, n_comment = struct.unpack_from("<IIH", b, end + 12)
+            at = end - n - directory
+            if at >= 0 and b[at + directory : at + directory + 4] in (b"PK\x01\x02", b"PK\x05\x06"):
+                found.setdefault(at, min(end + 22 + n_comment, len(b)))
+    return found
 
 
 def gzip_length(b: bytes, at: int) -> int | None:
+    """By inflating, without keeping what comes out."""
     if at + 18 > len(b) or b[at + 3] & 0xE0:
         return None
-    unpack, x = zlib.decompressobj(31), at
+    unpack, x, rest = zlib.decompressobj(31), at, b""
     try:
-        while x < len(b) and not unpack.eof:
-            unpack.decompress(b[x : x + 65536])
-            x += 65536
+        while not unpack.eof and (rest or x < len(b)):
+            if not rest:
+                rest, x = b[x : x + 65536], x + 65536
+            unpack.decompress(rest, 1 << 20)
+            rest = unpack.unconsumed_tail
     except zlib.error:
         return None
     return min(x, len(b)) - len(unpack.unused_data) - at if unpack.eof else None
@@ -202,8 +211,10 @@ def gzip_length(b: bytes, at: int) -> int | None:
 
 VALIDATORS: dict[str, Callable[[bytes, int], int | None]] = {
     "png": png_length, "jpeg": jpeg_length, "gif": gif_length, "bmp": bmp_length, "riff": riff_length, "flac": flac_length,
-    "ogg": ogg_length, "mp4": mp4_length, "pdf": pdf_length, "zip": zip_length, "gzip": gzip_length,
+    "ogg": ogg_length, "mp4": mp4_length, "gzip": gzip_length,
 }
+#: What ends a PDF or ZIP file. Fixed values.
+MARKS = (("startxref", b"startxref"), ("%%EOF", b"%%EOF"), ("zip end", b"PK\x05\x06"))
 _AUTOMATON: list = []
 
 
@@ -215,17 +226,34 @@ def automaton():
         found = ahocorasick.Automaton()
         for name, _, magic, inside in SIGNATURES:
             found.add_word(magic.decode("latin-1"), (name, len(magic) - 1 + inside))
+        for name, mark in MARKS:
+            found.add_word(mark.decode("latin-1"), (name, len(mark) - 1))
         found.make_automaton()
         _AUTOMATON.append(found)
     return _AUTOMATON[0]
 
 
 def findings(blob: bytes) -> list[tuple[str, int, int]]:
-    """(format, offset, length) of every valid object, outermost first; what lies in an object is found as well."""
-    found = []
+    """(format, offset, length) of every valid object, outermost first; what lies in an object is found as well, but for
+    gzip inside gzip, whose bytes are compressed."""
+    hits, marks = [], {name: [] for name, _ in MARKS}
     for end, (name, back) in automaton().iter(blob.decode("latin-1")):
-        at = end - back
-        if at >= 0 and (n := VALIDATORS[name](blob, at)) is not None:
+        if name in marks:
+            marks[name].append(end - back)
+        elif end >= back:
+            hits.append((name, end - back))
+    archives, packed_to, found = zip_ends(blob, marks["zip end"]), 0, []
+    for name, at in hits:
+        if name == "pdf":
+            n = pdf_length(blob, at, marks)
+        elif name == "zip":
+            n = archives[at] - at if at in archives else None
+        elif name == "gzip":
+            n = gzip_length(blob, at) if at >= packed_to else None
+            packed_to = at + n if n else packed_to
+        else:
+            n = VALIDATORS[name](blob, at)
+        if n is not None:
             found.append((RIFF_TYPES[blob[at + 8 : at + 12]][0] if name == "riff" else name, at, n))
     return sorted(found, key=lambda f: (f[1], -f[2]))
 

@@ -325,7 +325,11 @@ def test_media(edge, empty):
         text = next((t or "") for i, t in [*enumerate(EDGE), (None, "no id here")] if i == r.doc_id).encode()
         payload = text + b" " * (max(192, -(-len(text) // 192) * 192) - len(text))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.corrected_type) == (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), "audio/wav")
-        assert r.media_bytes == len(payload) + 44
+        media_file = b"RIFF" + struct.pack("<I", 36 + len(payload)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 8000, 1, 8) + b"data" + struct.pack("<I", len(payload)) + payload
+        assert (r.media_bytes, r.media_sha256) == (len(media_file), hashlib.sha256(media_file).hexdigest())
+        level = [x - 128 for x in payload]
+        crossings = sum((a < 0) != (b < 0) for a, b in itertools.pairwise(level))
+        assert r.feature == f"audio/wav;1ch;8000Hz;8bit;mean={sum(level) / len(level):.6f};rms={math.sqrt(sum(x * x for x in level) / len(level)):.6f};crossings={crossings};embedded=0"
     assert media.audio_features(media.store_texts(empty)).count() == 0
 
 
@@ -352,6 +356,33 @@ def test_sniffing(spark):
     assert got[3].corrected == "x" and got[3].format is None and got[4].corrected is None and got[5].format is None
 
 
+def test_sniffing_is_linear_in_long_texts():
+    """5 MB of beginnings, with and without an end: each hit is paired with its mark, none searches the rest."""
+    import time
+
+    begun = time.monotonic()
+    assert media.findings(b"%PDF-1" * 800_000) == [] and media.findings(b"PK\x03\x04" * 1_200_000) == []
+    found = media.findings(b"%PDF-1 " * 100_000 + b"startxref 1 %%EOF")
+    assert len(found) == 100_000 and found[0] == ("pdf", 0, 700_017) and found[-1] == ("pdf", 699_993, 24)
+    assert media.findings(b"\x1f\x8b\x08\x00" * 1_000_000) == []
+    assert time.monotonic() - begun < 60
+
+
+def test_sniffing_edges(spark):
+    """No rows, names that clash with the operator's own, equal rows, a long blob, a PDF and an archive among others."""
+    archive = io.BytesIO()
+    with zipfile.ZipFile(archive, "w") as z:
+        z.writestr("a.txt", "hello")
+    pdf = b"%PDF-1.4 body startxref 9 %%EOF"
+    blob = b"." * 3_000_000 + archive.getvalue() + pdf + archive.getvalue()
+    table = spark.createDataFrame([(1, blob, "x", "y"), (1, blob, "x", "y")], "id long, media binary, declared string, format string")
+    got = media.sniff(table, "id", "media", "declared").collect()
+    n = len(archive.getvalue())
+    want = [("zip", 3_000_000, n), ("pdf", 3_000_000 + n, len(pdf)), ("zip", 3_000_000 + n + len(pdf), n)]
+    assert sorted((r.format, r.offset, r.length) for r in got) == sorted(want * 2) and {r.corrected for r in got} == {"x"}
+    assert media.sniff(table.limit(0), "id", "media", "declared").count() == 0
+
+
 def test_warc(spark, empty):
     big = "<p>" + "y" * 1200
     rows = [(1, "http://a", big), (2, None, big), (3, "http://c", "small"), (4, "d", "small"), (5, "e", None), (None, "f", big), (2, "g", big), (6, "h\r\nx", "é" * 700)]
