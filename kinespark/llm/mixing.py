@@ -6,8 +6,9 @@ The mix is the documents of all sources in order of finish time until the budget
 their targets met, so the cut falls near 1 for all of them.
 
 Running totals are made in two steps, so that no source and no order needs one task: totals of buckets (of the shuffle
-hash within a source; of finish time over all), then a window inside each bucket. Shuffle order comes from md5 of the id
-and the text's hash, so reruns agree.
+hash within a source; of finish time over all), then a window inside each bucket. The range of finish time in which the
+budget ends is narrowed until it holds few rows. Shuffle order comes from md5 of the id and the text's hash, so reruns agree.
+What reaches the driver is a row a source and the totals of FINE ranges: a table of more than MAX_SOURCES sources is refused.
 
 Defined results: a null or empty text has size 0 and is never taken; a null source is a source of its own, the last;
 rows alike in id, text and source travel together; a table without words takes nothing. Other columns are kept by mix().
@@ -24,6 +25,10 @@ from kinespark.llm.common import stored
 BUCKET_ROWS = 4_000
 #: The table of sources is broadcast up to this many, else joined by shuffle.
 BROADCAST_SOURCES = 50_000
+#: A source column with more values than this is taken for a mistake.
+MAX_SOURCES = 1_000_000
+#: Ranges of finish time whose totals the driver sees at once.
+FINE = 1 << 12
 
 
 def n_words(text: str | Column) -> Column:
@@ -72,8 +77,10 @@ def schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     thin = docs.select(docs[id_col].alias("__id"), row_key(docs, text_col, source_col).alias("__row"), docs[source_col].cast("string").alias("__source"), n_words(docs[text_col].cast("string")).alias("__size"))
     thin = stored(thin.groupBy("__id", "__row", "__source", "__size").agg(F.count("*").alias("__twins")).withColumn("__words", F.col("__size") * F.col("__twins")), "mix-sizes")
     # what comes to the driver is a row a source
-    by_source = [(r["__source"], r["n"], r["rows"]) for r in thin.groupBy("__source").agg(F.sum("__words").alias("n"), F.count("*").alias("rows")).collect()]
-    target, rows = targets([(s, n) for s, n, _ in by_source], weights, max_repeat, share), sum(r for _, _, r in by_source)
+    by_source = [(r["__source"], r["n"], r["rows"]) for r in thin.groupBy("__source").agg(F.sum("__words").alias("n"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()]
+    if len(by_source) > MAX_SOURCES:
+        raise ValueError(f"{source_col} has more than {MAX_SOURCES} values")
+    target = targets([(s, n) for s, n, _ in by_source], weights, max_repeat, share)
     plan = spark.createDataFrame([(k, s, n, float(target[s]), max(1, -(-r // BUCKET_ROWS))) for k, (s, n, r) in enumerate(by_source)], "__no int, __s string, __source_size long, __target double, __buckets long")
     plan = F.broadcast(plan) if len(by_source) <= BROADCAST_SOURCES else plan
     # a fixed shuffle: order by 60 bits of md5, whose ranges are the buckets
@@ -85,29 +92,48 @@ def schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     turns = queued.filter("__words > 0 and __target > 0").withColumn("__turn", turn)
     turns = turns.withColumn("__finish", (F.col("__turn") * F.col("__source_size") + F.col("__sent")) / F.col("__target"))
     budget = round(share * sum(n for _, n, _ in by_source))
-    # totals of ranges of finish time tell in which range the budget ends; the last range takes all after time 2
-    fine = min(1 << 16, 16 * (rows // BUCKET_ROWS + 1))
-    turns = turns.withColumn("__range", F.least(F.floor(F.col("__finish") * fine), F.lit(2 * fine)))
-    spent, cut = 0, None
-    for r in sorted((r["__range"], r["n"]) for r in turns.groupBy("__range").agg(F.sum("__words").alias("n")).collect()):
-        if spent + r[1] > budget:
-            cut = r[0]
-            break
-        spent += r[1]
-    taken = turns.select("__id", "__row", "__source", "__turn", "__finish", "__words", "__range")
-    if cut is not None:
-        # of that range, the documents before the cut in exact order
-        in_range = Window.orderBy("__finish", F.col("__source").asc_nulls_last(), "__id", "__row", "__turn").rowsBetween(Window.unboundedPreceding, 0)
-        last = taken.filter(F.col("__range") == cut).withColumn("__spent", F.sum("__words").over(in_range) + F.lit(spent)).filter(F.col("__spent") <= budget).drop("__spent")
-        taken = taken.filter(F.col("__range") < cut).unionByName(last)
+    taken = before_cut(turns.select("__id", "__row", "__source", "__turn", "__finish", "__words"), budget)
     copies = taken.groupBy(F.col("__id").alias("__i"), F.col("__row").alias("__r"), F.col("__source").alias("__s")).agg(F.count("*").alias("__taken"))
     same = F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__row") == F.col("__r")) & F.col("__source").eqNullSafe(F.col("__s"))
     done = queued.join(copies, same, "left")
     return done.select(F.col("__id").alias(id_col), F.col("__row").alias("row_key"), F.col("__size").alias("size"), F.col("__twins").alias("twins"), F.col("__source").alias(source_col), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.coalesce("__taken", F.lit(0)).cast("long").alias("copies"))
 
 
+def before_cut(turns: DataFrame, budget: int, fine: int = FINE, few: int = BUCKET_ROWS) -> DataFrame:
+    """The turns, in order of finish time, until the budget is spent.
+
+    Totals of ranges of finish time tell in which range the budget ends; that range is cut again until few rows are left or
+    all of one time (a source has a time once, so these are no more than the sources). They are ordered exactly.
+    """
+    bounds = turns.agg(F.min("__finish"), F.max("__finish")).first()
+    if bounds[0] is None:
+        return turns
+    low, high, spent = bounds[0], bounds[1], 0
+    inside = turns
+    while True:
+        width = (high - low) / fine
+        step = F.least(F.floor((F.col("__finish") - F.lit(low)) / F.lit(width)), F.lit(fine - 1)) if width > 0 else F.lit(0)
+        ranges = inside.groupBy(step.cast("long").alias("k")).agg(F.sum("__words").alias("n"), F.count("*").alias("rows"), F.min("__finish").alias("low"), F.max("__finish").alias("high"))
+        cut = None
+        for r in sorted(ranges.collect()):
+            if spent + r["n"] > budget:
+                cut = r
+                break
+            spent += r["n"]
+        if cut is None:
+            return turns
+        low, high = cut["low"], cut["high"]
+        inside = turns.filter(F.col("__finish").between(low, high))
+        if cut["rows"] <= few or low == high:
+            break
+    in_range = Window.orderBy("__finish", F.col("__source").asc_nulls_last(), "__id", "__row", "__turn").rowsBetween(Window.unboundedPreceding, 0)
+    last = inside.withColumn("__spent", F.sum("__words").over(in_range) + F.lit(spent)).filter(F.col("__spent") <= budget).drop("__spent")
+    return turns.filter(F.col("__finish") < low).unionByName(last)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix itself: rows of docs, each as often as it is taken, with the columns of docs."""
-    taken = schedule(docs, id_col, text_col, source_col, **how).filter("copies > 0").select(F.col(id_col).alias("__i"), F.col("row_key").alias("__r"), "copies")
+    taken = schedule(docs, id_col, text_col, source_col, **how).filter("copies > 0")
+    taken = taken.select(F.col(id_col).alias("__i"), F.col("row_key").alias("__r"), F.sequence(F.lit(1), F.col("copies").cast("int")).alias("__copies"))
     same = docs[id_col].eqNullSafe(taken["__i"]) & (row_key(docs, text_col, source_col) == taken["__r"])
-    return docs.join(taken, same).withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return docs.join(taken, same).withColumn("__copy", F.explode("__copies")).select(*(docs[c] for c in docs.columns))

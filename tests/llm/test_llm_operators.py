@@ -143,6 +143,58 @@ def test_mixing(docs, edge, empty, spark):
     assert mixing.schedule(empty).count() == 0
 
 
+def brute_mix(rows, budget, max_repeat=3):
+    """Rows (id, key, source, size, twins, target, source_size) queue by md5; the earliest finish times are taken."""
+    queues, sent = {}, []
+    for i, key, source, size, twins, target, whole in rows:
+        place = int(hashlib.md5(":".join(str(x) for x in (i, key) if x is not None).encode()).hexdigest()[:15], 16)
+        queues.setdefault(source, []).append((place, i is not None, i or 0, key, size * twins, target, whole))
+    for source, queue in queues.items():
+        total = 0
+        for place, named, i, key, words, target, whole in sorted(queue):
+            total += words
+            if words and target > 0:
+                sent += [((turn * whole + total) / target, source is None, source or "", (named, i), key, turn, words) for turn in range(max_repeat)]
+    taken, spent = {}, 0
+    for _, _, source, (named, i), key, _, words in sorted(sent):
+        if spent + words > budget:
+            break
+        spent += words
+        taken[i if named else None, key] = taken.get((i if named else None, key), 0) + 1
+    return taken
+
+
+def test_mixing_equals_a_queue(docs, edge):
+    for table in (docs, edge):
+        done = mixing.schedule(table).collect()
+        rows = [(r.doc_id, r.row_key, r.source, r["size"], r.twins, r.target, r.source_size) for r in done]
+        want = brute_mix(rows, sum(r["size"] * r.twins for r in done))
+        assert {(r.doc_id, r.row_key): r.copies for r in done if r.copies} == want and want
+
+
+def test_mixing_cut_is_narrowed(spark):
+    """However the ranges are cut, the same turns are taken."""
+    rng = random.Random(2)
+    turns = spark.createDataFrame([(k, k, f"s{k % 5}", 0, rng.random() ** 3, rng.randrange(1, 50)) for k in range(3000)], "__id long, __row long, __source string, __turn int, __finish double, __words long")
+    spent, want = 0, set()
+    for r in sorted(turns.collect(), key=lambda r: r["__finish"]):
+        if (spent := spent + r["__words"]) > 20_000:
+            break
+        want.add(r["__id"])
+    for fine, few in ((2, 1), (7, 10), (4096, 4000)):
+        assert {r["__id"] for r in mixing.before_cut(turns, 20_000, fine, few).collect()} == want
+    assert mixing.before_cut(turns, 10**9).count() == 3000 and mixing.before_cut(turns, 0).count() == 0
+
+
+def test_mixing_keeps_columns_of_its_own_names(docs):
+    names = ["copies", "size", "target", "row_key", "twins", "source_size"]
+    table = docs
+    for name in names:
+        table = table.withColumn(name, F.col("doc_id") + 0.5)
+    made = mixing.mix(table)
+    assert made.columns == table.columns and made.count() > 0 and made.filter("copies <> doc_id + 0.5").isEmpty()
+
+
 def test_mixing_targets_are_capped_and_reshared():
     got = mixing.targets([("b", 10), ("a", 100), (None, 890)])
     assert got["b"] == 30 and sum(got.values()) == pytest.approx(1000)
