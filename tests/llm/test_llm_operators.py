@@ -536,6 +536,33 @@ def test_licenses(spark, edge, empty):
     assert licenses.scan(edge).count() == edge.count() and licenses.scan(empty).count() == 0
 
 
+def test_licenses_equal_their_sql(spark, docs):
+    """Documents among which all known licences stand, spelled and framed differently; and a table of licences."""
+    import duckdb
+
+    rows, n = [], 0
+    spelled = {"license": "licence", "organization": "organisation", "sublicense": "sub-licence", "fulfill": "fulfil"}
+    for name in sorted(LICENSES):
+        text = LICENSES[name]
+        other = text
+        for one, two in spelled.items():
+            other = re.sub(rf"\b{one}\b", two, other)
+        for made in (text, "Copyright (c) 2020 Somebody\n" + text, other.upper(), "# " + text.replace("\n", "\n# "), text + " licence licence", text[: len(text) // 2]):
+            rows.append((n := n + 1, made, "en", "s", len(made)))
+    table = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("doc_id", F.col("doc_id") + 10**6))
+    got = licenses.scan(table)
+    con = duckdb.connect()
+    documents = table.toArrow()  # noqa: F841
+    want = con.execute(licenses.oracle()).fetchall()
+    names = [c[0] for c in con.description]
+    found = got.select(*names).collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, want))
+    matched = [r for r in found if r.license is not None]
+    assert {r.license for r in matched} == set(LICENSES) and len(matched) >= 4 * len(LICENSES)
+    listed = spark.createDataFrame(sorted(LICENSES.items()), "license string, text string").withColumn("digest", F.lit(1))
+    assert sorted(map(tuple, licenses.scan(table, listed).filter("license is not null").collect())) == sorted(map(tuple, got.filter("license is not null").collect()))
+
+
 @pytest.mark.parametrize("name", ["op3_perspective_rotation", "op5_license_digest", "op7_zip_warc"])
 def test_queries_equal_their_sql(spark, name):
     import duckdb
