@@ -20,6 +20,7 @@ import json
 import struct
 import zipfile
 from collections.abc import Iterator
+from contextlib import ExitStack
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -170,7 +171,7 @@ def marked(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     base = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     thin = base.filter(F.octet_length("payload") >= min_bytes).select("page_id", "digest")
     chosen = thin.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    # few pages revisit; their ids meet the pages by id, which no group makes uneven
+    # ids of revisits, however many, meet the pages by id, which no group of copies makes uneven
     revisits = thin.distinct().join(stored(chosen, "warc-chosen"), "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
     revisits = stored(revisits, "warc-revisits").select(F.col("page_id").alias("i"), F.col("digest").alias("d"), "refers_to")
     joined = base.join(revisits, base["page_id"].eqNullSafe(revisits["i"]) & (base["digest"] == revisits["d"]), "left")
@@ -237,20 +238,22 @@ def read(manifest: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened, source = None, None
-        for batch in batches:
-            found = []
-            for path, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if path != opened:
-                    fs, name = filesystem(path)
-                    opened, source = path, fs.open_input_file(name)
-                source.seek(at)
-                found.append(parse(gzip.decompress(source.read(n))))
-            yield pa.RecordBatch.from_arrays([
-                pa.array([r.page_id for r in found], pa.int64()), pa.array([r.url for r in found], pa.string()), pa.array([r.kind for r in found], pa.string()),
-                pa.array([r.payload_bytes for r in found], pa.int64()), pa.array([r.digest for r in found], pa.string()), pa.array([r.refers_to for r in found], pa.int64()),
-                pa.array([r.payload if r.kind == "response" else None for r in found], pa.binary()),
-            ], names=["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"])
+        with ExitStack() as files:
+            opened, source = None, None
+            for batch in batches:
+                found = []
+                for path, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if path != opened:
+                        files.close()  # one package is open at a time
+                        fs, name = filesystem(path)
+                        opened, source = path, files.enter_context(fs.open_input_file(name))
+                    source.seek(at)
+                    found.append(parse(gzip.decompress(source.read(n))))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([r.page_id for r in found], pa.int64()), pa.array([r.url for r in found], pa.string()), pa.array([r.kind for r in found], pa.string()),
+                    pa.array([r.payload_bytes for r in found], pa.int64()), pa.array([r.digest for r in found], pa.string()), pa.array([r.refers_to for r in found], pa.int64()),
+                    pa.array([r.payload if r.kind == "response" else None for r in found], pa.binary()),
+                ], names=["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"])
 
     spread = index(manifest).withColumn("run", F.floor(F.col("at") / RANGE_BYTES)).repartition(n_partitions(manifest), "path", "run").sortWithinPartitions("path", "at").drop("run")
     return spread.mapInArrow(run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")

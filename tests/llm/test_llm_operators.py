@@ -446,6 +446,10 @@ def test_warc(spark, empty):
     assert sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
     assert all(r.payload is None or hashlib.sha1(bytes(r.payload)).hexdigest() == r.payload_digest for r in got)
     assert warc.read(warc.write(pages.limit(0))).count() == 0
+    clash = pages
+    for name in ("digest", "payload", "revisit", "refers_to", "i", "d"):
+        clash = clash.withColumn(name, F.lit(7))
+    assert sorted(map(str, warc.read(warc.write(clash)).collect())) == sorted(map(str, got))
 
 
 def test_zip64_directory():
