@@ -293,6 +293,40 @@ def test_near_duplicates_inside_a_template(spark):
     assert {r.doc_id: r.component_id for r in got} == {k: k - k % 2 for k in range(600)}
 
 
+def test_near_duplicates_in_boilerplate(spark):
+    """Documents that share most of their words, but too little for a link, and pairs among them that are links: none is lost."""
+    rng, shared = random.Random(3), [f"b{k}" for k in range(120)]
+    rows = [(k, [*shared, *(f"p{rng.randrange(10**9)}" for _ in range(40))]) for k in range(900)]
+    for k in range(100):
+        words = list(rows[rng.randrange(900)][1])
+        for _ in range(6):
+            words[120 + rng.randrange(40)] = f"e{rng.randrange(10**9)}"
+        rows.append((900 + k, words))
+    got = {r.doc_id: r.component_id for r in neardup.link(spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string"), k=2).collect()}
+    assert got == brute_components([(k, " ".join(w)) for k, w in rows], 2) and sum(k != c for k, c in got.items()) == 100
+
+
+def test_intersections_by_products_and_lists():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(np.concatenate([rng.integers(0, 40, 30), rng.integers(0, 5000, 60)])).astype(np.uint64) for _ in range(150)]
+    own, others = np.arange(0, 150, 3), np.arange(0, 150, 2)
+    for block, steps in ((7, 10), (1024, 1 << 22)):
+        for some, both in neardup.intersections(sets, own, others, block, steps):
+            assert both.tolist() == [[len(np.intersect1d(sets[x], sets[y])) for y in others] for x in some]
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows of one id are one document, that of the smallest text; reruns keep the same row."""
+    text = "one two three four five six seven eight"
+    rows = [(1, text), (1, "a " + text.upper()), (1, "zzz other words here entirely now"), (2, "A " + text), (3, "zzz other words here entirely now"), (None, text), (4, None), (4, "")]
+    table = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n long")
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in neardup.link(table, k=2).collect())
+    # id 1's own text is "a ONE TWO ...", the set of document 2
+    assert [(i, c) for i, _, c in got] == [(-1, -1), (1, 1), (1, 1), (1, 1), (2, 1), (3, 3), (4, 4), (4, 4)]
+    kept = [sorted((r.n for r in neardup.dedup(t, k=2).collect())) for t in (table, table.repartition(3))]
+    assert kept[0] == kept[1] == [1, 4, 5, 6]
+
+
 def test_toxicity(spark, edge, empty):
     rng = random.Random(1)
     words = [f"w{k}" for k in range(300)]
