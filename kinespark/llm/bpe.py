@@ -175,9 +175,8 @@ class PieceEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.text_at, self.text_n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids, self.text = np.zeros(0, np.int32), np.zeros(0, np.uint8)
+        self.keys, self.ids, self.text = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.uint8)
+        self.at, self.n, self.text_at, self.text_n = (np.zeros(0, np.int32) for _ in range(4))
 
     @staticmethod
     def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,19 +212,20 @@ class PieceEncoder:
         at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
         new = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
         if len(new):
-            if len(self.keys) + len(new) > self.limit:
+            if len(self.keys) + len(new) > self.limit or len(self.ids) + len(self.text) + len(data) > 64 * self.limit:
                 self.forget()
                 new = np.arange(len(keys))
             n_text = lens[first[new]]
             ids, n = self.made(data.tobytes(), starts[first[new]], n_text)
-            begin, text_at = len(self.ids) + np.cumsum(n) - n, len(self.text) + np.cumsum(n_text) - n_text
-            self.ids, self.text = np.concatenate([self.ids, ids]), np.concatenate([self.text, data[ragged(starts[first[new]], n_text)]])
+            stays = np.where(n_text > 8, n_text, 0)  # bytes that will have to be compared
+            begin, text_at = len(self.ids) + np.cumsum(n) - n, len(self.text) + np.cumsum(stays) - stays
+            self.ids, self.text = np.concatenate([self.ids, ids]), np.concatenate([self.text, data[ragged(starts[first[new]], stays)]])
             to = np.searchsorted(self.keys, keys[new])
             self.keys, self.at, self.n = np.insert(self.keys, to, keys[new]), np.insert(self.at, to, begin), np.insert(self.n, to, n)
             self.text_at, self.text_n = np.insert(self.text_at, to, text_at), np.insert(self.text_n, to, n_text)
             at = np.searchsorted(self.keys, keys)
         here = at[which]
-        begin, count, ids = self.at[here], self.n[here], self.ids
+        begin, count, ids = self.at[here].astype(np.int64), self.n[here].astype(np.int64), self.ids
         # equal hashes of equal lengths up to 8 bytes are equal bytes (the hash is one to one there); longer ones are compared
         other = self.text_n[here] != lens
         long = np.flatnonzero((lens > 8) & ~other)
