@@ -349,40 +349,42 @@ def test_toxicity(spark, edge, empty):
     assert toxicity.fit(table, labels.limit(0)) == 0.5 and toxicity.fit(table, labels.filter("toxic = 0")) == 0.0
 
 
-def kneser_ney(counted, text):
-    """Ratios of a text's words from the definition, in plain Python."""
+def kneser_ney(counted, text, chosen):
+    """Ratios of a text's words from the definition, in plain Python; chosen is the pairs' discount, "estimate" or None."""
     stem = lambda w: w.encode()[:4]
     tokens = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.translate({c: c + 32 for c in range(65, 91)}))
-    pairs = [{}, {}]
+    pairs = [{}, {}, {}]  # ordinary, toxic, both
     for t, toxic in counted:
         for u, w in zip([None, *tokens(t)], tokens(t), strict=False):
-            pairs[toxic][u, w] = pairs[toxic].get((u, w), 0) + 1
-    kinds = [{}, {}], [{}, {}]
-    for c in (0, 1):
+            for c in (int(toxic), 2):
+                pairs[c][u, w] = pairs[c].get((u, w), 0) + 1
+    kinds, stems = [{}, {}, {}], {}
+    for c in (0, 1, 2):
         for _, w in pairs[c]:
-            kinds[0][c][w] = kinds[0][c].get(w, 0) + 1
-        for w in kinds[0][c]:
-            kinds[1][c][stem(w)] = kinds[1][c].get(stem(w), 0) + 1
+            kinds[c][w] = kinds[c].get(w, 0) + 1
+    for w in kinds[2]:
+        stems[stem(w)] = stems.get(stem(w), 0) + 1
 
     def discount(counts):
         ones, twos = (sum(n == k for n in counts.values()) for k in (1, 2))
         return ones / (ones + 2 * twos) if ones + twos else 0.5
 
-    def interpolated(counts, key, total, d, lower):
-        return max(counts.get(key, 0) - d, 0) / total + sum(min(n, d) for n in counts.values()) / total * lower
+    def interpolated(counts, key, d, lower):
+        total = sum(counts.values())
+        return max(counts.get(key, 0) - d, 0) / total + sum(min(n, d) for n in counts.values()) / total * lower if counts else lower
 
-    whole = sum(sum(kinds[1][c].values()) for c in (0, 1))
-    words_of = {w: sum(kinds[0][c].get(w, 0) for c in (0, 1)) for c in (0, 1) for w in kinds[0][c]}
+    def word(c, w):
+        even = interpolated(stems, stem(w), discount(stems), 1 / len(stems)) / stems[stem(w)]
+        both = interpolated(kinds[2], w, discount(kinds[2]), even)
+        return both if c == 2 else interpolated(kinds[c], w, discount(kinds[c]), both)
 
     def p(c, u, w):
-        both = sum(kinds[1][k].get(stem(w), 0) for k in (0, 1))
-        p0 = interpolated(kinds[1][c], stem(w), sum(kinds[1][c].values()), discount(kinds[1][c]), both / whole if both else 1 / (whole + 1))
-        share = min(1, words_of[w] / sum(words_of.values()) / (both / whole)) if w in words_of else 1
-        p1 = interpolated(kinds[0][c], w, sum(kinds[0][c].values()), discount(kinds[0][c]), p0 * share)
-        after = {b: n for (a, b), n in pairs[c].items() if a == u}
-        return interpolated(after, w, sum(after.values()), discount(pairs[c]), p1) if after else p1
+        after = [{b: n for (a, b), n in pairs[k].items() if a == u} for k in (c, 2)]
+        both = interpolated(after[1], w, discount(pairs[2]), word(2, w))
+        lower = word(c, w) * both / word(2, w)
+        return lower if chosen is None else interpolated(after[0], w, discount(pairs[c]) if chosen == "estimate" else chosen, lower)
 
-    return [math.log(p(1, u, w)) - math.log(p(0, u, w)) for u, w in zip([None, *tokens(text)], tokens(text), strict=False)]
+    return [math.log(p(1, u, w)) - math.log(p(0, u, w)) if w in kinds[2] else 0.0 for u, w in zip([None, *tokens(text)], tokens(text), strict=False)]
 
 
 def test_toxicity_equals_the_definition(spark):
@@ -390,12 +392,14 @@ def test_toxicity_equals_the_definition(spark):
     counted = [(" ".join(rng.choice(names) for _ in range(rng.randrange(1, 30))), i % 3 == 0) for i in range(40)]
     rows = spark.createDataFrame([(t, int(x)) for t, x in counted], "text string, toxic int")
     model = toxicity.fit_counts(toxicity.stored(toxicity.count_pairs(rows), "counts"))
-    for text in ("you fool, is it a rare1 day?", "Été fools unknownword foolproof you you", counted[0][0], "sun"):
-        raw = np.frombuffer(text.encode(), np.uint8)
-        here, before, stems, _ = toxicity.words(raw, np.array([0, len(raw)]))
-        want = kneser_ney(counted, text)
-        assert model.ratios(here, before, stems) == pytest.approx(want, rel=1e-4, abs=1e-5)
-        assert model.evidence(raw, np.array([0, len(raw)]))[0, 0] == pytest.approx(sum(want) / len(want), rel=1e-4, abs=1e-5)
+    for choice, chosen in enumerate(("estimate", *toxicity.DISCOUNTS)):
+        model.choice = choice
+        for text in ("you fool, is it a rare1 day?", "Été fools unknownword foolproof you you", counted[0][0], "sun"):
+            raw = np.frombuffer(text.encode(), np.uint8)
+            here, before, _, _ = toxicity.words(raw, np.array([0, len(raw)]))
+            want = kneser_ney(counted, text, chosen)
+            assert model.ratios(here, before) == pytest.approx(want, rel=1e-4, abs=1e-5)
+            assert model.evidence(raw, np.array([0, len(raw)]))[0, 0] == pytest.approx(sum(want) / len(want), rel=1e-4, abs=1e-5)
 
 
 def test_toxicity_keeps_a_column_of_its_name(spark):
