@@ -1,7 +1,7 @@
 """Ranking metrics and report tables over out-of-fold score tables.
 
-Scores are first counted by distinct value, so windows run over those and not over rows; keys (model, fold, cohort)
-partition them.
+Scores are first counted by distinct value; running totals over these go by ranges of the score (functions.ranges), so
+that neither many distinct scores nor few keys (model, fold, cohort) make one task do all.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinespark.functions.ranges import running, same
+
 #: Added to the denominators of rates, as the published tables do. Fixed value.
 EPS = 1e-10
 
@@ -22,33 +24,31 @@ def score_counts(df: DataFrame, keys: Sequence[str], y: str, score: str) -> Data
 
 def auc(df: DataFrame, keys: Sequence[str], y: str, score: str) -> DataFrame:
     """(keys, n_pos, n_neg, auc): wins of positives over negatives, ties half; null for one class alone."""
-    w = Window.partitionBy(*keys).orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
-    c = score_counts(df, keys, y, score).withColumn("below", F.sum("neg").over(w) - F.col("neg"))
-    u = c.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"))
+    c = running(score_counts(df, keys, y, score), keys, "s", {"upto": "neg"})
+    u = c.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * (F.col("upto") - F.col("neg") / 2)).alias("u"))
     return u.withColumn("auc", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("u") / (F.col("n_pos") * F.col("n_neg")))).drop("u")
 
 
 def mid_ranks(df: DataFrame, keys: Sequence[str], value: str, into: str) -> DataFrame:
-    """df with the average rank of value among its keys' rows."""
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counts.withColumn(into, F.sum("_n").over(w) - (F.col("_n") - 1) / 2).drop("_n")
-    return df.join(ranks, [*keys, value])
+    """df with the average rank of value among its keys' rows; rows without a value have no rank and go."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    ranks = running(counts, keys, value, {"_upto": "_n"})
+    ranks = ranks.select(*(F.col(k).alias(f"_rank_{k}") for k in (*keys, value)), (F.col("_upto") - (F.col("_n") - 1) / 2).alias(into))
+    return df.join(ranks, same([*keys, value], "_rank_")).select(*df.columns, into)
 
 
 def roc_points(df: DataFrame, keys: Sequence[str], y: str, score: str) -> DataFrame:
-    """(keys, threshold, tpr, fpr, tp, fp) for score >= threshold at each distinct score."""
-    down = Window.partitionBy(*keys).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    c = score_counts(df, keys, y, score).withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down))
-    return c.select(*keys, F.col("s").alias("threshold"), F.try_divide("tp", F.sum("pos").over(whole)).alias("tpr"), F.try_divide("fp", F.sum("neg").over(whole)).alias("fpr"), "tp", "fp")
+    """(keys, threshold, tpr, fpr, tp, fp, step) for score >= threshold at each distinct score; step is what it adds to tpr."""
+    c = running(score_counts(df, keys, y, score), keys, "s", {"pos_upto": "pos", "neg_upto": "neg"})
+    whole = c.groupBy(*(F.col(k).alias(f"_all_{k}") for k in keys)).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    c = c.join(whole, same(keys, "_all_")) if keys else c.crossJoin(F.broadcast(whole))
+    c = c.withColumn("tp", F.col("n_pos") - F.col("pos_upto") + F.col("pos")).withColumn("fp", F.col("n_neg") - F.col("neg_upto") + F.col("neg"))
+    return c.select(*keys, F.col("s").alias("threshold"), F.try_divide("tp", "n_pos").alias("tpr"), F.try_divide("fp", "n_neg").alias("fpr"), "tp", "fp", F.try_divide("pos", "n_pos").alias("step"))
 
 
 def average_precision(df: DataFrame, keys: Sequence[str], y: str, score: str) -> DataFrame:
     p = roc_points(df, keys, y, score)
-    w = Window.partitionBy(*keys).orderBy(F.desc("threshold"))
-    step = F.col("tpr") - F.coalesce(F.lag("tpr").over(w), F.lit(0.0))
-    return p.withColumn("part", step * F.col("tp") / (F.col("tp") + F.col("fp"))).groupBy(*keys).agg(F.sum("part").alias("ap"))
+    return p.withColumn("part", F.col("step") * F.col("tp") / (F.col("tp") + F.col("fp"))).groupBy(*keys).agg(F.sum("part").alias("ap"))
 
 
 def youden(df: DataFrame, keys: Sequence[str], y: str, score: str) -> DataFrame:
@@ -101,13 +101,12 @@ def leave_one_out_auc(df: DataFrame, group: str, y: str, score: str) -> DataFram
     Wins of a group's positives over all negatives, of all positives over its negatives, less those within it; each from
     counts by distinct score, so no row is repeated for the groups it stays in.
     """
-    by = df.groupBy(group, F.col(score).alias("s")).agg(F.count_if(F.col(y) == 1).alias("gp"), F.count_if(F.col(y) == 0).alias("gn"))
-    all_ = by.groupBy("s").agg(F.sum("gp").alias("p"), F.sum("gn").alias("n"))
-    run = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)  # over distinct scores
-    whole = Window.partitionBy()
-    ranked = all_.withColumn("neg_below", F.sum("n").over(run) - F.col("n") / 2).withColumn("pos_above", F.sum("p").over(whole) - F.sum("p").over(run) + F.col("p") / 2)
-    own = Window.partitionBy(group).orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
-    joined = by.join(ranked.select("s", "neg_below", "pos_above"), "s").withColumn("own_below", F.sum("gn").over(own) - F.col("gn") / 2)
+    by = df.filter(F.col(score).isNotNull()).groupBy(group, F.col(score).alias("s")).agg(F.count_if(F.col(y) == 1).alias("gp"), F.count_if(F.col(y) == 0).alias("gn"))
+    all_ = running(by.groupBy("s").agg(F.sum("gp").alias("p"), F.sum("gn").alias("n")), [], "s", {"p_upto": "p", "n_upto": "n"})
+    whole = all_.agg(F.sum("p").alias("all_p"))
+    ranked = all_.crossJoin(F.broadcast(whole)).withColumn("neg_below", F.col("n_upto") - F.col("n") / 2).withColumn("pos_above", F.col("all_p") - F.col("p_upto") + F.col("p") / 2)
+    own = running(by, [group], "s", {"gn_upto": "gn"}).withColumn("own_below", F.col("gn_upto") - F.col("gn") / 2)
+    joined = own.join(ranked.select("s", "neg_below", "pos_above"), "s")
     touch = joined.groupBy(group).agg(F.sum(F.col("gp") * F.col("neg_below") + F.col("gn") * F.col("pos_above") - F.col("gp") * F.col("own_below")).alias("u_g"), F.sum("gp").alias("gp"), F.sum("gn").alias("gn"))
     total = ranked.agg(F.sum(F.col("p") * F.col("neg_below")).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     m, n = F.col("p") - F.col("gp"), F.col("n") - F.col("gn")

@@ -1,4 +1,6 @@
-"""Evaluation queries. The out-of-fold table is labels with documents: source as participant, language as cohort."""
+"""Evaluation queries. The out-of-fold table is labels with documents: source as participant, language as cohort.
+
+Scores come from md5 of the id and lean to the label: a is continuous, b has three decimals and so ties."""
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -6,14 +8,20 @@ from pyspark.sql import functions as F
 from kinespark.operators import metrics as m
 from kinespark.plans.register import query, table
 
-OOF = "oof AS (SELECT d.doc_id, d.source AS pid, d.lang AS cohort, l.toxic AS y, l.quality AS quality, (d.n_chars % 1000) / 1000.0::DOUBLE AS a, ((d.n_chars * 7) % 997) / 997.0::DOUBLE AS b FROM labels l JOIN documents d USING (doc_id))"
+UNIFORM = "('0x' || substr(md5('{}' || doc_id::VARCHAR), 1, 12))::BIGINT / 281474976710656.0::DOUBLE"
+OOF = f"oof AS (SELECT doc_id, d.source AS pid, d.lang AS cohort, l.toxic AS y, l.quality AS quality, 0.75 * {UNIFORM.format('a')} + 0.25 * l.toxic AS a, round(0.8 * {UNIFORM.format('b')} + 0.2 * l.toxic, 3) AS b FROM labels l JOIN documents d USING (doc_id))"
 R6 = lambda c: F.round(c, 6)
 UNION = f"{OOF}, u AS (SELECT 'a' AS model, doc_id, pid, cohort, y, a AS s FROM oof UNION ALL SELECT 'b', doc_id, pid, cohort, y, b FROM oof)"
 
 
+def uniform(salt):
+    return F.conv(F.substring(F.md5(F.concat(F.lit(salt), F.col("doc_id").cast("string"))), 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
 def oof(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("pid"), F.col("lang").alias("cohort"), ((F.col("n_chars") % 1000) / 1000.0).alias("a"), ((F.col("n_chars") * 7 % 997) / 997.0).alias("b"))
-    return table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("y"), "quality").join(d, "doc_id")
+    d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("pid"), F.col("lang").alias("cohort"))
+    joined = table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("y"), "quality").join(d, "doc_id")
+    return joined.withColumn("a", 0.75 * uniform("a") + 0.25 * F.col("y")).withColumn("b", F.round(0.8 * uniform("b") + 0.2 * F.col("y"), 3))
 
 
 def by_model(spark, sf):
