@@ -32,21 +32,30 @@ def gap_summary(gaps: DataFrame, keys: Sequence[str]) -> DataFrame:
     return gaps.groupBy(*keys).agg(F.count("*").alias("n_gaps"), F.max("diff").alias("max_gap"), F.array_join(F.array_sort(F.collect_list("idx")), ",").alias("at"))
 
 
-def repair_gaps(df: DataFrame, keys: Sequence[str], counter: str, value: str, max_gap: int) -> DataFrame:
-    """Fill gaps of at most max_gap steps by straight lines, up to the first larger gap of a trial; (keys, counter, value, filled).
+def repair_gaps(df: DataFrame, keys: Sequence[str], order: Sequence[str], counter: str, value: str, max_gap: int) -> DataFrame:
+    """Fill gaps of at most max_gap steps by straight lines, up to the first larger gap of a trial: (keys, place, counter, value, filled).
 
-    Of rows with one counter the first stays. Steps back that are no wrap end the repair like a large gap.
+    Rows stay in their order, so a counter that wraps goes on. Of consecutive rows with one counter the first stays. The repair
+    ends at a larger gap or a step back that is no wrap; rows from there on stay as they are. place is the row's number and,
+    for a filled row, a fraction more.
     """
-    once = df.groupBy(*keys, F.col(counter).cast("long").alias("counter")).agg(F.min_by(value, "order").alias("value")) if "order" in df.columns else df.groupBy(*keys, F.col(counter).cast("long").alias("counter")).agg(F.min(value).alias("value"))
-    w = Window.partitionBy(*keys).orderBy("counter")
-    ahead = once.withColumn("step", F.lead("counter").over(w) - F.col("counter")).withColumn("next_value", F.lead("value").over(w))
-    large = F.max((F.lag("step").over(w) > max_gap).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = ahead.withColumn("was", F.coalesce(F.lag("step").over(w), F.lit(1)))
-    ahead = ahead.withColumn("after", F.max((F.col("was") > max_gap).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    fills = F.when((F.col("after") == 0) & (F.col("step") > 1) & (F.col("step") <= max_gap), F.sequence(F.lit(0), F.col("step") - 1)).otherwise(F.array(F.lit(0).cast("long")))
-    spread = ahead.withColumn("k", F.explode(fills))
-    filled = F.when(F.col("k") == 0, F.col("value")).otherwise(F.col("value") + (F.col("next_value") - F.col("value")) * F.col("k") / F.col("step"))
-    return spread.select(*keys, (F.col("counter") + F.col("k")).alias("counter"), filled.alias("value"), (F.col("k") > 0).alias("filled"))
+    w = Window.partitionBy(*keys).orderBy(*order)
+    x = df.select(*keys, *[c for c in order if c not in keys], F.col(counter).cast("long").alias("_c"), F.col(value).cast("double").alias("_v"))
+    x = x.withColumn("_at", (F.row_number().over(w) - 1).cast("long")).withColumn("_before", F.lag("_c").over(w)).withColumn("_step", F.col("_c") - F.col("_before"))
+    wrap = (F.col("_step") < 0) & (F.col("_before") >= WRAP_HIGH) & (F.col("_c") <= WRAP_LOW)
+    ends = F.coalesce((F.col("_step") > max_gap) | ((F.col("_step") < 0) & ~wrap), F.lit(False)).cast("int")
+    x = x.withColumn("_ended", F.max(ends).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.filter((F.col("_ended") == 1) | F.col("_step").isNull() | (F.col("_step") != 0))
+    # a row brings the rows that are missing before it; the kept row before it is the first of its counter
+    x = x.withColumn("_from", F.lag("_v").over(w)).withColumn("_place", F.lag("_at").over(w))
+    missing = F.when((F.col("_ended") == 0) & (F.col("_step") > 1), F.sequence(F.lit(1).cast("long"), F.col("_step") - 1)).otherwise(F.array().cast("array<long>"))
+    spread = x.withColumn("_k", F.explode(F.concat(F.array(F.lit(0).cast("long")), missing)))
+    share = F.col("_k") / F.col("_step")
+    own = F.col("_k") == 0
+    return spread.select(
+        *keys, F.when(own, F.col("_at").cast("double")).otherwise(F.col("_place") + share).alias("place"), F.when(own, F.col("_c")).otherwise(F.col("_before") + F.col("_k")).alias("counter"),
+        F.when(own, F.col("_v")).otherwise((1 - share) * F.col("_from") + share * F.col("_v")).alias("value"), (~own).alias("filled"),
+    )
 
 
 def truncate_at_gap(df: DataFrame, keys: Sequence[str], order: Sequence[str], counter: str, max_gap: int) -> DataFrame:

@@ -42,13 +42,24 @@ def q2_gap_summary(spark, sf):
     return q.gap_summary(q.counter_gaps(table(spark, sf, "orders"), ["o_custkey"], ["o_orderkey"], "o_orderkey"), ["o_custkey"])
 
 
-@query("""WITH o AS (SELECT l_orderkey, (l_linenumber * 2)::BIGINT AS counter, min(l_quantity) AS value FROM lineitem GROUP BY 1, 2),
-a AS (SELECT *, lead(counter) OVER w - counter AS step, lead(value) OVER w AS nv, coalesce(counter - lag(counter) OVER w, 1) AS was FROM o WINDOW w AS (PARTITION BY l_orderkey ORDER BY counter)),
-b AS (SELECT *, max(CASE WHEN was > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY counter) AS aft FROM a),
-c AS (SELECT *, unnest(CASE WHEN aft = 0 AND step > 1 AND step <= 3 THEN range(0, step) ELSE [0] END) AS k FROM b)
-SELECT l_orderkey, counter + k AS counter, CASE WHEN k = 0 THEN value ELSE value + (nv - value) * k / step END AS value, k > 0 AS filled FROM c""")
+COUNTED = """l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n, l_quantity::DOUBLE AS v, ((CASE WHEN l_orderkey % 4 < 2 THEN 100 ELSE 65533 END + CASE WHEN l_linenumber < 4 THEN l_linenumber // 2 WHEN l_orderkey % 2 = 0 THEN l_linenumber ELSE l_linenumber * 2 END) % 65536)::BIGINT AS c FROM lineitem)"""
+
+
+def counted(spark, sf):
+    """Order lines with a counter that repeats, skips and, in every other order, wraps."""
+    steps = F.when(F.col("l_linenumber") < 4, F.floor(F.col("l_linenumber") / 2)).when(F.col("l_orderkey") % 2 == 0, F.col("l_linenumber")).otherwise(F.col("l_linenumber") * 2)
+    return table(spark, sf, "lineitem").withColumn("c", (F.when(F.col("l_orderkey") % 4 < 2, 100).otherwise(65533) + steps) % 65536)
+
+
+@query(f"""WITH {COUNTED}, s AS (SELECT *, row_number() OVER w - 1 AS k, lag(c) OVER w AS b FROM l WINDOW w AS (PARTITION BY l_orderkey ORDER BY n)),
+f AS (SELECT l_orderkey, min(k) AS cut FROM s WHERE c - b > 3 OR (c < b AND NOT (b >= 60000 AND c <= 1000)) GROUP BY 1),
+kept AS (SELECT s.*, k >= coalesce(cut, 1000000) AS ended FROM s LEFT JOIN f USING (l_orderkey) WHERE k >= coalesce(cut, 1000000) OR b IS NULL OR c <> b),
+p AS (SELECT *, lag(v) OVER w AS pv, lag(k) OVER w AS pat FROM kept WINDOW w AS (PARTITION BY l_orderkey ORDER BY k)),
+m AS (SELECT *, unnest(range(1, c - b)) AS i FROM p WHERE NOT ended AND c > b + 1)
+SELECT l_orderkey, k::DOUBLE AS place, c AS counter, v AS value, false AS filled FROM p
+UNION ALL SELECT l_orderkey, pat + i / (c - b), b + i, (1 - i / (c - b)) * pv + i / (c - b) * v, true FROM m""")
 def q3_gap_repair(spark, sf):
-    return q.repair_gaps(table(spark, sf, "lineitem").withColumn("c", F.col("l_linenumber") * 2), ["l_orderkey"], "c", "l_quantity", 3)
+    return q.repair_gaps(counted(spark, sf), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], "c", "l_quantity", 3)
 
 
 @query(f"""WITH s AS (SELECT o_custkey, o_orderkey, coalesce(o_orderkey - lag(o_orderkey) OVER {L} > 200, false) AS big FROM orders),

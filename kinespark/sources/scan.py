@@ -39,18 +39,22 @@ def external_inventory(files: DataFrame) -> DataFrame:
     return files.filter(n != "").select(n.cast("int").alias("subject"), F.regexp_extract("path", r"/S(\d+)R(\d+)\.txt$", 2).cast("int").alias("run"), "path", (F.col("length") > 0).alias("complete"))
 
 
-def numeric_text(spark: SparkSession, folder: str, columns: Sequence[str], glob: str) -> tuple[DataFrame, DataFrame]:
+def numeric_text(spark: SparkSession, folder: str, columns: Sequence[str], glob: str, header: str | None = "PacketCounter") -> tuple[DataFrame, DataFrame]:
     """Rows (file, line columns as doubles) of white-space separated files, and the files that are rejected.
 
-    A header is a line without any number; a file with another line that isn't all numbers, or of another width, is rejected
-    whole.
+    Only a file's first line may be a header, that begins with the header's or the first column's name. A file with another
+    line that isn't all numbers, or of another width, is rejected whole. Order in a file is kept by its columns, not here.
     """
-    lines = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(folder).select(F.col("_metadata.file_path").alias("file"), F.split(F.trim("value"), r"\s+").alias("p")).filter(F.size(F.filter("p", lambda x: x != "")) > 0)
+    lines = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(folder)
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"), F.split(F.trim("value"), r"\s+").alias("p")).filter(F.size(F.filter("p", lambda x: x != "")) > 0)
     values = F.transform("p", lambda x: x.try_cast("double"))
-    lines = lines.withColumn("v", values).withColumn("n_bad", F.size(F.filter("v", lambda x: x.isNull())))
-    body = lines.filter(F.col("n_bad") < F.size("v"))
-    bad = body.filter((F.col("n_bad") > 0) | (F.size("v") != len(columns))).select("file").distinct()
-    return body.join(bad, "file", "left_anti").select("file", *(F.col("v")[k].alias(c) for k, c in enumerate(columns))), bad
+    lines = lines.withColumn("v", values).withColumn("odd", (F.size("v") != len(columns)) | F.exists("v", lambda x: x.isNull() | F.isnan(x)))
+    first = lines.filter("odd").groupBy("file").agg(F.min("at").alias("at"), F.count("*").alias("n_odd"), F.min_by("p", "at").alias("p"))
+    start = lines.groupBy("file").agg(F.min("at").alias("start"))
+    names = [columns[0]] if header is None else [columns[0], header]
+    headed = (F.col("n_odd") == 1) & (F.col("at") == F.col("start")) & (F.size("p") == len(columns)) & F.col("p")[0].isin(*names)
+    bad = first.join(start, "file").filter(~headed).select("file")
+    return lines.filter(~F.col("odd")).join(bad, "file", "left_anti").select("file", *(F.col("v")[k].alias(c) for k, c in enumerate(columns))), bad
 
 
 def sensor_table(df: DataFrame, trial: str, order: str, rate: float) -> DataFrame:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinespark.operators.quality import WRAP_HIGH, WRAP_LOW
+
 
 def window_features(df: DataFrame, key: str, ts: str, value: str, length: str, step: str, late: str = "1 hour") -> DataFrame:
     """Features of sliding event-time windows; rows later than the watermark are dropped."""
@@ -21,21 +23,23 @@ def sessions(df: DataFrame, key: str, ts: str, gap: str, late: str = "1 hour") -
     return w.groupBy(key, F.session_window(ts, gap)).agg(F.count("*").alias("n")).withColumnRenamed("session_window", "session")
 
 
-def gap_stream(df: DataFrame, key: str, counter: str) -> DataFrame:
-    """(key, prev, next): counter steps other than 1 across micro-batches. State is the last counter; idle keys expire."""
+def gap_stream(df: DataFrame, key: str, order: str, counter: str) -> DataFrame:
+    """(key, prev, next): counter steps other than 1 across micro-batches. State is the last counter; idle keys expire.
+
+    A micro-batch's rows go by the order column, since a counter that wraps does not order them.
+    """
 
     def run(ident, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         last, found = (state.get[0] if state.exists else None), []
-        values = sorted(v for pdf in batches for v in pdf[counter].tolist())
-        for v in values:
-            if last is not None and v != last + 1 and not (last >= 60000 and v <= 1000):
+        for _, v in sorted(row for pdf in batches for row in zip(pdf[order].tolist(), pdf[counter].tolist(), strict=True)):
+            if last is not None and v != last + 1 and not (last >= WRAP_HIGH and v <= WRAP_LOW):
                 found.append((ident[0], last, v))
             last = v
         state.update((int(last),))
         state.setTimeoutDuration(3_600_000)
         yield pd.DataFrame(found, columns=[key, "prev", "next"])
 
-    return df.select(key, counter).groupBy(key).applyInPandasWithState(run, f"{key} long, prev long, next long", "last long", "append", "ProcessingTimeTimeout")
+    return df.select(key, order, counter).groupBy(key).applyInPandasWithState(run, f"{key} long, prev long, next long", "last long", "append", "ProcessingTimeTimeout")

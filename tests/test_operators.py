@@ -51,10 +51,18 @@ def test_entry(spark):
 
 def test_gap_repair_stops_at_the_first_large_gap(spark):
     df = spark.createDataFrame([("t", c, float(c)) for c in (1, 2, 5, 20, 22)], "k string, c long, v double")
-    got = sorted((r.counter, r.value, r.filled) for r in quality.repair_gaps(df, ["k"], "c", "v", 5).collect())
+    got = sorted((r.counter, r.value, r.filled) for r in quality.repair_gaps(df, ["k"], ["c"], "c", "v", 5).collect())
     assert got == [(1, 1.0, False), (2, 2.0, False), (3, 3.0, True), (4, 4.0, True), (5, 5.0, False), (20, 20.0, False), (22, 22.0, False)]
 
 
+def test_gap_repair_keeps_the_order_of_a_wrap(spark):
+    df = spark.createDataFrame([(k, c, float(k)) for k, c in enumerate((65533, 65533, 65535, 0, 1, 1, 4, 2, 2))], "i long, c long, v double").withColumn("k", F.lit("t"))
+    got = quality.repair_gaps(df, ["k"], ["i"], "c", "v", 5).orderBy("place").collect()
+    # of the repeated counters the first stays; the step back ends the repair, and what follows is left alone
+    assert [(r.counter, r.filled) for r in got] == [(65533, False), (65534, True), (65535, False), (0, False), (1, False), (2, True), (3, True), (4, False), (2, False), (2, False)]
+    assert got[1].value == 1.0 and got[5].value == pytest.approx(4 + 2 / 3)
+
+
 def test_wrap_is_no_gap(spark):
     df = spark.createDataFrame([(0, 65534), (1, 65535), (2, 0), (3, 3)], "i long, c long").withColumn("k", F.lit("t"))
     assert [(r.idx, r["diff"]) for r in quality.counter_gaps(df, ["k"], ["i"], "c").collect()] == [(3, 3)]
@@ -137,9 +145,9 @@ def test_streams_equal_batch(spark, tmp_path):
 
 
 def test_gap_stream(spark, tmp_path):
-    spark.createDataFrame([(1, c) for c in (1, 2, 5, 6)] + [(2, c) for c in (65535, 65536)], "k long, c long").write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("k long, c long").parquet(f"{tmp_path}/in")
-    q = streams.gap_stream(stream, "k", "c").writeStream.format("memory").queryName("z3").outputMode("append").trigger(availableNow=True).start()
+    spark.createDataFrame([(1, k, c) for k, c in enumerate((1, 2, 5, 6))] + [(2, k, c) for k, c in enumerate((65534, 65535, 0, 1))], "k long, i long, c long").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("k long, i long, c long").parquet(f"{tmp_path}/in")
+    q = streams.gap_stream(stream, "k", "i", "c").writeStream.format("memory").queryName("z3").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [tuple(r) for r in spark.table("z3").collect()] == [(1, 2, 5)]
 
