@@ -24,7 +24,12 @@ def score_counts(df: DataFrame, keys: Sequence[str], y: str, score: str) -> Data
 
 def auc(df: DataFrame, keys: Sequence[str], y: str, score: str) -> DataFrame:
     """(keys, n_pos, n_neg, auc): wins of positives over negatives, ties half; null for one class alone."""
-    c = running(score_counts(df, keys, y, score), keys, "s", {"upto": "neg"})
+    return auc_of_counts(score_counts(df, keys, y, score), keys)
+
+
+def auc_of_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same from (keys, s, pos, neg) by distinct score."""
+    c = running(counts, keys, "s", {"upto": "neg"})
     u = c.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * (F.col("upto") - F.col("neg") / 2)).alias("u"))
     return u.withColumn("auc", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("u") / (F.col("n_pos") * F.col("n_neg")))).drop("u")
 

@@ -5,6 +5,7 @@ Every operator takes the columns it works on by name. Windows are by trial, so e
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -149,3 +150,21 @@ def gate(report: DataFrame, most: int = 10) -> None:
     """Raise with the first failures of a report (trial, check, status)."""
     if failed := report.filter("status = 'fail'").select("trial", "check").distinct().orderBy("trial", "check").limit(most).collect():
         raise ValueError("failed checks: " + "; ".join(f"{r.trial}/{r.check}" for r in failed))
+
+
+def threshold_guard(df: DataFrame, keys: Sequence[str], score: str, fit: Column, held: Column, share: float) -> DataFrame:
+    """(keys, threshold, stable): a percentile of the rows that fit, and whether it stays when held-out scores change."""
+    cut = lambda c: F.percentile(F.when(fit, c), share)
+    both = df.groupBy(*keys).agg(cut(F.col(score)).alias("threshold"), cut(F.when(held, F.col(score) * 1000 + 1).otherwise(F.col(score))).alias("_other"))
+    return both.withColumn("stable", F.col("threshold").eqNullSafe(F.col("_other"))).drop("_other")
+
+
+def assert_upload(df: DataFrame, name: str, most_columns: int = 100, most_rows: int = 100_000) -> None:
+    """Refuse an uploaded table that is empty, too wide, too long or has columns of odd names. Counting stops at the limit."""
+    if bad := [c for c in df.columns if not re.fullmatch(r"[A-Za-z0-9_.\- ]{1,64}", c.strip())]:
+        raise ValueError(f"{name}: columns of odd names: {bad[:3]}")
+    if len(df.columns) > most_columns:
+        raise ValueError(f"{name}: more than {most_columns} columns")
+    n = df.limit(most_rows + 1).count()
+    if not 0 < n <= most_rows:
+        raise ValueError(f"{name}: {'no' if not n else f'more than {most_rows}'} rows")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinespark.functions.hashes import unit
 from kinespark.functions.mathx import normal_two_sided
 from kinespark.operators.metrics import mid_ranks
 
@@ -105,14 +106,26 @@ def conformal_threshold(df: DataFrame, keys: Sequence[str], score: Column, alpha
 
 def subject_holdout(people: DataFrame, ident: str, healthy: Column, seed: int = 42, train: float = 0.7, val: float = 0.15) -> DataFrame:
     """(ident, role): healthy people 70 / 15 / 15 by a hash of the id, all others to the test set."""
-    u = F.pmod(F.xxhash64(ident, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    u = unit(ident, seed=seed)
     return people.select(ident, F.when(~healthy, "test").when(u < train, "train").when(u < train + val, "val").otherwise("test").alias("role"))
 
 
 def group_folds(df: DataFrame, group: str, label: str, k: int, seed: int = 42) -> DataFrame:
     """(group, fold): groups dealt to k folds within their most common label, in hash order."""
     major = df.groupBy(group).agg(F.mode(label, True).alias("_label"))
-    return major.withColumn("fold", (F.row_number().over(Window.partitionBy("_label").orderBy(F.xxhash64(group, F.lit(seed)), group)) - 1) % k).drop("_label")
+    return major.withColumn("fold", (F.row_number().over(Window.partitionBy("_label").orderBy(unit(group, seed=seed), group)) - 1) % k).drop("_label")
+
+
+def stratified_split(people: DataFrame, ident: str, label: str, share: float, seed: int) -> DataFrame:
+    """(ident, role): of each label's people a share, one at least, to validation, in hash order."""
+    w = Window.partitionBy(label)
+    k = F.row_number().over(w.orderBy(unit(ident, seed=seed), ident))
+    return people.withColumn("_k", k).withColumn("_n", F.count("*").over(w)).select(ident, F.when(F.col("_k") <= F.greatest(F.lit(1), F.bround(F.col("_n") * share)), "val").otherwise("train").alias("role"))
+
+
+def subsets(parts: Sequence[str]) -> list[tuple[str, ...]]:
+    """All non-empty subsets, in the order of their bits."""
+    return [tuple(p for k, p in enumerate(parts) if mask >> k & 1) for mask in range(1, 1 << len(parts))]
 
 
 def proportional_sample(people: DataFrame, ident: str, cohort: str, total: int, seed: int = 42) -> DataFrame:
@@ -121,5 +134,5 @@ def proportional_sample(people: DataFrame, ident: str, cohort: str, total: int,
     n = people.groupBy(cohort).agg(F.count("*").alias("n")).withColumn("exact", F.col("n") * total / F.sum("n").over(whole))
     n = n.withColumn("base", F.greatest(F.floor("exact"), F.lit(1)))
     n = n.withColumn("extra", (F.row_number().over(Window.orderBy(F.desc(F.col("exact") - F.floor("exact")), cohort)) <= total - F.sum("base").over(whole)).cast("int"))
-    k = F.row_number().over(Window.partitionBy(cohort).orderBy(F.xxhash64(ident, F.lit(seed)), ident))
+    k = F.row_number().over(Window.partitionBy(cohort).orderBy(unit(ident, seed=seed), ident))
     return people.join(F.broadcast(n.select(cohort, (F.col("base") + F.col("extra")).alias("take"))), cohort).withColumn("_k", k).filter("_k <= take").select(ident, cohort)

@@ -164,7 +164,7 @@ def p27_without_external(spark, sf):
     return p.without_external(table(spark, sf, "customer"), "c_name", "Customer#00000001", "c_mktsegment", ["MACHINERY"]).select("c_custkey")
 
 
-@query("SELECT l_linestatus || '_' || lower(l_returnflag) || 'x' AS model, l_linestatus || ' ' || l_returnflag || 'x' AS display_name, 'classical' AS paradigm, round(avg(l_discount), 6) AS auroc, NULL::DOUBLE AS mcc FROM lineitem GROUP BY 1")
+@query("SELECT l_linestatus || '_' || lower(l_returnflag) || 'x' AS model, l_linestatus || ' ' || l_returnflag || 'x' AS display_name, 'classical' AS paradigm, round(avg(l_discount), 6) AS auroc, NULL::DOUBLE AS mcc FROM lineitem GROUP BY 1, 2")
 def p29_comparison_rows(spark, sf):
     name = F.concat("l_linestatus", F.lit("_"), F.lower("l_returnflag"), F.lit("x"))
     x = table(spark, sf, "lineitem").groupBy(name.alias("name")).agg(R6(F.avg("l_discount")).alias("auc"))

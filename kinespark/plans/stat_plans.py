@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from kinespark.functions.hashes import unit_sql
 from kinespark.operators import metrics as m
 from kinespark.operators import stats as t
 from kinespark.plans.evaluation import OOF, UNION, by_model, oof
@@ -93,7 +94,7 @@ def t18_prediction_sets(spark, sf):
     return x.groupBy("cohort").agg(R6(F.avg(F.array_contains("set", F.col("y")).cast("int"))).alias("coverage"), R6(F.avg(F.size("set"))).alias("mean_size"))
 
 
-@query()
+@query(f"SELECT c_custkey, CASE WHEN c_mktsegment <> 'BUILDING' THEN 'test' WHEN {unit_sql('c_custkey')} < 0.7 THEN 'train' WHEN {unit_sql('c_custkey')} < 0.85 THEN 'val' ELSE 'test' END AS role FROM customer")
 def x1_subject_holdout(spark, sf):
     people = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
     return t.subject_holdout(people, "c_custkey", F.col("c_mktsegment") == "BUILDING")
@@ -108,7 +109,7 @@ def x3_leave_one_group_out(spark, sf):
     return g.select(F.col("pid").alias("held_out"), train.alias("n_train"), F.when((healthy < 5) | (healthy == train) | (healthy == 0), "skipped").otherwise("ok").alias("status"))
 
 
-@query()
+@query(f"WITH {OOF}, g AS (SELECT pid, y, count(*) AS n FROM oof GROUP BY 1, 2), l AS (SELECT pid, y FROM g QUALIFY row_number() OVER (PARTITION BY pid ORDER BY n DESC, y) = 1) SELECT pid, (row_number() OVER (PARTITION BY y ORDER BY {unit_sql('pid')}, pid) - 1) % 5 AS fold FROM l")
 def x4_group_folds(spark, sf):
     return t.group_folds(oof(spark, sf), "pid", "y", 5)
 
@@ -120,7 +121,9 @@ def x5_j10_cohort_transfer(spark, sf):
     return a.join(b, F.col("source") != F.col("target")).select("source", "target", "n_source", "n_target", F.when((F.col("ka") < 2) | (F.col("kb") < 2), "single_class").otherwise("ok").alias("status"))
 
 
-@query()
+@query(f"""WITH n AS (SELECT c_mktsegment, count(*) AS n, count(*) * 40 / (SELECT count(*) FROM customer)::DOUBLE AS exact FROM customer GROUP BY 1), b AS (SELECT *, greatest(floor(exact), 1) AS base FROM n),
+t AS (SELECT *, base + (row_number() OVER (ORDER BY exact - floor(exact) DESC, c_mktsegment) <= 40 - sum(base) OVER ())::INT AS take FROM b)
+SELECT c_custkey, c_mktsegment FROM (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {unit_sql('c_custkey')}, c_custkey) AS k FROM customer) JOIN t USING (c_mktsegment) WHERE k <= take""")
 def x7_proportional_sample(spark, sf):
     return t.proportional_sample(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", "c_mktsegment", 40)
 

@@ -107,3 +107,57 @@ def drop_columns(spark: SparkSession, path: str, to: str, columns: Sequence[str]
     """A stored table without some columns, written to a new place."""
     spark.read.parquet(path).drop(*columns).write.mode("errorifexists").parquet(to)
     return spark.read.parquet(to)
+
+
+def wide_text(spark: SparkSession, folder: str, columns: Sequence[str], glob: str = "S*R*.txt") -> DataFrame:
+    """Rows (file, subject, run, line columns) of recordings without a header; a file with another width or a value missing stops the job."""
+    rows, bad = numeric_text(spark, folder, columns, glob, header=None)
+    if found := [r.file for r in bad.limit(10).collect()]:
+        raise ValueError(f"recordings with odd lines: {', '.join(found)}")
+    n = lambda k: F.regexp_extract("file", r"/S(\d+)R(\d+)\.txt$", k).cast("int")
+    return rows.select("file", n(1).alias("subject"), n(2).alias("run"), *columns)
+
+
+def recording_stats(rows: DataFrame, file: str, annotation: str, dropped: int = 0) -> DataFrame:
+    """(file, n_raw, n_dropped, n_kept): rows of the dropped annotation are calibration and go."""
+    gone = F.col(annotation) == dropped
+    return rows.groupBy(file).agg(F.count("*").alias("n_raw"), F.count_if(gone).alias("n_dropped"), F.count_if(~gone).alias("n_kept"))
+
+
+def subject_rows(rows: DataFrame, subject: str, run: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """rows with row_in_subject: a subject's recordings one after another, by run and then in their own order."""
+    return rows.withColumn("row_in_subject", (F.row_number().over(Window.partitionBy(subject).orderBy(*run, *order)) - 1).cast("long"))
+
+
+def feature_matrix(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """The keys and the named features, in order; a name that is missing stops the job."""
+    if lost := sorted(set(features) - set(df.columns)):
+        raise ValueError(f"features that are not there: {', '.join(lost)}")
+    return df.select(*keys, *features)
+
+
+def oof_scores(spark: SparkSession, path: str, ident: str = "participant_id", score: str = "y_score") -> DataFrame:
+    """Out-of-fold tables below path, a folder a model; columns of older layouts get their present names."""
+    df = spark.read.parquet(path)
+    for old, new in (("pid", ident), ("prob", score), ("y_prob_positive", score)):
+        if old in df.columns and new not in df.columns:
+            df = df.withColumnRenamed(old, new)
+    return df
+
+
+def write_oof(df: DataFrame, path: str, columns: Sequence[str] = ("participant_id", "fold", "y_true", "y_score")) -> None:
+    """Append out-of-fold rows by model, always the same columns in the same order."""
+    feature_matrix(df, ["model"], columns).write.mode("append").partitionBy("model").parquet(path)
+
+
+def seal(df: DataFrame, path: str, force: bool = False) -> None:
+    """Write a result once: an existing one is kept unless forced."""
+    df.write.mode("overwrite" if force else "errorifexists").parquet(path)
+
+
+def write_manifest(splits: DataFrame, path: str, role: str = "role") -> DataFrame:
+    """Write who has which role and how many; returns the counts."""
+    splits.write.mode("errorifexists").option("header", True).csv(f"{path}/participants")
+    counts = splits.groupBy(role).agg(F.count("*").alias("n"))
+    counts.write.mode("errorifexists").json(f"{path}/counts")
+    return counts
