@@ -30,7 +30,7 @@ def delong(df: DataFrame, y: str, a: str, b: str) -> DataFrame:
 
 def replicate_weight(group: Column, replicate: Column, seed: int) -> Column:
     """Poisson(1) resampling weight of a group in a replicate, from a hash: the same in every run and partitioning."""
-    u = F.pmod(F.xxhash64(group, replicate, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    u = unit(group, replicate, seed=seed)
     bounds, p, total = [], 0.36787944117144233, 0.0
     for k in range(1, 9):
         total += p
@@ -42,7 +42,8 @@ def replicate_weight(group: Column, replicate: Column, seed: int) -> Column:
 def bootstrap_auc(df: DataFrame, group: str, y: str, scores: Sequence[str], replicates: int, seed: int = 42) -> DataFrame:
     """(replicate, score, auc) with groups (subjects) resampled. Rows are counted by (group, score) before they are repeated."""
     long = df.unpivot([group, y], list(scores), "score", "s").groupBy(group, "score", "s").agg(F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) == 0).alias("n"))
-    drawn = long.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", replicate_weight(F.col(group), F.col("replicate"), seed)).filter("w > 0")
+    weights = long.select(F.col(group).alias("_g")).distinct().withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", replicate_weight(F.col("_g"), F.col("replicate"), seed)).filter("w > 0")
+    drawn = long.join(weights, F.col(group).eqNullSafe(F.col("_g")))
     c = drawn.groupBy("replicate", "score", "s").agg(F.sum(F.col("w") * F.col("p")).alias("p"), F.sum(F.col("w") * F.col("n")).alias("n"))
     w = Window.partitionBy("replicate", "score").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
     u = c.withColumn("below", F.sum("n").over(w) - F.col("n") / 2).groupBy("replicate", "score").agg(F.sum(F.col("p") * F.col("below")).alias("u"), F.sum("p").alias("m"), F.sum("n").alias("k"))

@@ -20,19 +20,6 @@ def t1_delong(spark, sf):
     return t.delong(oof(spark, sf), "y", "a", "b").select(R6("auc_a").alias("auc_a"), R6("auc_b").alias("auc_b"), R6("z").alias("z"))
 
 
-@query()
-def t2_t3_bootstrap_auc(spark, sf):
-    r = t.bootstrap_auc(oof(spark, sf), "pid", "y", ["a", "b"], 200)
-    return r.groupBy("score").agg(F.count("*").alias("n"), F.expr("percentile(auc, 0.025)").alias("low"), F.expr("percentile(auc, 0.975)").alias("high"))
-
-
-@query()
-def t4_paired_bootstrap(spark, sf):
-    r = t.bootstrap_auc(oof(spark, sf), "pid", "y", ["a", "b"], 200).groupBy("replicate").pivot("score", ["a", "b"]).agg(F.first("auc"))
-    d = F.col("a") - F.col("b")
-    return r.agg(F.avg(d).alias("delta"), F.least(F.lit(1.0), 2 * F.least(F.avg((d <= 0).cast("int")), F.avg((d >= 0).cast("int")))).alias("p"))
-
-
 @query(f"""WITH {OOF}, d AS (SELECT round(a - b, 9) AS d FROM oof WHERE round(a - b, 9) <> 0), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r FROM d)
 SELECT count(*) AS n, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS w FROM r""")
 def t5_signed_rank(spark, sf):
