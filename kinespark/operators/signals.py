@@ -1,7 +1,8 @@
 """Signal operators by trial: segments, windows, time-domain features (native) and NumPy kernels for filters and spectra.
 
-Native operators are windows and aggregates partitioned by trial. Kernels run as grouped Arrow functions, a trial (and
-sensor) a group, so a job grows with the number of trials.
+Native operators are windows and aggregates partitioned by trial. Kernels run as grouped functions on blocks of bounded
+size: filters and orientation on blocks with warm-up rows on their sides, spectra on runs of segments, entropies on cells of
+two blocks, peaks on clusters of candidates. Only by_trial() takes a whole trial as a group.
 """
 
 from __future__ import annotations
@@ -135,6 +136,208 @@ def by_trial(df: DataFrame, keys: Sequence[str], order: str, value: str, kernel:
     return df.select(*names, order, value).groupBy(*names).applyInPandas(run, f"{kinds}, {schema}")
 
 
+#: Rows of a block, and the warm-up rows on each side of it: many time constants of the slowest filter used here.
+BLOCK, WARM_UP = 1 << 16, 1 << 13
+
+
+def by_blocks(df: DataFrame, keys: Sequence[str], idx: str, value: str, kernel: Callable[[np.ndarray], dict], schema: str, block: int = BLOCK, warm_up: int = WARM_UP, up: int = 1, down: int = 1) -> DataFrame:
+    """(keys, idx, kernel's columns) of a kernel that gives up rows for down rows, block by block.
+
+    A block is computed with warm_up rows before and after it, whose results go. A trial of up to a block's rows is one block,
+    so it is computed whole.
+    """
+    names = list(keys)
+    at = F.floor(F.col(idx) / block)
+    inside = F.col(idx) - at * block
+    copies = F.array_distinct(F.array(at, F.when(inside < warm_up, F.greatest(at - 1, F.lit(0))).otherwise(at), F.when(inside >= block - warm_up, at + 1).otherwise(at)))
+    rows = df.select(*names, F.col(idx).cast("long").alias("_idx"), F.col(value).cast("double").alias("_value"), F.explode(copies).alias("_block"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_idx")
+        first, start = int(pdf["_idx"].iloc[0]), int(pdf["_block"].iloc[0]) * block
+        own = int(((pdf["_idx"] >= start) & (pdf["_idx"] < start + block)).sum())
+        if not own:  # a block that has warm-up rows alone
+            return pdf[names].iloc[:0].assign(**{c: np.zeros(0) for c in columns[len(names) :]})
+        made = kernel(pdf["_value"].to_numpy())
+        # results of the block's own rows: a block begins at a whole number of steps
+        low = (start - first) * up // down
+        n = -(-own * up // down)
+        return pd.DataFrame({k: [pdf[k].iloc[0]] * n for k in names} | {"idx": start * up // down + np.arange(n)} | {k: v[low : low + n] for k, v in made.items()})
+
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in names)
+    columns = [*names, "idx", *(c.strip().split(" ")[0] for c in schema.split(","))]
+    return rows.groupBy(*names, "_block").applyInPandas(run, f"{kinds}, idx long, {schema}")
+
+
+def welch_psd(df: DataFrame, keys: Sequence[str], idx: str, value: str, fs: float, segment: int = 256, run_of: int = 64) -> DataFrame:
+    """(keys, freq, power) as welch() gives for each trial; a group is a run of a trial's segments."""
+    names = list(keys)
+    x = df.select(*names, F.col(idx).cast("long").alias("_idx"), F.col(value).cast("double").alias("_value"))
+    n = x.groupBy(*names).agg(F.count("*").alias("_n")).withColumn("_seg", F.greatest(F.lit(2), F.least(F.lit(segment), F.floor(F.col("_n") / 2)))).withColumn("_step", F.greatest(F.lit(1), F.col("_seg") - F.floor(F.col("_seg") / 2)))
+    x = x.join(n, names).filter(F.col("_n") >= F.col("_seg"))
+    first = F.greatest(F.lit(0), F.ceil((F.col("_idx") - F.col("_seg") + 1) / F.col("_step")))
+    last = F.least(F.floor(F.col("_idx") / F.col("_step")), F.floor((F.col("_n") - F.col("_seg")) / F.col("_step")))
+    x = x.withColumn("_first", F.floor(first / run_of)).withColumn("_last", F.floor(last / run_of)).filter(first <= last)
+    x = x.withColumn("_run", F.explode(F.sequence("_first", "_last"))).select(*names, "_idx", "_value", "_n", "_seg", "_step", "_run")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_idx")
+        size, step, k, whole = (int(pdf[c].iloc[0]) for c in ("_seg", "_step", "_run", "_n"))
+        values, start = pdf["_value"].to_numpy(), int(pdf["_idx"].iloc[0])
+        begins = np.arange(k * run_of, min((k + 1) * run_of, (whole - size) // step + 1)) * step - start
+        hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
+        parts = np.stack([values[b : b + size] for b in begins])
+        power = np.abs(np.fft.rfft((parts - parts.mean(1, keepdims=True)) * hann)) ** 2 / (fs * (hann**2).sum())
+        power[:, 1 : -1 if size % 2 == 0 else None] *= 2
+        return pd.DataFrame({c: [pdf[c].iloc[0]] * power.shape[1] for c in names} | {"freq": np.fft.rfftfreq(size, 1 / fs), "_sum": power.sum(0), "_parts": [len(parts)] * power.shape[1]})
+
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in names)
+    sums = x.groupBy(*names, "_run").applyInPandas(run, f"{kinds}, freq double, _sum double, _parts long")
+    return sums.groupBy(*names, "freq").agg((F.sum("_sum") / F.sum("_parts")).alias("power"))
+
+
+def peak_rows(df: DataFrame, keys: Sequence[str], idx: str, value: Column, distance: int, percentile: float) -> DataFrame:
+    """(keys, idx) of the peaks as peaks() gives for each trial, from its percentile on.
+
+    Candidates are found by their neighbours; those closer than the distance form a cluster, which is a group.
+    """
+    names = list(keys)
+    w = Window.partitionBy(*names).orderBy("_idx")
+    x = df.select(*names, F.col(idx).cast("long").alias("_idx"), value.cast("double").alias("_v"))
+    cut = x.groupBy(*names).agg(F.percentile("_v", percentile / 100).alias("_cut"))
+    x = x.withColumn("_left", F.lag("_v").over(w)).withColumn("_right", F.lead("_v").over(w)).join(cut, names)
+    x = x.filter((F.col("_v") > F.col("_left")) & (F.col("_v") >= F.col("_right")) & (F.col("_v") >= F.col("_cut")))
+    apart = F.coalesce(F.col("_idx") - F.lag("_idx").over(w) >= distance, F.lit(False)).cast("int")
+    x = x.withColumn("_new", apart).withColumn("_cluster", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    alone = F.count("*").over(Window.partitionBy(*names, "_cluster")) == 1
+    x = x.withColumn("_alone", alone)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, v = pdf["_idx"].to_numpy(), pdf["_v"].to_numpy()
+        kept: list[int] = []
+        for k in np.lexsort((at, -v)):
+            if all(abs(at[k] - other) >= distance for other in kept):
+                kept.append(int(at[k]))
+        return pd.DataFrame({c: [pdf[c].iloc[0]] * len(kept) for c in names} | {"idx": sorted(kept)})
+
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in names)
+    crowded = x.filter(~F.col("_alone")).select(*names, "_cluster", "_idx", "_v").groupBy(*names, "_cluster").applyInPandas(run, f"{kinds}, idx long")
+    return x.filter("_alone").select(*names, F.col("_idx").alias("idx")).unionByName(crowded)
+
+
+def orientation_summary(df: DataFrame, keys: Sequence[str], order: Sequence[str], tilt: str, pitch: str, roll: str, fs: float) -> DataFrame:
+    """Mean, deviation and range of the tilt, deviations of pitch and roll in degrees, and the mean speed of the tilt."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    x = df.withColumn("_rate", F.abs(F.degrees(F.col(tilt)) - F.degrees(F.lag(tilt).over(w))) * fs)
+    d = F.degrees(F.col(tilt))
+    return x.groupBy(*keys).agg(F.avg(d).alias("tilt_mean"), F.stddev_pop(d).alias("tilt_sd"), (F.max(d) - F.min(d)).alias("tilt_range"), F.stddev_pop(F.degrees(F.col(pitch))).alias("pitch_sd"), F.stddev_pop(F.degrees(F.col(roll))).alias("roll_sd"), F.avg("_rate").alias("sway"))
+
+
+def rms_asymmetry(left: DataFrame, right: DataFrame, keys: Sequence[str], idx: str, value: str) -> DataFrame:
+    """(keys, asymmetry, symmetry_index) of two sides' RMS over the places that both have."""
+    both = left.select(*keys, idx, F.col(value).alias("_l")).join(right.select(*keys, idx, F.col(value).alias("_r")), [*keys, idx])
+    g = both.groupBy(*keys).agg(F.sqrt(F.avg(F.col("_l") ** 2)).alias("l"), F.sqrt(F.avg(F.col("_r") ** 2)).alias("r"))
+    gap, total = F.abs(F.col("l") - F.col("r")), F.col("l") + F.col("r")
+    return g.select(*keys, (gap / (total + 1e-10)).alias("asymmetry"), (100 * gap / (0.5 * total + 1e-10)).alias("symmetry_index"))
+
+
+def range_of_motion(df: DataFrame, keys: Sequence[str], segment: str, idx: str, rate: str, dt: float, least: int = 4) -> DataFrame:
+    """(keys, rom, n): mean over segments of the integrated angle's peak-to-peak in degrees, its end brought back to 0 by a linear drift."""
+    here = [*keys, segment]
+    w = Window.partitionBy(*here).orderBy(idx)
+    x = df.withColumn("_k", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*here))).filter(F.col("_n") >= least)
+    x = x.withColumn("_angle", F.sum(F.col(rate) * dt).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_end", F.sum(F.col(rate) * dt).over(Window.partitionBy(*here)))
+    x = x.withColumn("_angle", F.degrees(F.col("_angle") - F.col("_end") * F.col("_k") / (F.col("_n") - 1)))
+    return x.groupBy(*here).agg((F.max("_angle") - F.min("_angle")).alias("_rom")).groupBy(*keys).agg(F.avg("_rom").alias("rom"), F.count("*").alias("n"))
+
+
+def harmonic_ratio(psd: DataFrame, keys: Sequence[str], below: float, orders: int = 6) -> DataFrame:
+    """(keys, dominant, ratio): power at the even multiples of the dominant frequency over that at the odd ones, each at its
+    nearest bin (the lower on ties); null without a positive frequency or power."""
+    top = psd.groupBy(*keys).agg(F.max_by("freq", F.struct("power", -F.col("freq"))).alias("dominant"))
+    each = top.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(orders)))).filter((F.col("dominant") > 0) & (F.col("dominant") * F.col("k") < below))
+    near = psd.join(each, list(keys)).groupBy(*keys, "k").agg(F.min_by("power", F.struct(F.abs(F.col("freq") - F.col("dominant") * F.col("k")), "freq")).alias("p"))
+    sums = near.groupBy(*keys).agg(F.sum(F.when(F.col("k") % 2 == 0, F.col("p")).otherwise(0.0)).alias("even"), F.sum(F.when(F.col("k") % 2 == 1, F.col("p")).otherwise(0.0)).alias("odd"))
+    return top.join(sums, list(keys), "left").select(*keys, "dominant", F.when((F.col("even") > 0) | (F.col("odd") > 0), F.col("even") / (F.col("odd") + 1e-10)).alias("ratio"))
+
+
+def freezing_series(df: DataFrame, keys: Sequence[str], idx: str, value: str, fs: float, length: int, hop: int, locomotion: tuple[float, float], freezing: tuple[float, float]) -> DataFrame:
+    """(keys, idx, freezing_index) of every sample: the ratio of two bands' powers in the window that began last before it.
+
+    A window's spectrum is one Hann segment without its mean, by sums of cosines and sines over its rows.
+    """
+    x = windows(df.select(*keys, F.col(idx).alias("idx"), F.col(value).cast("double").alias("_v")), keys, "idx", length, hop)
+    here = [*keys, "window_start"]
+    mean = x.groupBy(*here).agg(F.avg("_v").alias("_mean"))
+    at = F.col("idx") - F.col("window_start")
+    x = x.join(mean, here).withColumn("_y", (F.col("_v") - F.col("_mean")) * (0.5 - 0.5 * F.cos(2 * np.pi * at / length)))
+    bins = [k for k in range(1, length // 2 + 1) if any(lo <= k * fs / length < hi for lo, hi in (locomotion, freezing))]
+    angle = F.lit(2 * np.pi) * F.col("_k") * at / length
+    power = x.withColumn("_k", F.explode(F.array(*map(F.lit, bins)))).groupBy(*here, "_k").agg((F.sum(F.col("_y") * F.cos(angle)) ** 2 + F.sum(F.col("_y") * F.sin(angle)) ** 2).alias("power"))
+    power = power.select(*here, (F.col("_k") * fs / length).alias("freq"), "power")
+    low, high = (band_power(power, here, *band).withColumnRenamed("band_power", name) for band, name in ((locomotion, "_low"), (freezing, "_high")))
+    ratio = low.join(high, here).select(*here, F.when(F.col("_low") > 0, F.col("_high") / F.col("_low")).alias("freezing_index"))
+    samples = df.select(*keys, F.col(idx).alias("idx")).join(df.groupBy(*keys).agg(F.count("*").alias("_n")), list(keys)).filter(F.col("_n") >= length)
+    last = F.least(F.floor(F.col("idx") / hop), F.floor((F.col("_n") - length) / hop)) * hop
+    return samples.withColumn("window_start", last.cast("long")).join(ratio, here, "left").select(*keys, "idx", "freezing_index")
+
+
+def dfa_exponent(df: DataFrame, keys: Sequence[str], idx: str, value: str, scales: int = 12) -> DataFrame:
+    """(keys, dfa): slope of log fluctuation against log scale, as dfa() gives, by aggregates over (scale, block)."""
+    names = list(keys)
+    stats = df.groupBy(*names).agg(F.count("*").alias("_n"), F.avg(value).alias("_mean"))
+    w = Window.partitionBy(*names).orderBy(idx)
+    x = df.join(stats, names).withColumn("_k", F.row_number().over(w) - 1).withColumn("_y", F.sum(F.col(value) - F.col("_mean")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    top = F.greatest(F.lit(5), F.floor(F.col("_n") / 4)).cast("double")
+    sizes = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(scales - 1)), lambda i: F.floor(4 * F.pow(top / 4, i / float(scales - 1)) + 1e-9)))
+    x = x.withColumn("_scale", F.explode(sizes)).withColumn("_blocks", F.floor(F.col("_n") / F.col("_scale"))).filter((F.col("_blocks") >= 2) & (F.col("_k") < F.col("_blocks") * F.col("_scale")))
+    x = x.withColumn("_t", F.col("_k") % F.col("_scale")).groupBy(*names, "_scale", F.floor(F.col("_k") / F.col("_scale")).alias("_b")).agg((F.regr_syy("_y", "_t") - F.regr_sxy("_y", "_t") ** 2 / F.regr_sxx("_y", "_t")).alias("_rest"))
+    f = x.groupBy(*names, "_scale").agg((0.5 * F.log(F.sum("_rest") / (F.count("*") * F.col("_scale")))).alias("_f"))
+    return f.groupBy(*names).agg(F.when(F.count("*") > 1, F.regr_slope("_f", F.log(F.col("_scale").cast("double")))).alias("dfa"))
+
+
+def entropies(df: DataFrame, keys: Sequence[str], idx: str, value: str, m: int = 2, r: float = 0.2, block: int = 2048) -> DataFrame:
+    """(keys, sample_entropy, approximate_entropy) with Chebyshev distance and a tolerance of r deviations.
+
+    Templates are dealt to blocks in order, and each pair of blocks is a cell: a bounded group that returns each template's
+    matches. The work is quadratic in a trial's rows, as the definition is.
+    """
+    names = list(keys)
+    w = Window.partitionBy(*names).orderBy(idx)
+    stats = df.groupBy(*names).agg(F.count("*").alias("_n"), (r * F.stddev_pop(value)).alias("_tol"))
+    x = df.join(stats, names).withColumn("_k", (F.row_number().over(w) - 1).cast("long"))
+    parts = F.array(F.col(value).cast("double"), *(F.lead(value, j).over(w).cast("double") for j in range(1, m + 1)))
+    x = x.select(*names, "_k", "_n", "_tol", parts.alias("_x")).filter((F.col("_k") <= F.col("_n") - m) & (F.col("_tol") > 0) & (F.col("_n") >= m + 2))
+    blocks = F.ceil((F.col("_n") - m + 1) / block)
+    own = F.floor(F.col("_k") / block)
+    every = F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long"))
+    mine = x.select("*", own.alias("_i"), F.explode(every).alias("_j"), F.lit(True).alias("_asks"))
+    theirs = x.select("*", F.explode(every).alias("_i"), own.alias("_j"), F.lit(False).alias("_asks"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks = pdf["_asks"].to_numpy()
+        a, b = pdf[asks], pdf[~asks]
+        x, y, tol, n = np.stack(a["_x"]).astype(float), np.stack(b["_x"]).astype(float), float(pdf["_tol"].iloc[0]), int(pdf["_n"].iloc[0])
+        counts = np.zeros((len(x), 4), np.int64)
+        ka, kb = a["_k"].to_numpy(), b["_k"].to_numpy()
+        inner = kb <= n - m - 1  # templates that go on
+        for at in range(0, len(x), 256):
+            d = np.abs(x[at : at + 256, None] - y[None])
+            short, whole = d[:, :, :m].max(2) <= tol, d.max(2) <= tol
+            goes, other = ka[at : at + 256, None] <= n - m - 1, ka[at : at + 256, None] != kb
+            counts[at : at + 256] = np.stack([(short & goes & inner & other).sum(1), (whole & goes & inner & other).sum(1), short.sum(1), (whole & goes & inner).sum(1)], 1)
+        return pd.DataFrame({c: [pdf[c].iloc[0]] * len(x) for c in names} | {"_k": ka, "_n": [n] * len(x)} | {f"_c{j}": counts[:, j] for j in range(4)})
+
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in names)
+    cells = mine.unionByName(theirs).groupBy(*names, "_i", "_j").applyInPandas(run, f"{kinds}, _k long, _n long, " + ", ".join(f"_c{j} long" for j in range(4)))
+    each = cells.groupBy(*names, "_k", "_n").agg(*(F.sum(f"_c{j}").alias(f"_c{j}") for j in range(4)))
+    goes = F.col("_k") <= F.col("_n") - m - 1
+    g = each.groupBy(*names).agg(
+        F.sum("_c0").alias("_b"), F.sum("_c1").alias("_a"), F.avg(F.log(F.col("_c2") / (F.col("_n") - m + 1))).alias("_phi"), F.avg(F.when(goes, F.log(F.col("_c3") / (F.col("_n") - m)))).alias("_phi1"),
+    )
+    return g.select(*names, F.when((F.col("_a") > 0) & (F.col("_b") > 0), -F.log(F.col("_a") / F.col("_b"))).alias("sample_entropy"), (F.col("_phi") - F.col("_phi1")).alias("approximate_entropy"))
+
+
 def butter_sections(order: int, low: float | None, high: float | None, fs: float) -> list[np.ndarray]:
     """Second-order sections (b0 b1 b2 a1 a2) of a Butterworth high-pass at low and/or low-pass at high, bilinear transform."""
     made = []

@@ -5,6 +5,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from kinespark.functions.hashes import unit, unit_sql
 from kinespark.operators import signals as g
 from kinespark.plans.register import query, table
 
@@ -49,12 +50,38 @@ def g13_sliding_windows(spark, sf):
     return w.groupBy("user_id", "window_start").agg(F.count("*").alias("n"), R6(F.avg("value")).alias("mean"))
 
 
-@query()
+WINDOWS = "w AS (SELECT user_id, window_start, avg(value) AS mean FROM e JOIN (SELECT user_id AS u, unnest(range(0, count(*) - {n} + 1, {step})) AS window_start FROM events GROUP BY 1 HAVING count(*) >= {n}) ON user_id = u AND idx BETWEEN window_start AND window_start + {n} - 1 GROUP BY 1, 2)"
+
+
+@query(f"WITH {E}, {WINDOWS.format(n=10, step=10)} SELECT user_id, window_start, round(mean, 6) AS mean FROM w QUALIFY row_number() OVER (PARTITION BY user_id, window_start // 40 ORDER BY {unit_sql('user_id', 'window_start')}) = 1")
 def g14_random_block_windows(spark, sf):
     """One window of 10 of each block of 40 rows, by a hash."""
     w = g.windows(events(spark, sf), ["user_id"], "idx", 10, 10).groupBy("user_id", "window_start").agg(F.avg("value").alias("mean"))
-    pick = Window.partitionBy("user_id", F.floor(F.col("window_start") / 40)).orderBy(F.xxhash64(F.lit(42), "user_id", "window_start"))
-    return w.withColumn("k", F.row_number().over(pick)).filter("k = 1").drop("k")
+    pick = Window.partitionBy("user_id", F.floor(F.col("window_start") / 40)).orderBy(unit("user_id", "window_start"))
+    return w.withColumn("k", F.row_number().over(pick)).filter("k = 1").select("user_id", "window_start", R6("mean").alias("mean"))
+
+
+@query(f"WITH {E}, {WINDOWS.format(n=20, step=10)} SELECT user_id, window_start, round(mean, 6) AS mean FROM w ORDER BY {unit_sql('user_id', 'window_start')}, user_id, window_start LIMIT 50")
+def g15_capped_windows(spark, sf):
+    """A sample of 50 windows, by a hash: the limit is what the operator is for."""
+    w = g.windows(events(spark, sf), ["user_id"], "idx", 20, 10).groupBy("user_id", "window_start").agg(F.avg("value").alias("mean"))
+    return w.orderBy(unit("user_id", "window_start"), "user_id", "window_start").limit(50).select("user_id", "window_start", R6("mean").alias("mean"))
+
+
+@query(f"WITH {E}, {WINDOWS.format(n=20, step=20)} SELECT c_mktsegment AS cohort, user_id AS participant, window_start, round(mean, 6) AS mean FROM w JOIN customer ON c_custkey = user_id")
+def g16_participant_windows(spark, sf):
+    w = g.windows(events(spark, sf), ["user_id"], "idx", 20, 20).groupBy("user_id", "window_start").agg(R6(F.avg("value")).alias("mean"))
+    people = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("cohort"))
+    return w.join(people, "user_id").select("cohort", F.col("user_id").alias("participant"), "window_start", "mean")
+
+
+@query(f"""WITH {E.replace('SELECT *,', "SELECT * REPLACE (CASE WHEN event_type = 'click' THEN value ELSE 0 END AS value),")}, {WINDOWS.format(n=20, step=10)} SELECT user_id, window_start, round(mean, 6) AS mean FROM w""")
+def g17_single_sensor_windows(spark, sf):
+    """Windows in which only one sensor's samples are left."""
+    from kinespark.operators import policy
+
+    e = policy.mask_inactive(events(spark, sf), "event_type", ["click"], ["value"])
+    return g.windows(e, ["user_id"], "idx", 20, 10).groupBy("user_id", "window_start").agg(R6(F.avg("value")).alias("mean"))
 
 
 @query(f"""WITH {E}, j AS (SELECT *, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY idx)) AS j FROM e)
@@ -161,69 +188,188 @@ def kernel(spark, sf, run, schema):
     return g.by_trial(events(spark, sf), ["user_id"], "idx", "value", run, schema)
 
 
+def blocks(spark, sf, run, schema, **how):
+    return g.by_blocks(events(spark, sf), ["user_id"], "idx", "value", run, schema, **how)
+
+
 @query()
 def g2_band_pass(spark, sf):
     sections = g.butter_sections(4, 0.5, 20, 100)
-    return kernel(spark, sf, lambda x: {"idx": np.arange(len(x)), "filtered": g.filtered(x, sections)}, "idx long, filtered double")
+    return blocks(spark, sf, lambda x: {"filtered": g.filtered(x, sections)}, "filtered double")
 
 
 @query()
 def g3_low_pass(spark, sf):
     sections = g.butter_sections(4, None, 20, 100)
-    return kernel(spark, sf, lambda x: {"idx": np.arange(len(x)), "filtered": g.filtered(x, sections)}, "idx long, filtered double")
+    return blocks(spark, sf, lambda x: {"filtered": g.filtered(x, sections)}, "filtered double")
+
+
+@query()
+def g4_two_pass_filter(spark, sf):
+    """High-pass and low-pass as two filters, one after the other."""
+    high, low = g.butter_sections(4, 0.5, None, 100), g.butter_sections(4, None, 20, 100)
+    return blocks(spark, sf, lambda x: {"filtered": g.filtered(g.filtered(x, high), low)}, "filtered double")
 
 
 @query()
 def g5_gravity_removal(spark, sf):
     sections = g.butter_sections(2, None, 0.1, 100)
-    return kernel(spark, sf, lambda x: {"idx": np.arange(len(x)), "free": x - (g.filtered(x, sections) if len(x) >= 50 else np.median(x))}, "idx long, free double")
+    return blocks(spark, sf, lambda x: {"free": x - (g.filtered(x, sections) if len(x) >= 50 else np.median(x))}, "free double")
 
 
 @query()
 def g6_heel_strikes(spark, sf):
-    return kernel(spark, sf, lambda x: {"idx": g.peaks(x, 5, np.percentile(x, 60))}, "idx long")
+    return g.peak_rows(events(spark, sf), ["user_id"], "idx", F.col("value"), 5, 60)
 
 
 @query()
 def g7_toe_offs(spark, sf):
-    return kernel(spark, sf, lambda x: {"idx": g.peaks(-x, 5, np.percentile(-x, 60))}, "idx long")
+    return g.peak_rows(events(spark, sf), ["user_id"], "idx", -F.col("value"), 5, 60)
+
+
+def tilt(x):
+    a = np.stack([x, np.r_[x[:1], x[:-1]], np.abs(x) + 1], 1)
+    q = g.orientation(a, np.gradient(a, axis=0) if len(a) > 1 else a * 0, 0.01)
+    w, i, j, k = q.T
+    return {"roll": np.arctan2(2 * (w * i + j * k), 1 - 2 * (i * i + j * j)), "pitch": np.arcsin(np.clip(2 * (w * j - k * i), -1, 1))}
 
 
 @query()
 def g8_orientation(spark, sf):
+    """Roll and pitch; a block's fusion settles during its warm-up rows."""
+    return blocks(spark, sf, tilt, "roll double, pitch double")
+
+
+@query()
+def g9_cleaning_chain(spark, sf):
+    """Filter, orientation and gravity removal in one pass of the blocks, then heel strikes of what is left."""
+    band, gravity = g.butter_sections(4, 0.5, 20, 100), g.butter_sections(2, None, 0.1, 100)
+
     def run(x):
-        a = np.stack([x, np.roll(x, 1), np.abs(x) + 1], 1)
-        q = g.orientation(a, np.gradient(a, axis=0) if len(a) > 1 else a * 0, 0.01)
-        w, i, j, k = q.T
-        return {"idx": np.arange(len(x)), "roll": np.arctan2(2 * (w * i + j * k), 1 - 2 * (i * i + j * j)), "pitch": np.arcsin(np.clip(2 * (w * j - k * i), -1, 1))}
+        y = g.filtered(x, band)
+        return {"filtered": y, **tilt(x), "free": y - g.filtered(y, gravity) if len(y) >= 50 else y - np.median(y)}
 
-    return kernel(spark, sf, run, "idx long, roll double, pitch double")
+    clean = blocks(spark, sf, run, "filtered double, roll double, pitch double, free double")
+    strikes = g.peak_rows(clean, ["user_id"], "idx", F.col("free"), 5, 60).withColumn("heel_strike", F.lit(1))
+    return clean.join(strikes, ["user_id", "idx"], "left").withColumn("heel_strike", F.coalesce("heel_strike", F.lit(0)))
 
 
 @query()
 def g10_resample(spark, sf):
-    return kernel(spark, sf, lambda x: {"idx": np.arange(-(-len(x) * 25 // 16)), "value": g.resample(x, 25, 16)}, "idx long, value double")
+    return blocks(spark, sf, lambda x: {"value": g.resample(x, 25, 16)}, "value double", up=25, down=16)
 
 
-@query()
+PSD = """n AS (SELECT user_id, count(*) AS n, greatest(2, least(256, count(*) // 2)) AS seg FROM events GROUP BY 1), t AS (SELECT user_id, seg, unnest(range(0, n - seg + 1, greatest(1, seg - seg // 2))) AS start FROM n WHERE n >= seg),
+c AS (SELECT user_id, seg, start, idx - start AS i, value - avg(value) OVER (PARTITION BY user_id, start) AS v FROM t JOIN e USING (user_id) WHERE idx >= start AND idx < start + seg),
+h AS (SELECT *, v * (0.5 - 0.5 * cos(2 * pi() * i / seg)) AS y, unnest(range(0, seg // 2 + 1)) AS k FROM c),
+p AS (SELECT user_id, seg, start, k, sum(y * cos(2 * pi() * k * i / seg)) ** 2 + sum(y * sin(2 * pi() * k * i / seg)) ** 2 AS p, sum((0.5 - 0.5 * cos(2 * pi() * i / seg)) ** 2) AS hann FROM h GROUP BY 1, 2, 3, 4),
+psd AS (SELECT user_id, k * 100.0 / seg AS freq, avg(p / (100 * hann)) * max(CASE WHEN k = 0 OR 2 * k = seg THEN 1 ELSE 2 END) AS power FROM p GROUP BY 1, 2, k)"""
+
+
+@query(f"WITH {E}, {PSD} SELECT user_id, round(freq, 6) AS freq, round(power, 5) AS power FROM psd")
 def f14_welch(spark, sf):
-    def run(x):
-        f, p = g.welch(x, 100)
-        return {"freq": f, "power": p}
+    return welch(spark, sf).select("user_id", R6("freq").alias("freq"), F.round("power", 5).alias("power"))
+
 
-    return kernel(spark, sf, run, "freq double, power double")
+def welch(spark, sf):
+    return g.welch_psd(events(spark, sf), ["user_id"], "idx", "value", 100)
 
 
 @query()
-def f17_welch_features(spark, sf):
-    return g.spectrum_shape(f14_welch(spark, sf), ["user_id"])
+def g11_resample_check(spark, sf):
+    """The band's peak frequency before and after resampling, and whether it stays within half a hertz."""
+    def peak(df, fs, name):
+        psd = g.welch_psd(df, ["user_id"], "idx", "value", fs).filter(F.col("freq").between(0.5, 20))
+        return psd.groupBy("user_id").agg(F.max_by("freq", F.struct("power", -F.col("freq"))).alias(name))
+
+    both = peak(events(spark, sf), 100, "before").join(peak(g10_resample(spark, sf), 156.25, "after"), "user_id")
+    return both.withColumn("shift", F.abs(F.col("before") - F.col("after"))).withColumn("ok", F.col("shift") <= 0.5)
+
+
+@query(f"""WITH {DAY}, t AS (SELECT user_id, arg_max(freq, (power, -freq)) AS dominant FROM psd GROUP BY 1), k AS (SELECT user_id, dominant, unnest(range(1, 7)) AS k FROM t), q AS (SELECT k.user_id, k.k, arg_min(power, (abs(freq - dominant * k.k), freq)) AS p FROM k JOIN psd USING (user_id) WHERE dominant > 0 AND dominant * k.k < 20 GROUP BY 1, 2)
+SELECT t.user_id, dominant, round(CASE WHEN sum(p) > 0 THEN sum(CASE WHEN k % 2 = 0 THEN p ELSE 0 END) / (sum(CASE WHEN k % 2 = 1 THEN p ELSE 0 END) + 1e-10) END, 6) AS ratio FROM t LEFT JOIN q USING (user_id) GROUP BY 1, 2""")
+def f17_harmonic_ratio(spark, sf):
+    return g.harmonic_ratio(day_spectrum(spark, sf), ["user_id"], 20).withColumn("ratio", R6("ratio"))
+
+
+@query(f"""WITH {E}, t AS (SELECT user_id, count(*) AS n, unnest(range(0, count(*) - 20 + 1, 5)) AS start FROM events GROUP BY 1 HAVING count(*) >= 20), c AS (SELECT user_id, start, idx - start AS i, value - avg(value) OVER (PARTITION BY user_id, start) AS v FROM t JOIN e USING (user_id) WHERE idx BETWEEN start AND start + 19),
+h AS (SELECT *, v * (0.5 - 0.5 * cos(2 * pi() * i / 20)) AS y, unnest([1, 2, 3, 4, 5, 6, 7, 8, 9]) AS k FROM c), p AS (SELECT user_id, start, k, sum(y * cos(2 * pi() * k * i / 20)) ** 2 + sum(y * sin(2 * pi() * k * i / 20)) ** 2 AS p FROM h GROUP BY 1, 2, 3),
+a AS (SELECT user_id, start, k >= 4 AS hi, (p + lag(p) OVER w) / 2 AS a FROM p WINDOW w AS (PARTITION BY user_id, start, k >= 4 ORDER BY k)), f AS (SELECT user_id, start, sum(a) FILTER (WHERE hi) AS hi, sum(a) FILTER (WHERE NOT hi) AS lo FROM a GROUP BY 1, 2),
+n AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1)
+SELECT e.user_id, e.idx, round(CASE WHEN lo > 0 THEN hi / lo END, 5) AS freezing_index FROM e JOIN n USING (user_id) JOIN f ON f.user_id = e.user_id AND f.start = least(e.idx // 5, (n - 20) // 5) * 5 WHERE n >= 20""")
+def f19_freezing_series(spark, sf):
+    """Windows of 20 samples, 5 apart, at 20 Hz: bins of 1 Hz, locomotion below 4 Hz and freezing from there to 10 Hz."""
+    x = g.freezing_series(events(spark, sf), ["user_id"], "idx", "value", 20.0, 20, 5, (1.0, 4.0), (4.0, 10.0))
+    return x.withColumn("freezing_index", F.round("freezing_index", 5))
+
+
+ANGLES = "x AS (SELECT user_id, idx, value / 100 AS tilt, value / 150 AS pitch, value / 200 AS roll FROM e)"
+
+
+def angles(spark, sf):
+    return events(spark, sf).select("user_id", "idx", (F.col("value") / 100).alias("tilt"), (F.col("value") / 150).alias("pitch"), (F.col("value") / 200).alias("roll"))
+
+
+@query(f"""WITH {E}, {ANGLES}, r AS (SELECT *, abs(degrees(tilt) - degrees(lag(tilt) OVER (PARTITION BY user_id ORDER BY idx))) * 100 AS rate FROM x)
+SELECT user_id, round(avg(degrees(tilt)), 5) AS tilt_mean, round(stddev_pop(degrees(tilt)), 5) AS tilt_sd, round(max(degrees(tilt)) - min(degrees(tilt)), 5) AS tilt_range, round(stddev_pop(degrees(pitch)), 5) AS pitch_sd, round(stddev_pop(degrees(roll)), 5) AS roll_sd, round(avg(rate), 4) AS sway FROM r GROUP BY 1""")
+def f3_orientation_summary(spark, sf):
+    s = g.orientation_summary(angles(spark, sf), ["user_id"], ["idx"], "tilt", "pitch", "roll", 100)
+    return s.withColumns({c: F.round(c, 4 if c == "sway" else 5) for c in s.columns[1:]})
+
+
+@query("""WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k, value FROM events), s AS (SELECT a.user_id, sqrt(avg(a.value ** 2)) AS l, sqrt(avg(b.value ** 2)) AS r FROM e a JOIN e b ON a.user_id = b.user_id AND a.k = b.k AND a.event_type = 'click' AND b.event_type = 'view' GROUP BY 1)
+SELECT user_id, round(abs(l - r) / (l + r + 1e-10), 6) AS asymmetry, round(100 * abs(l - r) / (0.5 * (l + r) + 1e-10), 5) AS symmetry_index FROM s""")
+def f5_rms_asymmetry(spark, sf):
+    e = table(spark, sf, "events").withColumn("k", F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")))
+    a = g.rms_asymmetry(e.filter("event_type = 'click'"), e.filter("event_type = 'view'"), ["user_id"], "k", "value")
+    return a.withColumn("asymmetry", R6("asymmetry")).withColumn("symmetry_index", F.round("symmetry_index", 5))
+
+
+@query(f"""WITH {E}, s AS (SELECT user_id, idx // 10 AS seg, idx % 10 AS k, value / 100 AS v, count(*) OVER (PARTITION BY user_id, idx // 10) AS n FROM e), c AS (SELECT *, sum(v * 0.01) OVER (PARTITION BY user_id, seg ORDER BY k) AS angle, sum(v * 0.01) OVER (PARTITION BY user_id, seg) AS last FROM s WHERE n >= 4),
+r AS (SELECT user_id, seg, max(degrees(angle - last * k / (n - 1))) - min(degrees(angle - last * k / (n - 1))) AS rom FROM c GROUP BY 1, 2) SELECT user_id, round(avg(rom), 6) AS rom, count(*) AS n FROM r GROUP BY 1""")
+def f13_range_of_motion(spark, sf):
+    e = events(spark, sf).select("user_id", "idx", (F.col("value") / 100).alias("rate"), F.floor(F.col("idx") / 10).alias("segment"))
+    return g.range_of_motion(e, ["user_id"], "segment", "idx", "rate", 0.01).withColumn("rom", R6("rom"))
+
+
+@query(f"""WITH {E}, s AS (SELECT user_id, count(*) AS n, avg(value) AS m, stddev_pop(value) * 0.2 AS tol FROM events GROUP BY 1), t AS (SELECT e.user_id, idx AS k, n, tol, value AS x0, lead(value) OVER w AS x1, lead(value, 2) OVER w AS x2 FROM e JOIN s USING (user_id) WHERE n >= 4 AND tol > 0 WINDOW w AS (PARTITION BY e.user_id ORDER BY idx)),
+p AS (SELECT a.user_id, a.k, a.n, a.k <= a.n - 3 AS goes, sum((a.k <> b.k AND a.k <= a.n - 3 AND b.k <= a.n - 3)::INT) AS c0, sum((a.k <> b.k AND a.k <= a.n - 3 AND b.k <= a.n - 3 AND abs(a.x2 - b.x2) <= a.tol)::INT) AS c1, count(*) AS c2, sum((a.k <= a.n - 3 AND b.k <= a.n - 3 AND abs(a.x2 - b.x2) <= a.tol)::INT) AS c3
+  FROM t a JOIN t b ON a.user_id = b.user_id AND a.k <= a.n - 2 AND b.k <= b.n - 2 AND abs(a.x0 - b.x0) <= a.tol AND abs(a.x1 - b.x1) <= a.tol GROUP BY 1, 2, 3, 4)
+SELECT user_id, round(CASE WHEN sum(c1) > 0 AND sum(c0) > 0 THEN -ln(sum(c1) / sum(c0)) END, 6) AS sample_entropy, round(avg(ln(c2 / (n - 1))) - avg(ln(c3 / (n - 2))) FILTER (WHERE goes), 6) AS approximate_entropy FROM p GROUP BY 1""")
+def f24_entropies(spark, sf):
+    x = g.entropies(events(spark, sf), ["user_id"], "idx", "value")
+    return x.withColumns({c: R6(c) for c in ("sample_entropy", "approximate_entropy")})
+
+
+@query(f"""WITH {E}, s AS (SELECT user_id, count(*) AS n, avg(value) AS m FROM events GROUP BY 1), y AS (SELECT e.user_id, idx AS k, n, sum(value - m) OVER (PARTITION BY e.user_id ORDER BY idx) AS y FROM e JOIN s USING (user_id)),
+c AS (SELECT DISTINCT user_id, n, unnest([floor(4 * pow(greatest(5, n // 4) / 4.0::DOUBLE, i / 11.0::DOUBLE) + 1e-9)::BIGINT for i in range(0, 12)]) AS scale FROM s), b AS (SELECT y.user_id, scale, k // scale AS b, k % scale AS t, y FROM y JOIN c USING (user_id) WHERE c.n // scale >= 2 AND k < (c.n // scale) * scale),
+r AS (SELECT user_id, scale, b, regr_syy(y, t) - regr_sxy(y, t) ** 2 / regr_sxx(y, t) AS rest FROM b GROUP BY 1, 2, 3), f AS (SELECT user_id, scale, 0.5 * ln(sum(rest) / (count(*) * scale)) AS f FROM r GROUP BY 1, 2)
+SELECT user_id, round(CASE WHEN count(*) > 1 THEN regr_slope(f, ln(scale)) END, 5) AS dfa FROM f GROUP BY 1""")
+def f25_dfa(spark, sf):
+    return g.dfa_exponent(events(spark, sf), ["user_id"], "idx", "value").withColumn("dfa", F.round("dfa", 5))
 
 
 @query()
 def f23_f25_nonlinear(spark, sf):
+    """A whole trial a group: the exponent's neighbours are searched in blocks of distances, in quadratic time."""
     return kernel(spark, sf, lambda x: {"sample_entropy": g.sample_entropy(x), "dfa": g.dfa(x), "lyapunov": g.lyapunov(x, 2, 3, 8)}, "sample_entropy double, dfa double, lyapunov double")
 
 
+@query(f"""WITH {E}, {ANGLES}, j AS (SELECT user_id, value, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY idx)) AS j FROM e), t AS (SELECT user_id, sqrt(avg(value * value)) AS rms, max(value) - min(value) AS range, avg(j) AS mean_jerk FROM j GROUP BY 1), o AS (SELECT user_id, stddev_pop(degrees(tilt)) AS tilt_sd FROM x GROUP BY 1),
+b AS (SELECT user_id, avg(r) AS block_rms_mean FROM (SELECT user_id, idx // 10 AS b, sqrt(avg(value * value)) AS r FROM e GROUP BY 1, 2 HAVING count(*) = 10) GROUP BY 1)
+SELECT user_id, round(rms, 5) AS rms, round(range, 5) AS range, round(mean_jerk, 5) AS mean_jerk, round(tilt_sd, 5) AS tilt_sd, round(block_rms_mean, 5) AS block_rms_mean FROM t LEFT JOIN o USING (user_id) LEFT JOIN b USING (user_id)""")
+def f28_full_extraction(spark, sf):
+    """All families of a trial's features in long form, then one row a trial."""
+    e = events(spark, sf)
+    wanted = ["rms", "range", "mean_jerk", "tilt_sd", "block_rms_mean"]
+    families = (g.time_features(e, ["user_id"], ["idx"], "value"), g.orientation_summary(angles(spark, sf), ["user_id"], ["idx"], "tilt", "pitch", "roll", 100), g.block_rms(e, ["user_id"], "idx", "value", 10))
+    long = None
+    for f in families:
+        part = f.unpivot(["user_id"], [c for c in wanted if c in f.columns], "feature", "value")
+        long = part if long is None else long.unionByName(part)
+    return long.groupBy("user_id").pivot("feature", wanted).agg(F.round(F.first("value"), 5))
+
+
 @query()
 def f26_f27_kernel_features(spark, sf):
     """Random-kernel features of 64-sample windows, meaned by class. The bank is seeded and small."""

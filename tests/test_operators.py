@@ -98,6 +98,108 @@ def test_kernels():
     assert np.allclose(np.linalg.norm(q, axis=1), 1)
 
 
+@pytest.fixture(scope="module")
+def trials(spark):
+    """A trial of several blocks and one shorter than a block."""
+    rng = np.random.default_rng(5)
+    signals_ = {"long": 5 + np.sin(np.arange(9000) / 7) + rng.normal(size=9000) / 3, "short": rng.normal(size=300)}
+    rows = [(k, i, float(v)) for k, x in signals_.items() for i, v in enumerate(x)]
+    return signals_, spark.createDataFrame(rows, "k string, i long, v double").repartition(5)
+
+
+def by_key(rows, *columns):
+    found = {}
+    for r in sorted(rows, key=lambda r: r[1]):
+        found.setdefault(r[0], []).append(tuple(r[c] for c in columns))
+    return {k: np.array(v) for k, v in found.items()}
+
+
+def test_blocks_equal_the_whole_trial(trials):
+    whole, df = trials
+    sections = signals.butter_sections(4, 0.5, 20, 100)
+    got = by_key(signals.by_blocks(df, ["k"], "i", "v", lambda x: {"y": signals.filtered(x, sections)}, "y double", block=2048, warm_up=1500).collect(), "idx", "y")
+    for k, x in whole.items():
+        assert (got[k][:, 0] == np.arange(len(x))).all() and np.allclose(got[k][:, 1], signals.filtered(x, sections), atol=1e-8)
+    made = by_key(signals.by_blocks(df, ["k"], "i", "v", lambda x: {"y": signals.resample(x, 25, 16)}, "y double", block=2048, warm_up=512, up=25, down=16).collect(), "idx", "y")
+    for k, x in whole.items():
+        want = signals.resample(x, 25, 16)
+        assert (made[k][:, 0] == np.arange(len(want))).all() and np.allclose(made[k][:, 1], want, atol=1e-9)
+
+
+def test_orientation_settles_in_the_warm_up(trials):
+    from kinespark.plans.signal_plans import tilt
+
+    whole, df = trials
+    got = by_key(signals.by_blocks(df, ["k"], "i", "v", tilt, "roll double, pitch double", block=4096, warm_up=4096).collect(), "roll", "pitch")
+    want = tilt(whole["long"])
+    assert np.abs(got["long"] - np.stack([want["roll"], want["pitch"]], 1)).max() < 0.02
+
+
+def test_runs_of_segments_and_clusters_equal_the_kernels(trials):
+    whole, df = trials
+    psd = by_key(signals.welch_psd(df, ["k"], "i", "v", 100, segment=128, run_of=7).collect(), "freq", "power")
+    for k, x in whole.items():
+        f, p = signals.welch(x, 100, 128)
+        order = np.argsort(psd[k][:, 0])
+        assert np.allclose(psd[k][order, 0], f) and np.allclose(psd[k][order, 1], p)
+    found = by_key(signals.peak_rows(df, ["k"], "i", F.col("v"), 6, 60).collect(), "idx")
+    for k, x in whole.items():
+        assert found[k].ravel().tolist() == signals.peaks(x, 6, np.percentile(x, 60)).tolist()
+
+
+def test_entropies_and_dfa_equal_the_kernels(trials):
+    whole, df = trials
+    part = df.filter("i < 700")
+    got = {r.k: r for r in signals.entropies(part, ["k"], "i", "v", block=128).collect()}
+    slope = {r.k: r.dfa for r in signals.dfa_exponent(part, ["k"], "i", "v").collect()}
+    for k, x in whole.items():
+        x = x[:700]
+        assert got[k].sample_entropy == pytest.approx(signals.sample_entropy(x), abs=1e-9)
+        assert slope[k] == pytest.approx(signals.dfa(x), abs=1e-6)
+
+        def phi(m, x=x):
+            parts = np.lib.stride_tricks.sliding_window_view(x, m)
+            return np.mean(np.log((np.abs(parts[:, None] - parts).max(2) <= 0.2 * x.std()).mean(1)))
+
+        assert got[k].approximate_entropy == pytest.approx(phi(2) - phi(3), abs=1e-9)
+
+
+def test_running_totals_by_ranges(spark):
+    from kinespark.functions.ranges import running
+
+    rng = np.random.default_rng(1)
+    rows = [(None if k % 3 == 0 else "g", float(v), 1) for k, v in enumerate(rng.permutation(2000) / 7)]
+    got = running(spark.createDataFrame(rows, "g string, s double, n int"), ["g"], "s", {"upto": "n"}).collect()
+    for g in (None, "g"):
+        mine = sorted((r.s, r.upto) for r in got if r.g == g)
+        assert [u for _, u in mine] == list(range(1, len(mine) + 1))
+
+
+def test_matching_clusters(spark):
+    """Greedy matching within clusters is the greedy matching of the whole trial."""
+    from kinespark.operators import matching
+
+    rng = np.random.default_rng(3)
+    d, t = np.sort(rng.choice(4000, 300, False)), np.sort(rng.choice(4000, 280, False))
+    used, errors = set(), []
+    for x in t:
+        near = [y for y in d if abs(y - x) <= 6 and y not in used]
+        if near:
+            best = min(near, key=lambda y: abs(y - x))
+            used.add(best)
+            errors.append(abs(best - x))
+    frame = lambda v: spark.createDataFrame([("t", int(x)) for x in v], "k string, s long")
+    r = matching.match_events(frame(d), frame(t), ["k"], "s", 6).first()
+    assert (r.tp, r.fp, r.fn, r.error) == (len(errors), 300 - len(errors), 280 - len(errors), sum(errors))
+
+
+def test_upload_and_threshold_guards(spark):
+    quality.assert_upload(spark.createDataFrame([(1,)], "`Acc X` int"), "head")
+    for df, why in ((spark.createDataFrame([], "a int"), "no rows"), (spark.createDataFrame([(1,)], "`a;b` int"), "odd names"), (spark.range(20), "more than 10")):
+        with pytest.raises(ValueError, match=why):
+            quality.assert_upload(df, "head", most_rows=10)
+
+
 def test_tails(spark):
     got = spark.range(1).select(normal_two_sided(F.lit(1.959964)).alias("p")).first().p
     assert abs(got - 0.05) < 1e-6 and abs(chi2_tail(3.841459, 1) - 0.05) < 1e-6 and abs(chi2_tail(18.307, 10) - 0.05) < 1e-4

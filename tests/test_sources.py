@@ -50,3 +50,32 @@ def test_upload_and_sinks(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)exists"):
         scan.write_signals(df, f"{tmp_path}/signals")
     assert "acc_x" not in scan.drop_columns(spark, f"{tmp_path}/signals", f"{tmp_path}/new", ["acc_x"]).columns
+
+
+def test_wide_recordings(spark, tmp_path):
+    names = ["ms", *(f"c{k}" for k in range(9)), "annotation"]
+    for subject, run, rows in ((1, 2, 3), (1, 1, 2)):
+        (tmp_path / f"S0{subject}R0{run}.txt").write_text("".join(f"{k} 1 2 3 4 5 6 7 8 9 {k % 2}\n" for k in range(rows)))
+    rows = scan.wide_text(spark, str(tmp_path), names)
+    ordered = scan.subject_rows(rows, "subject", ["run"], ["ms"])
+    assert [(r.run, int(r.ms), r.row_in_subject) for r in ordered.orderBy("row_in_subject").collect()] == [(1, 0, 0), (1, 1, 1), (2, 0, 2), (2, 1, 3), (2, 2, 4)]
+    assert {(r.n_raw, r.n_dropped) for r in scan.recording_stats(rows, "file", "annotation").collect()} == {(3, 2), (2, 1)}
+    (tmp_path / "S02R01.txt").write_text("1 2 3\n")
+    with pytest.raises(ValueError, match="S02R01"):
+        scan.wide_text(spark, str(tmp_path), names)
+
+
+def test_matrix_and_result_sinks(spark, tmp_path):
+    df = spark.createDataFrame([("m1", "p1", 0, 1, 0.5, 9)], "model string, participant_id string, fold int, y_true int, y_score double, extra int")
+    scan.write_oof(df, f"{tmp_path}/oof")
+    scan.write_oof(df.withColumn("model", F.lit("m2")), f"{tmp_path}/oof")
+    assert scan.oof_scores(spark, f"{tmp_path}/oof").columns == ["participant_id", "fold", "y_true", "y_score", "model"]
+    df.withColumnRenamed("participant_id", "pid").write.parquet(f"{tmp_path}/old")
+    assert "participant_id" in scan.oof_scores(spark, f"{tmp_path}/old").columns
+    with pytest.raises(ValueError, match="nothere"):
+        scan.feature_matrix(df, ["model"], ["y_score", "nothere"])
+    scan.seal(df, f"{tmp_path}/sealed")
+    with pytest.raises(Exception, match="(?i)exists"):
+        scan.seal(df, f"{tmp_path}/sealed")
+    scan.seal(df.limit(0), f"{tmp_path}/sealed", force=True)
+    assert scan.write_manifest(df.withColumn("role", F.lit("train")), f"{tmp_path}/manifest").first().n == 1
