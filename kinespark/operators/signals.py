@@ -282,6 +282,32 @@ def freezing_series(df: DataFrame, keys: Sequence[str], idx: str, value: str, fs
     return samples.withColumn("window_start", last.cast("long")).join(ratio, here, "left").select(*keys, "idx", "freezing_index")
 
 
+def mutual_information(df: DataFrame, keys: Sequence[str], idx: str, value: str, most: int = 10, least_bins: int = 16) -> DataFrame:
+    """(keys, lag, ami): mutual information of a trial with itself lag rows later, from a histogram of the pairs.
+
+    Lags go to the smaller of `most` and a tenth of the rows (2 at least); a trial needs more than lag + 20 rows and two values.
+    """
+    names = list(keys)
+    w = Window.partitionBy(*names).orderBy(idx)
+    stats = df.groupBy(*names).agg(F.count("*").alias("_n"), F.min(value).alias("_low"), F.max(value).alias("_high")).filter("_high > _low")
+    later = F.array(*(F.struct(F.lit(k).alias("lag"), F.lead(value, k).over(w).alias("b")) for k in range(1, most + 1)))
+    x = df.withColumn("_later", later).join(stats, names).select(*names, "_n", "_low", "_high", F.col(value).alias("_a"), F.explode("_later").alias("_l"))
+    x = x.filter(F.col("_l.b").isNotNull() & (F.col("_l.lag") <= F.least(F.lit(most), F.greatest(F.lit(2), F.floor(F.col("_n") / 10)))) & (F.col("_n") > F.col("_l.lag") + 20))
+    bins = F.greatest(F.lit(least_bins), F.floor(F.sqrt(F.col("_n") - F.col("_l.lag"))))
+    at = lambda c: F.least(F.floor((c - F.col("_low")) / (F.col("_high") - F.col("_low")) * bins), bins - 1)
+    c = x.groupBy(*names, F.col("_l.lag").alias("lag"), at(F.col("_a")).alias("_x"), at(F.col("_l.b")).alias("_y"), (F.col("_n") - F.col("_l.lag")).cast("double").alias("_m")).agg(F.count("*").alias("_c"))
+    part = lambda *k: F.sum("_c").over(Window.partitionBy(*names, "lag", *k))
+    c = c.withColumn("_px", part("_x")).withColumn("_py", part("_y"))
+    return c.groupBy(*names, "lag").agg(F.sum(F.col("_c") / F.col("_m") * F.log(F.col("_c") * F.col("_m") / (F.col("_px") * F.col("_py")))).alias("ami"))
+
+
+def embedding_delay(ami: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, delay): the first lag whose mutual information is below both neighbours', else the lag of the smallest."""
+    w = Window.partitionBy(*keys).orderBy("lag")
+    x = ami.withColumn("ami", F.round("ami", 9)).withColumn("_low", (F.col("ami") < F.lag("ami").over(w)) & (F.col("ami") < F.lead("ami").over(w)))
+    return x.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("_low"), F.col("lag"))), F.min_by("lag", F.struct("ami", "lag"))).alias("delay"))
+
+
 def dfa_exponent(df: DataFrame, keys: Sequence[str], idx: str, value: str, scales: int = 12) -> DataFrame:
     """(keys, dfa): slope of log fluctuation against log scale, as dfa() gives, by aggregates over (scale, block)."""
     names = list(keys)

@@ -349,6 +349,38 @@ def f25_dfa(spark, sf):
     return g.dfa_exponent(events(spark, sf), ["user_id"], "idx", "value").withColumn("dfa", F.round("dfa", 5))
 
 
+@query(f"""WITH {E}, s AS (SELECT user_id, count(*) AS n, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1 HAVING max(value) > min(value)), p AS (SELECT a.user_id, b.idx - a.idx AS lag, n, (n - (b.idx - a.idx))::DOUBLE AS m, greatest(16, floor(sqrt(n - (b.idx - a.idx)))) AS bins, (a.value - lo) / (hi - lo) AS x, (b.value - lo) / (hi - lo) AS y
+  FROM e a JOIN e b ON a.user_id = b.user_id AND b.idx BETWEEN a.idx + 1 AND a.idx + 10 JOIN s ON s.user_id = a.user_id WHERE b.idx - a.idx <= least(10, greatest(2, n // 10)) AND n > b.idx - a.idx + 20),
+c AS (SELECT user_id, lag, m, least(floor(x * bins), bins - 1) AS x, least(floor(y * bins), bins - 1) AS y, count(*) AS c FROM p GROUP BY 1, 2, 3, 4, 5), q AS (SELECT *, sum(c) OVER (PARTITION BY user_id, lag, x) AS px, sum(c) OVER (PARTITION BY user_id, lag, y) AS py FROM c),
+i AS (SELECT user_id, lag, round(sum(c / m * ln(c * m / (px * py))), 9) AS ami FROM q GROUP BY 1, 2), l AS (SELECT *, ami < lag(ami) OVER w AND ami < lead(ami) OVER w AS low FROM i WINDOW w AS (PARTITION BY user_id ORDER BY lag))
+SELECT user_id, coalesce(min(lag) FILTER (WHERE low), arg_min(lag, (ami, lag))) AS delay, round(min(ami), 5) AS least FROM l GROUP BY 1""")
+def f21_embedding_delay(spark, sf):
+    ami = g.mutual_information(events(spark, sf), ["user_id"], "idx", "value")
+    least = ami.groupBy("user_id").agg(F.round(F.min("ami"), 5).alias("least"))
+    return g.embedding_delay(ami, ["user_id"]).join(least, "user_id")
+
+
+@query("""WITH w AS (SELECT user_id, ts, time_bucket(INTERVAL '1 day', ts) AS day, value FROM events), i AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY ts, value) - 1 AS i, count(*) OVER (PARTITION BY user_id, day) AS n, value - avg(value) OVER (PARTITION BY user_id, day) AS v FROM w),
+h AS (SELECT *, v * (0.5 - 0.5 * cos(2 * pi() * i / n)) AS y, unnest(range(1, n // 2 + 1)) AS k FROM i WHERE n >= 8), p AS (SELECT user_id, day, k * 20.0 / n AS freq, sum(y * cos(2 * pi() * k * i / n)) ** 2 + sum(y * sin(2 * pi() * k * i / n)) ** 2 AS p FROM h GROUP BY user_id, day, k, n)
+SELECT user_id, day::DATE AS day, round(CASE WHEN sum(p) FILTER (WHERE freq >= 1 AND freq < 4) > 0 THEN coalesce(sum(p) FILTER (WHERE freq >= 4 AND freq < 10), 0) / sum(p) FILTER (WHERE freq >= 1 AND freq < 4) END, 4) AS freezing_index FROM p GROUP BY 1, 2""")
+def z2_freezing_windows(spark, sf):
+    """The batch form of the streamed index of event-time windows."""
+    from kinespark.streaming.streams import freezing_windows
+
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    w = freezing_windows(e, "user_id", "ts", "value", "1 day", 20.0, (1.0, 4.0), (4.0, 10.0))
+    return w.select("user_id", F.to_date("window.start").alias("day"), F.round("freezing_index", 4).alias("freezing_index"))
+
+
+@query("""WITH t AS (SELECT user_id, sqrt(avg(value * value)) AS rms, max(value) - min(value) AS range, stddev_pop(value) AS sd FROM events WHERE isfinite(value) GROUP BY 1 HAVING count(*) >= 10), p AS (SELECT *, 1 / (1 + exp(-(rms - 80) / 20)) AS p FROM t)
+SELECT user_id, round(p, 6) AS risk, CASE WHEN p >= 0.6 THEN 'high' WHEN p >= 0.3 THEN 'moderate' ELSE 'low' END AS band, (rms > 80)::INT + (range > 200)::INT + (sd > 40)::INT AS votes FROM p""")
+def z4_trial_scores(spark, sf):
+    """The batch form of micro-batch scoring: clean, features, score, band, vote."""
+    from kinespark.streaming.streams import trial_scores
+
+    return trial_scores(events(spark, sf), "user_id", ["idx"], "value").withColumn("risk", R6("risk"))
+
+
 @query()
 def f23_f25_nonlinear(spark, sf):
     """A whole trial a group: the exponent's neighbours are searched in blocks of distances, in quadratic time."""

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinespark.operators.quality import interpolate
+
 #: Sensor codes of raw files and their positions, and the canonical columns of a sensor file. Fixed values.
 SENSORS = {"HE": "head", "LB": "lower_back", "LF": "left_foot", "RF": "right_foot"}
 COLUMNS = ("counter", "acc_x", "acc_y", "acc_z", "gyr_x", "gyr_y", "gyr_z", "mag_x", "mag_y", "mag_z")
@@ -93,6 +95,44 @@ def upload_columns(df: DataFrame, prefix: str) -> DataFrame:
     return df.toDF(*("time" if n in ("timestamp", "packetcounter") else n for n in names))
 
 
+def prepared_upload(df: DataFrame, prefix: str, order: str = "time", least: int = 10) -> DataFrame:
+    """An uploaded recording under canonical names, as numbers, with gaps filled by lines and edges by the nearest value.
+
+    Six axes are required; rows that stay without a value go, and fewer than `least` rows stop the job.
+    """
+    x = upload_columns(df, prefix)
+    kept = [c for c in ("time", *COLUMNS[1:]) if c in x.columns]
+    if lost := [c for c in COLUMNS[1:7] if c not in kept]:
+        raise ValueError(f"{prefix}: axes that are missing: {', '.join(lost)}")
+    x = x.select(*(F.col(c).cast("string").try_cast("double").alias(c) for c in kept))
+    x = x.withColumn("_one", F.lit(1)).withColumn("_at", F.row_number().over(Window.partitionBy("_one").orderBy(order)))  # an upload is one recording
+    for c in kept:
+        x = interpolate(x, ["_one"], "_at", c, c)
+    x = x.drop("_one", "_at").dropna()
+    if (n := x.limit(least).count()) < least:
+        raise ValueError(f"{prefix}: {n} rows are too few")
+    return x
+
+
+def sensor_csv(spark: SparkSession, path: str, rate: float, durations: Mapping[str, float] | None = None) -> DataFrame:
+    """Rows (file, time, axes) of sensor CSV files: lower-case names with underscores, bad rows gone, rates in radians.
+
+    A file without time gets it from its place: evenly over its declared duration (by file name), else place / rate. Places
+    are those in the file, so a file is read by one task (multiLine).
+    """
+    raw = spark.read.option("header", True).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(path)
+    raw = raw.toDF(*(c.strip().lower().replace(" ", "_") for c in raw.columns)).withColumn("file", F.col("_metadata.file_path")).withColumn("_line", F.monotonically_increasing_id())
+    w = Window.partitionBy("file")
+    x = raw.withColumn("_at", F.row_number().over(w.orderBy("_line")) - 1).withColumn("_n", F.count("*").over(w))
+    known = F.create_map(*(F.lit(v) for kv in (durations or {"": 0.0}).items() for v in kv))
+    seconds = F.try_element_at(known, F.regexp_extract("file", r"([^/]+)$", 1))
+    made = F.when((seconds > 0) & (F.col("_n") > 1), F.col("_at") / (F.col("_n") - 1) * seconds).otherwise(F.col("_at") / rate)
+    axes = [c for c in COLUMNS[1:] if c in raw.columns]
+    time = F.coalesce(F.col("time").try_cast("double"), made) if "time" in raw.columns else made
+    numbers = [(F.radians(F.col(c).try_cast("double")) if c.startswith("gyr_") else F.col(c).try_cast("double")).alias(c) for c in axes]
+    return x.select("file", time.alias("time"), *numbers).dropna()
+
+
 def read_any(spark: SparkSession, path: str) -> DataFrame:
     """Parquet, else CSV with a header, by the path's ending."""
     return spark.read.option("header", True).option("inferSchema", True).csv(path) if path.rstrip("/").endswith(".csv") else spark.read.parquet(path)

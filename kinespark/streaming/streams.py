@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from kinespark.operators.quality import WRAP_HIGH, WRAP_LOW
+from kinespark.operators import policy
+from kinespark.operators.quality import WRAP_HIGH, WRAP_LOW, finite
+from kinespark.operators.signals import time_features
 
 
 def window_features(df: DataFrame, key: str, ts: str, value: str, length: str, step: str, late: str = "1 hour") -> DataFrame:
@@ -43,3 +47,45 @@ def gap_stream(df: DataFrame, key: str, order: str, counter: str) -> DataFrame:
         yield pd.DataFrame(found, columns=[key, "prev", "next"])
 
     return df.select(key, order, counter).groupBy(key).applyInPandasWithState(run, f"{key} long, prev long, next long", "last long", "append", "ProcessingTimeTimeout")
+
+
+def freezing_windows(df: DataFrame, key: str, ts: str, value: str, length: str, fs: float, locomotion: tuple[float, float], freezing: tuple[float, float], late: str = "1 hour", least: int = 8) -> DataFrame:
+    """(key, window, freezing_index) of event-time windows with at least `least` samples: a window's samples are one Hann segment.
+
+    A window's length bounds the samples of a group.
+    """
+    w = df.withWatermark(ts, late) if df.isStreaming else df
+    rows = w.groupBy(key, F.window(ts, length)).agg(F.sort_array(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(value).cast("double").alias("v")))).alias("_x"))
+
+    @F.pandas_udf("double")
+    def ratio(values: pd.Series) -> pd.Series:
+        found = []
+        for x in values:
+            x = np.asarray(x, float)
+            hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(len(x)) / len(x))
+            power, freq = np.abs(np.fft.rfft((x - x.mean()) * hann)) ** 2, np.fft.rfftfreq(len(x), 1 / fs)
+            low, high = (power[(freq >= a) & (freq < b)].sum() for a, b in (locomotion, freezing))
+            found.append(high / low if low > 0 else None)
+        return pd.Series(found, dtype="float64")
+
+    kept = rows.filter(F.size("_x") >= least).select(key, "window", F.transform("_x", lambda p: p["v"]).alias("_v"))
+    return kept.select(key, "window", F.nanvl(ratio("_v"), F.lit(None).cast("double")).alias("freezing_index"))
+
+
+def trial_scores(df: DataFrame, trial: str, order: Sequence[str], value: str, least: int = 10) -> DataFrame:
+    """(trial, risk, band, votes) of each trial: finite samples, time features, a logistic score, its band, votes of three rules."""
+    clean = df.withColumn(value, finite(F.col(value))).filter(F.col(value).isNotNull())
+    long = clean.groupBy(trial).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select(trial)
+    f = time_features(clean.join(long, trial), [trial], order, value)
+    risk = 1 / (1 + F.exp(-(F.col("rms") - 80) / 20))
+    votes = sum(((F.col(c) > limit).cast("int") for c, limit in (("rms", 80), ("range", 200), ("sd", 40))), F.lit(0))
+    return f.select(trial, risk.alias("risk"), policy.risk_band(risk, 0.6).alias("band"), votes.alias("votes"))
+
+
+def score_stream(df: DataFrame, scored: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
+    """Scores every micro-batch of whole trials into a folder of its own: a batch that is run again replaces its results."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        scored(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

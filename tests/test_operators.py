@@ -254,6 +254,21 @@ def test_gap_stream(spark, tmp_path):
     assert [tuple(r) for r in spark.table("z3").collect()] == [(1, 2, 5)]
 
 
+def test_freezing_and_score_streams_equal_batch(spark, tmp_path):
+    e = spark.read.parquet(f"{SF}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    e.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(e.schema).parquet(f"{tmp_path}/in")
+    how = ("user_id", "ts", "value", "1 day", 20.0, (1.0, 4.0), (4.0, 10.0))
+    streams.freezing_windows(stream, *how).writeStream.format("memory").queryName("z2").outputMode("complete").trigger(availableNow=True).start().awaitTermination(120)
+    pick = ["user_id", F.col("window.start").cast("string"), F.round("freezing_index", 6)]
+    want = streams.freezing_windows(e, *how)
+    assert sorted(map(str, spark.table("z2").select(*pick).collect())) == sorted(map(str, want.select(*pick).collect()))
+    scored = lambda batch: streams.trial_scores(batch, "user_id", ["ts"], "value")
+    streams.score_stream(stream, scored, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination(120)
+    rows = ["user_id", F.round("risk", 9), "band", "votes"]
+    assert sorted(map(str, spark.read.parquet(f"{tmp_path}/out").select(*rows).collect())) == sorted(map(str, scored(e).select(*rows).collect()))
+
+
 def test_lyapunov_takes_the_whole_trial(spark):
     """The second half of the trial is another signal; the query gives what brute force gives for both."""
     rng = np.random.default_rng(3)

@@ -79,3 +79,18 @@ def test_matrix_and_result_sinks(spark, tmp_path):
         scan.seal(df, f"{tmp_path}/sealed")
     scan.seal(df.limit(0), f"{tmp_path}/sealed", force=True)
     assert scan.write_manifest(df.withColumn("role", F.lit("train")), f"{tmp_path}/manifest").first().n == 1
+
+
+def test_prepared_upload_and_csv(spark, tmp_path):
+    rows = [(k, *(None if k == 3 else str(float(k)) for _ in range(6))) for k in range(12)]
+    df = spark.createDataFrame(rows, "Timestamp int, " + ", ".join(f"HE_{c} string" for c in ("Acc_X", "Acc_Y", "Acc_Z", "Gyr_X", "Gyr_Y", "Gyr_Z")))
+    made = scan.prepared_upload(df, "HE").orderBy("time").collect()
+    assert len(made) == 12 and made[3].acc_x == 3.0
+    with pytest.raises(ValueError, match="too few"):
+        scan.prepared_upload(df.limit(5), "HE")
+    with pytest.raises(ValueError, match="missing"):
+        scan.prepared_upload(df.drop("HE_Gyr_Z"), "HE")
+    (tmp_path / "a.csv").write_text("Acc X,Gyr X\n" + "".join(f"{k},180\n" for k in range(5)) + "x,1\n")
+    timed = scan.sensor_csv(spark, str(tmp_path), 100.0).orderBy("time").collect()
+    assert [r.time for r in timed] == [0.0, 0.01, 0.02, 0.03, 0.04] and timed[0].gyr_x == pytest.approx(3.14159265)
+    assert scan.sensor_csv(spark, str(tmp_path), 100.0, {"a.csv": 10.0}).agg(F.max("time")).first()[0] == 8.0
