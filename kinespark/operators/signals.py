@@ -509,6 +509,54 @@ def lyapunov(x: np.ndarray, delay: int, dim: int, steps: int) -> float:
     return float(np.polyfit(np.arange(steps)[good], np.array(curve)[good], 1)[0]) if good.sum() > 1 else float("nan")
 
 
+def false_neighbours(x: np.ndarray, delay: int, dim: int, ratio: float = 10.0, scale: float = 2.0) -> float:
+    """Share of nearest neighbours (apart in time by more than the delay) that one more dimension drives apart; 1 for fewer than 20."""
+    n = len(x) - dim * delay
+    if n < 20:
+        return 1.0
+    parts = np.stack([x[k * delay : k * delay + n] for k in range(dim + 1)], 1)
+    inner, last, times = parts[:, :dim], parts[:, dim], np.arange(n)
+    spread = np.linalg.norm(inner - inner.mean(0), axis=1).mean()
+    false = total = 0
+    rows = max(1, DISTANCES // n)
+    for at in range(0, n, rows):
+        d = np.sqrt(((inner[at : at + rows, None] - inner[None]) ** 2).sum(2))
+        d[np.abs(times[at : at + rows, None] - times) <= max(delay, 1)] = np.inf
+        near = d.argmin(1)
+        least = d[np.arange(len(d)), near]
+        good = np.isfinite(least) & (least > 0)
+        gap = np.abs(last[at : at + rows] - last[near])[good]
+        total += int(good.sum())
+        false += int(((gap / least[good] > ratio) | (gap > scale * spread) & (spread > 0)).sum())
+    return false / total if total else 1.0
+
+
+def embedding_dimension(x: np.ndarray, delay: int, low: int = 2, high: int = 10, share: float = 0.1) -> int:
+    """The smallest dimension with fewer false neighbours than the share, or the largest tried."""
+    return next((m for m in range(low, high + 1) if false_neighbours(x, delay, m) < share), high)
+
+
+#: The low-pass analysis filter of the Daubechies wavelet with four vanishing moments. Fixed values.
+WAVELET = np.array([-0.010597401784997278, 0.032883011666982945, 0.030841381835986965, -0.18703481171888114, -0.02798376941698385, 0.6308807679295904, 0.7148465705525415, 0.23037781330885523])
+
+
+def wavelet_energies(x: np.ndarray, most: int = 4) -> dict[str, np.ndarray]:
+    """Energy and share of each band, the approximation first, and the entropy of the shares; nothing below 32 samples."""
+    n = len(WAVELET)
+    levels = min(most, int(np.floor(np.log2(len(x) / (n - 1))))) if len(x) >= 32 else 0
+    if levels < 1:
+        return {"band": np.zeros(0, object), "energy": np.zeros(0), "share": np.zeros(0), "entropy": np.zeros(0)}
+    high = WAVELET[::-1] * np.where(np.arange(n) % 2, 1.0, -1.0)
+    details = []
+    for _ in range(levels):
+        wide = np.pad(x, n - 1, "symmetric")
+        details.append(float((np.convolve(wide, high, "valid")[1::2] ** 2).sum()))
+        x = np.convolve(wide, WAVELET, "valid")[1::2]
+    energy = np.array([float((x**2).sum()), *details[::-1]])
+    share = energy / (energy.sum() + 1e-10)
+    return {"band": np.array([f"a{levels}", *(f"d{k}" for k in range(levels, 0, -1))], object), "energy": energy, "share": share, "entropy": np.full(levels + 1, -(share * np.log2(share + 1e-12)).sum())}
+
+
 def kernel_bank(seed: int, n: int, length: int) -> list[tuple[np.ndarray, float, int]]:
     """Random kernels: zero-mean weights of 7, 9 or 11 taps, a bias, a dilation that fits the window."""
     r = np.random.default_rng(seed)

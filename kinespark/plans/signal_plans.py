@@ -381,6 +381,28 @@ def z4_trial_scores(spark, sf):
     return trial_scores(events(spark, sf), "user_id", ["idx"], "value").withColumn("risk", R6("risk"))
 
 
+FALSE = f"""{E}, t AS (SELECT user_id, idx AS i, value AS x0, lead(value) OVER w AS x1, lead(value, 2) OVER w AS x2 FROM e WINDOW w AS (PARTITION BY user_id ORDER BY idx)), k AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM t WHERE x2 IS NOT NULL),
+s AS (SELECT user_id, avg(sqrt((x0 - m0) ** 2 + (x1 - m1) ** 2)) AS spread FROM k JOIN (SELECT user_id, avg(x0) AS m0, avg(x1) AS m1 FROM k GROUP BY 1) USING (user_id) GROUP BY 1),
+p AS (SELECT a.user_id, a.i, min((a.x0 - b.x0) ** 2 + (a.x1 - b.x1) ** 2) AS d, arg_min(abs(a.x2 - b.x2), ((a.x0 - b.x0) ** 2 + (a.x1 - b.x1) ** 2, b.i)) AS gap FROM k a JOIN k b ON a.user_id = b.user_id AND abs(a.i - b.i) > 1 WHERE a.n >= 20 GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {FALSE}, f AS (SELECT user_id, avg((gap / sqrt(d) > 10 OR gap > 2 * spread)::INT) AS f FROM p JOIN s USING (user_id) WHERE d > 0 GROUP BY 1) SELECT DISTINCT e.user_id, round(coalesce(f, 1), 6) AS false_share FROM e LEFT JOIN f USING (user_id)""")
+def f22_false_neighbours(spark, sf):
+    """A whole trial a group, its distances in blocks: two dimensions, one row apart."""
+    return kernel(spark, sf, lambda x: {"false_share": round(g.false_neighbours(x, 1, 2), 6)}, "false_share double")
+
+
+@query()
+def f20_wavelet_energies(spark, sf):
+    return kernel(spark, sf, g.wavelet_energies, "band string, energy double, share double, entropy double")
+
+
+@query(f"WITH {E}, {PSD}, q AS (SELECT *, power / sum(power) OVER (PARTITION BY user_id) AS p FROM psd) SELECT user_id, round(arg_max(freq, (round(power, 9), -freq)), 6) AS dominant, round(sum(freq * power) / sum(power), 5) AS centroid, round(-sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END), 5) AS entropy FROM q GROUP BY 1")
+def f15_welch_shape(spark, sf):
+    psd = welch(spark, sf).withColumn("power", F.round("power", 9))
+    return g.spectrum_shape(psd, ["user_id"]).select("user_id", R6("dominant").alias("dominant"), F.round("centroid", 5).alias("centroid"), F.round("entropy", 5).alias("entropy"))
+
+
 @query()
 def f23_f25_nonlinear(spark, sf):
     """A whole trial a group: the exponent's neighbours are searched in blocks of distances, in quadratic time."""

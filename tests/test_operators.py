@@ -254,6 +254,20 @@ def test_gap_stream(spark, tmp_path):
     assert [tuple(r) for r in spark.table("z3").collect()] == [(1, 2, 5)]
 
 
+def test_wavelet_and_false_neighbours():
+    x = np.random.default_rng(2).normal(size=400)
+    got = signals.wavelet_energies(x)
+    # the filter is orthonormal: its squares sum to 1, and its even shifts are orthogonal
+    low = signals.WAVELET
+    assert abs((low**2).sum() - 1) < 1e-12 and abs((low[2:] * low[:-2]).sum()) < 1e-12 and list(got["band"]) == ["a4", "d4", "d3", "d2", "d1"]
+    wide = np.r_[x[6::-1], x, x[:-8:-1]]
+    first = [sum(low[::-1][j] * (1 if j % 2 else -1) * wide[k - j] for j in range(8)) for k in range(8, len(wide), 2)]
+    assert got["energy"][-1] == pytest.approx(sum(v * v for v in first)) and abs(got["energy"].sum() / (x**2).sum() - 1) < 0.1
+    slow = np.sin(np.arange(2000) / 40)
+    assert signals.wavelet_energies(slow)["share"][0] > 0.99 and not len(signals.wavelet_energies(x[:20])["band"])
+    assert signals.false_neighbours(slow + x[0], 10, 2) < 0.1 < signals.false_neighbours(x, 1, 2) and signals.embedding_dimension(slow, 10) == 2
+
+
 def test_freezing_and_score_streams_equal_batch(spark, tmp_path):
     e = spark.read.parquet(f"{SF}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
     e.write.parquet(f"{tmp_path}/in")
