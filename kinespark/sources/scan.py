@@ -12,6 +12,8 @@ from kinespark.operators.quality import interpolate
 #: Sensor codes of raw files and their positions, and the canonical columns of a sensor file. Fixed values.
 SENSORS = {"HE": "head", "LB": "lower_back", "LF": "left_foot", "RF": "right_foot"}
 COLUMNS = ("counter", "acc_x", "acc_y", "acc_z", "gyr_x", "gyr_y", "gyr_z", "mag_x", "mag_y", "mag_z")
+#: How the header of a sensor file begins. Fixed value.
+HEADER = "PacketCounter"
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,7 +43,7 @@ def external_inventory(files: DataFrame) -> DataFrame:
     return files.filter(n != "").select(n.cast("int").alias("subject"), F.regexp_extract("path", r"/S(\d+)R(\d+)\.txt$", 2).cast("int").alias("run"), "path", (F.col("length") > 0).alias("complete"))
 
 
-def numeric_text(spark: SparkSession, folder: str, columns: Sequence[str], glob: str, header: str | None = "PacketCounter") -> tuple[DataFrame, DataFrame]:
+def numeric_text(spark: SparkSession, folder: str, columns: Sequence[str], glob: str, header: str | None = HEADER) -> tuple[DataFrame, DataFrame]:
     """Rows (file, line columns as doubles) of white-space separated files, and the files that are rejected.
 
     Only a file's first line may be a header, that begins with the header's or the first column's name. A file with another
