@@ -8,13 +8,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: The complementary error function's rational form. Fixed values.
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
 def normal_two_sided(z: Column) -> Column:
     """Two-sided p of a normal z, by the complementary error function's rational form (absolute error below 2e-7)."""
     x = F.abs(z) / F.sqrt(F.lit(2.0))
     t = 1 / (1 + 0.5 * x)
-    c = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
-    poly: Column = F.lit(c[-1])
-    for k in reversed(c[:-1]):
+    poly: Column = F.lit(ERFC[-1])
+    for k in reversed(ERFC[:-1]):
         poly = poly * t + k
     return t * F.exp(-x * x + poly)
 

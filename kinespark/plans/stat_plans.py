@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinespark.functions.hashes import unit_sql
+from kinespark.functions.mathx import ERFC
 from kinespark.operators import metrics as m
 from kinespark.operators import stats as t
 from kinespark.plans.evaluation import OOF, UNION, by_model, oof
@@ -35,10 +36,18 @@ def t8_mcnemar_counts(spark, sf):
     return t.mcnemar(oof(spark, sf), ["cohort"], right("a"), right("b")).drop("p")
 
 
-@query()
+POLYNOMIAL = " + ".join(f"({k}) * t ** {i}" for i, k in enumerate(ERFC))
+
+
+@query(f"""WITH {OOF}, r AS (SELECT cohort, (a >= 0.5) = (y = 1) AS ra, (b >= 0.5) = (y = 1) AS rb FROM oof), c AS (SELECT cohort, count(*) FILTER (WHERE ra AND NOT rb) AS only_a, count(*) FILTER (WHERE NOT ra AND rb) AS only_b FROM r GROUP BY 1),
+n AS (SELECT *, only_a + only_b AS n, least(only_a, only_b) AS k, greatest(abs(only_a - only_b) - 1, 0) / sqrt(greatest(only_a + only_b, 1)) / sqrt(2) AS x FROM c), e AS (SELECT *, 1 / (1 + 0.5 * x) AS t FROM n),
+p AS (SELECT cohort, only_a, only_b, CASE WHEN n = 0 THEN 1 WHEN n <= 25 THEN least(1, 2 * list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + n * ln(0.5))))) ELSE t * exp(-x * x + {POLYNOMIAL}) END AS p FROM e),
+q AS (SELECT *, p * count(*) OVER () / (count(*) OVER (ORDER BY round(p, 9))) AS q FROM p)
+SELECT cohort, only_a, only_b, round(p, 6) AS p, round(least(min(q) OVER (ORDER BY round(p, 9) DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1), 6) AS q FROM q""")
 def t9_mcnemar_fdr(spark, sf):
     right = lambda c: (F.col(c) >= 0.5) == (F.col("y") == 1)
-    return m.benjamini_hochberg(t.mcnemar(oof(spark, sf), ["cohort"], right("a"), right("b")), "p", "q")
+    tested = t.mcnemar(oof(spark, sf), ["cohort"], right("a"), right("b")).withColumn("p", F.round("p", 9))
+    return m.benjamini_hochberg(tested, "p", "q").withColumns({"p": F.round("p", 6), "q": F.round("q", 6)})
 
 
 @query(f"""WITH {UNION}, f AS (SELECT pid, cohort, round(avg(s), 9) AS v FROM u GROUP BY 1, 2), k AS (SELECT pid FROM f GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT cohort) FROM f)),
