@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 
 from kinespark.llm.common import ragged, same_spans, span_hashes, text_or_empty, text_slices
 
+#: Bytes of text that are encoded at once.
+ENCODE_BYTES = 1 << 19
 #: White space as the tokenizer libraries' patterns see it (Unicode White_Space). Fixed values.
 WHITE = "\t-\r \x85\xa0  -     　"
 
@@ -44,10 +46,12 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000):
         if missing := [k for k in range(256) if bytes([k]) not in ranks]:
             raise ValueError(f"a rank table needs all 256 single bytes; {len(missing)} are missing, the first is {missing[0]:#04x}")
+        if max(ranks.values()) >= 1 << 20:
+            raise ValueError("ranks of 20 bits at most")
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.follows: dict[int, bool] = {}
         # the trie of the tokens: node << 8 | byte to node; the token that ends at a node, or -1
         self.child: dict[int, int] = {}
         self.token_at = [-1]
@@ -97,7 +101,7 @@ class Transducer:
         Had two of them formed a token before either was merged away (on a tie, the left merge comes first), the border
         would be gone.
         """
-        if (known := self.follows.get((a, b))) is not None:
+        if (known := self.follows.get(a << 20 | b)) is not None:
             return known
         x, y, until_x, until_y = a, b, 1 << 60, 1 << 60
         good = self.halves_of(b) is not None
@@ -115,7 +119,7 @@ class Transducer:
                 until_x, x = x, hx[1]
             else:
                 until_y, y = y, hy[0]
-        self.follows[a, b] = good
+        self.follows[a << 20 | b] = good
         return good
 
     def step(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
@@ -128,7 +132,7 @@ class Transducer:
             live.append((below, last, out))
             token = token_at[below]
             if token >= 0:
-                good = follows.get((last, token))
+                good = follows.get(last << 20 | token)
                 if self.may_follow(last, token) if good is None else good:
                     live.append((0, token, (*out, token)))
         shared = live[0][2]
@@ -302,7 +306,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, _ = coder(path, pattern)
-        for part, data, offsets in text_slices(batches, "__text"):
+        for part, data, offsets in text_slices(batches, "__text", ENCODE_BYTES):
             ids, bounds = encoder(data, offsets)
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([part.column("__id"), lists], names=["id", "ids"])
@@ -336,7 +340,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, table = coder(path, pattern)
-        for part, data, offsets in text_slices(batches, "__text"):
+        for part, data, offsets in text_slices(batches, "__text", ENCODE_BYTES):
             ids, bounds = encoder(data, offsets)
             raw, flat = ids.astype("<u4").tobytes(), ids.tolist()
             sums, back = [], []
