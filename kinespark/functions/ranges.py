@@ -29,14 +29,24 @@ def same(keys: Sequence[str], prefix: str) -> Column:
     return reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in keys), F.lit(True))
 
 
-def running(df: DataFrame, keys: Sequence[str], order: str, totals: Mapping[str, str]) -> DataFrame:
+def range_cuts(df: DataFrame, *orders: str) -> list[list[float]]:
+    """The quantiles that cut each order into ranges, of all orders in one pass."""
+    parts = min(MOST, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = df.approxQuantile(list(orders), [k / parts for k in range(1, parts)], 0.25 / parts)
+    return [sorted(set(cuts)) for cuts in found]
+
+
+def running(df: DataFrame, keys: Sequence[str], order: str, totals: Mapping[str, str], cuts: Sequence[float] | None = None) -> DataFrame:
     """df with running totals {into: value} by keys in ascending numeric order, each row included.
 
     The order's quantiles cut it into ranges. Totals of ranges are summed over a row a key and range, and windows run
     inside a range. Rows of one key and equal order are no group of their own: count them first where they are many.
+    Cuts that are known already can be given; none at all ([]) where keys have few rows each.
     """
-    parts = min(MOST, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = sorted(set(df.approxQuantile(order, [k / parts for k in range(1, parts)], 0.25 / parts)))
+    cuts = range_cuts(df, order)[0] if cuts is None else cuts
+    if not cuts:
+        whole = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({into: F.sum(v).over(whole) for into, v in totals.items()})
     ranged = df.withColumn("_range", place(cuts, F.col(order)))
     here = [*keys, "_range"]
     sums = ranged.groupBy(*here).agg(*(F.sum(v).alias(f"_sum_{into}") for into, v in totals.items()))

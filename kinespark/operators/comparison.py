@@ -18,10 +18,8 @@ NEMENYI = {2: 1.960, 3: 2.343, 4: 2.569, 5: 2.728, 6: 2.850, 7: 2.949, 8: 3.031,
 
 def pairwise_delong(df: DataFrame, y: str, scores: Sequence[str]) -> DataFrame:
     """(model_a, model_b, auc_a, auc_b, z, p, q) for each pair of score columns; q over all pairs. A test a pair, a row each."""
-    rows = [t.delong(df, y, a, b).select(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), "auc_a", "auc_b", "z", "p") for k, a in enumerate(scores) for b in scores[k + 1 :]]
-    table = rows[0]
-    for r in rows[1:]:
-        table = table.unionByName(r)
+    rows = [(a, b, *t.delong(df, y, a, b).select("auc_a", "auc_b", "z", "p").first()) for k, a in enumerate(scores) for b in scores[k + 1 :]]
+    table = df.sparkSession.createDataFrame(rows, "model_a string, model_b string, auc_a double, auc_b double, z double, p double")
     return m.benjamini_hochberg(table, "p", "q")
 
 
@@ -41,7 +39,7 @@ def family_gain(df: DataFrame, group: str, y: str, family: Sequence[str], others
 
 def critical_difference(df: DataFrame, block: str, treatment: str, value: str) -> DataFrame:
     """(treatment, mean_rank, blocks, cd) over complete blocks, rank 1 for the largest value."""
-    ranked = m.mid_ranks(df.withColumn("_v", -F.col(value)), [block], "_v", "rank")
+    ranked = m.mid_ranks(df.withColumn("_v", -F.col(value)), [block], "_v", "rank", [])
     ranks = ranked.groupBy(treatment).agg(F.avg("rank").alias("mean_rank"), F.count("*").alias("blocks"))
     k = F.count("*").over(Window.partitionBy())  # a row a treatment
     table = F.create_map(*(F.lit(x) for kv in NEMENYI.items() for x in kv))
@@ -55,7 +53,7 @@ def wilcoxon_against(df: DataFrame, block: str, treatment: str, value: str, refe
     p is normal with the correction for ties; zeros are dropped; no difference at all gives 1.
     """
     own = df.filter(F.col(treatment) == reference).select(block, F.col(value).alias("_r"))
-    d = df.filter(F.col(treatment) != reference).join(own, block).withColumn("_d", F.round(F.col("_r") - F.col(value), 12))
+    d = df.filter(F.col(treatment) != reference).join(own, block).withColumn("_d", F.round(F.col("_r") - F.col(value), 12)).persist()
     means = d.groupBy(treatment).agg(F.avg("_d").alias("delta"))
     ranked = m.mid_ranks(d.filter("_d <> 0").withColumn("_m", F.abs("_d")), [treatment], "_m", "rank")
     ties = ranked.groupBy(treatment, "_m").agg(F.count("*").alias("k")).groupBy(treatment).agg(F.sum(F.pow("k", F.lit(3)) - F.col("k")).alias("ties"))
@@ -68,13 +66,13 @@ def wilcoxon_against(df: DataFrame, block: str, treatment: str, value: str, refe
 
 
 def jackknife_aucs(df: DataFrame, group: str, y: str, scores: Sequence[str]) -> DataFrame:
-    """(group, model, auc) without each group's rows, of the groups that have one for all models."""
+    """(group, model, auc) without each group's rows, of the groups that have one for all models; kept, as tests read it again and again."""
     parts = [m.leave_one_out_auc(df, group, y, s).select(group, F.lit(s).alias("model"), "auc") for s in scores]
     whole = parts[0]
     for x in parts[1:]:
         whole = whole.unionByName(x)
     whole = whole.filter("auc is not null")
-    return whole.join(whole.groupBy(group).agg(F.count("*").alias("_n")).filter(F.col("_n") == len(scores)).select(group), group)
+    return whole.join(whole.groupBy(group).agg(F.count("*").alias("_n")).filter(F.col("_n") == len(scores)).select(group), group).persist()
 
 
 def isotonic(df: DataFrame, fit: Column, targets: Mapping[str, Column], suffix: str = "_calibrated") -> DataFrame:

@@ -34,10 +34,13 @@ def auc_of_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return u.withColumn("auc", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("u") / (F.col("n_pos") * F.col("n_neg")))).drop("u")
 
 
-def mid_ranks(df: DataFrame, keys: Sequence[str], value: str, into: str) -> DataFrame:
-    """df with the average rank of value among its keys' rows; rows without a value have no rank and go."""
+def mid_ranks(df: DataFrame, keys: Sequence[str], value: str, into: str, cuts: Sequence[float] | None = None) -> DataFrame:
+    """df with the average rank of value among its keys' rows; rows without a value have no rank and go.
+
+    cuts are those of functions.ranges.running.
+    """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    ranks = running(counts, keys, value, {"_upto": "_n"})
+    ranks = running(counts, keys, value, {"_upto": "_n"}, cuts)
     ranks = ranks.select(*(F.col(k).alias(f"_rank_{k}") for k in (*keys, value)), (F.col("_upto") - (F.col("_n") - 1) / 2).alias(into))
     return df.join(ranks, same([*keys, value], "_rank_")).select(*df.columns, into)
 

@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from kinespark.functions.hashes import unit
 from kinespark.functions.mathx import normal_two_sided
+from kinespark.functions.ranges import range_cuts
 from kinespark.operators.metrics import mid_ranks
 
 
 def delong(df: DataFrame, y: str, a: str, b: str) -> DataFrame:
     """One row (auc_a, auc_b, z, p): DeLong's test of two scores on the same rows, from mid-ranks within and over classes."""
-    x = df.select(F.monotonically_increasing_id().alias("_id"), F.col(y).alias("y"), F.col(a).alias("a"), F.col(b).alias("b"))
-    for s in ("a", "b"):
-        x = mid_ranks(mid_ranks(x, [], s, f"r{s}"), ["y"], s, f"q{s}")
+    x = df.select(F.col(y).alias("y"), F.col(a).alias("a"), F.col(b).alias("b"))
+    for s, cuts in zip(("a", "b"), range_cuts(x, "a", "b"), strict=True):
+        x = mid_ranks(mid_ranks(x, [], s, f"r{s}", cuts), ["y"], s, f"q{s}", cuts)
     n = x.agg(F.count_if(F.col("y") == 1).alias("m"), F.count_if(F.col("y") == 0).alias("n"))
     x = x.crossJoin(F.broadcast(n))
     # a positive's share of negatives below it, a negative's of positives above it
@@ -74,7 +75,8 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, least: int = 3) -> DataFrame:
     """(keys, n, rho): null for fewer than `least` rows or a constant side."""
-    r = mid_ranks(mid_ranks(df, keys, x, "_rx"), keys, y, "_ry")
+    cuts = range_cuts(df, x, y)
+    r = mid_ranks(mid_ranks(df, keys, x, "_rx", cuts[0]), keys, y, "_ry", cuts[1])
     c = r.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho"))
     return c.withColumn("rho", F.when((F.col("n") >= least) & ~F.isnan("rho"), F.col("rho")))
 
@@ -88,7 +90,7 @@ def signed_rank(df: DataFrame, difference: Column) -> DataFrame:
 
 def friedman(df: DataFrame, block: str, treatment: str, value: str) -> DataFrame:
     """One row (blocks, treatments, chi2) over complete blocks, with the correction for ties."""
-    r = mid_ranks(df, [block], value, "rank")
+    r = mid_ranks(df, [block], value, "rank", [])  # a block has a row a treatment
     sums = r.groupBy(treatment).agg(F.sum("rank").alias("r"), F.count("*").alias("n")).agg(F.count("*").alias("k"), F.max("n").alias("n"), F.sum(F.col("r") * F.col("r")).alias("rr"))
     ties = r.groupBy(block, value).agg(F.count("*").alias("t")).agg(F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
     n, k = F.col("n").cast("double"), F.col("k").cast("double")

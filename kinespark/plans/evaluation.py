@@ -5,6 +5,7 @@ Scores come from md5 of the id and lean to the label: a is continuous, b has thr
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from kinespark.functions.ranges import range_cuts
 from kinespark.operators import metrics as m
 from kinespark.plans.register import query, table
 
@@ -79,7 +80,8 @@ def w6_w7_percentile_threshold(spark, sf):
 SELECT doc_id, round(0.5 * (ra / n + rb / n), 6) AS fused FROM r""")
 def w8_rank_fusion(spark, sf):
     o = oof(spark, sf).select("doc_id", "a", "b")
-    ranked = m.mid_ranks(m.mid_ranks(o, [], "a", "ra"), [], "b", "rb")
+    cuts = range_cuts(o, "a", "b")
+    ranked = m.mid_ranks(m.mid_ranks(o, [], "a", "ra", cuts[0]), [], "b", "rb", cuts[1])
     n = o.agg(F.count("*").alias("n"))
     return ranked.crossJoin(F.broadcast(n)).select("doc_id", F.round(0.5 * (F.col("ra") / F.col("n") + F.col("rb") / F.col("n")), 6).alias("fused"))
 
@@ -120,7 +122,7 @@ def w11_holm(spark, sf):
 SELECT model, round(avg(rk), 6) AS mean_rank FROM r GROUP BY 1""")
 def w12_model_ranks(spark, sf):
     f = by_model(spark, sf).groupBy("pid", "model").agg((-F.round(F.avg("s"), 9)).alias("v"))
-    return m.mid_ranks(f, ["pid"], "v", "rk").groupBy("model").agg(F.round(F.avg("rk"), 6).alias("mean_rank"))
+    return m.mid_ranks(f, ["pid"], "v", "rk", []).groupBy("model").agg(F.round(F.avg("rk"), 6).alias("mean_rank"))
 
 
 @query("SELECT source AS feature, sum(n_chars)::BIGINT AS importance FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
