@@ -43,7 +43,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """The deterministic transducer of one rank table, built as bytes come."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 120_000):
         if missing := [k for k in range(256) if bytes([k]) not in ranks]:
             raise ValueError(f"a rank table needs all 256 single bytes; {len(missing)} are missing, the first is {missing[0]:#04x}")
         if max(ranks.values()) >= 1 << 20:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from kinespark.llm import bpe, chat, fingerprint, licenses, media, mixing, neardup, sstable, toxicity, warc
 
-#: Rows of an Arrow batch: with texts of 3 kB, 6 MB.
-ARROW_ROWS = "2000"
+#: Rows of an Arrow batch: with texts of 3 kB, 1.5 MB.
+ARROW_ROWS = "500"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
