@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinespark.llm import bpe, chat, fingerprint, licenses, media, mixing, neardup, sstable, toxicity, warc
+from kinespark.llm import bpe, chat, decontaminate, fim, fingerprint, licenses, media, mixing, neardup, sstable, toxicity, trie, warc
 
 #: Rows of an Arrow batch: with texts of 3 kB, 1.5 MB.
 ARROW_ROWS = "500"
@@ -61,11 +61,24 @@ def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_block_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversations_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_prefix_filtered_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_kneser_ney_toxicity, op2_signature_sniffing, op3_perspective_rotation, op4_token_sstable, op5_license_digest, op6_fair_queue_mix, op7_zip_warc,
         op8_chosen_path_dedup, op9_canonical_fingerprint, op10_bpe_transducer,
+        op11_block_rotation, op12_prefix_trie, op13_prefix_filtered_leaks,
     )
 }
-ORACLE = {"op3_perspective_rotation": chat.oracle(), "op5_license_digest": licenses.oracle(), "op7_zip_warc": warc.ORACLE}
+ORACLE = {"op3_perspective_rotation": chat.oracle(), "op5_license_digest": licenses.oracle(), "op7_zip_warc": warc.ORACLE, "op11_block_rotation": fim.ORACLE, "op12_prefix_trie": trie.ORACLE, "op13_prefix_filtered_leaks": decontaminate.ORACLE}
