@@ -1,8 +1,8 @@
 """Signal operators by trial: segments, windows, time-domain features (native) and NumPy kernels for filters and spectra.
 
 Native operators are windows and aggregates partitioned by trial. Kernels run as grouped functions on blocks of bounded
-size: filters and orientation on blocks with warm-up rows on their sides, spectra on runs of segments, entropies on cells of
-two blocks, peaks on clusters of candidates. Only by_trial() takes a whole trial as a group.
+size: resampling on blocks with the filter's reach on their sides, spectra on runs of segments, entropies on cells of two
+blocks. Only by_trial() takes a whole trial as a group. Filters, peaks and orientation have modules of their own.
 """
 
 from __future__ import annotations
@@ -196,35 +196,6 @@ def welch_psd(df: DataFrame, keys: Sequence[str], idx: str, value: str, fs: floa
     return sums.groupBy(*names, "freq").agg((F.sum("_sum") / F.sum("_parts")).alias("power"))
 
 
-def peak_rows(df: DataFrame, keys: Sequence[str], idx: str, value: Column, distance: int, percentile: float) -> DataFrame:
-    """(keys, idx) of the peaks as peaks() gives for each trial, from its percentile on.
-
-    Candidates are found by their neighbours; those closer than the distance form a cluster, which is a group.
-    """
-    names = list(keys)
-    w = Window.partitionBy(*names).orderBy("_idx")
-    x = df.select(*names, F.col(idx).cast("long").alias("_idx"), value.cast("double").alias("_v"))
-    cut = x.groupBy(*names).agg(F.percentile("_v", percentile / 100).alias("_cut"))
-    x = x.withColumn("_left", F.lag("_v").over(w)).withColumn("_right", F.lead("_v").over(w)).join(cut, names)
-    x = x.filter((F.col("_v") > F.col("_left")) & (F.col("_v") >= F.col("_right")) & (F.col("_v") >= F.col("_cut")))
-    apart = F.coalesce(F.col("_idx") - F.lag("_idx").over(w) >= distance, F.lit(False)).cast("int")
-    x = x.withColumn("_new", apart).withColumn("_cluster", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    alone = F.count("*").over(Window.partitionBy(*names, "_cluster")) == 1
-    x = x.withColumn("_alone", alone)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at, v = pdf["_idx"].to_numpy(), pdf["_v"].to_numpy()
-        kept: list[int] = []
-        for k in np.lexsort((at, -v)):
-            if all(abs(at[k] - other) >= distance for other in kept):
-                kept.append(int(at[k]))
-        return pd.DataFrame({c: [pdf[c].iloc[0]] * len(kept) for c in names} | {"idx": sorted(kept)})
-
-    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in names)
-    crowded = x.filter(~F.col("_alone")).select(*names, "_cluster", "_idx", "_v").groupBy(*names, "_cluster").applyInPandas(run, f"{kinds}, idx long")
-    return x.filter("_alone").select(*names, F.col("_idx").alias("idx")).unionByName(crowded)
-
-
 def orientation_summary(df: DataFrame, keys: Sequence[str], order: Sequence[str], tilt: str, pitch: str, roll: str, fs: float) -> DataFrame:
     """Mean, deviation and range of the tilt, deviations of pitch and roll in degrees, and the mean speed of the tilt."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -364,43 +335,6 @@ def entropies(df: DataFrame, keys: Sequence[str], idx: str, value: str, m: int =
     return g.select(*names, F.when((F.col("_a") > 0) & (F.col("_b") > 0), -F.log(F.col("_a") / F.col("_b"))).alias("sample_entropy"), (F.col("_phi") - F.col("_phi1")).alias("approximate_entropy"))
 
 
-def butter_sections(order: int, low: float | None, high: float | None, fs: float) -> list[np.ndarray]:
-    """Second-order sections (b0 b1 b2 a1 a2) of a Butterworth high-pass at low and/or low-pass at high, bilinear transform."""
-    made = []
-    for cut, kind in ((low, "high"), (high, "low")):
-        if cut is None:
-            continue
-        k = np.tan(np.pi * cut / fs)
-        for i in range(order // 2):
-            q = 1 / (2 * np.cos(np.pi * (2 * i + 1) / (2 * order)))
-            norm = 1 / (1 + k / q + k * k)
-            b = np.array([k * k, 2 * k * k, k * k] if kind == "low" else [1.0, -2.0, 1.0]) * norm
-            made.append(np.r_[b, 2 * (k * k - 1) * norm, (1 - k / q + k * k) * norm])
-    return made
-
-
-def filtered(x: np.ndarray, sections: Sequence[np.ndarray]) -> np.ndarray:
-    """Zero-phase filter: forward and back, ends extended by odd reflection."""
-    pad = min(len(x) - 1, 3 * (2 * len(sections) + 1))
-    if pad < 1:
-        return x.copy()
-    y = np.r_[2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]]
-    for _ in range(2):
-        for b0, b1, b2, a1, a2 in sections:
-            gain = (b0 + b1 + b2) / (1 + a1 + a2)
-            # the state a constant y[0] would have left
-            z2 = (b2 - a2 * gain) * y[0]
-            z1 = (b1 - a1 * gain) * y[0] + z2
-            out = np.empty_like(y)
-            for k, v in enumerate(y):
-                o = b0 * v + z1
-                z1, z2 = b1 * v - a1 * o + z2, b2 * v - a2 * o
-                out[k] = o
-            y = out
-        y = y[::-1]
-    return y[pad : len(y) - pad]
-
-
 def welch(x: np.ndarray, fs: float, segment: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Power spectral density: Hann windows of min(segment, n / 2) samples, half overlapping, each without its mean."""
     n = max(2, min(segment, len(x) // 2))
@@ -411,37 +345,6 @@ def welch(x: np.ndarray, fs: float, segment: int = 256) -> tuple[np.ndarray, np.
     return np.fft.rfftfreq(n, 1 / fs), power.mean(0)
 
 
-def peaks(x: np.ndarray, distance: int, height: float) -> np.ndarray:
-    """Local maxima of at least height, the highest first, none within distance of a higher one."""
-    at = np.flatnonzero((x[1:-1] > x[:-2]) & (x[1:-1] >= x[2:]) & (x[1:-1] >= height)) + 1
-    taken = np.zeros(len(x), bool)
-    kept = []
-    for k in at[np.argsort(-x[at], kind="stable")]:
-        if not taken[max(0, k - distance + 1) : k + distance].any():
-            taken[k] = True
-            kept.append(k)
-    return np.sort(np.array(kept, int))
-
-
-def orientation(acc: np.ndarray, gyr: np.ndarray, dt: float, beta: float = 0.1) -> np.ndarray:
-    """Quaternions by gradient-descent fusion of rates and gravity direction, row by row."""
-    q, out = np.array([1.0, 0, 0, 0]), np.empty((len(acc), 4))
-    for k, (a, g) in enumerate(zip(acc, gyr, strict=True)):
-        w, x, y, z = q
-        rate = 0.5 * np.array([-x * g[0] - y * g[1] - z * g[2], w * g[0] + y * g[2] - z * g[1], w * g[1] - x * g[2] + z * g[0], w * g[2] + x * g[1] - y * g[0]])
-        if (size := np.linalg.norm(a)) > 0:
-            ax, ay, az = a / size
-            f = np.array([2 * (x * z - w * y) - ax, 2 * (w * x + y * z) - ay, 2 * (0.5 - x * x - y * y) - az])
-            jac = np.array([[-2 * y, 2 * z, -2 * w, 2 * x], [2 * x, 2 * w, 2 * z, 2 * y], [0, -4 * x, -4 * y, 0]])
-            step = jac.T @ f
-            if (size := np.linalg.norm(step)) > 0:
-                rate = rate - beta * step / size
-        q = q + rate * dt
-        q = q / np.linalg.norm(q)
-        out[k] = q
-    return out
-
-
 def resample(x: np.ndarray, up: int, down: int, beta: float = 5.0) -> np.ndarray:
     """Polyphase resampling: zeros between samples, a Kaiser-windowed sinc, every down-th sample."""
     most = max(up, down)

@@ -6,6 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinespark.functions.hashes import unit, unit_sql
+from kinespark.operators import filters as fl
+from kinespark.operators import fusion as fu
+from kinespark.operators import peaks as pk
 from kinespark.operators import signals as g
 from kinespark.plans.register import query, table
 
@@ -192,66 +195,150 @@ def blocks(spark, sf, run, schema, **how):
     return g.by_blocks(events(spark, sf), ["user_id"], "idx", "value", run, schema, **how)
 
 
-@query()
+def pulse(sections, n=1024):
+    """The filter's answer to a single 1, section after section by its difference equation."""
+    x = [1.0] + [0.0] * (n - 1)
+    for b0, b1, b2, a1, a2 in sections:
+        y = []
+        for k in range(n):
+            y.append(b0 * x[k] + (b1 * x[k - 1] - a1 * y[k - 1] if k else 0.0) + (b2 * x[k - 2] - a2 * y[k - 2] if k > 1 else 0.0))
+        x = y
+    return x
+
+
+def zero_phase_sql(of, sections, name):
+    """The same by convolution of lists, for trials of up to about 1,000 rows: name(user_id, idx, v, f) from of(user_id, idx, v)."""
+    gain = float(np.prod([(b0 + b1 + b2) / (1 + a1 + a2) for b0, b1, b2, a1, a2 in sections]))
+    pad = fl.Cascade(sections).pad
+    one_way = lambda u: f"list_transform(range(1, len({u}) + 1), lambda i: {u}[1] * {gain!r} + list_inner_product(h[1:i], list_reverse(list_transform({u}[1:i], lambda v: v - {u}[1]))))"
+    return f"""{name}_p AS (SELECT [{', '.join(repr(float(v)) for v in pulse(sections))}]::DOUBLE[] AS h),
+{name}_l AS (SELECT user_id, list(v ORDER BY idx) AS x FROM {of} GROUP BY user_id),
+{name}_u AS (SELECT *, list_concat(list_concat(list_reverse(list_transform(x[2:{pad + 1}], lambda v: 2 * x[1] - v)), x), list_reverse(list_transform(x[len(x) - {pad}:len(x) - 1], lambda v: 2 * x[len(x)] - v))) AS u FROM {name}_l WHERE len(x) > {pad}),
+{name}_f AS (SELECT user_id, x, list_reverse({one_way('u')}) AS y FROM {name}_u, {name}_p),
+{name}_b AS (SELECT user_id, x, list_reverse({one_way('y')}) AS y FROM {name}_f, {name}_p),
+{name} AS (SELECT user_id, k - 1 AS idx, x[k] AS v, y[k + {pad}] AS f FROM (SELECT *, unnest(range(1, len(x) + 1)) AS k FROM {name}_b)
+  UNION ALL SELECT user_id, k - 1, x[k], x[k] FROM (SELECT *, unnest(range(1, len(x) + 1)) AS k FROM {name}_l WHERE len(x) <= {pad}))"""
+
+
+BAND, LOW, HIGH, GRAVITY = fl.butterworth(4, 0.5, 20, 100), fl.butterworth(4, None, 20, 100), fl.butterworth(4, 0.5, None, 100), fl.butterworth(2, None, 0.1, 100)
+V = "v AS (SELECT user_id, idx, value AS v FROM e)"
+
+
+def both_ways(spark, sf, sections):
+    return fl.zero_phase(events(spark, sf), ["user_id"], "idx", ["value"], sections, ["filtered"])
+
+
+@query(f"WITH {E}, {V}, {zero_phase_sql('v', BAND, 'b')} SELECT user_id, idx, round(f, 6) AS filtered FROM b")
 def g2_band_pass(spark, sf):
-    sections = g.butter_sections(4, 0.5, 20, 100)
-    return blocks(spark, sf, lambda x: {"filtered": g.filtered(x, sections)}, "filtered double")
+    return rounded(both_ways(spark, sf, BAND).drop("value"), "filtered")
 
 
-@query()
+@query(f"WITH {E}, {V}, {zero_phase_sql('v', LOW, 'b')} SELECT user_id, idx, round(f, 6) AS filtered FROM b")
 def g3_low_pass(spark, sf):
-    sections = g.butter_sections(4, None, 20, 100)
-    return blocks(spark, sf, lambda x: {"filtered": g.filtered(x, sections)}, "filtered double")
+    return rounded(both_ways(spark, sf, LOW).drop("value"), "filtered")
 
 
-@query()
+@query(f"WITH {E}, {V}, {zero_phase_sql('v', HIGH, 'a')}, w AS (SELECT user_id, idx, f AS v FROM a), {zero_phase_sql('w', LOW, 'b')} SELECT user_id, idx, round(f, 6) AS filtered FROM b")
 def g4_two_pass_filter(spark, sf):
     """High-pass and low-pass as two filters, one after the other."""
-    high, low = g.butter_sections(4, 0.5, None, 100), g.butter_sections(4, None, 20, 100)
-    return blocks(spark, sf, lambda x: {"filtered": g.filtered(g.filtered(x, high), low)}, "filtered double")
+    high = both_ways(spark, sf, HIGH).select("user_id", "idx", F.col("filtered").alias("high"))
+    return rounded(fl.zero_phase(high, ["user_id"], "idx", ["high"], LOW, ["filtered"]).drop("high"), "filtered")
 
 
-@query()
+#: Rows from which on gravity is filtered out; shorter trials lose their median.
+GRAVITY_ROWS = 50
+
+
+def without_gravity(df, value):
+    """df and free: value less its slow part."""
+    slow = fl.zero_phase(df, ["user_id"], "idx", [value], GRAVITY, ["slow"])
+    size = df.groupBy("user_id").agg(F.count("*").alias("n"), F.percentile(value, 0.5).alias("median"))
+    return slow.join(size, "user_id").withColumn("free", F.col(value) - F.when(F.col("n") >= GRAVITY_ROWS, F.col("slow")).otherwise(F.col("median"))).drop("slow", "n", "median")
+
+
+def without_gravity_sql(of):
+    return f"{zero_phase_sql(of, GRAVITY, 's')}, m AS (SELECT user_id, count(*) AS n, quantile_cont(v, 0.5) AS median FROM {of} GROUP BY 1), free AS (SELECT user_id, idx, s.v, s.v - CASE WHEN n >= {GRAVITY_ROWS} THEN f ELSE median END AS free FROM s JOIN m USING (user_id))"
+
+
+@query(f"WITH {E}, {V}, {without_gravity_sql('v')} SELECT user_id, idx, round(free, 6) AS free FROM free")
 def g5_gravity_removal(spark, sf):
-    sections = g.butter_sections(2, None, 0.1, 100)
-    return blocks(spark, sf, lambda x: {"free": x - (g.filtered(x, sections) if len(x) >= 50 else np.median(x))}, "free double")
+    return rounded(without_gravity(events(spark, sf).select("user_id", "idx", "value"), "value").drop("value"), "free")
 
 
-@query()
+def peaks_sql(of, name, distance, height="-1e300"):
+    """name(user_id, idx, height, prominence): the peaks of of(user_id, idx, v), at least height."""
+    return f"""{name}_n AS (SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY user_id ORDER BY idx) THEN 0 ELSE 1 END AS new FROM {of}),
+{name}_r AS (SELECT user_id, min(idx) AS a, max(idx) AS b, any_value(v) AS v FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY idx) AS run FROM {name}_n) GROUP BY user_id, run),
+{name}_c AS (SELECT user_id, (a + b) // 2 AS idx, v FROM (SELECT *, lag(v) OVER w AS lv, lead(v) OVER w AS rv FROM {name}_r WINDOW w AS (PARTITION BY user_id ORDER BY a)) z WHERE v > lv AND v > rv AND v >= {height}),
+{name}_k AS (SELECT user_id, unnest(list_reduce(list_prepend([]::BIGINT[], list([idx::BIGINT] ORDER BY v DESC, idx)), lambda kept, p: CASE WHEN len(list_filter(kept, lambda q: abs(q - p[1]) < {distance})) > 0 THEN kept ELSE list_concat(kept, p) END)) AS idx FROM {name}_c GROUP BY user_id),
+{name}_h AS (SELECT k.user_id, k.idx, p.v, max(x.idx) FILTER (x.idx < k.idx AND x.v > p.v) AS l, min(x.idx) FILTER (x.idx > k.idx AND x.v > p.v) AS r
+  FROM {name}_k k JOIN {of} p ON p.user_id = k.user_id AND p.idx = k.idx JOIN {of} x ON x.user_id = k.user_id GROUP BY ALL),
+{name} AS (SELECT h.user_id, h.idx, h.v AS height, h.v - greatest(min(x.v) FILTER (x.idx <= h.idx AND x.idx > coalesce(l, -1)), min(x.v) FILTER (x.idx >= h.idx AND x.idx < coalesce(r, 1e18))) AS prominence
+  FROM {name}_h h JOIN {of} x ON x.user_id = h.user_id GROUP BY h.user_id, h.idx, h.v)"""
+
+
+DISTANCE, PERCENTILE, FLOOR, BY_COHORT = 5, 60, 1.0, {"c0": 30.0, "c2": 75.0}
+COHORT = "'c' || (user_id % 4)"
+CUT_SQL = f"q AS (SELECT user_id, greatest(CASE {COHORT} {' '.join(f'WHEN {c!r} THEN quantile_cont(prominence, {p / 100})' for c, p in BY_COHORT.items())} ELSE quantile_cont(prominence, {PERCENTILE / 100}) END, {FLOOR}) AS cut FROM k GROUP BY user_id)"
+
+
+def strikes(df, value):
+    """Peaks of value by prominence, with cohorts' own percentiles."""
+    found = pk.peaks(df, ["user_id"], "idx", value, DISTANCE).withColumn("cohort", F.concat(F.lit("c"), (F.col("user_id") % 4).cast("string")))
+    return pk.by_prominence(found, ["user_id", "cohort"], PERCENTILE, FLOOR, "cohort", BY_COHORT)
+
+
+@query(f"WITH {E}, x AS (SELECT user_id, idx, -value AS v FROM e), {peaks_sql('x', 'k', DISTANCE)}, {CUT_SQL} SELECT user_id, {COHORT} AS cohort, idx, round(height, 6) AS height, round(prominence, 6) AS prominence FROM k JOIN q USING (user_id) WHERE prominence >= cut")
 def g6_heel_strikes(spark, sf):
-    return g.peak_rows(events(spark, sf), ["user_id"], "idx", F.col("value"), 5, 60)
+    """Peaks of the inverted vertical value whose prominence reaches the percentile of the trial's (or cohort's own) and the floor."""
+    return rounded(strikes(events(spark, sf), -F.col("value")), "height", "prominence")
 
 
-@query()
+@query(f"WITH {E}, x AS (SELECT user_id, idx, value AS v FROM e), c AS (SELECT user_id, quantile_cont(v, {PERCENTILE / 100}) AS cut FROM x GROUP BY 1), {peaks_sql('x', 'k', DISTANCE, '(SELECT cut FROM c WHERE c.user_id = z.user_id)')} SELECT user_id, idx, round(height, 6) AS height FROM k")
+def g6_height_peaks(spark, sf):
+    """Peaks from the trial's percentile of heights on."""
+    return rounded(pk.peaks(events(spark, sf), ["user_id"], "idx", F.col("value"), DISTANCE, PERCENTILE).drop("prominence"), "height")
+
+
+@query(f"""WITH {E}, x AS (SELECT user_id, idx, -value AS v FROM e), {peaks_sql('x', 'k', DISTANCE)}, {CUT_SQL}, t AS (SELECT user_id, idx, -abs(value) AS v FROM e), {peaks_sql('t', 'o', DISTANCE)}
+SELECT e.user_id, e.idx, CASE WHEN k.idx IS NULL THEN 0 ELSE 1 END AS heel_strike, CASE WHEN o.idx IS NULL THEN 0 ELSE 1 END AS toe_off FROM e
+LEFT JOIN (SELECT k.* FROM k JOIN q USING (user_id) WHERE prominence >= cut) k ON k.user_id = e.user_id AND k.idx = e.idx LEFT JOIN o ON o.user_id = e.user_id AND o.idx = e.idx""")
 def g7_toe_offs(spark, sf):
-    return g.peak_rows(events(spark, sf), ["user_id"], "idx", -F.col("value"), 5, 60)
+    """Every row with its flags: strikes, and toe-offs as peaks of the negated resultant."""
+    e = events(spark, sf).select("user_id", "idx", "value")
+    flagged = pk.flagged(e, strikes(e, -F.col("value")), ["user_id"], "idx", "heel_strike")
+    return pk.flagged(flagged, pk.peaks(e, ["user_id"], "idx", -F.abs("value"), DISTANCE), ["user_id"], "idx", "toe_off").drop("value")
+
 
+def motion(spark, sf):
+    """Events as a sensor: acceleration, rates and field out of each value and its neighbours."""
+    w = Window.partitionBy("user_id").orderBy("idx")
+    x, before, after = F.col("value"), F.coalesce(F.lag("value").over(w), F.col("value")), F.coalesce(F.lead("value").over(w), F.col("value"))
+    columns = {"ax": x, "ay": before, "az": F.abs(x) + 1, "gx": (after - before) / 2, "gy": x - before, "gz": after - x, "mx": after, "my": x, "mz": F.lit(20.0)}
+    return events(spark, sf).select("user_id", "idx", *(v.alias(k) for k, v in columns.items()))
 
-def tilt(x):
-    a = np.stack([x, np.r_[x[:1], x[:-1]], np.abs(x) + 1], 1)
-    q = g.orientation(a, np.gradient(a, axis=0) if len(a) > 1 else a * 0, 0.01)
-    w, i, j, k = q.T
-    return {"roll": np.arctan2(2 * (w * i + j * k), 1 - 2 * (i * i + j * j)), "pitch": np.arcsin(np.clip(2 * (w * j - k * i), -1, 1))}
+
+ACC, GYR, MAG = ["ax", "ay", "az"], ["gx", "gy", "gz"], ["mx", "my", "mz"]
 
 
 @query()
 def g8_orientation(spark, sf):
-    """Roll and pitch; a block's fusion settles during its warm-up rows."""
-    return blocks(spark, sf, tilt, "roll double, pitch double")
+    """Quaternions and angles by rates and gravity."""
+    return fu.orientation(motion(spark, sf), ["user_id"], "idx", ACC, GYR, 0.01)
 
 
 @query()
-def g9_cleaning_chain(spark, sf):
-    """Filter, orientation and gravity removal in one pass of the blocks, then heel strikes of what is left."""
-    band, gravity = g.butter_sections(4, 0.5, 20, 100), g.butter_sections(2, None, 0.1, 100)
+def g8_orientation_by_field(spark, sf):
+    """The same with the magnetic field."""
+    return fu.orientation(motion(spark, sf), ["user_id"], "idx", ACC, GYR, 0.01, mag=MAG)
 
-    def run(x):
-        y = g.filtered(x, band)
-        return {"filtered": y, **tilt(x), "free": y - g.filtered(y, gravity) if len(y) >= 50 else y - np.median(y)}
 
-    clean = blocks(spark, sf, run, "filtered double, roll double, pitch double, free double")
-    strikes = g.peak_rows(clean, ["user_id"], "idx", F.col("free"), 5, 60).withColumn("heel_strike", F.lit(1))
-    return clean.join(strikes, ["user_id", "idx"], "left").withColumn("heel_strike", F.coalesce("heel_strike", F.lit(0)))
+@query()
+def g9_cleaning_chain(spark, sf):
+    """Band-pass, orientation, gravity removal of the filtered value, and heel strikes of what is left, row by row."""
+    filtered = without_gravity(both_ways(spark, sf, BAND), "filtered")
+    clean = filtered.join(fu.orientation(motion(spark, sf), ["user_id"], "idx", ACC, GYR, 0.01).drop("quat_w", "quat_x", "quat_y", "quat_z"), ["user_id", "idx"])
+    return pk.flagged(clean, strikes(filtered, -F.col("free")), ["user_id"], "idx", "heel_strike")
 
 
 @query()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from kinespark.functions.mathx import chi2_tail, normal_two_sided
-from kinespark.operators import metrics, quality, signals, stats
+from kinespark.operators import filters, metrics, peaks, quality, signals, stats
 from kinespark.plans import registry
 from kinespark.streaming import streams
 
@@ -85,17 +85,15 @@ def test_trend(spark):
 def test_kernels():
     t = np.arange(1000) / 100
     x = 5 + np.sin(2 * np.pi * 3 * t)
-    y = signals.filtered(x, signals.butter_sections(4, 0.5, 20, 100))
+    y = filters.Cascade(filters.butterworth(4, 0.5, 20, 100)).both_ways(x[:, None])[:, 0]
     assert abs(y[200:800].mean()) < 0.02 and np.corrcoef(y[200:800], x[200:800])[0, 1] > 0.99
     f, p = signals.welch(x, 100)
     assert abs(f[p.argmax()] - 3) < 0.5
-    assert len(signals.peaks(x, 20, 5.5)) == 30
+    assert len(peaks.whole_peaks(x, 20, 5.5)[0]) == 30
     assert len(signals.resample(x, 25, 16)) == 1563 and abs(signals.resample(x, 25, 16)[300:1200].mean() - 5) < 0.05
     noise = np.random.default_rng(0).normal(size=2000)
     assert 0.3 < signals.dfa(noise) < 0.7 and 1.2 < signals.dfa(np.cumsum(noise)) < 1.8
     assert signals.sample_entropy(noise[:300]) > signals.sample_entropy(np.sin(t[:300] * 9))
-    q = signals.orientation(np.tile([0, 0, 9.81], (200, 1)), np.zeros((200, 3)), 0.01)
-    assert np.allclose(np.linalg.norm(q, axis=1), 1)
 
 
 @pytest.fixture(scope="module")
@@ -116,35 +114,19 @@ def by_key(rows, *columns):
 
 def test_blocks_equal_the_whole_trial(trials):
     whole, df = trials
-    sections = signals.butter_sections(4, 0.5, 20, 100)
-    got = by_key(signals.by_blocks(df, ["k"], "i", "v", lambda x: {"y": signals.filtered(x, sections)}, "y double", block=2048, warm_up=1500).collect(), "idx", "y")
-    for k, x in whole.items():
-        assert (got[k][:, 0] == np.arange(len(x))).all() and np.allclose(got[k][:, 1], signals.filtered(x, sections), atol=1e-8)
     made = by_key(signals.by_blocks(df, ["k"], "i", "v", lambda x: {"y": signals.resample(x, 25, 16)}, "y double", block=2048, warm_up=512, up=25, down=16).collect(), "idx", "y")
     for k, x in whole.items():
         want = signals.resample(x, 25, 16)
         assert (made[k][:, 0] == np.arange(len(want))).all() and np.allclose(made[k][:, 1], want, atol=1e-9)
 
 
-def test_orientation_settles_in_the_warm_up(trials):
-    from kinespark.plans.signal_plans import tilt
-
-    whole, df = trials
-    got = by_key(signals.by_blocks(df, ["k"], "i", "v", tilt, "roll double, pitch double", block=4096, warm_up=4096).collect(), "roll", "pitch")
-    want = tilt(whole["long"])
-    assert np.abs(got["long"] - np.stack([want["roll"], want["pitch"]], 1)).max() < 0.02
-
-
-def test_runs_of_segments_and_clusters_equal_the_kernels(trials):
+def test_runs_of_segments_equal_the_kernel(trials):
     whole, df = trials
     psd = by_key(signals.welch_psd(df, ["k"], "i", "v", 100, segment=128, run_of=7).collect(), "freq", "power")
     for k, x in whole.items():
         f, p = signals.welch(x, 100, 128)
         order = np.argsort(psd[k][:, 0])
         assert np.allclose(psd[k][order, 0], f) and np.allclose(psd[k][order, 1], p)
-    found = by_key(signals.peak_rows(df, ["k"], "i", F.col("v"), 6, 60).collect(), "idx")
-    for k, x in whole.items():
-        assert found[k].ravel().tolist() == signals.peaks(x, 6, np.percentile(x, 60)).tolist()
 
 
 def test_entropies_and_dfa_equal_the_kernels(trials):
