@@ -6,6 +6,7 @@ a word. Spans are told apart by 64-bit hashes of their bytes.
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -41,15 +42,30 @@ _STEPS: ContextVar[list[str] | None] = ContextVar("steps", default=None)
 def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: later failures recompute from the files, not from the source.
 
-    Inside temporary(), the table goes with the others of the block unless it is to be kept.
+    Inside temporary(), the table goes with the others of the block unless it is to be kept; else it goes when the driver
+    ends.
     """
     spark = df.sparkSession
     df.write.parquet(path := scratch(spark, name))
-    if not keep and (steps := _STEPS.get()) is not None:
-        steps.append(path)
+    steps = _STEPS.get()
+    (_AT_END if keep or steps is None else steps).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_AT_END: list[str] = []
+
+
+def delete(paths: list[str]) -> None:
+    for path in paths:
+        fs, folder = filesystem(path)
+        if fs.get_file_info(folder).type != pafs.FileType.NotFound:
+            fs.delete_dir(folder)
+    paths.clear()
+
+
+atexit.register(delete, _AT_END)
+
+
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """Tables that stored() writes in the block are deleted at its end; nothing lazy that reads them may leave it."""
@@ -57,10 +73,7 @@ def temporary(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        conf = spark._jsc.hadoopConfiguration()
-        for path in _STEPS.get():
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(conf).delete(folder, True)
+        delete(_STEPS.get())
         _STEPS.reset(token)
 
 
