@@ -2,42 +2,92 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from kinespark.functions.steps import written
 
 
 def match_events(detected: DataFrame, truth: DataFrame, keys: Sequence[str], at: str, tolerance: int) -> DataFrame:
     """(keys, tp, fp, fn, n_detected, n_truth, error) by greedy matching: each true event, in order, takes the nearest free detected one.
 
-    Events that are further apart than the tolerance from all before them begin a new cluster; no match crosses clusters, so
-    these are the groups, not whole trials. error is the sum of the matches' distances.
+    Events that are further apart than the tolerance from all before them begin a new cluster, and no match crosses clusters.
+    All events are sorted in ranges of (keys, time) and read as a stream, cluster by cluster. The first and the last cluster
+    of a range may go on in its neighbours; these alone are dealt out again, by keys. error is the sum of the matches'
+    distances; events without a time belong nowhere.
     """
-    both = detected.select(*keys, F.col(at).alias("_at"), F.lit(False).alias("_true")).unionByName(truth.select(*keys, F.col(at).alias("_at"), F.lit(True).alias("_true")))
-    w = Window.partitionBy(*keys).orderBy("_at", "_true")
-    apart = F.coalesce(F.col("_at") - F.lag("_at").over(w) > tolerance, F.lit(False)).cast("int")
-    clustered = both.withColumn("_new", apart).withColumn("_cluster", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    kinds = ", ".join(f"{k} {detected.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        times, true = pdf["_at"].to_numpy(), pdf["_true"].to_numpy()
-        free, wanted = np.sort(times[~true]), np.sort(times[true])
-        used, errors = np.zeros(len(free), bool), []
-        for t in wanted:
-            distance = np.where(used, tolerance + 1, np.abs(free - t))
-            if len(free) and distance.min() <= tolerance:
-                k = int(distance.argmin())
-                used[k] = True
-                errors.append(int(distance[k]))
-        first = {k: pdf[k].iloc[0] for k in keys}
-        return pd.DataFrame([first | {"tp": len(errors), "n_detected": len(free), "n_truth": len(wanted), "error": sum(errors)}])
-
-    made = clustered.select(*keys, "_cluster", "_at", "_true").groupBy(*keys, "_cluster").applyInPandas(run, f"{kinds}, tp long, n_detected long, n_truth long, error long")
-    whole = made.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("tp", "n_detected", "n_truth", "error")))
-    return whole.select(*keys, "tp", (F.col("n_detected") - F.col("tp")).alias("fp"), (F.col("n_truth") - F.col("tp")).alias("fn"), "n_detected", "n_truth", "error")
+    names = list(keys)
+    both = detected.select(*names, F.col(at).cast("long").alias("_at"), F.lit(False).alias("_true")).unionByName(truth.select(*names, F.col(at).cast("long").alias("_at"), F.lit(True).alias("_true"))).filter("_at IS NOT NULL")
+    kinds = ", ".join(f"{k} {detected.schema[k].dataType.simpleString()}" for k in names)
+    counts = ("tp", "n_detected", "n_truth", "error")
+    schema = f"{kinds}, _at long, _true boolean, " + ", ".join(f"{c} long" for c in counts)
+
+    def reading(whole: bool):
+        """Counts a trial of the clusters that lie inside the range; events of others as they came, unless the range is whole."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, cluster, sums, edge = None, [], [0, 0, 0, 0], not whole
+            for batch in batches:
+                rows = []
+                trials = zip(*(batch.column(k).to_pylist() for k in names), strict=True)
+                for trial, time, true in zip(trials, batch.column("_at").to_pylist(), batch.column("_true").to_pylist(), strict=True):
+                    if cluster and (trial != key or time - cluster[-1][0] > tolerance):
+                        if edge:
+                            rows += [(*key, *event, None, None, None, None) for event in cluster]
+                            edge = False
+                        else:
+                            sums = [a + b for a, b in zip(sums, greedy(cluster, tolerance), strict=True)]
+                        cluster = []
+                    if trial != key:
+                        if key is not None and any(sums):
+                            rows.append((*key, None, None, *sums))
+                        key, sums = trial, [0, 0, 0, 0]
+                    cluster.append((time, true))
+                yield rows_of(rows)
+            rows = []
+            if cluster and whole:
+                sums = [a + b for a, b in zip(sums, greedy(cluster, tolerance), strict=True)]
+            elif cluster:
+                rows = [(*key, *event, None, None, None, None) for event in cluster]
+            if key is not None and any(sums):
+                rows.append((*key, None, None, *sums))
+            yield rows_of(rows)
+
+        return run
+
+    types = to_arrow_schema(StructType.fromDDL(schema))
+
+    def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * len(types)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, types, strict=True)], schema=types)
+
+    order = [*names, "_at", "_true"]
+    read = written(both.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(reading(False), schema), "event-matches")
+    again = read.filter("_at IS NOT NULL").select(*order).repartition(*names).sortWithinPartitions(*order).mapInArrow(reading(True), schema)
+    whole = read.filter("_at IS NULL").unionByName(again).groupBy(*names).agg(*(F.sum(c).alias(c) for c in counts))
+    return whole.select(*names, "tp", (F.col("n_detected") - F.col("tp")).alias("fp"), (F.col("n_truth") - F.col("tp")).alias("fn"), "n_detected", "n_truth", "error")
+
+
+def greedy(cluster: list[tuple[int, bool]], tolerance: int) -> tuple[int, int, int, int]:
+    """(matches, detected, true, sum of distances) of a cluster of (time, true) in order of time; of equally near ones the earlier is taken."""
+    free = [t for t, true in cluster if not true]
+    n_true = len(cluster) - len(free)
+    if not free or not n_true:
+        return 0, len(free), n_true, 0
+    used, n, error = [False] * len(free), 0, 0
+    for t, true in cluster:
+        if true:
+            near = [(abs(free[k] - t), k) for k in range(bisect_left(free, t - tolerance), bisect_right(free, t + tolerance)) if not used[k]]
+            if near:
+                distance, k = min(near)
+                used[k], n, error = True, n + 1, error + distance
+    return n, len(free), n_true, error
 
 
 def f_scores(counts: DataFrame) -> DataFrame:
