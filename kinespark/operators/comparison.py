@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinespark.functions.mathx import normal_two_sided
+from kinespark.functions.steps import written
 from kinespark.operators import metrics as m
 from kinespark.operators import stats as t
 
@@ -17,10 +18,8 @@ NEMENYI = {2: 1.960, 3: 2.343, 4: 2.569, 5: 2.728, 6: 2.850, 7: 2.949, 8: 3.031,
 
 
 def pairwise_delong(df: DataFrame, y: str, scores: Sequence[str]) -> DataFrame:
-    """(model_a, model_b, auc_a, auc_b, z, p, q) for each pair of score columns; q over all pairs. A test a pair, a row each."""
-    rows = [(a, b, *t.delong(df, y, a, b).select("auc_a", "auc_b", "z", "p").first()) for k, a in enumerate(scores) for b in scores[k + 1 :]]
-    table = df.sparkSession.createDataFrame(rows, "model_a string, model_b string, auc_a double, auc_b double, z double, p double")
-    return m.benjamini_hochberg(table, "p", "q")
+    """(model_a, model_b, auc_a, auc_b, z, p, q) for each pair of score columns; q over all pairs."""
+    return m.benjamini_hochberg(t.delong_pairs(df, y, list(scores)), "p", "q")
 
 
 def family_gain(df: DataFrame, group: str, y: str, family: Sequence[str], others: Sequence[str], replicates: int) -> DataFrame:
@@ -53,7 +52,8 @@ def wilcoxon_against(df: DataFrame, block: str, treatment: str, value: str, refe
     p is normal with the correction for ties; zeros are dropped; no difference at all gives 1.
     """
     own = df.filter(F.col(treatment) == reference).select(block, F.col(value).alias("_r"))
-    d = df.filter(F.col(treatment) != reference).join(own, block).withColumn("_d", F.round(F.col("_r") - F.col(value), 12)).persist()
+    d = df.filter(F.col(treatment) != reference).join(own, block).withColumn("_d", F.round(F.col("_r") - F.col(value), 12))
+    d = written(d.select(treatment, "_d"), "differences")
     means = d.groupBy(treatment).agg(F.avg("_d").alias("delta"))
     ranked = m.mid_ranks(d.filter("_d <> 0").withColumn("_m", F.abs("_d")), [treatment], "_m", "rank")
     ties = ranked.groupBy(treatment, "_m").agg(F.count("*").alias("k")).groupBy(treatment).agg(F.sum(F.pow("k", F.lit(3)) - F.col("k")).alias("ties"))
@@ -62,17 +62,17 @@ def wilcoxon_against(df: DataFrame, block: str, treatment: str, value: str, refe
     variance = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
     z = F.when(variance > 0, (w - n * (n + 1) / 4) / F.sqrt(variance))
     made = means.join(sums.join(ties, treatment), treatment, "left").select(treatment, F.coalesce("n", F.lit(0)).alias("n"), w.alias("w"), z.alias("z"), F.coalesce(normal_two_sided(z), F.lit(1.0)).alias("p"), "delta")
-    return m.holm(made, "p", treatment, "p_holm")
+    return m.holm(made, "p", "p_holm")
 
 
 def jackknife_aucs(df: DataFrame, group: str, y: str, scores: Sequence[str]) -> DataFrame:
-    """(group, model, auc) without each group's rows, of the groups that have one for all models; kept, as tests read it again and again."""
+    """(group, model, auc) without each group's rows, of the groups that have one for all models; written, as tests read it again and again."""
     parts = [m.leave_one_out_auc(df, group, y, s).select(group, F.lit(s).alias("model"), "auc") for s in scores]
     whole = parts[0]
     for x in parts[1:]:
         whole = whole.unionByName(x)
-    whole = whole.filter("auc is not null")
-    return whole.join(whole.groupBy(group).agg(F.count("*").alias("_n")).filter(F.col("_n") == len(scores)).select(group), group).persist()
+    whole = written(whole.filter("auc is not null"), "jackknife")
+    return whole.join(whole.groupBy(group).agg(F.count("*").alias("_n")).filter(F.col("_n") == len(scores)).select(group), group)
 
 
 def isotonic(df: DataFrame, fit: Column, targets: Mapping[str, Column], suffix: str = "_calibrated") -> DataFrame:

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinespark.functions.ranges import running, same
+from kinespark.functions.ranges import range_cuts, running, same
+from kinespark.functions.steps import written
 
 #: Added to the denominators of rates, as the published tables do. Fixed value.
 EPS = 1e-10
@@ -110,10 +111,12 @@ def leave_one_out_auc(df: DataFrame, group: str, y: str, score: str) -> DataFram
     counts by distinct score, so no row is repeated for the groups it stays in.
     """
     by = df.filter(F.col(score).isNotNull()).groupBy(group, F.col(score).alias("s")).agg(F.count_if(F.col(y) == 1).alias("gp"), F.count_if(F.col(y) == 0).alias("gn"))
-    all_ = running(by.groupBy("s").agg(F.sum("gp").alias("p"), F.sum("gn").alias("n")), [], "s", {"p_upto": "p", "n_upto": "n"})
+    by = written(by, "loo-counts")
+    cuts = range_cuts(by, "s")[0]
+    all_ = running(by.groupBy("s").agg(F.sum("gp").alias("p"), F.sum("gn").alias("n")), [], "s", {"p_upto": "p", "n_upto": "n"}, cuts)
     whole = all_.agg(F.sum("p").alias("all_p"))
     ranked = all_.crossJoin(F.broadcast(whole)).withColumn("neg_below", F.col("n_upto") - F.col("n") / 2).withColumn("pos_above", F.col("all_p") - F.col("p_upto") + F.col("p") / 2)
-    own = running(by, [group], "s", {"gn_upto": "gn"}).withColumn("own_below", F.col("gn_upto") - F.col("gn") / 2)
+    own = running(by, [group], "s", {"gn_upto": "gn"}, cuts).withColumn("own_below", F.col("gn_upto") - F.col("gn") / 2)
     joined = own.join(ranked.select("s", "neg_below", "pos_above"), "s")
     touch = joined.groupBy(group).agg(F.sum(F.col("gp") * F.col("neg_below") + F.col("gn") * F.col("pos_above") - F.col("gp") * F.col("own_below")).alias("u_g"), F.sum("gp").alias("gp"), F.sum("gn").alias("gn"))
     total = ranked.agg(F.sum(F.col("p") * F.col("neg_below")).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
@@ -122,15 +125,26 @@ def leave_one_out_auc(df: DataFrame, group: str, y: str, score: str) -> DataFram
 
 
 def benjamini_hochberg(df: DataFrame, p: str, into: str) -> DataFrame:
-    """q-values of a table of tests; null p stays null. The table is small: a row a test."""
+    """q-values of a table of tests; null p stays null. Ranks and minima go over distinct p by ranges, so tests may be many.
+
+    The tests are written first: sums of doubles need not come out alike twice, and p is joined with itself.
+    """
+    df = written(df, "tests")
     known, none = df.filter(F.col(p).isNotNull()), df.filter(F.col(p).isNull()).withColumn(into, F.lit(None).cast("double"))
-    up = Window.orderBy(p)
-    ranked = known.withColumn("_k", F.rank().over(up) + F.count("*").over(Window.partitionBy(p)) - 1).withColumn("_q", F.col(p) * F.count("*").over(Window.partitionBy()) / F.col("_k"))
-    least = F.min("_q").over(Window.orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn(into, F.least(least, F.lit(1.0))).drop("_k", "_q").unionByName(none)
+    counts = written(known.groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n")), "test-counts")
+    cuts, n = range_cuts(counts, "_p")[0], F.broadcast(counts.agg(F.sum("_n").alias("_all")))
+    ranked = running(counts, [], "_p", {"_k": "_n"}, cuts).crossJoin(n).withColumn("_q", F.col("_p") * F.col("_all") / F.col("_k"))
+    least = running(ranked, [], "_p", {"_least": "_q"}, cuts, least=True, backward=True).select("_p", F.least("_least", F.lit(1.0)).alias(into))
+    return known.join(least, F.col(p) == F.col("_p")).drop("_p").unionByName(none)
 
 
-def holm(df: DataFrame, p: str, tie: str, into: str) -> DataFrame:
-    order = Window.orderBy(p, tie)
-    stepped = (F.count("*").over(Window.partitionBy()) - F.row_number().over(order) + 1) * F.col(p)
-    return df.withColumn("_h", stepped).withColumn(into, F.least(F.max("_h").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0))).drop("_h")
+def holm(df: DataFrame, p: str, into: str) -> DataFrame:
+    """Holm's adjusted p-values; tests of equal p get the same value. Null p stays null."""
+    df = written(df, "tests")
+    known, none = df.filter(F.col(p).isNotNull()), df.filter(F.col(p).isNull()).withColumn(into, F.lit(None).cast("double"))
+    counts = written(known.groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n")), "test-counts")
+    cuts, n = range_cuts(counts, "_p")[0], F.broadcast(counts.agg(F.sum("_n").alias("_all")))
+    # of equal p the first has the largest factor, and the maximum carries it to the others
+    ranked = running(counts, [], "_p", {"_k": "_n"}, cuts).crossJoin(n).withColumn("_h", -(F.col("_all") - (F.col("_k") - F.col("_n"))) * F.col("_p"))
+    most = running(ranked, [], "_p", {"_least": "_h"}, cuts, least=True).select("_p", F.least(-F.col("_least"), F.lit(1.0)).alias(into))
+    return known.join(most, F.col(p) == F.col("_p")).drop("_p").unionByName(none)

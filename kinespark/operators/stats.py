@@ -9,24 +9,53 @@ from pyspark.sql import functions as F
 
 from kinespark.functions.hashes import unit
 from kinespark.functions.mathx import normal_two_sided
-from kinespark.functions.ranges import range_cuts
+from kinespark.functions.ranges import range_cuts, running, same
+from kinespark.functions.steps import written
 from kinespark.operators.metrics import mid_ranks
 
 
+def placements(df: DataFrame, y: str, scores: Sequence[str]) -> DataFrame:
+    """(y, n, scores): rows counted by their values, each score replaced by its placement among the other class.
+
+    A positive's placement is the share of negatives below it, a negative's the share of positives above it, ties half. Rows
+    without one of the scores or the label go.
+    """
+    names = list(scores)
+    whole = df.select(F.col(y).cast("int").alias("y"), *names).dropna()
+    rows = written(whole.groupBy("y", *names).agg(F.count("*").alias("n")), "score-rows")
+    sizes = F.broadcast(rows.agg(F.sum(F.when(F.col("y") == 1, F.col("n"))).alias("_m"), F.sum(F.when(F.col("y") == 0, F.col("n"))).alias("_k")))
+    placed = rows
+    for s, cuts in zip(names, range_cuts(rows, *names), strict=True):
+        counts = rows.groupBy(F.col(s).alias("_s")).agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("_pos"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("_neg"))
+        upto = running(counts, [], "_s", {"_pos_upto": "_pos", "_neg_upto": "_neg"}, cuts).crossJoin(sizes)
+        share = upto.select("_s", ((F.col("_neg_upto") - F.col("_neg") / 2) / F.col("_k")).alias("_below"), (1 - (F.col("_pos_upto") - F.col("_pos") / 2) / F.col("_m")).alias("_above"))
+        placed = placed.join(share, F.col(s) == F.col("_s")).withColumn(f"_v_{s}", F.when(F.col("y") == 1, F.col("_below")).otherwise(F.col("_above"))).drop("_s", "_below", "_above")
+    return placed.select("y", "n", *(F.col(f"_v_{s}").alias(s) for s in names))
+
+
+def delong_pairs(df: DataFrame, y: str, scores: Sequence[str]) -> DataFrame:
+    """(model_a, model_b, auc_a, auc_b, z, p) of DeLong's test for every pair of scores on the same rows, in one pass."""
+    v = placements(df, y, scores)
+    pairs = [(a, b) for k, a in enumerate(scores) for b in scores[k + 1 :]]
+    n = {c: F.when(F.col("y") == c, F.col("n")).otherwise(0) for c in (0, 1)}
+    sums = [F.sum(n[c]).alias(f"n{c}") for c in n] + [F.sum(n[1] * F.col(s)).alias(f"s{k}") for k, s in enumerate(scores)]
+    for k, (a, b) in enumerate(pairs):
+        d = F.col(a) - F.col(b)
+        sums += [f(n[c] * x).alias(f"{name}{c}_{k}") for c in n for f, x, name in ((F.sum, d, "d"), (F.sum, d * d, "dd"))]
+    spread = lambda c, k: (F.col(f"dd{c}_{k}") - F.col(f"d{c}_{k}") * F.col(f"d{c}_{k}") / F.col(f"n{c}")) / (F.col(f"n{c}") - 1) / F.col(f"n{c}")
+    rows = []
+    for k, (a, b) in enumerate(pairs):
+        auc = [(F.col(f"s{scores.index(s)}") / F.col("n1")) for s in (a, b)]
+        both = (F.col("n1") > 1) & (F.col("n0") > 1)
+        rows.append(F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), auc[0].alias("auc_a"), auc[1].alias("auc_b"), F.when(both, spread(0, k) + spread(1, k)).alias("var")))
+    out = v.agg(*sums).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    z = F.when(F.col("var") > 1e-18, (F.col("auc_a") - F.col("auc_b")) / F.sqrt("var"))
+    return out.select("model_a", "model_b", "auc_a", "auc_b", z.alias("z"), normal_two_sided(z).alias("p"))
+
+
 def delong(df: DataFrame, y: str, a: str, b: str) -> DataFrame:
-    """One row (auc_a, auc_b, z, p): DeLong's test of two scores on the same rows, from mid-ranks within and over classes."""
-    x = df.select(F.col(y).alias("y"), F.col(a).alias("a"), F.col(b).alias("b"))
-    for s, cuts in zip(("a", "b"), range_cuts(x, "a", "b"), strict=True):
-        x = mid_ranks(mid_ranks(x, [], s, f"r{s}", cuts), ["y"], s, f"q{s}", cuts)
-    n = x.agg(F.count_if(F.col("y") == 1).alias("m"), F.count_if(F.col("y") == 0).alias("n"))
-    x = x.crossJoin(F.broadcast(n))
-    # a positive's share of negatives below it, a negative's of positives above it
-    part = lambda s: F.when(F.col("y") == 1, (F.col(f"r{s}") - F.col(f"q{s}")) / F.col("n")).otherwise(1 - (F.col(f"r{s}") - F.col(f"q{s}")) / F.col("m"))
-    x = x.withColumn("va", part("a")).withColumn("vb", part("b")).withColumn("d", F.col("va") - F.col("vb"))
-    pos, neg = (lambda c: F.when(F.col("y") == 1, F.col(c))), (lambda c: F.when(F.col("y") == 0, F.col(c)))
-    out = x.agg(F.avg(pos("va")).alias("auc_a"), F.avg(pos("vb")).alias("auc_b"), (F.var_samp(pos("d")) / F.first("m") + F.var_samp(neg("d")) / F.first("n")).alias("var"))
-    z = F.when(F.col("var") > 0, (F.col("auc_a") - F.col("auc_b")) / F.sqrt("var"))
-    return out.select("auc_a", "auc_b", z.alias("z"), normal_two_sided(z).alias("p"))
+    """One row (auc_a, auc_b, z, p): DeLong's test of two scores on the same rows."""
+    return delong_pairs(df, y, [a, b]).select("auc_a", "auc_b", "z", "p")
 
 
 def replicate_weight(group: Column, replicate: Column, seed: int) -> Column:
@@ -64,9 +93,11 @@ def mcnemar(df: DataFrame, keys: Sequence[str], right_a: Column, right_b: Column
 
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     """One row (groups, n, h): Kruskal-Wallis with the correction for ties."""
-    ranked = mid_ranks(df.select(group, value), [], value, "rank")
-    by = ranked.groupBy(group).agg(F.sum("rank").alias("r"), F.count("*").alias("n"))
-    ties = df.groupBy(value).agg(F.count("*").alias("t")).agg(F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
+    cells = written(df.filter(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("_v")).agg(F.count("*").alias("_c")), "rank-counts")
+    counts = cells.groupBy("_v").agg(F.sum("_c").alias("t"))
+    ranks = running(counts, [], "_v", {"_upto": "t"}, range_cuts(cells, "_v")[0]).select(F.col("_v").alias("_w"), (F.col("_upto") - (F.col("t") - 1) / 2).alias("rank"))
+    by = cells.join(ranks, F.col("_v") == F.col("_w")).groupBy(group).agg(F.sum(F.col("_c") * F.col("rank")).alias("r"), F.sum("_c").alias("n"))
+    ties = counts.agg(F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
     s = by.agg(F.count("*").alias("groups"), F.sum("n").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s")).crossJoin(F.broadcast(ties))
     n = F.col("n").cast("double")
     h = F.try_divide(12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1), 1 - F.try_divide("ties", n * n * n - n))
@@ -100,11 +131,11 @@ def friedman(df: DataFrame, block: str, treatment: str, value: str) -> DataFrame
 
 def conformal_threshold(df: DataFrame, keys: Sequence[str], score: Column, alpha: float) -> DataFrame:
     """(keys, n, q_hat): the ceil((n + 1)(1 - alpha)) / n quantile of nonconformity, the higher of two values."""
-    w = Window.partitionBy(*keys)
-    x = df.withColumn("_s", score).withColumn("_n", F.count("*").over(w)).withColumn("_k", F.row_number().over(w.orderBy("_s")))
+    counts = running(df.select(*keys, score.alias("_s")).filter("_s IS NOT NULL").groupBy(*keys, "_s").agg(F.count("*").alias("_c")), keys, "_s", {"_upto": "_c"})
+    n = counts.groupBy(*(F.col(k).alias(f"_of_{k}") for k in keys)).agg(F.sum("_c").alias("_n"))
     level = F.least(F.ceil((F.col("_n") + 1) * (1 - alpha)) / F.col("_n"), F.lit(1.0))
     at = F.ceil(F.round(level * (F.col("_n") - 1), 9)) + 1
-    return x.filter(F.col("_k") == at).select(*keys, F.col("_n").alias("n"), F.col("_s").alias("q_hat"))
+    return counts.join(n, same(keys, "_of_")).filter(F.col("_upto") >= at).groupBy(*keys, F.col("_n").alias("n")).agg(F.min("_s").alias("q_hat"))
 
 
 def subject_holdout(people: DataFrame, ident: str, healthy: Column, seed: int = 42, train: float = 0.7, val: float = 0.15) -> DataFrame:

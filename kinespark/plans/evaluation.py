@@ -115,7 +115,7 @@ def w10_benjamini_hochberg(spark, sf):
 @query(f"""WITH {P}, r AS (SELECT pid, p, (count(*) OVER () - row_number() OVER (ORDER BY p, pid) + 1) * p AS h FROM t)
 SELECT pid, round(least(max(h) OVER (ORDER BY p, pid), 1), 6) AS adjusted FROM r""")
 def w11_holm(spark, sf):
-    return m.holm(p_values(spark, sf), "p", "pid", "adjusted").select("pid", F.round("adjusted", 6).alias("adjusted"))
+    return m.holm(p_values(spark, sf), "p", "adjusted").select("pid", F.round("adjusted", 6).alias("adjusted"))
 
 
 @query(f"""WITH {UNION}, f AS (SELECT pid, model, avg(s) AS v FROM u GROUP BY 1, 2), r AS (SELECT model, rank() OVER (PARTITION BY pid ORDER BY round(v, 9) DESC) + (count(*) OVER (PARTITION BY pid, round(v, 9)) - 1) / 2.0 AS rk FROM f)
