@@ -6,7 +6,8 @@ each document with those of its bucket's first, so a collision of hashes joins n
 documents share a bucket; only these bring their canonical bytes to the comparison.
 
 Defined results: a null text counts as empty; all empty texts have one fingerprint; repeated rows are separate
-documents; ids may repeat or be null (null first), ties of the order are settled by text.
+documents; ids may repeat or be null (null first), ties of the order are settled by the text's hash, then by text; texts of any length are
+taken whole; an empty table gives an empty result; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from kinespark.llm.common import n_partitions, stored, text_or_empty, text_slice
 
 #: Up to so many range bounds are compared in one expression.
 MANY_CUTS = 1000
+#: A range of one id is cut on from this many rows at least; no range has more than MOST_PARTS parts.
+MIN_CUT, MOST_PARTS = 1000, 1 << 20
 
 
 def canonical(text: str) -> str:
@@ -86,29 +89,41 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def with_next(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, next_text, marked): the text of the next document by ascending id; after the last, the first.
 
-    marked tells whether marks (id) holds the id, or there is none; marks come as rows beside the texts, which so stay put. Ids are cut into ranges by quantiles, a bounded list. The first document of each range is also sent to the range
-    before it, so each range is windowed by itself and every text moves once.
+    marked tells whether marks (id) holds the id, or there is none; marks come as rows beside the texts, which so stay put.
+    Ids are cut into ranges by quantiles, a bounded list; a range of one id (or none) with many rows is cut on by the hash of
+    the text, which settles ties. The first document of each slot is also sent to the slot before it, so each slot is
+    windowed by itself and every text moves once.
     """
     base = docs.select(docs[id_col].cast("long").alias("__id"), text_or_empty(text_col).alias("__text"))
+    base = base.withColumn("__tie", F.xxhash64("__text"))
     n = 4 * n_partitions(docs)
     cuts = sorted(set(base.select("__id").approxQuantile("__id", [k / n for k in range(1, n)], 0.25 / n))) if n > 1 else []
     cuts = [int(c) for c in cuts]
-    ranged = base.withColumn("__range", F.when(F.col("__id").isNull(), -1).otherwise(place(cuts, F.col("__id"))))
+    at = F.when(F.col("__id").isNull(), -1).otherwise(place(cuts, F.col("__id"))).cast("long")
+    sizes = base.groupBy(at.alias("range")).agg(F.count("*").alias("n"), F.min("__id").alias("low"), F.max("__id").alias("high")).collect()
+    most = max(MIN_CUT, 2 * sum(r["n"] for r in sizes) // n)
+    hot = {r["range"]: -(-r["n"] // most) for r in sizes if r["low"] == r["high"] and r["n"] > most}
+    parts, slot = F.lit(1).cast("long"), at * MOST_PARTS
+    for r, k in hot.items():
+        parts = F.when(at == r, k).otherwise(parts)
+        slot = F.when(at == r, r * MOST_PARTS + F.floor((F.col("__tie") / F.lit(2.0**64) + 0.5) * k)).otherwise(slot)
+    ranged = base.withColumn("__range", slot.cast("long"))
     heads = sorted((r["__range"], r["h"]) for r in ranged.groupBy("__range").agg(F.min("__id").alias("h")).collect())
-    order = [F.col("__range"), F.col("__id").asc_nulls_first(), F.col("__text")]
+    order = [F.col("__id").asc_nulls_first(), F.col("__tie"), F.col("__text")]
     if not heads:
         return base.select(F.col("__id").alias(id_col), F.col("__text").alias("text"), F.col("__text").alias("next_text"), F.lit(False).alias("marked"))
     before = {heads[(k + 1) % len(heads)][0]: r for k, (r, _) in enumerate(heads)}
-    # the smallest (id, text) of each range: a min by range that every task pre-aggregates
+    # the first row of each slot: a min by slot that every task pre-aggregates
     spark = docs.sparkSession
-    firsts = ranged.join(F.broadcast(spark.createDataFrame(heads, "__range int, __head long")), "__range").filter(F.col("__id").eqNullSafe(F.col("__head")))
-    firsts = firsts.groupBy("__range").agg(F.min("__text").alias("__text"))
-    to = spark.createDataFrame([(k, v, v == heads[-1][0]) for k, v in before.items()], "__range int, __to int, __wraps boolean")
-    copies = firsts.join(F.broadcast(to), "__range").select(F.lit(None).cast("long").alias("__id"), "__text", F.col("__to").alias("__range"), F.lit(1).alias("__copy"))
+    firsts = ranged.join(F.broadcast(spark.createDataFrame(heads, "__range long, __head long")), "__range").filter(F.col("__id").eqNullSafe(F.col("__head")))
+    firsts = firsts.groupBy("__range").agg(F.min(F.struct("__tie", "__text")).alias("__first"))
+    to = spark.createDataFrame([(k, v) for k, v in before.items()], "__range long, __to long")
+    copies = firsts.join(F.broadcast(to), "__range").select(F.lit(None).cast("long").alias("__id"), F.col("__first.__text").alias("__text"), F.col("__first.__tie").alias("__tie"), F.col("__to").alias("__range"), F.lit(1).alias("__copy"))
     rows = ranged.withColumn("__copy", F.lit(0)).unionByName(copies)
     ids = marks.select(marks[id_col].cast("long").alias("__id")).filter("__id is not null")
-    rows = rows.unionByName(ids.select("__id", F.lit(None).cast("string").alias("__text"), place(cuts, F.col("__id")).alias("__range"), F.lit(2).alias("__copy")))
-    follow = Window.partitionBy("__range").orderBy("__copy", *order[1:])
+    every = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda k: at * MOST_PARTS + k))
+    rows = rows.unionByName(ids.select("__id", F.lit(None).cast("string").alias("__text"), F.lit(None).cast("long").alias("__tie"), every.alias("__range"), F.lit(2).alias("__copy")))
+    follow = Window.partitionBy("__range").orderBy("__copy", *order)
     marked = F.col("__id").isNull() | (F.max("__copy").over(Window.partitionBy("__range", "__id")) == 2)
     rows = rows.withColumn("next_text", F.lead("__text").over(follow)).withColumn("marked", marked)
     return rows.filter("__copy = 0").select(F.col("__id").alias(id_col), F.col("__text").alias("text"), "next_text", "marked")

@@ -1,4 +1,9 @@
-"""Public licence texts and notices. The wording is the licence."""
+"""Public licence texts and notices. The wording is the licence.
+
+Short texts stand here; long ones are the files of licence_texts, each named by its licence.
+"""
+
+from importlib.resources import files
 
 _WARRANTY_MIT = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 _WARRANTY_ISC = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
@@ -69,3 +74,5 @@ Unless required by applicable law or agreed to in writing, software distributed
     "GPL-3.0 line": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0 line": "Licensed under CC BY-NC 4.0.",
 }
+
+LICENSES |= {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in sorted(files("kinespark.llm").joinpath("licence_texts").iterdir(), key=lambda f: f.name)}

@@ -11,7 +11,8 @@ A key is the id as 8 bytes, big-endian, sign bit flipped, so byte order is numbe
 comes first. Equal ids stay beside each other, ordered by text. Values are ids of 2 bytes where the vocabulary allows,
 else 4. A shard is written under a name of its attempt and renamed when whole, so a lost executor leaves no half file.
 
-Null or empty texts hold only the end id; an empty table gives no shard.
+Null or empty texts hold only the end id; an empty table gives no shard; repeated rows are entries of their own; a long text is
+one value, in a block of its own size; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from kinespark.llm.bpe import PieceEncoder
 from kinespark.llm.common import filesystem, scratch, stored, text_or_empty, text_slices
 
-BLOCK_BYTES, RESTART, MAGIC = 64 << 10, 16, b"KSSTTOK1"
+BLOCK_BYTES, SHARD_BYTES, RESTART, MAGIC = 64 << 10, 256 << 20, 16, b"KSSTTOK1"
 FOOTER = struct.Struct("<QQQQQQBB6x8s")
 
 
@@ -64,9 +66,14 @@ def read_varint(data: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
+def key_hashes(key: bytes) -> tuple[int, int]:
+    """Two independent halves of a hash, the second odd."""
+    a, b = divmod(xxhash.xxh3_128_intdigest(key), 1 << 64)
+    return a, b | 1
+
+
 def bloom_places(key: bytes, hashes: int, bits: int) -> list[int]:
-    a, b = divmod(xxhash.xxh3_128_intdigest(key), 1 << 64)  # two independent halves
-    b |= 1
+    a, b = key_hashes(key)
     return [(a + k * b) % bits for k in range(hashes)]
 
 
@@ -77,7 +84,7 @@ class Writer:
         self.out, self.width, self.pack = out, width, zstandard.ZstdCompressor(level=level)
         self.at = self.entries = self.ids = 0
         self.index: list[tuple[bytes, int, int, int]] = []
-        self.keys: list[bytes] = []
+        self.hashes = array("Q")  # 16 bytes a key
         self.begin()
 
     def begin(self) -> None:
@@ -93,7 +100,7 @@ class Writer:
         self.size += len(head) + len(value)
         self.n += 1
         self.last = key
-        self.keys.append(key)
+        self.hashes.extend(key_hashes(key))
         self.entries += 1
         self.ids += len(value) // self.width
         if self.size >= BLOCK_BYTES:
@@ -109,10 +116,13 @@ class Writer:
 
     def close(self, bits_a_key: int = 10, hashes: int = 7) -> None:
         self.flush()
-        bits = max(64, bits_a_key * len(self.keys)) + 7 & ~7
-        bloom = np.zeros(bits, np.uint8)
-        bloom[[p for k in self.keys for p in bloom_places(k, hashes, bits)]] = 1
-        packed = np.packbits(bloom, bitorder="little").tobytes()
+        bits = max(64, bits_a_key * self.entries) + 7 & ~7
+        bloom = np.zeros(bits // 8, np.uint8)
+        a, b = np.frombuffer(self.hashes, np.uint64).reshape(-1, 2).T % np.uint64(bits)
+        for k in range(hashes):
+            p = (a + np.uint64(k) * b) % np.uint64(bits)
+            np.bitwise_or.at(bloom, (p >> np.uint64(3)).astype(np.int64), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
+        packed = bloom.tobytes()
         index = b"".join(varint(len(k)) + k + struct.pack("<QQQ", a, n, e) for k, a, n, e in self.index)
         self.out.write(packed + index)
         self.out.write(FOOTER.pack(self.at, len(packed), self.at + len(packed), len(index), self.entries, self.ids, hashes, self.width, MAGIC))
@@ -200,7 +210,8 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, id_
     """Encode the texts and write the shards under folder; returns the manifest (shard, path, n_docs, n_ids).
 
     Texts are range-partitioned by id and sorted within partitions; rows of one id (or none) are also cut by their texts'
-    beginnings. A single text moves once.
+    beginnings. A single text moves once. A partition's shard ends at SHARD_BYTES and another begins, so what a task holds
+    (a block, the index, 16 bytes a key) is bounded however few partitions there are.
     """
     spark = docs.sparkSession
     folder = folder or scratch(spark, "sst")
@@ -208,23 +219,30 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, id_
     width = 2 if vocabulary(tokenizer) <= 1 << 16 else 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context, writer, encode = TaskContext.get(), None, coder(tokenizer, special_as_text)
-        shard = context.partitionId()
+        context, writer, encode, k = TaskContext.get(), None, coder(tokenizer, special_as_text), 0
         fs, root = filesystem(folder)
-        draft, final = f"{root}/.{shard}-{context.taskAttemptId()}", f"{root}/{shard:08d}.sst"
+        draft = f"{root}/.{context.partitionId()}-{context.taskAttemptId()}"
+
+        def finish() -> pa.RecordBatch:
+            writer.close()
+            out.close()
+            name = f"{context.partitionId():08d}-{k:06d}.sst"
+            fs.move(draft, f"{root}/{name}")
+            return pa.RecordBatch.from_pydict({"shard": [context.partitionId() << 32 | k], "path": [f"{folder}/{name}"], "n_docs": [writer.entries], "n_ids": [writer.ids]})
+
         for part, data, offsets in text_slices(batches, "__text"):
-            if writer is None:
-                out = fs.open_output_stream(draft)
-                writer = Writer(out, width)
             ids, bounds = encode(data, offsets)
             raw, end = ids.astype(f"<u{width}").tobytes(), end_id.to_bytes(width, "little")
             for doc_id, a, b in zip(part.column("__id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if writer is None:
+                    out = fs.open_output_stream(draft)
+                    writer = Writer(out, width)
                 writer.add(key_of(doc_id), raw[width * a : width * b] + end)
+                if writer.at + writer.size >= SHARD_BYTES:
+                    yield finish()
+                    writer, k = None, k + 1
         if writer is not None:
-            writer.close()
-            out.close()
-            fs.move(draft, final)
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [f"{folder}/{shard:08d}.sst"], "n_docs": [writer.entries], "n_ids": [writer.ids]})
+            yield finish()
 
     ordered = docs.select(docs[id_col].cast("long").alias("__id"), text_or_empty(text_col).alias("__text")).repartitionByRange("__id", F.substring("__text", 1, 64)).sortWithinPartitions("__id", "__text")
     return stored(ordered.mapInArrow(run, "shard long, path string, n_docs long, n_ids long"), "sst-manifest")

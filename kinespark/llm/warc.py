@@ -191,7 +191,9 @@ def write(pages: DataFrame, folder: str | None = None, min_bytes: int = MIN_REVI
         def finish() -> pa.RecordBatch:
             package.close()
             out.close()
-            name = f"{context.partitionId():06d}-{k:04d}.zip"
+            # each attempt has names of its own: a second one may deal its rows to packages differently, and the manifest
+            # holds the packages of the attempt that counts
+            name = f"{context.partitionId():06d}-{k:04d}-{context.taskAttemptId()}.zip"
             fs.move(draft, f"{root}/{name}")
             return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "n_records": [len(package.index)], "n_bytes": [package.at]})
 
