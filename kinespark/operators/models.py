@@ -1,4 +1,4 @@
-"""Nearest neighbours, local outlier factors and isolation forests over vector columns."""
+"""Votes and outlier factors of nearest neighbours, isolation forests, centroids and resampling over vector columns."""
 
 from __future__ import annotations
 
@@ -11,44 +11,7 @@ from pyspark.sql import functions as F
 
 from kinespark.functions.hashes import unit
 from kinespark.operators.metrics import auc
-
-#: Query vectors are compared in blocks of so many; a block is sent to every partition of the reference rows.
-BLOCK = 4096
-
-
-def neighbours(queries: DataFrame, rows: DataFrame, ident: str, vector: str, k: int) -> DataFrame:
-    """(query, neighbour, distance, rank): the k nearest rows of each query, itself excluded, ties by id.
-
-    Queries are dealt to blocks by hash; each block meets each partition of rows, which returns its k best a query, and the
-    best of these are ranked. Work is queries times rows; nothing is collected.
-    """
-    n = queries.count()
-    blocks = max(1, -(-n // BLOCK))
-    block = F.pmod(F.xxhash64(ident), F.lit(blocks))
-    q = queries.select(block.cast("int").alias("block"), F.col(ident).alias("id"), F.col(vector).alias("v"), F.lit(1).alias("ask"))
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    part = F.pmod(F.xxhash64(ident, F.lit(1)), F.lit(parts)).cast("int")
-    r = rows.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), part.alias("part"), F.col(ident).alias("id"), F.col(vector).alias("v"), F.lit(0).alias("ask"))
-    q = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["ask"] == 1], pdf[pdf["ask"] == 0]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query": [], "neighbour": [], "distance": []})
-        x, y = np.stack(a["v"].to_numpy()).astype(float), np.stack(b["v"].to_numpy()).astype(float)
-        out = []
-        for at in range(0, len(x), 256):
-            d = np.sqrt(np.maximum(((x[at : at + 256, None, :] - y[None, :, :]) ** 2).sum(2), 0)) if len(y) * 256 * x.shape[1] <= 8e6 else np.sqrt(np.maximum((x[at : at + 256] ** 2).sum(1)[:, None] + (y**2).sum(1) - 2 * x[at : at + 256] @ y.T, 0))
-            d[a["id"].to_numpy()[at : at + 256, None] == b["id"].to_numpy()] = np.inf
-            take = np.argsort(d, axis=1, kind="stable")[:, :k]
-            rows_ = np.repeat(np.arange(len(d)), take.shape[1])
-            out.append(pd.DataFrame({"query": a["id"].to_numpy()[at + rows_], "neighbour": b["id"].to_numpy()[take.ravel()], "distance": d[rows_, take.ravel()]}))
-        return pd.concat(out)[lambda x: np.isfinite(x["distance"])]
-
-    met = q.select("block", "part", "id", "v", "ask").unionByName(r.select("block", "part", "id", "v", "ask")).groupBy("block", "part").applyInPandas(run, "query long, neighbour long, distance double")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.round("distance", 9), "neighbour"))
-    return met.withColumn("rank", rank).filter(F.col("rank") <= k)
-
+from kinespark.operators.neighbours import neighbours
 
 def knn_vote(near: DataFrame, labels: DataFrame, ident: str, label: str) -> DataFrame:
     """(query, label): the label with the largest sum of 1 / distance, the smallest on ties."""

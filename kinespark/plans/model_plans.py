@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from kinespark.functions.hashes import unit, unit_sql
 from kinespark.operators import metrics
 from kinespark.operators import models as md
+from kinespark.operators import neighbours as nb
 from kinespark.plans.register import query, table
 
 PAIRS = "p AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2))) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.vec_id % 20 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(distance, 9), neighbour) AS rank FROM p QUALIFY rank <= 5)"
@@ -12,7 +13,7 @@ PAIRS = "p AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, sqrt(list_sum(li
 
 def asked(spark, sf):
     e = table(spark, sf, "embeddings")
-    return md.neighbours(e.filter("vec_id % 20 = 0"), e, "vec_id", "embedding", 5)
+    return nb.neighbours(e.filter("vec_id % 20 = 0"), e, "vec_id", "embedding", 5)
 
 
 @query(f"WITH {PAIRS} SELECT query, neighbour, round(distance, 5) AS distance, rank FROM n")
@@ -35,7 +36,7 @@ def m9_isolation_forest(spark, sf):
 @query()
 def m10_local_outlier_factor(spark, sf):
     e = table(spark, sf, "embeddings")
-    return md.local_outlier_factor(md.neighbours(e, e, "vec_id", "embedding", 10))
+    return md.local_outlier_factor(nb.neighbours(e, e, "vec_id", "embedding", 10))
 
 
 #: Vectors with class 0 against the rest, and four folds by md5 of the id.
