@@ -1,10 +1,9 @@
-"""Comparing models on the same rows: pairwise tests with corrections, critical differences, calibration, cut-offs."""
+"""Comparing models on the same rows: pairwise tests with corrections, critical differences, cut-offs."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,32 +74,6 @@ def jackknife_aucs(df: DataFrame, group: str, y: str, scores: Sequence[str]) ->
     return whole.join(whole.groupBy(group).agg(F.count("*").alias("_n")).filter(F.col("_n") == len(scores)).select(group), group)
 
 
-def isotonic(df: DataFrame, fit: Column, targets: Mapping[str, Column], suffix: str = "_calibrated") -> DataFrame:
-    """df with each score column calibrated by isotonic regression on the rows that fit, made to sum to 1 over the columns.
-
-    Between the fitted points it is linear, beyond them constant.
-    """
-    from pyspark.ml.regression import IsotonicRegression
-
-    out = df
-    for name, target in targets.items():
-        rows = df.filter(fit).select(F.col(name).alias("features"), target.cast("double").alias("label"))
-        model = IsotonicRegression().fit(rows)
-        x, v = np.array(model.boundaries.toArray()), np.array(model.predictions.toArray())
-        out = out.withColumn(name + suffix, interpolated(F.col(name), x, v))
-    if len(targets) == 1:
-        return out
-    total = sum((F.col(n + suffix) for n in targets), F.lit(0.0))
-    return out.withColumns({n + suffix: F.when(total > 0, F.col(n + suffix) / total).otherwise(F.col(n + suffix)) for n in targets})
-
-
-def interpolated(value: Column, x: np.ndarray, y: np.ndarray) -> Column:
-    """Piecewise linear through sorted knots, looked up in batches: a model's knots are no expression's size."""
-    import pandas as pd
-
-    return F.pandas_udf(lambda v: pd.Series(np.interp(v.to_numpy(float), x, y)), "double")(value)
-
-
 def cutoffs(df: DataFrame, y: str, score: str, primary: float, at: Sequence[float] = (0.5,)) -> DataFrame:
     """(rule, threshold, rates): at the primary cut-off, at the rows' own best one, and at fixed ones."""
     best = m.youden(df, [], y, score).select(F.lit("evaluation").alias("rule"), "threshold")

@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinespark.functions.hashes import unit, unit_sql
+from kinespark.operators import calibration as cal
 from kinespark.operators import comparison as c
 from kinespark.operators import metrics as m
 from kinespark.operators import policy as p
@@ -120,7 +121,7 @@ j AS (SELECT doc_id, x, lo.a AS la, lo.v AS lv, hi.a AS ha, hi.v AS hv FROM t AS
 SELECT doc_id, round(CASE WHEN la IS NULL THEN hv WHEN ha IS NULL OR ha = la THEN lv ELSE lv + (hv - lv) * (x - la) / (ha - la) END, 5) AS calibrated FROM j""")
 def t16_isotonic_calibration(spark, sf):
     x = halves(spark, sf).withColumn("a0", 1 - F.col("a"))
-    made = c.isotonic(x, F.col("fit"), {"a": F.col("y") == 1, "a0": F.col("y") == 0})
+    made = cal.isotonic(x, F.col("fit"), {"a": F.col("y") == 1, "a0": F.col("y") == 0})
     return made.select("doc_id", F.round("a_calibrated", 5).alias("calibrated"))
 
 
