@@ -5,6 +5,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from kinespark.functions import udtfs as tf
 from kinespark.functions.hashes import unit, unit_sql
 from kinespark.operators import filters as fl
 from kinespark.operators import fusion as fu
@@ -53,6 +54,27 @@ def g13_sliding_windows(spark, sf):
     return w.groupBy("user_id", "window_start").agg(F.count("*").alias("n"), R6(F.avg("value")).alias("mean"))
 
 
+U1 = f"""WITH {E}, n AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), w AS (SELECT user_id, unnest(range(0, n - 20 + 1, 10)) AS window_start FROM n WHERE n >= 20)
+SELECT user_id, window_start, count(*) AS n, round(avg(value), 6) AS mean, round(arg_max(value, idx), 6) AS last FROM w JOIN e USING (user_id) WHERE idx >= window_start AND idx < window_start + 20 GROUP BY 1, 2"""
+MEAN = "size(window) AS n, round(aggregate(window, 0D, (s, v) -> s + v) / size(window), 6) AS mean, round(element_at(window, -1), 6) AS last"
+
+
+@query(U1)
+def u1_sliding_windows(spark, sf):
+    """Windows of each trial's array, by LATERAL in SQL."""
+    tf.register(spark)
+    trials = events(spark, sf).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("r")).select("user_id", F.col("r.value").alias("samples"))
+    return spark.sql(f"SELECT user_id, window_start, {MEAN} FROM {{t}}, LATERAL sliding_windows(samples, 20, 10)", t=trials)
+
+
+@query(U1)
+def u1_sliding_windows_of(spark, sf):
+    """The same from a table's rows, partitioned and ordered by the function, a trial a stream."""
+    tf.register(spark)
+    events(spark, sf).select("user_id", "idx", "value").createOrReplaceTempView("u1_samples")
+    return spark.sql(f"SELECT user_id, window_start, {MEAN} FROM sliding_windows_of(TABLE(u1_samples), 'user_id', 'idx', 'value', 20, 10)")
+
+
 WINDOWS = "w AS (SELECT user_id, window_start, avg(value) AS mean FROM e JOIN (SELECT user_id AS u, unnest(range(0, count(*) - {n} + 1, {step})) AS window_start FROM events GROUP BY 1 HAVING count(*) >= {n}) ON user_id = u AND idx BETWEEN window_start AND window_start + {n} - 1 GROUP BY 1, 2)"
 
 
