@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from kinespark.functions.hashes import unit, unit_sql
+from kinespark.operators import held_out as ho
 from kinespark.operators import metrics
 from kinespark.operators import models as md
 from kinespark.operators import neighbours as nb
@@ -179,24 +180,44 @@ def vectors(spark, sf):
     return folded(spark, sf).select("vec_id", F.col("y").cast("double").alias("y"), "fold", array_to_vector(F.col("embedding").cast("array<double>")).alias("raw"))
 
 
+def gapped(spark, sf, wide=64):
+    """Vectors of twenty participants; every thirteenth figure is missing."""
+    e = table(spark, sf, "embeddings").select("vec_id", (F.col("vec_id") % 20).alias("participant"), (F.col("label") == 0).cast("int").alias("y"), F.slice("embedding", 1, wide).cast("array<double>").alias("x"))
+    return e.withColumn("x", F.transform("x", lambda v, k: F.when((F.col("vec_id") + k) % 13 != 0, v)))
+
+
+@query()
+def m1_leave_one_subject_out(spark, sf):
+    """Each row's score by a class-weighted model of all other participants, imputed and scaled by those alone."""
+    return ho.leave_one_group_out(gapped(spark, sf, 16), "participant", "y", "x").select("vec_id", "participant", "y", F.round("score", 3).alias("score"))
+
+
 @query()
 def m2_estimators(spark, sf):
-    """Out-of-fold AUC of a forest, boosting and a neural net behind imputed and scaled features, two folds."""
+    """Out-of-fold AUC of a linear model, a forest, boosting and a neural net, classes weighted, behind imputed and scaled features, two folds."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
-    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    common = {"labelCol": "y", "featuresCol": "features"}
+    names = [f"x{k}" for k in range(64)]
+    wide = gapped(spark, sf).withColumn("half", F.col("participant") % 2)
+    n = wide.groupBy("half", "y").agg(F.count("*").alias("n"))
+    # a class's weight in the other half, where the model is fitted
+    share = n.join(n.groupBy("half").agg(F.sum("n").alias("all")), "half").select(F.col("half").alias("in_half"), F.col("y").alias("of"), (F.col("all") / (2 * F.col("n"))).alias("weight"))
+    x = wide.join(F.broadcast(share), (F.col("half") == F.col("in_half")) & (F.col("y") == F.col("of"))).select("vec_id", F.col("y").cast("double").alias("y"), "half", "weight", *(F.col("x")[k].alias(c) for k, c in enumerate(names)))
+    common, weighted, out = {"labelCol": "y", "featuresCol": "features"}, {"weightCol": "weight"}, None
     models = {
-        "logistic": LogisticRegression(regParam=0.01, elasticNetParam=0.5, maxIter=10, **common), "forest": RandomForestClassifier(numTrees=10, maxDepth=4, seed=1, **common),
-        "boosting": GBTClassifier(maxIter=4, maxDepth=3, seed=1, **common), "net": MultilayerPerceptronClassifier(layers=[64, 8, 2], maxIter=10, seed=1, **common),
+        "logistic": LogisticRegression(regParam=0.01, elasticNetParam=0.5, maxIter=10, **common, **weighted), "forest": RandomForestClassifier(numTrees=10, maxDepth=4, seed=1, **common, **weighted),
+        "boosting": GBTClassifier(maxIter=4, maxDepth=3, seed=1, **common, **weighted), "net": MultilayerPerceptronClassifier(layers=[64, 8, 2], maxIter=10, seed=1, **common),
     }
-    x, out = vectors(spark, sf).withColumn("half", F.col("fold") % 2), None
-    for name, model in models.items():
-        for half in (0, 1):
-            fitted = Pipeline(stages=[StandardScaler(inputCol="raw", outputCol="features", withMean=True), model]).fit(x.filter(F.col("half") != half))
-            part = fitted.transform(x.filter(F.col("half") == half)).select(F.lit(name).alias("model"), "y", vector_to_array("probability")[1].alias("score"))
+    ready = [Imputer(strategy="median", inputCols=names, outputCols=names), VectorAssembler(inputCols=names, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
+    for half in (0, 1):
+        known = x.filter(F.col("half") != half)
+        scale = Pipeline(stages=ready).fit(known)
+        fitted, held = scale.transform(known), scale.transform(x.filter(F.col("half") == half))
+        for name, model in models.items():
+            part = model.fit(fitted).transform(held).select(F.lit(name).alias("model"), F.col("y").cast("int").alias("y"), vector_to_array("probability")[1].alias("score"))
             out = part if out is None else out.unionByName(part)
     return metrics.auc(out, ["model"], "y", "score").select("model", "n_pos", "n_neg", "auc")
 

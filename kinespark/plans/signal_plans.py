@@ -189,18 +189,6 @@ def f15_spectrum_shape(spark, sf):
     return rounded(g.spectrum_shape(day_spectrum(spark, sf), ["user_id"]), "centroid", "entropy")
 
 
-BAND = f"{DAY}, a AS (SELECT user_id, freq, freq >= 12 AS hi, (freq - lag(freq) OVER w) * (power + lag(power) OVER w) / 2 AS a FROM psd WINDOW w AS (PARTITION BY user_id, freq >= 12 ORDER BY freq)), b AS (SELECT user_id, coalesce(sum(a) FILTER (WHERE hi), 0) AS h, coalesce(sum(a) FILTER (WHERE NOT hi), 0) AS l FROM a GROUP BY 1)"
-
-
-@query(f"WITH {BAND} SELECT user_id, round(l, 6) AS low_power, round(h, 6) AS high_power, round(CASE WHEN l > 0 THEN h / l END, 6) AS freezing_index FROM b")
-def f16_f18_band_power(spark, sf):
-    psd = day_spectrum(spark, sf)
-    low = g.band_power(psd, ["user_id"], 0, 12).withColumnRenamed("band_power", "l")
-    high = g.band_power(psd, ["user_id"], 12, 24).withColumnRenamed("band_power", "h")
-    both = low.join(high, "user_id", "full").select("user_id", F.coalesce("l", F.lit(0.0)).alias("l"), F.coalesce("h", F.lit(0.0)).alias("h"))
-    return both.select("user_id", F.round("l", 6).alias("low_power"), F.round("h", 6).alias("high_power"), F.when(F.col("l") > 0, F.round(F.col("h") / F.col("l"), 6)).alias("freezing_index"))
-
-
 @query("""WITH x AS (SELECT o_custkey, o_totalprice AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS k FROM orders WHERE o_orderkey % 11 <> 0)
 SELECT o_custkey, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, round(max(v) - min(v), 6) AS range, round(CASE WHEN count(*) >= 2 THEN regr_slope(v, k) END, 6) AS trend FROM x GROUP BY 1""")
 def f29_participant_trend(spark, sf):
@@ -395,10 +383,34 @@ def g11_resample_check(spark, sf):
     return both.withColumn("shift", F.abs(F.col("before") - F.col("after"))).withColumn("ok", F.col("shift") <= 0.5)
 
 
-@query(f"""WITH {DAY}, t AS (SELECT user_id, arg_max(freq, (power, -freq)) AS dominant FROM psd GROUP BY 1), k AS (SELECT user_id, dominant, unnest(range(1, 7)) AS k FROM t), q AS (SELECT k.user_id, k.k, arg_min(power, (abs(freq - dominant * k.k), freq)) AS p FROM k JOIN psd USING (user_id) WHERE dominant > 0 AND dominant * k.k < 20 GROUP BY 1, 2)
-SELECT t.user_id, dominant, round(CASE WHEN sum(p) > 0 THEN sum(CASE WHEN k % 2 = 0 THEN p ELSE 0 END) / (sum(CASE WHEN k % 2 = 1 THEN p ELSE 0 END) + 1e-10) END, 6) AS ratio FROM t LEFT JOIN q USING (user_id) GROUP BY 1, 2""")
+#: Locomotion and freezing bands in Hz, and the share of the filter's upper edge up to which harmonics count.
+LOCOMOTION, FREEZING, HARMONICS = (0.5, 3.0), (3.0, 8.0), 0.8 * 20
+SPECTRUM = f"{E}, {PSD}, w AS (SELECT user_id, round(freq, 9) AS freq, round(power, 9) AS power FROM psd)"
+
+
+def welch_rounded(spark, sf):
+    return welch(spark, sf).withColumns({"freq": F.round("freq", 9), "power": F.round("power", 9)})
+
+
+def band_sql(low, high):
+    return f"(SELECT user_id, sum((freq - before) * (power + last) / 2) AS a FROM (SELECT *, lag(freq) OVER (PARTITION BY user_id ORDER BY freq) AS before, lag(power) OVER (PARTITION BY user_id ORDER BY freq) AS last FROM w WHERE freq >= {low} AND freq < {high}) GROUP BY 1)"
+
+
+@query(f"""WITH {SPECTRUM}, u AS (SELECT DISTINCT user_id FROM w) SELECT u.user_id, round(coalesce(l.a, 0), 5) AS low_power, round(coalesce(h.a, 0), 5) AS high_power, round(CASE WHEN l.a > 0 THEN coalesce(h.a, 0) / l.a END, 5) AS freezing_index
+FROM u LEFT JOIN {band_sql(*LOCOMOTION)} l USING (user_id) LEFT JOIN {band_sql(*FREEZING)} h USING (user_id)""")
+def f16_f18_band_power(spark, sf):
+    """Power of the bands of each trial's Welch spectrum, and their ratio."""
+    psd = welch_rounded(spark, sf)
+    low, high = (g.band_power(psd, ["user_id"], *band).withColumnRenamed("band_power", name) for band, name in ((LOCOMOTION, "l"), (FREEZING, "h")))
+    both = psd.select("user_id").distinct().join(low, "user_id", "left").join(high, "user_id", "left").fillna(0.0, ["l", "h"])
+    return both.select("user_id", F.round("l", 5).alias("low_power"), F.round("h", 5).alias("high_power"), F.when(F.col("l") > 0, F.round(F.col("h") / F.col("l"), 5)).alias("freezing_index"))
+
+
+@query(f"""WITH {SPECTRUM}, top AS (SELECT user_id, arg_max(freq, (power, -freq)) AS dominant FROM w GROUP BY 1), k AS (SELECT user_id, dominant, unnest(range(1, 7)) AS k FROM top), q AS (SELECT k.user_id, k.k, arg_min(power, (abs(freq - dominant * k.k), freq)) AS p FROM k JOIN w USING (user_id) WHERE dominant > 0 AND dominant * k.k < {HARMONICS} GROUP BY 1, 2)
+SELECT top.user_id, round(dominant, 6) AS dominant, round(CASE WHEN sum(p) > 0 THEN sum(CASE WHEN k % 2 = 0 THEN p ELSE 0 END) / (sum(CASE WHEN k % 2 = 1 THEN p ELSE 0 END) + 1e-10) END, 5) AS ratio FROM top LEFT JOIN q USING (user_id) GROUP BY 1, 2""")
 def f17_harmonic_ratio(spark, sf):
-    return g.harmonic_ratio(day_spectrum(spark, sf), ["user_id"], 20).withColumn("ratio", R6("ratio"))
+    """Even against odd harmonics of each trial's dominant frequency in its Welch spectrum."""
+    return g.harmonic_ratio(welch_rounded(spark, sf), ["user_id"], HARMONICS).withColumn("ratio", F.round("ratio", 5)).withColumn("dominant", R6("dominant"))
 
 
 @query(f"""WITH {E}, t AS (SELECT user_id, count(*) AS n, unnest(range(0, count(*) - 20 + 1, 5)) AS start FROM events GROUP BY 1 HAVING count(*) >= 20), c AS (SELECT user_id, start, idx - start AS i, value - avg(value) OVER (PARTITION BY user_id, start) AS v FROM t JOIN e USING (user_id) WHERE idx BETWEEN start AND start + 19),
