@@ -253,7 +253,7 @@ def freezing_series(df: DataFrame, keys: Sequence[str], idx: str, value: str, fs
     return samples.withColumn("window_start", last.cast("long")).join(ratio, here, "left").select(*keys, "idx", "freezing_index")
 
 
-def mutual_information(df: DataFrame, keys: Sequence[str], idx: str, value: str, most: int = 10, least_bins: int = 16) -> DataFrame:
+def mutual_information(df: DataFrame, keys: Sequence[str], idx: str, value: str, most: int = 50, least_bins: int = 16) -> DataFrame:
     """(keys, lag, ami): mutual information of a trial with itself lag rows later, from a histogram of the pairs.
 
     Lags go to the smaller of `most` and a tenth of the rows (2 at least); a trial needs more than lag + 20 rows and two values.

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from kinespark.functions import udtfs as tf
 from kinespark.functions.hashes import unit, unit_sql
+from kinespark.operators import delays as dl
 from kinespark.operators import filters as fl
 from kinespark.operators import fusion as fu
+from kinespark.operators import kernels as kn
 from kinespark.operators import peaks as pk
 from kinespark.operators import signals as g
 from kinespark.plans.register import query, table
@@ -471,7 +473,7 @@ def f25_dfa(spark, sf):
 
 
 @query(f"""WITH {E}, s AS (SELECT user_id, count(*) AS n, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1 HAVING max(value) > min(value)), p AS (SELECT a.user_id, b.idx - a.idx AS lag, n, (n - (b.idx - a.idx))::DOUBLE AS m, greatest(16, floor(sqrt(n - (b.idx - a.idx)))) AS bins, (a.value - lo) / (hi - lo) AS x, (b.value - lo) / (hi - lo) AS y
-  FROM e a JOIN e b ON a.user_id = b.user_id AND b.idx BETWEEN a.idx + 1 AND a.idx + 10 JOIN s ON s.user_id = a.user_id WHERE b.idx - a.idx <= least(10, greatest(2, n // 10)) AND n > b.idx - a.idx + 20),
+  FROM e a JOIN e b ON a.user_id = b.user_id AND b.idx BETWEEN a.idx + 1 AND a.idx + 50 JOIN s ON s.user_id = a.user_id WHERE b.idx - a.idx <= least(50, greatest(2, n // 10)) AND n > b.idx - a.idx + 20),
 c AS (SELECT user_id, lag, m, least(floor(x * bins), bins - 1) AS x, least(floor(y * bins), bins - 1) AS y, count(*) AS c FROM p GROUP BY 1, 2, 3, 4, 5), q AS (SELECT *, sum(c) OVER (PARTITION BY user_id, lag, x) AS px, sum(c) OVER (PARTITION BY user_id, lag, y) AS py FROM c),
 i AS (SELECT user_id, lag, round(sum(c / m * ln(c * m / (px * py))), 9) AS ami FROM q GROUP BY 1, 2), l AS (SELECT *, ami < lag(ami) OVER w AND ami < lead(ami) OVER w AS low FROM i WINDOW w AS (PARTITION BY user_id ORDER BY lag))
 SELECT user_id, coalesce(min(lag) FILTER (WHERE low), arg_min(lag, (ami, lag))) AS delay, round(min(ami), 5) AS least FROM l GROUP BY 1""")
@@ -509,8 +511,28 @@ p AS (SELECT a.user_id, a.i, min((a.x0 - b.x0) ** 2 + (a.x1 - b.x1) ** 2) AS d,
 
 @query(f"""WITH {FALSE}, f AS (SELECT user_id, avg((gap / sqrt(d) > 10 OR gap > 2 * spread)::INT) AS f FROM p JOIN s USING (user_id) WHERE d > 0 GROUP BY 1) SELECT DISTINCT e.user_id, round(coalesce(f, 1), 6) AS false_share FROM e LEFT JOIN f USING (user_id)""")
 def f22_false_neighbours(spark, sf):
-    """A whole trial a group, its distances in blocks: two dimensions, one row apart."""
-    return kernel(spark, sf, lambda x: {"false_share": round(g.false_neighbours(x, 1, 2), 6)}, "false_share double")
+    """Two dimensions, one row apart."""
+    return rounded(dl.false_neighbours(events(spark, sf), ["user_id"], "idx", "value", F.lit(1), F.lit(2)), "false_share")
+
+
+def with_delay(spark, sf):
+    """Samples with their trial's own delay (F21)."""
+    e = events(spark, sf).select("user_id", "idx", "value")
+    return e.join(g.embedding_delay(g.mutual_information(e, ["user_id"], "idx", "value"), ["user_id"]), "user_id")
+
+
+@query()
+def f22_embedding_dimension(spark, sf):
+    """Each trial's smallest dimension with few false neighbours, at its own delay."""
+    return dl.embedding_dimension(with_delay(spark, sf), ["user_id"], "idx", "value", F.col("delay"))
+
+
+@query()
+def f23_lyapunov(spark, sf):
+    """The exponent at each trial's own delay and dimension."""
+    x = with_delay(spark, sf)
+    x = x.join(dl.embedding_dimension(x, ["user_id"], "idx", "value", F.col("delay")), "user_id")
+    return dl.divergence(x, ["user_id"], "idx", "value", F.col("delay"), F.col("dim"), 8)
 
 
 @query()
@@ -526,8 +548,10 @@ def f15_welch_shape(spark, sf):
 
 @query()
 def f23_f25_nonlinear(spark, sf):
-    """A whole trial a group: the exponent's neighbours are searched in blocks of distances, in quadratic time."""
-    return kernel(spark, sf, lambda x: {"sample_entropy": g.sample_entropy(x), "dfa": g.dfa(x), "lyapunov": g.lyapunov(x, 2, 3, 8)}, "sample_entropy double, dfa double, lyapunov double")
+    """The families side by side: entropy, scaling exponent, and divergence at a fixed delay and dimension."""
+    e = events(spark, sf)
+    made = g.entropies(e, ["user_id"], "idx", "value").select("user_id", "sample_entropy").join(g.dfa_exponent(e, ["user_id"], "idx", "value"), "user_id", "full")
+    return made.join(dl.divergence(e, ["user_id"], "idx", "value", F.lit(2), F.lit(3), 8), "user_id", "full").select("user_id", "sample_entropy", "dfa", "lyapunov")
 
 
 @query(f"""WITH {E}, {ANGLES}, j AS (SELECT user_id, value, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY idx)) AS j FROM e), t AS (SELECT user_id, sqrt(avg(value * value)) AS rms, max(value) - min(value) AS range, avg(j) AS mean_jerk FROM j GROUP BY 1), o AS (SELECT user_id, stddev_pop(degrees(tilt)) AS tilt_sd FROM x GROUP BY 1),
@@ -545,6 +569,14 @@ def f28_full_extraction(spark, sf):
     return long.groupBy("user_id").pivot("feature", wanted).agg(F.round(F.first("value"), 5))
 
 
+@query()
+def f26_f27_fixed_kernels(spark, sf):
+    """About 10,000 features of fixed kernels for every window, pooled over the windows of a class."""
+    e = table(spark, sf, "embeddings")
+    made = kn.kernel_shares(e, "embedding", kn.fit_bank(e, "vec_id", "embedding"))
+    return kn.pooled(made, "label", "features")
+
+
 @query()
 def f26_f27_kernel_features(spark, sf):
     """Random-kernel features of 64-sample windows, meaned by class. The bank is seeded and small."""
