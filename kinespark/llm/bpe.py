@@ -315,7 +315,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", portion: int = 4096) -> DataFrame:
-    """(id, text, valid) from ids: tokens go through Utf8Stream in portions; valid is false where bytes are no UTF-8."""
+    """(id, text) from ids: the tokens' bytes go through Utf8Stream in portions. Null ids are an empty text."""
     kind = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
