@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinespark.functions.ranges import range_cuts, running, same
@@ -69,6 +69,27 @@ def youden(df: DataFrame, keys: Sequence[str], y: str, score: str) -> DataFrame:
     return best.select(*keys, F.when(both, inside).otherwise(0.5).alias("threshold"), F.when(both, F.greatest("m.j", F.lit(0.0))).alias("j"))
 
 
+def top_features(df: DataFrame, feature: str, importance: str, most: int, required: Sequence[str] = (), most_required: int | None = None) -> DataFrame:
+    """(feature, importance, place, forced): at most `most` features by importance, ties by name.
+
+    Features whose lower-case name holds one of the required texts come first, up to most_required (half of `most`) of them;
+    the others fill what is left. forced marks those that importance alone would not have taken.
+    """
+    limit = max(1, most // 2) if most_required is None else most_required
+    order = [F.col(importance).desc_nulls_last(), F.col(feature)]
+    named = F.lit(False)
+    for part in required:
+        named = named | F.contains(F.lower(feature), F.lit(part.lower()))
+    # of each kind only the best `most` can be taken, so the rank is over a bounded table
+    kinds = df.select(feature, importance, F.coalesce(named, F.lit(False)).alias("_named"))
+    best = kinds.filter("_named").orderBy(*order).limit(most).unionByName(kinds.filter("NOT _named").orderBy(*order).limit(most))
+    one = Window.partitionBy(F.lit(0))
+    ranked = best.withColumn("_alone", F.row_number().over(one.orderBy(*order))).withColumn("_k", F.row_number().over(Window.partitionBy("_named").orderBy(*order)))
+    first = F.col("_named") & (F.col("_k") <= limit)
+    placed = ranked.withColumn("place", F.row_number().over(one.orderBy((~first).cast("int"), *order))).filter(F.col("place") <= most)
+    return placed.select(feature, importance, "place", (F.col("_alone") > most).alias("forced"))
+
+
 def binary_counts(y: str, positive: Column) -> list[Column]:
     return [
         F.count_if((F.col(y) == 1) & positive).alias("tp"), F.count_if((F.col(y) == 0) & positive).alias("fp"),

@@ -119,6 +119,20 @@ def signed_rank(df: DataFrame, difference: Column) -> DataFrame:
     return r.agg(F.count("*").alias("n"), F.least(F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0))).alias("w"))
 
 
+def rank_sum(df: DataFrame, first: Column, value: str) -> DataFrame:
+    """One row (n_a, n_b, u, z, p): Mann-Whitney's U of the rows where first is true against the others, normal with the
+    correction for ties and continuity. Null where one side is empty or all values are equal."""
+    counts = df.select(first.alias("_a"), F.col(value).alias("_v")).filter("_a IS NOT NULL AND _v IS NOT NULL").groupBy("_v").agg(F.count_if("_a").alias("a"), F.count_if(~F.col("_a")).alias("b"))
+    upto = running(counts, [], "_v", {"below": "b"})
+    t = (F.col("a") + F.col("b")).cast("double")
+    s = upto.agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.sum(F.col("a") * (F.col("below") - F.col("b") / 2)).alias("u"), F.sum(t * t * t - t).alias("ties"))
+    n = (F.col("n_a") + F.col("n_b")).cast("double")
+    variance = F.try_divide(F.col("n_a") * F.col("n_b"), F.lit(12)) * (n + 1 - F.try_divide("ties", n * (n - 1)))
+    off = F.col("u") - F.col("n_a") * F.col("n_b") / 2
+    z = F.when(variance > 0, F.signum(off) * F.greatest(F.abs(off) - 0.5, F.lit(0.0)) / F.sqrt(variance))
+    return s.select("n_a", "n_b", "u", z.alias("z"), normal_two_sided(z).alias("p"))
+
+
 def friedman(df: DataFrame, block: str, treatment: str, value: str) -> DataFrame:
     """One row (blocks, treatments, chi2) over complete blocks, with the correction for ties."""
     r = mid_ranks(df, [block], value, "rank", [])  # a block has a row a treatment

@@ -63,6 +63,15 @@ def t2_t3_bootstrap_auc(spark, sf):
 DELTA = "round(avg({d}), 6) AS delta, round(least(1, 2 * least(avg(({d} <= 0)::INT), avg(({d} >= 0)::INT))), 6) AS p"
 
 
+@query(f"""WITH {replicates_sql(chr(39) + 'a' + chr(39) + ', ' + chr(39) + 'b' + chr(39))}, w AS (SELECT model, round(auc, 9) AS x FROM r), q AS (SELECT model, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS k FROM w),
+n AS (SELECT count(*) FILTER (WHERE model = 'a')::DOUBLE AS a, count(*) FILTER (WHERE model = 'b')::DOUBLE AS b, count(*)::DOUBLE AS n, sum(k) FILTER (WHERE model = 'a') AS s FROM q), t AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM w GROUP BY x)),
+u AS (SELECT a, b, s - a * (a + 1) / 2 AS u, a * b / 12 * (n + 1 - ties / (n * (n - 1))) AS var FROM n, t) SELECT a::BIGINT AS n_a, b::BIGINT AS n_b, round(u, 3) AS u, round(sign(u - a * b / 2) * greatest(abs(u - a * b / 2) - 0.5, 0) / sqrt(var), 6) AS z FROM u""")
+def t5_rank_sum(spark, sf):
+    """Mann-Whitney's test of two models' bootstrap AUCs."""
+    r = t.bootstrap_auc(oof(spark, sf), "pid", "y", ["a", "b"], 200).withColumn("auc", F.round("auc", 9))
+    return t.rank_sum(r, F.col("score") == "a", "auc").select("n_a", "n_b", F.round("u", 3).alias("u"), F.round("z", 6).alias("z"))
+
+
 @query(f"WITH {replicates_sql(chr(39) + 'a' + chr(39) + ', ' + chr(39) + 'b' + chr(39))}, q AS (SELECT a.auc - b.auc AS d FROM r a JOIN r b ON a.replicate = b.replicate AND a.model = 'a' AND b.model = 'b') SELECT {DELTA.format(d='d')} FROM q")
 def t4_paired_bootstrap(spark, sf):
     r = t.bootstrap_auc(oof(spark, sf), "pid", "y", ["a", "b"], 200).groupBy("replicate").pivot("score", ["a", "b"]).agg(F.first("auc"))

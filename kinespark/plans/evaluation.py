@@ -130,9 +130,20 @@ def w13_top_features(spark, sf):
     return table(spark, sf, "documents").groupBy(F.col("source").alias("feature")).agg(F.sum("n_chars").alias("importance")).orderBy(F.desc("importance"), "feature").limit(5)
 
 
-@query(f"WITH {UNION}, x AS (SELECT cohort, model, avg(s) AS v FROM u GROUP BY 1, 2) SELECT cohort, arg_max(model, v) AS best FROM x GROUP BY 1")
+NAMED = "contains(feature, '_de') OR contains(feature, '_fr')"
+
+
+@query(f"""WITH f AS (SELECT source || '_' || lang AS feature, sum(n_chars)::BIGINT AS importance FROM documents GROUP BY 1), a AS (SELECT *, {NAMED} AS named, row_number() OVER (ORDER BY importance DESC, feature) AS alone, row_number() OVER (PARTITION BY {NAMED} ORDER BY importance DESC, feature) AS k FROM f),
+p AS (SELECT *, row_number() OVER (ORDER BY NOT (named AND k <= 3), importance DESC, feature) AS place FROM a) SELECT feature, importance, place, alone > 6 AS forced FROM p WHERE place <= 6""")
+def w13_required_features(spark, sf):
+    """Six features by importance, three of them at most for the families that must be there."""
+    f = table(spark, sf, "documents").groupBy(F.concat_ws("_", "source", "lang").alias("feature")).agg(F.sum("n_chars").alias("importance"))
+    return m.top_features(f, "feature", "importance", 6, ["_DE", "_fr"], 3)
+
+
+@query(f"WITH {UNION}, x AS (SELECT cohort, model, round(avg(s), 12) AS v FROM u GROUP BY 1, 2) SELECT cohort, arg_max(model, (v, model)) AS best FROM x GROUP BY 1")
 def w14_best_model(spark, sf):
-    return by_model(spark, sf).groupBy("cohort", "model").agg(F.avg("s").alias("v")).groupBy("cohort").agg(F.max_by("model", "v").alias("best"))
+    return by_model(spark, sf).groupBy("cohort", "model").agg(F.round(F.avg("s"), 12).alias("v")).groupBy("cohort").agg(F.max_by("model", F.struct("v", "model")).alias("best"))
 
 
 @query("SELECT lang, count(*) AS n FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")
