@@ -193,3 +193,27 @@ def held_out_lines(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
     slope = (rest["n"] * rest["sxy"] - rest["sx"] * rest["sy"]) / (rest["n"] * rest["sxx"] - rest["sx"] ** 2)
     lines = g.crossJoin(F.broadcast(whole)).select(group, slope.alias("_slope"), ((rest["sy"] - slope * rest["sx"]) / rest["n"]).alias("_level"))
     return df.join(lines, group).withColumn("predicted", F.col("_level") + F.col("_slope") * F.col(x)).drop("_slope", "_level")
+
+
+def protocol_scores(df: DataFrame, ident: str, group: str, vector: str, y: str, folds: int, seeds: Sequence[int]) -> DataFrame:
+    """(protocol, seed, ident, y, score): out-of-fold scores where groups stay in one fold ("grouped"), and where rows are dealt one by one ("ungrouped").
+
+    Folds come from hashes of the group or the row with the seed.
+    """
+    out = None
+    for seed in seeds:
+        for protocol, by in (("grouped", group), ("ungrouped", ident)):
+            dealt = df.withColumn("fold", F.floor(unit(by, F.lit(seed)) * folds).cast("int"))
+            part = centroid_scores(dealt, ident, vector, y, "fold", {"all": None}).select(F.lit(protocol).alias("protocol"), F.lit(seed).alias("seed"), ident, y, "score")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def protocol_gaps(scores: DataFrame, y: str) -> DataFrame:
+    """(n_seeds, grouped, grouped_sd, ungrouped, ungrouped_sd, delta, inflation_pct): AUCs of both protocols over the seeds."""
+    a = auc(scores, ["protocol", "seed"], y, "score")
+    mean = lambda p: F.avg(F.when(F.col("protocol") == p, F.col("auc")))
+    sd = lambda p: F.stddev_samp(F.when(F.col("protocol") == p, F.col("auc")))
+    g = a.agg(F.count_distinct("seed").alias("n_seeds"), mean("grouped").alias("grouped"), sd("grouped").alias("grouped_sd"), mean("ungrouped").alias("ungrouped"), sd("ungrouped").alias("ungrouped_sd"))
+    delta = F.col("ungrouped") - F.col("grouped")
+    return g.withColumns({"delta": delta, "inflation_pct": 100 * F.try_divide(delta, F.col("grouped"))})

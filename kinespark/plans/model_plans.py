@@ -67,6 +67,24 @@ def m6_soft_voting(spark, sf):
     return g.select("vec_id", F.round("vote", 6).alias("vote"), (F.col("vote") >= 0.5).alias("flagged"))
 
 
+PROTOCOLS = f"""z AS (SELECT vec_id, vec_id % 20 AS participant, (label = 0)::INT AS y, embedding FROM embeddings), k AS (SELECT unnest([1, 2, 3]) AS seed),
+f AS (SELECT 'grouped' AS protocol, seed, vec_id, floor({unit_sql('participant', 'seed')} * 4)::INT AS fold FROM z, k UNION ALL SELECT 'ungrouped', seed, vec_id, floor({unit_sql('vec_id', 'seed')} * 4)::INT FROM z, k),
+x AS (SELECT protocol, seed, vec_id, y, fold, unnest(range(1, 65)) AS d, unnest(embedding::DOUBLE[]) AS v FROM z JOIN f USING (vec_id)), t AS (SELECT protocol, seed, fold, y, d, sum(v) AS s, count(*) AS n FROM x GROUP BY ALL),
+c AS (SELECT a.protocol, a.seed, a.fold, b.y, b.d, sum(b.s) / sum(b.n) AS m FROM (SELECT DISTINCT protocol, seed, fold FROM t) a JOIN t b ON a.protocol = b.protocol AND a.seed = b.seed AND a.fold <> b.fold GROUP BY ALL),
+e AS (SELECT x.protocol, x.seed, vec_id, x.y, sqrt(sum((v - m) ** 2) FILTER (WHERE c.y = 0)) AS far, sqrt(sum((v - m) ** 2) FILTER (WHERE c.y = 1)) AS near FROM x JOIN c ON c.protocol = x.protocol AND c.seed = x.seed AND c.fold = x.fold AND c.d = x.d GROUP BY ALL),
+s AS (SELECT protocol, seed, y, round(far / (far + near), 9) AS score FROM e), r AS (SELECT p.protocol, p.seed, {WINS} AS auc FROM s p JOIN s n ON p.protocol = n.protocol AND p.seed = n.seed AND p.y = 1 AND n.y = 0 GROUP BY 1, 2),
+g AS (SELECT count(DISTINCT seed) AS n_seeds, avg(auc) FILTER (WHERE protocol = 'grouped') AS a, stddev_samp(auc) FILTER (WHERE protocol = 'grouped') AS sa, avg(auc) FILTER (WHERE protocol = 'ungrouped') AS b, stddev_samp(auc) FILTER (WHERE protocol = 'ungrouped') AS sb FROM r)"""
+
+
+@query(f"WITH {PROTOCOLS} SELECT n_seeds, round(a, 5) AS grouped, round(sa, 5) AS grouped_sd, round(b, 5) AS ungrouped, round(sb, 5) AS ungrouped_sd, round(b - a, 5) AS delta, round(100 * (b - a) / a, 4) AS inflation_pct FROM g")
+def t20_split_protocols(spark, sf):
+    """Both protocols run: participants kept in one fold against rows dealt one by one, over three seeds."""
+    e = table(spark, sf, "embeddings").select("vec_id", (F.col("vec_id") % 20).alias("participant"), (F.col("label") == 0).cast("int").alias("y"), "embedding")
+    scores = md.protocol_scores(e, "vec_id", "participant", "embedding", "y", 4, [1, 2, 3]).withColumn("score", F.round("score", 9))
+    made = md.protocol_gaps(scores, "y")
+    return made.select("n_seeds", *(F.round(c, 4 if c == "inflation_pct" else 5).alias(c) for c in made.columns[1:]))
+
+
 @query()
 def m6_stacking(spark, sf):
     """A logistic model over the two models' out-of-fold scores, itself scored out of fold."""
