@@ -84,6 +84,53 @@ def gait_events(meta: DataFrame, trial: str = "trial_id") -> DataFrame:
     return both.select(trial, "side", "stride_index", F.explode(F.array(*(F.struct(F.lit(e).alias("event"), F.get("pair", F.lit(k)).alias("sample_index")) for k, e in enumerate(("toe_off", "heel_strike"))))).alias("e")).select(trial, "side", "e.event", "e.sample_index", "stride_index")
 
 
+#: Names of a side, and of the column that holds it, the first that is there. Fixed values.
+SIDE_NAMES = {"left": ("left", "l", "lf", "left_foot"), "right": ("right", "r", "rf", "right_foot")}
+SIDE_COLUMNS = ("side", "foot", "sensor", "limb")
+
+
+def strikes_of(df: DataFrame, trial: str, position: str) -> DataFrame:
+    """(trial, side, sample_index): distinct heel strikes of tables in any of the layouts in use.
+
+    A layout is rows with event and sample_index (for both sides where no column names one), or columns named after a heel and
+    a side. Such a column marks samples with 1, by the row's position in its trial, or else holds the indices themselves;
+    which of these is told for each trial by whether it has other values than 0 and 1. Column names may be in any case, with
+    spaces. Negative indices and values that are no numbers go.
+    """
+    x = df.toDF(*(c if c in (trial, position) else c.strip().lower().replace(" ", "_") for c in df.columns))
+    parts = []
+    if {"event", "sample_index"} <= set(x.columns):
+        named = next((c for c in SIDE_COLUMNS if c in x.columns), None)
+        side = F.lower(F.col(named).cast("string")) if named else None
+        sides = F.array(*map(F.lit, SIDE_NAMES)) if named is None else F.array_compact(F.array(*(F.when(side.isin(*names), s) for s, names in SIDE_NAMES.items())))
+        rows = x.filter(F.contains(F.lower(F.col("event").cast("string")), F.lit("heel")))
+        parts.append(rows.select(trial, F.explode(sides).alias("side"), F.col("sample_index").cast("string").try_cast("double").alias("at")))
+    for c in x.columns:
+        words = set(c.split("_"))
+        for side, names in SIDE_NAMES.items():
+            if c not in (trial, position) and "heel" in c and words & set(names):
+                v = F.col(c).cast("string").try_cast("double")
+                marks = x.groupBy(F.col(trial).alias("_t")).agg((F.count_if(~v.isin(0.0, 1.0)) == 0).alias("_marks"))
+                values = x.select(trial, F.col(position).alias("_p"), v.alias("_v")).filter("_v IS NOT NULL").join(marks, F.col(trial).eqNullSafe(F.col("_t")))
+                at = F.when(~F.col("_marks"), F.col("_v")).when(F.col("_v") == 1, F.col("_p").cast("double"))
+                parts.append(values.select(trial, F.lit(side).alias("side"), at.alias("at")))
+    if not parts:
+        return df.sparkSession.createDataFrame([], df.select(trial).schema.add("side", "string").add("sample_index", "long"))
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    return both.filter("at >= 0").select(trial, "side", F.floor("at").cast("long").alias("sample_index")).distinct()
+
+
+def ground_truth(tables: DataFrame | None, meta: DataFrame | None, trial: str = "trial_id", position: str = "line") -> DataFrame:
+    """(trial, side, sample_index): each trial's heel strikes from its event table, or, where it has none, from its metadata's pairs."""
+    own = None if tables is None else strikes_of(tables, trial, position)
+    other = None if meta is None else gait_events(meta, trial).filter("event = 'heel_strike' AND sample_index >= 0").select(trial, "side", F.col("sample_index").cast("long").alias("sample_index")).distinct()
+    if own is None or other is None:
+        return other if own is None else own
+    return own.unionByName(other.join(tables.select(trial).distinct(), trial, "left_anti"))
+
+
 def heel_strikes(events: DataFrame, trial: str, sides: Sequence[str], n_samples: int) -> DataFrame:
     """Distinct heel-strike indices of a side, under any of its names, inside the recording."""
     e = events.filter(F.lower("event").contains("heel") & F.lower("side").isin(*(s.lower() for s in sides)) & F.col("sample_index").between(0, n_samples - 1))
