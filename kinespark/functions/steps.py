@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
+from contextlib import suppress
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+_AT_END: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; in local mode where that is unset, a folder under /tmp."""
@@ -18,7 +24,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read from there."""
+    """df, written to the shared folder and read from there. The table is deleted when the driver ends."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _AT_END.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def clear() -> None:
+    """Delete the tables of this driver, where pyarrow reaches their store."""
+    for path in _AT_END:
+        with suppress(OSError, pa.ArrowInvalid):
+            store, folder = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+            if store.get_file_info(folder).type != pafs.FileType.NotFound:
+                store.delete_dir(folder)
+    _AT_END.clear()
