@@ -51,17 +51,36 @@ def wilcoxon_against(df: DataFrame, block: str, treatment: str, value: str, refe
     p is normal with the correction for ties; zeros are dropped; no difference at all gives 1.
     """
     own = df.filter(F.col(treatment) == reference).select(block, F.col(value).alias("_r"))
-    d = df.filter(F.col(treatment) != reference).join(own, block).withColumn("_d", F.round(F.col("_r") - F.col(value), 12))
-    d = written(d.select(treatment, "_d"), "differences")
-    means = d.groupBy(treatment).agg(F.avg("_d").alias("delta"))
-    ranked = m.mid_ranks(d.filter("_d <> 0").withColumn("_m", F.abs("_d")), [treatment], "_m", "rank")
-    ties = ranked.groupBy(treatment, "_m").agg(F.count("*").alias("k")).groupBy(treatment).agg(F.sum(F.pow("k", F.lit(3)) - F.col("k")).alias("ties"))
-    sums = ranked.groupBy(treatment).agg(F.count("*").alias("n"), F.sum(F.when(F.col("_d") > 0, F.col("rank")).otherwise(0.0)).alias("up"), F.sum(F.when(F.col("_d") < 0, F.col("rank")).otherwise(0.0)).alias("down"))
+    d = df.filter(F.col(treatment) != reference).join(own, block).select(treatment, F.round(F.col("_r") - F.col(value), 12).alias("_d"))
+    return m.holm(signed_rank_tests(d, [treatment]), "p", "p_holm")
+
+
+def wilcoxon_pairs(df: DataFrame, block: str, treatment: str, value: str, alpha: float = 0.05) -> DataFrame:
+    """(model_a, model_b, n, w, z, p, p_holm, delta, differs) of the signed-rank test of every pair of treatments, a before b by name."""
+    one = df.select(block, F.col(treatment).alias("model_a"), F.col(value).alias("_a"))
+    other = df.select(F.col(block).alias("_block"), F.col(treatment).alias("model_b"), F.col(value).alias("_b"))
+    d = one.join(other, (F.col(block) == F.col("_block")) & (F.col("model_a") < F.col("model_b"))).select("model_a", "model_b", F.round(F.col("_a") - F.col("_b"), 12).alias("_d"))
+    return m.holm(signed_rank_tests(d, ["model_a", "model_b"]), "p", "p_holm").withColumn("differs", F.col("p_holm") < alpha)
+
+
+def difference_matrix(pairs: DataFrame, models: Sequence[str]) -> DataFrame:
+    """(model, models): a row and a column a model, true where the pair differs; false on the diagonal."""
+    both = pairs.select(F.col("model_a").alias("model"), F.col("model_b").alias("other"), "differs").unionByName(pairs.select(F.col("model_b").alias("model"), F.col("model_a").alias("other"), "differs"))
+    return both.groupBy("model").pivot("other", list(models)).agg(F.first("differs")).fillna(False, list(models))
+
+
+def signed_rank_tests(differences: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, n, w, z, p, delta) of the signed-rank test of each key's differences (keys, _d)."""
+    names = list(keys)
+    d = written(differences, "differences")
+    means = d.groupBy(*names).agg(F.avg("_d").alias("delta"))
+    ranked = m.mid_ranks(d.filter("_d <> 0").withColumn("_m", F.abs("_d")), names, "_m", "rank")
+    ties = ranked.groupBy(*names, "_m").agg(F.count("*").alias("k")).groupBy(*names).agg(F.sum(F.pow("k", F.lit(3)) - F.col("k")).alias("ties"))
+    sums = ranked.groupBy(*names).agg(F.count("*").alias("n"), F.sum(F.when(F.col("_d") > 0, F.col("rank")).otherwise(0.0)).alias("up"), F.sum(F.when(F.col("_d") < 0, F.col("rank")).otherwise(0.0)).alias("down"))
     n, w = F.col("n").cast("double"), F.least("up", "down")
     variance = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
     z = F.when(variance > 0, (w - n * (n + 1) / 4) / F.sqrt(variance))
-    made = means.join(sums.join(ties, treatment), treatment, "left").select(treatment, F.coalesce("n", F.lit(0)).alias("n"), w.alias("w"), z.alias("z"), F.coalesce(normal_two_sided(z), F.lit(1.0)).alias("p"), "delta")
-    return m.holm(made, "p", "p_holm")
+    return means.join(sums.join(ties, names), names, "left").select(*names, F.coalesce("n", F.lit(0)).alias("n"), w.alias("w"), z.alias("z"), F.coalesce(normal_two_sided(z), F.lit(1.0)).alias("p"), "delta")
 
 
 def jackknife_aucs(df: DataFrame, group: str, y: str, scores: Sequence[str]) -> DataFrame:

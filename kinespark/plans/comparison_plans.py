@@ -107,6 +107,17 @@ def t12_wilcoxon_reference(spark, sf):
     return rounded(c.wilcoxon_against(j, "pid", "model", "auc", "m"), "z", "delta").select("model", "n", "w", "z", "delta")
 
 
+@query(f"""WITH {JACK}, d AS (SELECT f.model AS model_a, o.model AS model_b, round(f.auc - o.auc, 9) AS d FROM j f JOIN j o ON f.pid = o.pid AND f.model < o.model), s AS (SELECT model_a, model_b, avg(d) AS delta FROM d GROUP BY 1, 2),
+r AS (SELECT model_a, model_b, d, {RANK.format(by='model_a, model_b', v='abs(d)')} AS r FROM d WHERE d <> 0), q AS (SELECT model_a, model_b, count(*) AS n, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS w FROM r GROUP BY 1, 2),
+e AS (SELECT model_a, model_b, sum(k ** 3 - k) AS ties FROM (SELECT model_a, model_b, abs(d), count(*) AS k FROM r GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT model_a, model_b, n, w, round((w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48), 6) AS z, round(delta, 6) AS delta FROM q JOIN e USING (model_a, model_b) JOIN s USING (model_a, model_b)""")
+def t12_wilcoxon_pairs(spark, sf):
+    """All pairs of models by their leave-one-out AUCs."""
+    j = c.jackknife_aucs(three(spark, sf), "pid", "y", ["a", "b", "m"]).withColumn("auc", F.round("auc", 9))
+    pairs = c.wilcoxon_pairs(j, "pid", "model", "auc").withColumn("delta", F.round("delta", 12))
+    return rounded(pairs, "z", "delta").select("model_a", "model_b", "n", "w", "z", "delta")
+
+
 @query(f"""WITH {JACK}, r AS (SELECT pid, model, round(auc, 9) AS auc, {RANK.format(by='pid', v='round(-auc, 9)')} AS r FROM j), s AS (SELECT sum(q * q) AS rr, max(n) AS n FROM (SELECT model, sum(r) AS q, count(*) AS n FROM r GROUP BY 1)), g AS (SELECT sum(k ** 3 - k) AS ties FROM (SELECT count(*) AS k FROM r GROUP BY pid, auc))
 SELECT n::DOUBLE AS blocks, 3.0::DOUBLE AS treatments, round((12 / (n * 3 * 4) * rr - 3 * n * 4) / (1 - ties / (n * 24)), 6) AS chi2, (SELECT model FROM r GROUP BY 1 ORDER BY avg(r), model LIMIT 1) AS best FROM s, g""")
 def t13_benchmark(spark, sf):
