@@ -49,6 +49,44 @@ def gap_stream(df: DataFrame, key: str, order: str, counter: str) -> DataFrame:
     return df.select(key, order, counter).groupBy(key).applyInPandasWithState(run, f"{key} long, prev long, next long", "last long", "append", "ProcessingTimeTimeout")
 
 
+def ordered_gap_stream(df: DataFrame, key: str, ts: str, counter: str, late: str = "10 minutes", ttl_minutes: int = 60) -> DataFrame:
+    """(key, prev, next): counter steps other than 1 in event time, whichever micro-batches the rows come in.
+
+    A row waits in its key's state until the watermark has passed its time, so a row that is late, but not later than `late`,
+    takes its place before the steps around it are judged; later ones are left out. State is the last counter and the rows of
+    the last `late`; a key without rows for ttl_minutes of event time is forgotten. Rows of one time go by counter.
+    """
+
+    def steps(ident, last: int | None, rows: list[tuple[int, int]]) -> tuple[int | None, list[tuple]]:
+        found = []
+        for _, v in rows:
+            if last is not None and v != last + 1 and not (last >= WRAP_HIGH and v <= WRAP_LOW):
+                found.append((ident[0], last, v))
+            last = v
+        return last, found
+
+    def run(ident, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs()
+        last, done, times, counters = state.get if state.exists else (None, -1, [], [])
+        waiting = list(zip(times, counters, strict=True))
+        for pdf in batches:
+            known = pdf.dropna()
+            new = zip((known["_ms"]).astype("int64").tolist(), known[counter].astype("int64").tolist(), strict=True)
+            waiting += [row for row in new if row[0] > done]
+        ready, rest = sorted(r for r in waiting if r[0] <= now), [r for r in waiting if r[0] > now]
+        last, found = steps(ident, last, ready)
+        if state.hasTimedOut and not rest and not ready:
+            state.remove()
+        else:
+            done = max([done, now, *(t for t, _ in ready)]) if ready or now > done else done
+            state.update((last, done, [t for t, _ in rest], [c for _, c in rest]))
+            state.setTimeoutTimestamp(min(t for t, _ in rest) + 1 if rest else max(done, now) + ttl_minutes * 60_000)
+        yield pd.DataFrame(found, columns=[key, "prev", "next"])
+
+    rows = df.withWatermark(ts, late).select(key, ts, F.unix_millis(F.col(ts).cast("timestamp")).alias("_ms"), counter)
+    return rows.groupBy(key).applyInPandasWithState(run, f"{key} long, prev long, next long", "last long, done long, times array<long>, counters array<long>", "append", "EventTimeTimeout")
+
+
 def freezing_windows(df: DataFrame, key: str, ts: str, value: str, length: str, fs: float, locomotion: tuple[float, float], freezing: tuple[float, float], late: str = "1 hour", least: int = 8) -> DataFrame:
     """(key, window, freezing_index) of event-time windows with at least `least` samples: a window's samples are one Hann segment.
 
