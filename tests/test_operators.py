@@ -279,13 +279,12 @@ def test_lyapunov_takes_the_whole_trial(spark):
     want = np.polyfit(np.arange(8), curve, 1)[0]
     assert math.isclose(signals.lyapunov(x, 2, 3, 8), want, rel_tol=1e-9) and not math.isclose(signals.lyapunov(x[:2000], 2, 3, 8), want, rel_tol=1e-3)
     # as in the query, whose trials come from events
-    made = {}
     from kinespark.plans import signal_plans
 
-    kept = signal_plans.kernel
-    signal_plans.kernel = lambda spark, sf, run, schema: made.update(run(x))
+    kept = signal_plans.events
+    signal_plans.events = lambda spark, sf: spark.createDataFrame([(1, k, float(v)) for k, v in enumerate(x)], "user_id long, idx long, value double")
     try:
-        __spark_entry__.queries()["f23_f25_nonlinear"](spark, SF)
+        made = __spark_entry__.queries()["f23_f25_nonlinear"](spark, SF).first()
     finally:
-        signal_plans.kernel = kept
+        signal_plans.events = kept
     assert math.isclose(made["lyapunov"], want, rel_tol=1e-9)
