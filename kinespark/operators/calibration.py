@@ -7,7 +7,7 @@ until one is left. What a task holds is a range of distinct scores, or the corne
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -77,25 +77,28 @@ def knots(df: DataFrame, score: Column, label: Column) -> DataFrame:
     return written(hulls.withColumn("range", F.lit(0)).groupBy("range").applyInArrow(close, "x double, v double").distinct(), "score-knots")
 
 
-def interpolated(df: DataFrame, score: Column, fit: DataFrame, into: str) -> DataFrame:
+def interpolated(df: DataFrame, score: Column, fit: DataFrame, into: str, cuts: Sequence[float] | None = None) -> DataFrame:
     """df and into: linear between the knots (x, v), constant beyond them; null without a score or knots.
 
-    Rows and knots meet in ranges cut by the knots' quantiles; each range also knows the knots next to it.
+    Rows and knots meet in ranges, cut by the knots' quantiles where no cuts are given; few knots make few ranges, so
+    cuts of the rows are better. Each range also knows the knots next to it. The next knot is the last one of the
+    descending order: a frame up to a partition's end is gone through again for every row.
     """
-    cuts = range_cuts(fit, "x")[0] if not fit.isEmpty() else []
+    if cuts is None:
+        cuts = range_cuts(fit, "x")[0]
     point = F.struct("x", "v")
     known = fit.select(place(cuts, F.col("x")).alias("_range"), "x", "v")
     whole = df.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("_range"))
     each = whole.join(known.groupBy("_range").agg(F.min(point).alias("_least"), F.max(point).alias("_most")), "_range", "left")
     # a row a range, at most as many as there are cuts
-    order = Window.partitionBy(F.lit(0)).orderBy("_range")
-    ends = each.select("_range", F.last("_most", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_least", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    up, down = (Window.partitionBy(F.lit(0)).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("_range"), F.desc("_range")))
+    ends = each.select("_range", F.last("_most", True).over(up).alias("_before"), F.last("_least", True).over(down).alias("_after"))
     value = score.cast("double")
     rows = df.withColumn("_x", F.when(~F.isnan(value), value)).withColumn("_range", place(cuts, F.col("_x"))).withColumn("_knot", F.lit(None).cast("struct<x:double,v:double>"))
     there = known.select(F.col("x").alias("_x"), "_range", point.alias("_knot"))
-    here = Window.partitionBy("_range").orderBy("_x")
+    up, down = (Window.partitionBy("_range").orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc("_x"), F.desc("_x")))
     met = rows.withColumn("_row", F.lit(True)).unionByName(there, allowMissingColumns=True)
-    met = met.withColumn("_low", F.last("_knot", True).over(here.rangeBetween(Window.unboundedPreceding, 0))).withColumn("_high", F.first("_knot", True).over(here.rangeBetween(0, Window.unboundedFollowing)))
+    met = met.withColumn("_low", F.last("_knot", True).over(up)).withColumn("_high", F.last("_knot", True).over(down))
     met = met.filter("_row").join(F.broadcast(ends), "_range").withColumn("_low", F.coalesce("_low", "_before")).withColumn("_high", F.coalesce("_high", "_after"))
     lx, lv, hx, hv = (F.col(c) for c in ("_low.x", "_low.v", "_high.x", "_high.v"))
     made = F.when(F.col("_x").isNull(), None).when(lx.isNull(), hv).when(hx.isNull() | (hx == lx), lv).otherwise(lv + (hv - lv) * (F.col("_x") - lx) / (hx - lx))
@@ -105,8 +108,9 @@ def interpolated(df: DataFrame, score: Column, fit: DataFrame, into: str) -> Dat
 def isotonic(df: DataFrame, fit: Column, targets: Mapping[str, Column], suffix: str = "_calibrated") -> DataFrame:
     """df with each score column calibrated on the rows that fit, made to sum to 1 over the columns where there are several."""
     out = df
-    for name, target in targets.items():
-        out = interpolated(out, F.col(name), knots(df.filter(fit), F.col(name), target.cast("double")), name + suffix)
+    every = range_cuts(df.select(*(F.col(n).cast("double") for n in targets)), *targets)
+    for (name, target), cuts in zip(targets.items(), every, strict=True):
+        out = interpolated(out, F.col(name), knots(df.filter(fit), F.col(name), target.cast("double")), name + suffix, cuts)
     if len(targets) == 1:
         return out
     total = sum((F.col(n + suffix) for n in targets), F.lit(0.0))

@@ -78,17 +78,17 @@ def clock_check(df: DataFrame, keys: Sequence[str], order: Sequence[str], second
 def interpolate(df: DataFrame, keys: Sequence[str], position: str, value: str, into: str) -> DataFrame:
     """Missing values by straight lines inside a trial; edges take the nearest known value."""
     before = Window.partitionBy(*keys).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*keys).orderBy(position).rowsBetween(0, Window.unboundedFollowing)
+    after = Window.partitionBy(*keys).orderBy(F.desc(position)).rowsBetween(Window.unboundedPreceding, 0)
     at = F.when(F.col(value).isNotNull(), F.col(position))
-    out = df.withColumn("_a", F.last(value, True).over(before)).withColumn("_ia", F.last(at, True).over(before)).withColumn("_b", F.first(value, True).over(after)).withColumn("_ib", F.first(at, True).over(after))
+    out = df.withColumn("_a", F.last(value, True).over(before)).withColumn("_ia", F.last(at, True).over(before)).withColumn("_b", F.last(value, True).over(after)).withColumn("_ib", F.last(at, True).over(after))
     line = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col(position) - F.col("_ia")) / (F.col("_ib") - F.col("_ia"))
     return out.withColumn(into, F.when(F.col(value).isNotNull(), F.col(value)).otherwise(F.coalesce(line, "_a", "_b"))).drop("_a", "_ia", "_b", "_ib")
 
 
 def fill_back_then_forward(df: DataFrame, keys: Sequence[str], position: str, value: str, into: str) -> DataFrame:
     before = Window.partitionBy(*keys).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*keys).orderBy(position).rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumn(into, F.coalesce(F.first(value, True).over(after), F.last(value, True).over(before))).filter(F.col(into).isNotNull())
+    after = Window.partitionBy(*keys).orderBy(F.desc(position)).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn(into, F.coalesce(F.last(value, True).over(after), F.last(value, True).over(before))).filter(F.col(into).isNotNull())
 
 
 def missing_fractions(df: DataFrame, columns: Sequence[str], threshold: float) -> DataFrame:

@@ -45,3 +45,25 @@ def test_classes_sum_to_one_and_nothing_to_fit(spark):
     made = cal.isotonic(df, F.col("id") % 2 == 0, {"a": F.col("y") == 1, "b": F.col("y") == 0})
     assert made.filter("abs(a_calibrated + b_calibrated - 1) > 1e-9 AND a_calibrated + b_calibrated <> 0").isEmpty() and made.count() == 100
     assert cal.isotonic(df, F.lit(False), {"a": F.col("y") == 1}).filter("a_calibrated IS NOT NULL").isEmpty()
+
+
+def test_no_frame_is_gone_through_for_every_row(spark):
+    """A frame from a row to its partition's end takes the square of a range's rows; few knots used to make one range."""
+    rows = [(k, k / 1000, float(k >= 500)) for k in range(1000)]
+    df = spark.createDataFrame(rows, "id long, s double, y double")
+    made = cal.isotonic(df, F.lit(True), {"s": F.col("y")})
+    plan = made._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+    sizes = [r["count"] for r in df.groupBy(cal.place(cal.range_cuts(df, "s")[0], F.col("s"))).count().collect()]
+    assert max(sizes) < 500 and made.filter("s_calibrated <> y").isEmpty()
+
+
+def test_later_values_come_from_the_descending_order(spark):
+    from kinespark.operators import quality, signals
+
+    df = spark.createDataFrame([(1, k, None if k % 3 else float(k), "ab"[k % 2]) for k in range(10)], "u long, at long, v double, kind string")
+    made = (quality.interpolate(df, ["u"], "at", "v", "x"), quality.fill_back_then_forward(df, ["u"], "at", "v", "x"), signals.next_event(df, ["u"], ["at"], "kind", "a", "b", F.col("at"), "x"))
+    for m in made:
+        assert "unboundedfollowing" not in m._jdf.queryExecution().optimizedPlan().toString().lower()
+    line, filled, after = ([r.x for r in m.orderBy("at").collect()] for m in made)
+    assert line == list(range(10)) and filled == [0, 3, 3, 3, 6, 6, 6, 9, 9, 9] and after == [1, 3, 5, 7, 9]
