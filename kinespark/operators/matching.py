@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from kinespark.functions import quantiles
 from kinespark.functions.steps import written
 
 
@@ -119,7 +120,7 @@ def tuned_percentile(scores: DataFrame, cohort: str, percentile: str, f1: str) -
 
 def above_percentile(df: DataFrame, keys: Sequence[str], value: str, percentiles: Sequence[float]) -> DataFrame:
     """df's rows once for each percentile of their trial that they reach, with percentile."""
-    cuts = df.groupBy(*keys).agg(F.percentile(value, F.array(*(F.lit(p / 100) for p in percentiles))).alias("_cuts"))
+    cuts = quantiles.percentiles(df, keys, F.col(value), [p / 100 for p in percentiles], "_cuts")
     cuts = cuts.select(*keys, F.explode(F.arrays_zip(F.array(*map(F.lit, percentiles)).alias("p"), F.col("_cuts").alias("cut"))).alias("_c"))
     return df.join(cuts, list(keys)).filter(F.col(value) >= F.col("_c.cut")).withColumn("percentile", F.col("_c.p")).drop("_c")
 
