@@ -29,3 +29,19 @@ def test_a_trial_without_values_has_no_cut(spark):
     df = spark.createDataFrame([(1, None), (2, 5.0), (2, None)], "u long, v double")
     assert [(r.u, r.v) for r in matching.above_percentile(df, ["u"], "v", [50.0]).collect()] == [(2, 5.0)]
     assert df.select(F.count("v")).first()[0] == 1
+
+
+def test_strikes_and_toe_offs_of_coarse_values(spark, tmp_path):
+    """Values in tenths: prominences are equal but for the last place."""
+    from kinespark.plans import registry
+
+    path, out = f"{tmp_path}/events.parquet", []
+    duckdb.execute(f"""COPY (SELECT u * 64 + k AS event_id, TIMESTAMP '2024-01-01' + INTERVAL 1 SECOND * k AS ts, u AS user_id, 'view' AS event_type, (hash(u * 1000 + k) % 60) / 10 + u / 100 AS value, '' AS props
+        FROM range(600) t(u), range(64) s(k)) TO '{path}' (FORMAT parquet)""")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{path}'")
+    for name in ("g6_heel_strikes", "g7_toe_offs"):
+        made = registry.queries()[name](spark, str(tmp_path))
+        want = con.execute(f"SELECT {', '.join(made.columns)} FROM ({registry.oracle_sql()[name]})").fetchall()
+        out.append(sorted(map(tuple, made.collect())) == sorted(want))
+    assert out == [True, True]
