@@ -13,13 +13,17 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 TAPS, HEAVY = 9, 3
 PLACES = tuple(combinations(range(TAPS), HEAVY))
 #: Windows from which biases are taken, chosen by the smallest hashes of their ids.
 SAMPLE = 256
+#: Windows whose features are held at once.
+AT_ONCE = 64
 
 
 @dataclass(frozen=True)
@@ -76,20 +80,27 @@ def shares(x: np.ndarray, bank: Bank) -> np.ndarray:
 
 
 def kernel_shares(rows: DataFrame, window: str, bank: Bank, into: str = "features") -> DataFrame:
-    """rows and into: the features of each window; null for a null window."""
-
-    @F.arrow_udf("array<double>")
-    def made(windows: pa.Array) -> pa.Array:
-        known = np.flatnonzero(windows.is_valid().to_numpy(zero_copy_only=False))
-        found: list = [None] * len(windows)
-        for at in range(0, len(known), 64):
-            part = windows.take(pa.array(known[at : at + 64]))
-            x = part.flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
-            for k, row in zip(known[at : at + 64], shares(x, bank), strict=True):
-                found[k] = row
-        return pa.array(found, pa.list_(pa.float64()))
-
-    return rows.withColumn(into, made(F.col(window).cast("array<double>")))
+    """rows and into: the features of each window; null for a null window.
+
+    A row of features is some hundred times its window, so rows go out AT_ONCE at a time, however many come in together.
+    """
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                windows = part.column("_window")
+                known = windows.is_valid()
+                held = windows.filter(known)
+                x = held.flatten().to_numpy(zero_copy_only=False).reshape(len(held), -1)
+                features = shares(x, bank) if len(held) else np.zeros((0, bank.size))
+                ends = np.r_[0, np.cumsum(known.to_numpy(zero_copy_only=False) * bank.size)]
+                listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(features.ravel()), mask=pc.invert(known))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), listed], names=[*kept, into])
+
+    kept = [c for c in rows.columns if c != into]
+    schema = StructType([*(rows.schema[c] for c in kept), StructField(into, ArrayType(DoubleType()))])
+    return rows.select(*kept, F.col(window).cast("array<double>").alias("_window")).mapInArrow(made, schema)
 
 
 def pooled(rows: DataFrame, key: str, features: str) -> DataFrame:

@@ -38,3 +38,20 @@ def test_reference_size(spark):
     assert all(len(r.features) == 9996 for r in kn.kernel_shares(rows, "w", bank).collect())
     with pytest.raises(ValueError):
         kn.fit_bank(rows.limit(0), "id", "w")
+
+
+def test_features_go_out_a_few_windows_at_a_time(spark, monkeypatch):
+    """A batch of windows is not a batch of features: these are some hundred times as large."""
+    monkeypatch.setattr(kn, "AT_ONCE", 4, raising=False)
+    rows = spark.range(50).selectExpr("id", "IF(id % 7 = 0, NULL, transform(sequence(1, 32), k -> sin(k * id))) AS w").coalesce(1)
+    bank = kn.fit_bank(rows, "id", "w", features=420)
+    made = {r.id: r.features for r in kn.kernel_shares(rows, "w", bank).collect()}
+    assert [k for k, f in made.items() if f is None] == list(range(0, 50, 7)) and all(len(f) == bank.size for f in made.values() if f)
+    shares = kn.shares
+
+    def few(x, bank):
+        assert len(x) <= 4
+        return shares(x, bank)
+
+    monkeypatch.setattr(kn, "shares", few)
+    assert {r.id: r.features for r in kn.kernel_shares(rows, "w", bank).collect()} == made
