@@ -11,7 +11,7 @@ What the driver holds is PIVOTS vectors and a row a block, at most MOST_BLOCKS.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from kinespark.functions.steps import written
 
 PIVOTS, BLOCK_ROWS, MOST_BLOCKS, QUERY_ROWS = 128, 4096, 1 << 16, 4096
+#: Queries whose bounds to all blocks are held at once, and rows that go out together.
+ASKED, SENT_ROWS = 256, 4096
 #: Distances by products of vectors are off by about this part of the vectors' lengths; candidates so near are compared exactly.
 SLACK = 1e-6
 
@@ -63,6 +65,17 @@ def in_blocks(rows: DataFrame, block_rows: int) -> DataFrame:
     return written(ringed.join(F.broadcast(parts), ["cell", "ring"]).withColumn("block", F.concat_ws(".", "cell", "ring", part)).drop("ring", "parts"), "neighbour-blocks")
 
 
+def sent(batches: Iterator[pa.RecordBatch], chosen: Callable[[pa.RecordBatch], np.ndarray], names: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Each query (chunk, id, v) once for every block that chosen tells, a few queries at a time and their visits in parts."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, ASKED):
+            batch = whole.slice(start, ASKED)
+            visits = np.nonzero(chosen(batch))
+            for at in range(0, len(visits[0]), SENT_ROWS):
+                q, b = (v[at : at + SENT_ROWS] for v in visits)
+                yield pa.RecordBatch.from_arrays([pa.array(names[b]), *(batch.column(c).take(pa.array(q)) for c in ("chunk", "id", "v")), pa.array(sizes[b])], names=["block", "chunk", "id", "v", "n"])
+
+
 def nearest(asked: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """(query, neighbour, distance): the best k a query of each block that asked (block, chunk, id, v) sends it to."""
 
@@ -87,9 +100,9 @@ def nearest(asked: DataFrame, rows: DataFrame, k: int) -> DataFrame:
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table([pa.array(c) for c in columns], names=["query", "neighbour", "distance"])
 
-    sent = rows.select("block", "id", "v").join(asked.select("block", "chunk").distinct(), "block")
-    sent = sent.toDF(*sent.columns)
-    return asked.groupBy("block", "chunk").cogroup(sent.groupBy("block", "chunk")).applyInArrow(compare, "query long, neighbour long, distance double")
+    there = rows.select("block", "id", "v").join(asked.select("block", "chunk").distinct(), "block")
+    there = there.toDF(*there.columns)
+    return asked.groupBy("block", "chunk").cogroup(there.groupBy("block", "chunk")).applyInArrow(compare, "query long, neighbour long, distance double")
 
 
 def search(queries: DataFrame, rows: DataFrame, ident: str, vector: str, k: int, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -112,10 +125,7 @@ def search(queries: DataFrame, rows: DataFrame, ident: str, vector: str, k: int,
         return np.maximum(0, np.maximum(d - high, low - d)) - SLACK * (1 + d)
 
     def sending(batches: Iterator[pa.RecordBatch], chosen) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                q, b = np.nonzero(chosen(batch, bounds(vectors(batch.column("v")))))
-                yield pa.RecordBatch.from_arrays([pa.array(names[b]), batch.column("chunk").take(pa.array(q)), batch.column("id").take(pa.array(q)), batch.column("v").take(pa.array(q)), pa.array(sizes[b])], names=["block", "chunk", "id", "v", "n"])
+        return sent(batches, lambda batch: chosen(batch, bounds(vectors(batch.column("v")))), names, sizes)
 
     def enough(batch: pa.RecordBatch, bound: np.ndarray) -> np.ndarray:
         """The blocks of the least bounds that hold k rows beside the query."""

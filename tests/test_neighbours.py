@@ -1,6 +1,7 @@
 """Exact neighbour search against comparing all, on clustered, even and degenerate vectors."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +62,13 @@ def test_no_rows(spark):
     assert nb.neighbours(none, none, "id", "v", 3).count() == 0
     assert nb.neighbours(frame(spark, [(1, [0.0])]), none, "id", "v", 3).count() == 0
     assert nb.neighbours(none, frame(spark, [(1, [0.0])]), "id", "v", 3).count() == 0
+
+
+def test_visits_go_out_in_parts():
+    """A batch of queries that visit every block is not one batch, as large as the product of the two."""
+    n, blocks = 3000, 40
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.arange(n)), pa.array(np.ones((n, 4)).tolist())], names=["chunk", "id", "v"])
+    made = list(nb.sent(iter([batch]), lambda b: np.ones((b.num_rows, blocks), bool), np.array([f"b{k}" for k in range(blocks)]), np.arange(blocks)))
+    assert max(m.num_rows for m in made) <= nb.SENT_ROWS and sum(m.num_rows for m in made) == n * blocks
+    pairs = {(q, b) for m in made for q, b in zip(m.column("id").to_pylist(), m.column("block").to_pylist(), strict=True)}
+    assert len(pairs) == n * blocks
