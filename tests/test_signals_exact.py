@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from kinespark.operators import filters, fusion, peaks
+from kinespark.operators import filters, fusion, peaks, signals
 
 
 def frame(spark, trials):
@@ -195,3 +196,12 @@ def test_still_sensor_turns_to_gravity():
     acc, gyr = np.tile([0.0, 6.0, 8.0], (4000, 1)), np.full((4000, 3), 1e-9)
     w, x, y, z = fusion.quaternions(acc, gyr, None, 0.01)[-1]
     assert np.allclose([2 * (x * z - w * y), 2 * (w * x + y * z), 1 - 2 * (x * x + y * y)], [0, 0.6, 0.8], atol=2e-3)
+
+
+def test_pairs_of_lags_are_counted_in_small_tasks(spark, monkeypatch):
+    """Partitions of a size in bytes are few, and the pairs are fifty times their rows."""
+    monkeypatch.setattr(signals, "TASK_ROWS", 500, raising=False)
+    df = spark.range(8000).selectExpr("id % 80 AS k", "id AS i", "sin(id * id) AS v").withColumn("i", F.row_number().over(Window.partitionBy("k").orderBy("i")) - 1)
+    made = signals.mutual_information(df, ["k"], "i", "v")
+    made.write.format("noop").mode("overwrite").save()
+    assert made.rdd.getNumPartitions() >= 16 and made.select("k").distinct().count() == 80
