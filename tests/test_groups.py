@@ -32,3 +32,8 @@ def samples(spark):
 def test_entropies_call_no_function_a_trial(spark):
     """A call a trial took more than its work."""
     assert not per_trial(signals.entropies(samples(spark), ["k"], "i", "v"))
+
+
+def test_spectra_call_no_function_a_trial(spark):
+    made = signals.welch_psd(samples(spark), ["k"], "i", "v", 100)
+    assert not per_trial(made) and made.select("k").distinct().count() == 40
