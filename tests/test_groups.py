@@ -37,3 +37,8 @@ def test_entropies_call_no_function_a_trial(spark):
 def test_spectra_call_no_function_a_trial(spark):
     made = signals.welch_psd(samples(spark), ["k"], "i", "v", 100)
     assert not per_trial(made) and made.select("k").distinct().count() == 40
+
+
+def test_blocks_call_no_function_a_trial(spark):
+    made = signals.by_blocks(samples(spark), ["k"], "i", "v", lambda x: {"y": signals.resample(x, 25, 16)}, "y double", up=25, down=16)
+    assert not per_trial(made) and made.count() == 40 * 157
