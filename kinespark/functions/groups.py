@@ -20,10 +20,15 @@ def changes(table: pa.Table) -> np.ndarray:
 
 
 def values(column: pa.ChunkedArray) -> np.ndarray:
-    """A column as an array, a column of lists of one length as a matrix; null numbers are NaN."""
+    """A column as an array, a column of lists of one length as a matrix, of several as rows; null numbers are NaN."""
     whole = column.combine_chunks()
     if pa.types.is_list(whole.type):
-        return whole.flatten().to_numpy(zero_copy_only=False).reshape(len(whole), -1)
+        flat, sizes = whole.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(whole).to_numpy(zero_copy_only=False)
+        if len(sizes) and (sizes == sizes[0]).all():
+            return flat.reshape(len(whole), -1)
+        rows = np.empty(len(whole), object)
+        rows[:] = np.split(flat, np.cumsum(sizes)[:-1])
+        return rows
     return whole.to_numpy(zero_copy_only=False)
 
 

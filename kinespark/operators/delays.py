@@ -8,13 +8,14 @@ of up to CELL_ROWS points is one cell. Every trial has its own delay and dimensi
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinespark.functions.groups import streamed
 from kinespark.functions.ranges import same
 from kinespark.functions.steps import written
 
@@ -54,33 +55,42 @@ def nearest(points: DataFrame, keys: Sequence[str], apart: Column, largest: bool
     x = x.join(sizes.select(*(F.col(k).alias(f"_s_{k}") for k in (*names, "ring")), "parts"), same([*names, "ring"], "_s_")).drop(*(f"_s_{k}" for k in (*names, "ring")))
     x = written(x.withColumn("part", F.pmod(F.xxhash64("i"), F.col("parts"))).drop("parts"), "delay-cells")
 
-    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+    def best(i: np.ndarray, p: np.ndarray, zone: np.ndarray, j: np.ndarray, q: np.ndarray) -> list[np.ndarray]:
+        """i, j and distance of the points i that have a neighbour among j, which ascend."""
         found = ([], [], [])
-        if a.num_rows and b.num_rows:
-            b = b.sort_by("i")
-            i, j, zone = a.column("i").to_numpy(), b.column("i").to_numpy(), a.column("apart").to_numpy()
-            p, q = (np.array(t.column("q").to_pylist()) for t in (a, b))
-            step = max(1, AT_ONCE // q.size)
-            for at in range(0, len(p), step):
-                difference = p[at : at + step, None] - q[None]
-                d = np.abs(difference).max(2) if largest else np.sqrt((difference**2).sum(2))
-                d[np.abs(i[at : at + step, None] - j) <= zone[at : at + step, None]] = np.inf
-                near = d.argmin(1)
-                least = d[np.arange(len(d)), near]
-                good = np.isfinite(least)
-                for column, made in zip(found, (i[at : at + step][good], j[near[good]], least[good]), strict=True):
-                    column.append(made)
-        columns = [np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(found, (np.int64, np.int64, float), strict=True)]
+        step = max(1, AT_ONCE // max(1, q.size))
+        for at in range(0, len(p) if len(q) else 0, step):
+            difference = p[at : at + step, None] - q[None]
+            d = np.abs(difference).max(2) if largest else np.sqrt((difference**2).sum(2))
+            d[np.abs(i[at : at + step, None] - j) <= zone[at : at + step, None]] = np.inf
+            near = d.argmin(1)
+            least = d[np.arange(len(d)), near]
+            good = np.isfinite(least)
+            for column, made in zip(found, (i[at : at + step][good], j[near[good]], least[good]), strict=True):
+                column.append(made)
+        return [np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(found, (np.int64, np.int64, float), strict=True)]
+
+    def alone(points: Mapping[str, np.ndarray]) -> dict[str, np.ndarray]:
+        q = np.stack(points["q"])
+        return dict(zip(("_at", "j", "distance"), best(points["_at"], q, points["apart"], points["_at"], q), strict=True))
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        b = b.sort_by("i")
+        p, q = (np.array(t.column("q").to_pylist()) for t in (a, b))
+        columns = best(a.column("i").to_numpy(), p, a.column("apart").to_numpy(), b.column("i").to_numpy(), q)
         either = a if a.num_rows else b
         return pa.table([*(pa.array([either.column(k)[0].as_py()] * len(columns[0]), either.column(k).type) for k in names), *(pa.array(c) for c in columns)], names=[*names, "i", "j", "distance"])
 
     schema, cell = f"{kinds}, i long, j long, distance double", [*names, "ring", "part"]
-    own = written(x.groupBy(*cell).applyInArrow(lambda g: compare(g, g), schema), "delay-own")
+    # most cells are short trials: slices of a stream, not a call each
+    listed = x.select(*cell, F.col("i").alias("_at"), "q", "apart")
+    own = streamed(listed, cell, ["_at"], alone, "_at long, j long, distance double").select(*names, F.col("_at").alias("i"), "j", "distance")
+    own = written(own, "delay-own")
     if cuts.isEmpty():
         return own
     # the rings within reach of each point of a long trial, but for its own cell
-    best = own.select(*(F.col(k).alias(f"_b_{k}") for k in (*names, "i")), F.col("distance").alias("reach"))
-    far = x.join(cuts, same(names, "_c_")).join(best, same([*names, "i"], "_b_"), "left")
+    reached = own.select(*(F.col(k).alias(f"_b_{k}") for k in (*names, "i")), F.col("distance").alias("reach"))
+    far = x.join(cuts, same(names, "_c_")).join(reached, same([*names, "i"], "_b_"), "left")
     low = F.when(F.col("reach").isNull(), 0).otherwise(ring(F.col("c") - F.col("reach")))
     high = F.when(F.col("reach").isNull(), F.size("cuts")).otherwise(ring(F.col("c") + F.col("reach")))
     there = far.select(*names, "i", "q", "apart", F.col("ring").alias("own_ring"), F.col("part").alias("own_part"), F.explode(F.sequence(low, high)).alias("ring"))

@@ -37,3 +37,16 @@ def test_dimension_of_each_trial(trials):
     few = trials.filter("t IN ('sine', 'noise', 'tiny')")
     got = {r.t: r.dim for r in delays.embedding_dimension(few, ["t"], "i", "v", F.col("delay"), high=4, cell_rows=128).collect()}
     assert got == {k: signals.embedding_dimension(TRIALS[k], 1 + len(k) % 2, high=4) for k in ("sine", "noise", "tiny")}
+
+
+def test_short_trials_go_by_in_a_stream(spark, monkeypatch):
+    """A call a trial took more than its work; trials have dimensions of their own."""
+    calls, plain = [], delays.streamed
+    monkeypatch.setattr(delays, "streamed", lambda *a: calls.append(1) or plain(*a))
+    rows = [(k, i, [float((i * 7 + j) % 11) for j in range(2 + k % 3)]) for k in range(12) for i in range(30)]
+    points = spark.createDataFrame(rows, "k long, i long, q array<double>")
+    got = {(r.k, r.i): r.distance for r in delays.nearest(points, ["k"], F.lit(2)).collect()}
+    assert calls == [1] and len(got) == len(rows)
+    for k, i, q in rows:
+        want = min(sum((a - b) ** 2 for a, b in zip(q, w, strict=True)) ** 0.5 for o, j, w in rows if o == k and abs(i - j) > 2)
+        assert abs(got[k, i] - want) < 1e-9
