@@ -3,7 +3,8 @@
 canonical() is NFKC, casefold, NFKC again, runs of white space as one space, none at the ends. Texts with equal
 canonical forms have equal fingerprints. exact_groups() and edits() group by fingerprint and compare the canonical bytes of
 each document with those of its bucket's first, so a collision of hashes joins nothing. Fingerprints alone tell which
-documents share a bucket; only these bring their canonical bytes to the comparison.
+documents share a bucket; only these bring their canonical bytes to the comparison. edits() moves texts and canonical bytes
+compressed; the compression loses nothing, so equal bytes are equal still.
 
 Defined results: a null text counts as empty; all empty texts have one fingerprint; repeated rows are separate
 documents; ids may repeat or be null (null first), ties of the order are settled by the text's hash, then by text; texts of any length are
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinespark.llm.common import n_partitions, stored, text_or_empty, text_slices
+from kinespark.llm.common import n_partitions, pack, packed, packed_slices, stored, text_or_empty, text_slices, unpack
 
 #: Up to so many range bounds are compared in one expression.
 MANY_CUTS = 1000
@@ -86,13 +87,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return in_groups(fingerprints(docs, id_col, text_col), id_col)
 
 
-def with_next(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def with_next(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: bool = False) -> DataFrame:
     """(id, text, next_text, marked): the text of the next document by ascending id; after the last, the first.
 
     marked tells whether marks (id) holds the id, or there is none; marks come as rows beside the texts, which so stay put.
     Ids are cut into ranges by quantiles, a bounded list; a range of one id (or none) with many rows is cut on by the hash of
     the text, which settles ties. The first document of each slot is also sent to the slot before it, so each slot is
-    windowed by itself and every text moves once.
+    windowed by itself and every text moves once. With small, texts move and come packed.
     """
     base = docs.select(docs[id_col].cast("long").alias("__id"), text_or_empty(text_col).alias("__text"))
     base = base.withColumn("__tie", F.xxhash64("__text"))
@@ -111,6 +112,7 @@ def with_next(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_co
     heads = sorted((r["__range"], r["h"]) for r in ranged.groupBy("__range").agg(F.min("__id").alias("h")).collect())
     order = [F.col("__id").asc_nulls_first(), F.col("__tie"), F.col("__text")]
     if not heads:
+        base = packed(base, "__text") if small else base
         return base.select(F.col("__id").alias(id_col), F.col("__text").alias("text"), F.col("__text").alias("next_text"), F.lit(False).alias("marked"))
     before = {heads[(k + 1) % len(heads)][0]: r for k, (r, _) in enumerate(heads)}
     # the first row of each slot: a min by slot that every task pre-aggregates
@@ -120,9 +122,10 @@ def with_next(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_co
     to = spark.createDataFrame([(k, v) for k, v in before.items()], "__range long, __to long")
     copies = firsts.join(F.broadcast(to), "__range").select(F.lit(None).cast("long").alias("__id"), F.col("__first.__text").alias("__text"), F.col("__first.__tie").alias("__tie"), F.col("__to").alias("__range"), F.lit(1).alias("__copy"))
     rows = ranged.withColumn("__copy", F.lit(0)).unionByName(copies)
+    rows = packed(rows, "__text") if small else rows
     ids = marks.select(marks[id_col].cast("long").alias("__id")).filter("__id is not null")
     every = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda k: at * MOST_PARTS + k))
-    rows = rows.unionByName(ids.select("__id", F.lit(None).cast("string").alias("__text"), F.lit(None).cast("long").alias("__tie"), every.alias("__range"), F.lit(2).alias("__copy")))
+    rows = rows.unionByName(ids.select("__id", F.lit(None).cast("binary" if small else "string").alias("__text"), F.lit(None).cast("long").alias("__tie"), every.alias("__range"), F.lit(2).alias("__copy")))
     follow = Window.partitionBy("__range").orderBy("__copy", *order)
     marked = F.col("__id").isNull() | (F.max("__copy").over(Window.partitionBy("__range", "__id")) == 2)
     rows = rows.withColumn("next_text", F.lead("__text").over(follow)).withColumn("marked", marked)
@@ -158,22 +161,24 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, _, _ in text_slices(batches):
-            found, texts = [], rows.column("text").to_pylist()
+        for rows in (part for batch in batches for part in packed_slices(batch, "text")):
+            found, held = [], rows.column("text").to_pylist()
+            texts = [unpack(t).decode() for t in held]
             forms = [canonical(t) for t in texts]
             prints = [digest(f) for f in forms]
             for at, (text, following, marked) in enumerate(zip(texts, rows.column("next_text").to_pylist(), rows.column("marked").to_pylist(), strict=True)):
                 k = len(text) // part
+                # the next text is the next row's but at a slice's end
+                known = at + 1 < len(texts) and held[at + 1] == following
+                following = texts[at + 1] if known else unpack(following).decode()
                 edited = text[: len(text) - k] + following[:k]
                 form = canonical(edited)
-                # the next text is the next row's but at a slice's end
-                known = at + 1 < len(texts) and texts[at + 1] == following
                 after = (prints[at + 1], forms[at + 1]) if known else (digest(f := canonical(following)), f)
                 own, other = prints[at], digest(form)
-                found.append((len(text), hashlib.sha256(edited.encode()).hexdigest(), own, other, forms[at] if marked else None, likeness(own, other, forms[at], form), likeness(own, after[0], forms[at], after[1])))
+                found.append((len(text), hashlib.sha256(edited.encode()).hexdigest(), own, other, pack(forms[at].encode()) if marked else None, likeness(own, other, forms[at], form), likeness(own, after[0], forms[at], after[1])))
             columns = list(zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([rows.column(id_col).cast(pa.int64()), pa.array(columns[0], pa.int64()), *(pa.array(c, pa.string()) for c in columns[1:5]), *(pa.array(c, pa.float64()) for c in columns[5:])], names=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "canonical", "near_edited", "near_next"])
+            yield pa.RecordBatch.from_arrays([rows.column(id_col).cast(pa.int64()), pa.array(columns[0], pa.int64()), *(pa.array(c, pa.string()) for c in columns[1:4]), pa.array(columns[4], pa.binary()), *(pa.array(c, pa.float64()) for c in columns[5:])], names=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "canonical", "near_edited", "near_next"])
 
-    paired = with_next(docs, shared_ids(docs, id_col, text_col), id_col, text_col)
-    made = paired.mapInArrow(run, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, canonical string, near_edited double, near_next double").withColumnRenamed("id", id_col)
+    paired = with_next(docs, shared_ids(docs, id_col, text_col), id_col, text_col, small=True)
+    made = paired.mapInArrow(run, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, canonical binary, near_edited double, near_next double").withColumnRenamed("id", id_col)
     return in_groups(stored(made, "edits"), id_col)
