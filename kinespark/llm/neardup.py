@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinespark.llm.common import lower_ascii, mixed, n_partitions, ragged, span_hashes, stored, temporary, text_or_empty, text_slices, word_spans
+from kinespark.llm.common import lower_ascii, mixed, n_partitions, packed, ragged, span_hashes, stored, temporary, text_or_empty, text_slices, unpacked_slices, word_spans
 
 SIGNATURE, TREES, LEAF, DEPTH, PIVOTS, DENSE = 64, 12, 32, 4, 64, 0.25
 #: Classes and shingles of a block of a crowded node, on average; decide the size of a group alone.
@@ -194,8 +194,8 @@ def split(rows: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame]:
     return marked.filter("large is null").drop("large"), marked.filter("large").drop("large")
 
 
-def with_pivots(rows: DataFrame, pivots: int) -> DataFrame:
-    """rows with near: the pivots of their node that they resemble, the likeliest first, as (agree, pivot).
+def with_pivots(rows: DataFrame, pivots: int, level: int, similarity: float) -> DataFrame:
+    """rows with children, the nodes they go to if their node branches, and near: the pivots of their node that they resemble, the likeliest first, as (agree, pivot).
 
     Pivots are, of each of so many parts of a node's classes, the one with the smallest hash: a minimum each task makes of
     its rows first. So a node's list has a bounded size, however many rows the node has.
@@ -206,7 +206,8 @@ def with_pivots(rows: DataFrame, pivots: int) -> DataFrame:
     met = F.filter("pivots", lambda p: (p["doc_id"] != F.col("doc_id")) & (agreement(p["sketch"], F.col("sketch")) >= AGREE))
     met = F.transform(met, lambda p: F.struct(equal(p["signature"], F.col("signature")).alias("agree"), p["doc_id"].alias("pivot")))
     near = F.sort_array(F.filter(met, lambda p: p["agree"] >= EQUAL), asc=False)
-    return rows.join(stored(listed, "dup-pivots"), "node").select("tree", "node", "doc_id", "sketch", "signature", near.alias("near"))
+    children = F.transform(chosen(F.col("node"), level, similarity), lambda at: F.xxhash64(F.col("node"), at, F.element_at("signature", at + 1)))
+    return rows.join(stored(listed, "dup-pivots"), "node").select("tree", "node", "doc_id", "sketch", children.alias("children"), near.alias("near"))
 
 
 def candidates(classes: DataFrame, similarity: float, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame | None]:
@@ -226,15 +227,14 @@ def candidates(classes: DataFrame, similarity: float, trees: int = TREES, leaf:
         found.append(stored(leaf_pairs(small.repartition(n_partitions(small), "node")), "dup-leaf"))
         if rows.isEmpty():
             break
-        held = stored(with_pivots(rows.join(signed, "doc_id"), pivots), "dup-held")
+        held = stored(with_pivots(rows.join(signed, "doc_id"), pivots, level, similarity), "dup-held")
         # where most classes resemble a pivot, branching would only scatter near copies
         dense = held.groupBy("node").agg(F.avg(F.exists("near", lambda p: p["agree"] >= CLOSE).cast("int")).alias("share")).filter(F.col("share") >= (DENSE if level < depth else 0.0))
-        held = stored(held.join(stored(dense, "dup-dense"), "node", "left"), "dup-crowded")
-        here = held.filter("share is not null").select("tree", "node", "doc_id", "sketch", "near")
+        dense = stored(dense, "dup-dense")
+        here = stored(held.join(dense, "node", "left_semi").select("tree", "node", "doc_id", "sketch", "near"), "dup-crowded")
         crowded = here if crowded is None else crowded.unionByName(here)
         found.append(met_pivots(here))
-        child = held.filter("share is null").withColumn("at", F.explode(chosen(F.col("node"), level, similarity)))
-        rows = child.select("tree", F.xxhash64("node", "at", F.element_at("signature", F.col("at") + 1)).alias("node"), "doc_id", "sketch")
+        rows = held.select("tree", "node", "doc_id", "sketch", "children").join(dense, "node", "left_anti").select("tree", F.explode("children").alias("node"), "doc_id", "sketch")
     return stored(reduce(DataFrame.unionByName, found).groupBy("a", "b").agg(F.max("agree").alias("agree")), "dup-candidates"), crowded
 
 
@@ -351,9 +351,10 @@ def cell_links(cells: DataFrame, k: int, percent: int) -> DataFrame:
 
     def run(cell: pa.Table) -> pa.Table:
         sets = []
-        for _, data, offsets in text_slices(iter(cell.select(["text"]).combine_chunks().to_batches()), "text"):
-            h, bounds = shingles(data, offsets, k)
-            sets += [np.unique(h[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        for batch in cell.select(["text"]).to_batches():
+            for _, data, offsets in unpacked_slices(batch, "text"):
+                h, bounds = shingles(data, offsets, k)
+                sets += [np.unique(h[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         outside, doc, component, met = (cell.column(c).to_numpy() for c in ("outside", "doc_id", "component", "met"))
         component = np.unique(component, return_inverse=True)[1]
         sizes = np.array([len(x) for x in sets], np.int64)
@@ -381,14 +382,14 @@ def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union. texts: (doc_id, text) of the classes."""
+    """The pairs whose full sets have 100 * intersection >= percent * union. texts: (doc_id, packed text) of the classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = []
             for side in ("text_a", "text_b"):
                 own, before, at = [], None, -1
-                for _, data, offsets in text_slices(iter([batch.select([side])]), side):
+                for _, data, offsets in unpacked_slices(batch, side):
                     h, bounds = shingles(data, offsets, k)
                     own += [np.unique(h[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 sets.append(own)
@@ -449,7 +450,7 @@ def labelled(marked: DataFrame, texts: DataFrame, repeated: bool, k: int, percen
     needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
     needed = needed if crowded is None else needed.unionByName(crowded.select("doc_id"))  # pivots are rows of their nodes
     texts = texts.join(stored(needed.distinct(), "dup-needed"), "doc_id", "left_semi")
-    texts = texts.dropDuplicates(["doc_id", "text"]) if repeated else texts
+    texts = packed(texts.dropDuplicates(["doc_id", "text"]) if repeated else texts, "text")
     # each class's likeliest partner first; what then lies in one component needs no look
     best = pairs.groupBy("b").agg(F.max(F.struct("agree", F.col("a").alias("with"))).alias("m")).select(F.col("m.with").alias("a"), "b")
     best = stored(best, "dup-best")
