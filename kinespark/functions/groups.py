@@ -37,17 +37,26 @@ def streamed(df: DataFrame, keys: Sequence[str], order: Sequence[str], run: Call
 
     A task holds the groups of a batch of rows, and a group that goes on over batches.
     """
+    first = schema.strip().split(" ")[0]
+
+    def each(columns: Mapping[str, np.ndarray], bounds: np.ndarray) -> tuple[Mapping[str, np.ndarray], np.ndarray]:
+        found = [run({c: v[a:b] for c, v in columns.items()}) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return {c: np.concatenate([f[c] for f in found]) for c in found[0]}, np.array([len(f[first]) for f in found])
+
+    return streamed_together(df, keys, order, each, schema)
+
+
+def streamed_together(df: DataFrame, keys: Sequence[str], order: Sequence[str], run: Callable[[Mapping[str, np.ndarray], np.ndarray], tuple[Mapping[str, np.ndarray], np.ndarray]], schema: str) -> DataFrame:
+    """As streamed(), but run gets the columns of several groups and their n + 1 bounds, and gives their rows and how many each has."""
     names, rest = list(keys), [c for c in df.columns if c not in keys]
     made = [c.strip().split(" ")[0] for c in schema.split(",")]
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in names)
 
     def groups(parts: list[pa.RecordBatch], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(parts)
-        columns = {c: values(table.column(c)) for c in rest}
-        found = [run({c: v[a:b] for c, v in columns.items()}) for a, b in zip(starts, [*starts[1:], table.num_rows], strict=True)]
-        sizes = [len(f[made[0]]) for f in found]
+        found, sizes = run({c: values(table.column(c)) for c in rest}, np.append(starts, table.num_rows))
         own = table.select(names).take(pa.array(np.repeat(starts, sizes)))
-        yield from pa.table([*own.columns, *(pa.array(np.concatenate([f[c] for f in found])) for c in made)], names=[*names, *made]).combine_chunks().to_batches()
+        yield from pa.table([*own.columns, *(pa.array(found[c]) for c in made)], names=[*names, *made]).combine_chunks().to_batches()
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
