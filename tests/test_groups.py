@@ -93,3 +93,11 @@ def test_resampling_equals_the_convolution():
         stuffed = np.zeros(n * up)
         stuffed[::up] = x
         assert np.allclose(signals.resample(x, up, down), np.convolve(stuffed, h * up / h.sum())[half : half + n * up][::down], atol=1e-12)
+
+
+def test_known_numbers_of_rows_are_not_counted_again(spark):
+    """The resampling check counted the resampled rows, a shuffle of them all."""
+    from kinespark.plans.registry import queries
+
+    plan = queries()["g11_resample_check"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 3 and plan.count("count(1)") == 2  # two readings of the events, each counted once
