@@ -2,15 +2,15 @@
 
 A cascade of second-order sections is a linear recursion with a small state, so a block of rows acts on the state it starts
 from as a matrix power and a constant. Blocks are first run from rest for their constants; these are carried over a trial's
-blocks (a row a block), and the blocks are run again from their true states. Backward runs do the same from the other end. A
-trial of up to BLOCK rows is one group and needs no carrying; both ways give the same numbers.
+blocks (a row a block), and the blocks are run again from their true states. Backward runs do the same from the other end. Trials
+of up to BLOCK rows need no carrying: they go by as a sorted stream, those of a like length side by side.
 
 Inside a block the recursion runs by chunks: products of NumPy matrices over all channels, with a short loop over chunks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import cached_property
 
 import numpy as np
@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinespark.functions.groups import streamed_together
 from kinespark.functions.steps import written
 
 #: Rows of a block, and of a chunk inside it.
@@ -147,6 +148,30 @@ class Cascade:
             y = self.run(y, np.outer(self.steady, y[0]))[0][::-1]
         return y[pad : len(y) - pad]
 
+    def both_ways_together(self, x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """both_ways() of several trials, which lie one after the other in (rows, channels): those of a like length go side by side."""
+        pad, out, sizes = self.pad, x.copy(), np.diff(bounds)
+        step = 2 * CHUNK
+        for width in np.unique(sizes[sizes > pad] // step):
+            some = np.flatnonzero((sizes > pad) & (sizes // step == width))
+            n, first = sizes[some], bounds[some]
+            most = int(n.max())
+            # rows before the first and after the last are mirrored there; what a shorter trial has beyond that is not read again
+            at = np.arange(-pad, most + pad)[:, None]
+            inner = np.clip(np.where(at < 0, -at, np.where(at >= n, 2 * (n - 1) - at, at)), 0, n - 1)
+            wide = x[first + inner]
+            wide = np.where((at < 0)[..., None], 2 * x[first] - wide, np.where((at >= n)[..., None], 2 * x[first + n - 1] - wide, wide))
+            turn = np.clip(n + 2 * pad - 1 - np.arange(most + 2 * pad)[:, None], 0, None)
+            y, side = wide.reshape(len(wide), -1), np.arange(len(some))
+            for _ in range(2):
+                y = self.run(y, np.outer(self.steady, y[0]))[0].reshape(wide.shape)
+                y = y[turn, side].reshape(len(wide), -1)
+            y = y.reshape(wide.shape)
+            here = np.repeat(side, n)
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            out[np.repeat(first, n) + place] = y[pad + place, here]
+        return out
+
 
 def zero_phase(df: DataFrame, keys: Sequence[str], idx: str, values: Sequence[str], sections: Sequence[np.ndarray], into: Sequence[str], block: int = BLOCK) -> DataFrame:
     """(keys, idx, values, into): values filtered forward and back along idx (dense from 0 in each trial).
@@ -159,21 +184,26 @@ def zero_phase(df: DataFrame, keys: Sequence[str], idx: str, values: Sequence[st
         raise ValueError("a block must be longer than the filter's padding")
     x = df.select(*names, F.col(idx).cast("long").alias("idx"), *(F.col(v).cast("double").alias(v) for v in values))
     kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in names)
-    schema = f"{kinds}, idx long, " + ", ".join(f"{c} double" for c in [*values, *into])
 
-    def whole(group: pa.Table) -> pa.Table:
-        group = group.sort_by("idx")
-        made = cascade.both_ways(np.stack([group.column(v).to_numpy() for v in values], 1))
-        return pa.table([*(group.column(c) for c in [*names, "idx", *values]), *(pa.array(c) for c in made.T)], names=[*names, "idx", *values, *into])
+    unknown = [f"_null{k}" for k in range(len(values))]
+
+    def together(rows: Mapping[str, np.ndarray], bounds: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        made = cascade.both_ways_together(np.stack([rows[v] for v in values], 1), bounds)
+        return {"idx": rows["_at"]} | {c: rows[c] for c in [*values, *unknown]} | dict(zip(into, made.T, strict=True)), np.diff(bounds)
+
+    def filtered(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumnRenamed("idx", "_at").withColumns({u: F.col(v).isNull() for u, v in zip(unknown, values, strict=True)})
+        made = streamed_together(rows, names, ["_at"], together, "idx long, " + ", ".join([*(f"{c} double" for c in [*values, *into]), *(f"{u} boolean" for u in unknown)]))
+        return made.select(*names, "idx", *(F.when(~F.col(u), F.col(v)).alias(v) for u, v in zip(unknown, values, strict=True)), *into)
 
     long = written(x.filter(F.col("idx") >= block).select(*names).distinct(), "long-trials")
     if long.isEmpty():
-        return x.groupBy(*names).applyInArrow(whole, schema)
-    short = x.join(long, names, "left_anti").groupBy(*names).applyInArrow(whole, schema)
-    return short.unionByName(scanned(x.join(long, names), names, values, cascade, into, kinds, schema, block))
+        return filtered(x)
+    short = filtered(x.join(long, names, "left_anti"))
+    return short.unionByName(scanned(x.join(long, names), names, values, cascade, into, kinds, block))
 
 
-def scanned(x: DataFrame, names: list[str], values: list[str], cascade: Cascade, into: list[str], kinds: str, schema: str, block: int) -> DataFrame:
+def scanned(x: DataFrame, names: list[str], values: list[str], cascade: Cascade, into: list[str], kinds: str, block: int) -> DataFrame:
     """zero_phase() of trials of several blocks."""
     pad, states, channels = cascade.pad, len(cascade.step), len(values)
     blocks = written(x.withColumn("block", F.floor(F.col("idx") / block)), "filter-blocks")

@@ -205,3 +205,21 @@ def test_pairs_of_lags_are_counted_in_small_tasks(spark, monkeypatch):
     made = signals.mutual_information(df, ["k"], "i", "v")
     made.write.format("noop").mode("overwrite").save()
     assert made.rdd.getNumPartitions() >= 16 and made.select("k").distinct().count() == 80
+
+
+def test_short_trials_go_side_by_side(spark):
+    """Trials of many lengths in one product give what each gives alone; unknown values stay unknown. A call a trial took more than its work."""
+    rng = np.random.default_rng(8)
+    for edges in ((4, 0.5, 20, 100), (2, None, 0.3, 100), (3, 5, None, 100)):
+        cascade = filters.Cascade(filters.butterworth(*edges))
+        sizes = np.r_[rng.integers(1, 400, 60), cascade.pad, cascade.pad + 1, 2000]
+        bounds = np.r_[0, np.cumsum(sizes)]
+        x = rng.normal(size=(bounds[-1], 2))
+        x[bounds[5]] = np.nan
+        want = np.concatenate([cascade.both_ways(x[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+        assert np.allclose(cascade.both_ways_together(x, bounds), want, atol=1e-9, equal_nan=True)
+    df = frame(spark, {"a": np.sin(np.arange(90)), "b": np.cos(np.arange(70))}).withColumn("v0", F.when(F.col("i") != 3, F.col("v0")))
+    made = filters.zero_phase(df, ["k"], "i", ["v0"], filters.butterworth(2, None, 10, 100), ["y"])
+    assert made.filter("v0 is null").count() == 2 and made.count() == 160
+    for plan in (made, peaks.peaks(df, ["k"], "i", F.col("v0"), 5)):
+        assert "FlatMapGroups" not in plan._jdf.queryExecution().optimizedPlan().toString()
