@@ -23,20 +23,25 @@ def shared_dir(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read from there. The table is deleted when the driver ends."""
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """df, written to the shared folder (with the writer's options) and read from there. The table is deleted when the driver ends."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     _AT_END.append(path)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def store_of(path: str) -> tuple[pafs.FileSystem, str]:
+    """The store that a path lies in, and the path there."""
+    return pafs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+
+
 @atexit.register
 def clear() -> None:
     """Delete the tables of this driver, where pyarrow reaches their store."""
     for path in _AT_END:
         with suppress(OSError, pa.ArrowInvalid):
-            store, folder = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+            store, folder = store_of(path)
             if store.get_file_info(folder).type != pafs.FileType.NotFound:
                 store.delete_dir(folder)
     _AT_END.clear()

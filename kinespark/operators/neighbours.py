@@ -2,10 +2,12 @@
 
 Each row goes to the cell of its nearest pivot, and each cell is cut by the distance from the pivot into rings, blocks of
 bounded size. A query's distance to the pivot bounds its distance to every row of a ring from below. A query first visits
-the blocks of the least bounds that hold k rows; the k-th distance found there rules out all blocks whose bound is larger,
-and the rest is visited. So the result is that of comparing all, whatever is skipped. Where vectors spread evenly in many
-dimensions bounds are low and little is skipped; the search then is the comparison of all, in blocks; visits() tells.
+the blocks of the least bounds that hold k rows; the k-th distance found so far rules out the blocks whose bound is larger,
+and the rest is visited, nearer ones first. So the result is that of comparing all, whatever is skipped. Where vectors spread
+evenly in many dimensions bounds are low and little is skipped; the search then is the comparison of all, in blocks.
 
+A block is one row of a written table. A task holds a few thousand queries of like place and reads one block after the other
+from the shared folder, so neither queries nor rows are sent out again for each other, and disk grows with the rows alone.
 What the driver holds is PIVOTS vectors and a row a block, at most MOST_BLOCKS.
 """
 
@@ -15,14 +17,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinespark.functions.steps import written
+from kinespark.functions.steps import store_of, written
 
 PIVOTS, BLOCK_ROWS, MOST_BLOCKS, QUERY_ROWS = 128, 4096, 1 << 16, 4096
 #: Queries whose bounds to all blocks are held at once, and rows that go out together.
 ASKED, SENT_ROWS = 256, 4096
+#: Pairs of a query and a row that are compared at once.
+PAIRS = 1 << 20
 #: Distances by products of vectors are off by about this part of the vectors' lengths; candidates so near are compared exactly.
 SLACK = 1e-6
 
@@ -34,6 +39,8 @@ def vectors(column: pa.Array) -> np.ndarray:
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """By products, about the middle of y."""
+    x, y = x - y.mean(0), y - y.mean(0)
     return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T, 0))
 
 
@@ -62,7 +69,41 @@ def in_blocks(rows: DataFrame, block_rows: int) -> DataFrame:
     ringed = written(ringed, "neighbour-rings")
     parts = ringed.groupBy("cell", "ring").agg(F.ceil(F.count("*") / (2 * block_rows)).alias("parts"))
     part = F.pmod(F.xxhash64("id"), F.col("parts"))
-    return written(ringed.join(F.broadcast(parts), ["cell", "ring"]).withColumn("block", F.concat_ws(".", "cell", "ring", part)).drop("ring", "parts"), "neighbour-blocks")
+
+    def pack(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id")
+        d = rows.column("d").to_numpy()
+        made = [rows.column("block")[0].as_py(), rows.column("cell")[0].as_py(), d.min(), d.max(), len(d), rows.column("id").to_numpy().tobytes(), vectors(rows.column("v").combine_chunks()).tobytes()]
+        return pa.table([pa.array([x]) for x in made], names=["block", "cell", "low", "high", "n", "ids", "v"])
+
+    blocks = ringed.join(F.broadcast(parts), ["cell", "ring"]).withColumn("block", F.concat_ws(".", "cell", "ring", part)).drop("ring", "parts")
+    blocks = blocks.groupBy("block").applyInArrow(pack, "block string, cell long, low double, high double, n long, ids binary, v binary")
+    # a block of usual size is a row group, so that each can be read alone
+    return written(blocks, "neighbour-blocks", **{"parquet.block.size": str(1 << 20), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.enable.dictionary": "false"})
+
+
+class Reader:
+    """The rows of blocks, by the file and the place that the driver listed; files stay open for a task."""
+
+    def __init__(self, places: list[tuple[str, int]], dim: int) -> None:
+        self.places, self.dim, self.files = places, dim, {}
+
+    def __call__(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+        path, row = self.places[b]
+        if path not in self.files:
+            store, inner = store_of(path)
+            file = pq.ParquetFile(store.open_input_file(inner))
+            self.files[path] = file, np.cumsum([0, *(file.metadata.row_group(g).num_rows for g in range(file.num_row_groups))])
+        file, starts = self.files[path]
+        group = int(np.searchsorted(starts, row, "right")) - 1
+        found = file.read_row_group(group, columns=["ids", "v"]).slice(row - int(starts[group]), 1)
+        ids, v = (found.column(c)[0].as_buffer() for c in ("ids", "v"))
+        return np.frombuffer(ids, np.int64), np.frombuffer(v).reshape(-1, self.dim)
+
+    def close(self) -> None:
+        for file, _ in self.files.values():
+            file.close()
+        self.files.clear()
 
 
 def sent(batches: Iterator[pa.RecordBatch], chosen: Callable[[pa.RecordBatch], np.ndarray], names: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -76,37 +117,66 @@ def sent(batches: Iterator[pa.RecordBatch], chosen: Callable[[pa.RecordBatch], n
                 yield pa.RecordBatch.from_arrays([pa.array(names[b]), *(batch.column(c).take(pa.array(q)) for c in ("chunk", "id", "v")), pa.array(sizes[b])], names=["block", "chunk", "id", "v", "n"])
 
 
-def nearest(asked: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """(query, neighbour, distance): the best k a query of each block that asked (block, chunk, id, v) sends it to."""
-
-    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
-        found = []
-        if a.num_rows and b.num_rows:
-            ids, x = a.column("id").to_numpy(), vectors(a.column("v").combine_chunks())
-            others, y = b.column("id").to_numpy(), vectors(b.column("v").combine_chunks())
-            for at in range(0, len(x), 256):
-                part = x[at : at + 256]
-                d = distances(part, y)
-                d[ids[at : at + 256, None] == others] = np.inf
-                last = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-                slack = SLACK * (1 + np.sqrt((part * part).sum(1)))
-                q, r = np.nonzero((d <= (last + slack)[:, None]) & np.isfinite(d))
-                exact = np.concatenate([np.zeros(0), *(np.sqrt(((part[q[s : s + 8192]] - y[r[s : s + 8192]]) ** 2).sum(1)) for s in range(0, len(q), 8192))])
-                order = np.lexsort((others[r], exact.round(9), q))
-                q, r, exact = q[order], r[order], exact[order]
-                rank = np.arange(len(q)) - np.searchsorted(q, q)
-                keep = rank < k
-                found.append((ids[at + q[keep]], others[r[keep]], exact[keep]))
-        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table([pa.array(c) for c in columns], names=["query", "neighbour", "distance"])
-
-    there = rows.select("block", "id", "v").join(asked.select("block", "chunk").distinct(), "block")
-    there = there.toDF(*there.columns)
-    return asked.groupBy("block", "chunk").cogroup(there.groupBy("block", "chunk")).applyInArrow(compare, "query long, neighbour long, distance double")
+class Best:
+    """The best k rows so far of some queries (ids, x): ids and distances, nearest first, ties by id."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int) -> None:
+        self.ids, self.x, self.k = ids, x, k
+        self.near, self.distance = np.zeros((len(x), k), np.int64), np.full((len(x), k), np.inf)
+
+    @property
+    def reach(self) -> np.ndarray:
+        return self.distance[:, -1]
+
+    def compare(self, which: np.ndarray, others: np.ndarray, y: np.ndarray) -> None:
+        """Take what is better from a block's rows.
+
+        Squared distances from products, in single precision about the block's middle, tell the candidates; their error is
+        bounded, and the candidates' distances are computed exactly.
+        """
+        centre = y.mean(0)
+        moved = y - centre
+        square = (moved * moved).sum(1)
+        some = max(ASKED, PAIRS // len(y))
+        for at in range(0, len(which), some):
+            w = which[at : at + some]
+            x = self.x[w] - centre
+            own = (x * x).sum(1)
+            kind = np.float32 if max(own.max(), square.max()) < 1e30 else np.float64
+            # error of a product of so many terms, and of its terms
+            slack = (x.shape[1] + 8) * float(np.finfo(kind).eps) * (own + square.max())
+            s = np.c_[-2 * x, np.ones(len(x))].astype(kind) @ np.c_[moved, square].astype(kind).T
+            least = (self.reach[w] * (1 + SLACK) + SLACK) ** 2 - own + slack
+            close = s <= least.astype(kind)[:, None]
+            if np.count_nonzero(close) > 8 * self.k * len(w):
+                s[self.ids[w, None] == others] = np.inf
+                last = np.partition(s, min(self.k, s.shape[1]) - 1, axis=1)[:, self.k - 1] if s.shape[1] >= self.k else np.full(len(w), np.inf)
+                least = np.minimum(least, last + (last + own + 2 * slack).clip(0) * SLACK + 2 * slack + SLACK)
+                close = s <= least.astype(kind)[:, None]
+            q, r = np.divmod(np.flatnonzero(close), len(y))
+            other = self.ids[w[q]] != others[r]
+            q, r = q[other], r[other]
+            if len(q):
+                exact = np.concatenate([np.sqrt(((self.x[w[q[a : a + 8192]]] - y[r[a : a + 8192]]) ** 2).sum(1)) for a in range(0, len(q), 8192)])
+                self.merge(w[q], others[r], exact)
+
+    def merge(self, q: np.ndarray, near: np.ndarray, distance: np.ndarray) -> None:
+        some = np.unique(q)
+        q, near, distance = (np.concatenate(c) for c in ((q, np.repeat(some, self.k)), (near, self.near[some].ravel()), (distance, self.distance[some].ravel())))
+        good = np.isfinite(distance)
+        q, near, distance = q[good], near[good], distance[good]
+        order = np.lexsort((near, distance.round(9), q))
+        q, near, distance = q[order], near[order], distance[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = rank < self.k
+        self.near[q[keep], rank[keep]], self.distance[q[keep], rank[keep]] = near[keep], distance[keep]
 
 
 def search(queries: DataFrame, rows: DataFrame, ident: str, vector: str, k: int, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
-    """The k nearest rows (query, neighbour, distance, rank) of each query, itself excluded, ties by id; and the visits (query, block, n)."""
+    """The k nearest rows (query, neighbour, distance, rank) of each query, itself excluded, ties by id; and the visits (query, block, n).
+
+    Visits are found by a search of their own when they are asked for.
+    """
     rows = written(rows.filter(F.col(vector).isNotNull()).select(F.col(ident).cast("long").alias("id"), F.col(vector).alias("v")), "neighbour-rows")
     n = rows.count()
     first = rows.orderBy(F.xxhash64("id"), "id").limit(max(1, min(PIVOTS, n // 64))).collect()
@@ -115,41 +185,79 @@ def search(queries: DataFrame, rows: DataFrame, ident: str, vector: str, k: int,
         return spark.createDataFrame([], "query long, neighbour long, distance double, rank int"), spark.createDataFrame([], "query long, block string, n long")
     centres = np.array([r.v for r in first], float)
     blocks = in_blocks(placed(rows, "id", "v", centres), max(block_rows, n // MOST_BLOCKS))
-    listed = sorted(blocks.groupBy("block").agg(F.first("cell").alias("cell"), F.min("d").alias("low"), F.max("d").alias("high"), F.count("*").alias("n")).collect())
-    names, sizes = np.array([r.block for r in listed]), np.array([r.n for r in listed])
+    listed = sorted(blocks.select("block", "cell", "low", "high", "n", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row")).collect())
+    names, sizes, places = np.array([r.block for r in listed]), np.array([r.n for r in listed]), [(r.path, r.row) for r in listed]
     cell, low, high = (np.array([r[c] for r in listed]) for c in ("cell", "low", "high"))
 
-    def bounds(x: np.ndarray) -> np.ndarray:
-        """The least distance that each query can have to a row of each block; rounding makes none too large."""
-        d = distances(x, centres)[:, cell]
-        return np.maximum(0, np.maximum(d - high, low - d)) - SLACK * (1 + d)
+    length = np.sqrt(((centres - centres.mean(0)) ** 2).sum(1))
 
-    def sending(batches: Iterator[pa.RecordBatch], chosen) -> Iterator[pa.RecordBatch]:
-        return sent(batches, lambda batch: chosen(batch, bounds(vectors(batch.column("v")))), names, sizes)
+    def bounds(d: np.ndarray, b: np.ndarray | slice) -> np.ndarray:
+        """The least distance to a row of each block, for each query's distances to the pivots; rounding makes none too large."""
+        d = d[:, cell[b]]
+        return np.maximum(0, np.maximum(d - high[b], low[b] - d)) - SLACK * (1 + d + high[b] + length[cell[b]])
 
-    def enough(batch: pa.RecordBatch, bound: np.ndarray) -> np.ndarray:
+    def enough(d: np.ndarray) -> np.ndarray:
         """The blocks of the least bounds that hold k rows beside the query."""
+        bound = bounds(d, slice(None))
         order = np.argsort(bound, axis=1, kind="stable")
         held = np.cumsum(sizes[order], axis=1)
         taken = np.zeros(bound.shape, bool)
         np.put_along_axis(taken, order, np.c_[np.zeros(len(order)), held[:, :-1]] < k + 1, axis=1)
         return taken
 
-    def left(batch: pa.RecordBatch, bound: np.ndarray) -> np.ndarray:
-        reach = batch.column("reach").to_numpy(zero_copy_only=False)
-        return (bound <= np.where(np.isnan(reach), np.inf, reach)[:, None]) & ~enough(batch, bound)
-
-    chunks = max(1, -(-queries.count() // QUERY_ROWS))
-    chunk = F.pmod(F.xxhash64(F.col(ident)), F.lit(chunks)).cast("int")
-    asked = queries.filter(F.col(vector).isNotNull()).select(F.col(ident).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), chunk.alias("chunk"))
-    schema = "block string, chunk int, id long, v array<double>, n long"
-    near = written(asked.mapInArrow(lambda b: sending(b, enough), schema), "neighbour-visits")
-    found = written(nearest(near, blocks, k), "neighbours")
-    reach = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance"))).filter(F.col("rank") == k).select(F.col("query").alias("id"), F.col("distance").alias("reach"))
-    far = written(asked.join(reach, "id", "left").mapInArrow(lambda b: sending(b, left), schema), "neighbour-visits")
-    every = found.unionByName(nearest(far, blocks, k))
+    def through(batch: pa.RecordBatch, read: Reader) -> tuple[Best, Iterator[tuple[int, np.ndarray]]]:
+        """The queries' best, which are complete at the end of the visits (block, queries)."""
+        best = Best(batch.column("id").to_numpy(), vectors(batch.column("v")), k)
+        d = distances(best.x, centres)
+
+        def visits() -> Iterator[tuple[int, np.ndarray]]:
+            found = [np.nonzero(enough(d[at : at + ASKED])) for at in range(0, len(d), ASKED)]
+            q, b = np.concatenate([f[0] + at * ASKED for at, f in enumerate(found)]), np.concatenate([f[1] for f in found])
+            met = {int(at): q[b == at] for at in np.unique(b)}
+            for at, which in met.items():
+                best.compare(which, *read(at))
+                yield at, which
+            for at in np.argsort([bounds(d, np.array([c])).mean() for c in range(len(cell))], kind="stable").tolist():
+                which = np.flatnonzero(bounds(d, np.array([at]))[:, 0] <= best.reach)
+                which = np.setdiff1d(which, met.get(at, which[:0]), assume_unique=True)
+                if len(which):
+                    best.compare(which, *read(at))
+                    yield at, which
+
+        return best, visits()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = Reader(places, centres.shape[1])
+        for whole in batches:
+            for start in range(0, whole.num_rows, QUERY_ROWS):
+                best, visits = through(whole.slice(start, QUERY_ROWS), read)
+                for _ in visits:
+                    pass
+                q, r = np.nonzero(np.isfinite(best.distance))
+                yield pa.RecordBatch.from_arrays([pa.array(best.ids[q]), pa.array(best.near[q, r]), pa.array(best.distance[q, r])], names=["query", "neighbour", "distance"])
+        read.close()
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = Reader(places, centres.shape[1])
+
+        def chosen(batch: pa.RecordBatch) -> np.ndarray:
+            taken = np.zeros((batch.num_rows, len(names)), bool)
+            for b, which in through(batch, read)[1]:
+                taken[which, b] = True
+            return taken
+
+        yield from sent(batches, chosen, names, sizes)
+        read.close()
+
+    asked = placed(queries, ident, vector, centres)
+    count = queries.count()
+    # queries of like place share their blocks
+    chunks = max(1, -(-count // QUERY_ROWS), min(spark.sparkContext.defaultParallelism, -(-count // ASKED)))
+    asked = asked.repartitionByRange(chunks, "cell", "d", "id").withColumn("chunk", F.spark_partition_id())
+    found = asked.mapInArrow(run, "query long, neighbour long, distance double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.round("distance", 9), "neighbour"))
-    return every.withColumn("rank", rank).filter(F.col("rank") <= k), near.unionByName(far).select(F.col("id").alias("query"), "block", "n")
+    told = asked.mapInArrow(tell, "block string, chunk int, id long, v array<double>, n long")
+    return written(found, "neighbours").withColumn("rank", rank).filter(F.col("rank") <= k), told.select(F.col("id").alias("query"), "block", "n")
 
 
 def neighbours(queries: DataFrame, rows: DataFrame, ident: str, vector: str, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:

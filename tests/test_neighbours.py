@@ -72,3 +72,28 @@ def test_visits_go_out_in_parts():
     assert max(m.num_rows for m in made) <= nb.SENT_ROWS and sum(m.num_rows for m in made) == n * blocks
     pairs = {(q, b) for m in made for q, b in zip(m.column("id").to_pylist(), m.column("block").to_pylist(), strict=True)}
     assert len(pairs) == n * blocks
+
+
+def test_queries_are_not_sent_out_for_every_block(spark, tmp_path, monkeypatch):
+    """Vectors near each other meet all blocks; what is written must not grow with queries times blocks."""
+    made, plain = [], nb.written
+    monkeypatch.setattr(nb, "written", lambda df, *a, **o: made.append(plain(df, *a, **o)) or made[-1])
+    rng = np.random.default_rng(10)
+    rows = frame(spark, [(k, rng.normal(size=16)) for k in range(900)])
+    found, visits = nb.search(rows, rows, "id", "v", 3, block_rows=16)
+    assert visits.count() > 20 * 900
+    assert max(t.count() for t in made) <= 3 * 900 and found.count() == 3 * 900
+
+
+def test_far_and_large_vectors_keep_their_order(spark):
+    """Single precision tells candidates only: neighbours far from the origin and of very large numbers are exact."""
+    rng = np.random.default_rng(11)
+    for scale, middle in ((1e-3, 1e6), (1e18, 0.0), (1.0, 0.0)):
+        points = [(k, rng.normal(size=5) * scale + middle) for k in range(300)]
+        found = nb.neighbours(frame(spark, points[:40]), frame(spark, points), "id", "v", 4, block_rows=32)
+        got = {(r.query, r.rank): r.neighbour for r in found.collect()}
+        x = np.stack([v for _, v in points])
+        for i in range(40):
+            d = np.sqrt(((x - x[i]) ** 2).sum(1)).round(9)
+            d[i] = np.inf
+            assert [got[i, r] for r in range(1, 5)] == np.lexsort((np.arange(300), d))[:4].tolist()
