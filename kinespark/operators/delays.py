@@ -4,11 +4,14 @@ Vectors of a trial are cut into cells by their first coordinate. A point first l
 there rules out all cells whose first coordinates are further away, and the others are visited. Points of one trial that are
 close in time don't count. So no trial is one group: a task holds a cell, and a bounded number of points that visit it. A trial
 of up to CELL_ROWS points is one cell. Every trial has its own delay and dimension.
+
+Dimensions and divergence of trials of up to CELL_ROWS rows without gaps are computed on the whole trial, as slices of one sorted
+stream: a job for each dimension and step would take longer than the work.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +21,7 @@ from pyspark.sql import functions as F
 from kinespark.functions.groups import streamed
 from kinespark.functions.ranges import same
 from kinespark.functions.steps import written
+from kinespark.operators import signals
 
 CELL_ROWS, MOST_RINGS = 4096, 1024
 #: Distances computed at once, in figures.
@@ -131,16 +135,43 @@ def false_neighbours(df: DataFrame, keys: Sequence[str], idx: str, value: str, d
     return trials.select(*names).join(share, same(names, "_f_"), "left").select(*names, F.coalesce("share", F.lit(1.0)).alias("false_share"))
 
 
+def whole_trials(df: DataFrame, keys: Sequence[str], idx: str, value: str, run: Callable[[np.ndarray, Mapping[str, np.ndarray]], float], cell_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """(keys, made) of the short trials by run, which gets a trial's values and its other columns; and the rows of the others, if any.
+
+    Others have more than cell_rows rows, or values that lack or don't follow each other from place 0 on.
+    """
+    names = list(keys)
+    df = written(df, "delay-trials")
+    long = written(df.groupBy(*names).agg(F.count("*").alias("_n")).filter(F.col("_n") > cell_rows).drop("_n"), "delay-long")
+    short = df if long.isEmpty() else df.join(long.toDF(*(f"_l_{k}" for k in names)), same(names, "_l_"), "left_anti")
+
+    def each(trial: Mapping[str, np.ndarray]) -> dict[str, np.ndarray]:
+        x, at = trial["_v"], trial["_at"]
+        plain = np.isfinite(x).all() and (at == np.arange(len(at))).all()
+        return {"_plain": np.array([plain]), "made": np.array([run(x, trial) if plain else np.nan], float)}
+
+    rest = [c for c in df.columns if c not in (*names, idx, value)]
+    listed = short.select(*names, F.col(idx).cast("long").alias("_at"), F.col(value).cast("double").alias("_v"), *rest)
+    made = written(streamed(listed, names, ["_at"], each, "_plain boolean, made double"), "delay-whole")
+    others = long.unionByName(made.filter("NOT _plain").select(*names))
+    done = made.filter("_plain").select(*names, F.when(~F.isnan("made"), F.col("made")).alias("made"))
+    return done, None if others.isEmpty() else df.join(others.toDF(*(f"_l_{k}" for k in names)), same(names, "_l_"), "left_semi")
+
+
 def embedding_dimension(df: DataFrame, keys: Sequence[str], idx: str, value: str, delay: Column, low: int = 2, high: int = 10, share: float = 0.1, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(keys, dim): the smallest dimension with fewer false neighbours than the share, or the largest tried. Settled trials leave."""
     names = list(keys)
-    todo, done = written(df.select(*names, idx, value, delay.alias("delay")), "delay-trials"), None
+    given = df.select(*names, idx, value, delay.cast("long").alias("delay"))
+    done, todo = whole_trials(given, names, idx, value, lambda x, trial: signals.embedding_dimension(x, int(trial["delay"].max()), low, high, share), cell_rows)
+    done = done.select(*names, F.col("made").cast("int").alias("dim"))
+    if todo is None:
+        return done
+    todo = written(todo, "delay-trials")
     for m in range(low, high + 1):
         shares = false_neighbours(todo, names, idx, value, F.col("delay"), F.lit(m), cell_rows=cell_rows)
         settled = F.lit(True) if m == high else F.col("false_share") < share
         made = written(shares.select(*names, settled.alias("settled")), "delay-dimensions")
-        part = made.filter("settled").select(*names, F.lit(m).alias("dim"))
-        done = part if done is None else done.unionByName(part)
+        done = done.unionByName(made.filter("settled").select(*names, F.lit(m).alias("dim")))
         left = made.filter("NOT settled").select(*(F.col(k).alias(f"_l_{k}") for k in names))
         if left.isEmpty():
             break
@@ -155,7 +186,11 @@ def divergence(df: DataFrame, keys: Sequence[str], idx: str, value: str, delay:
     trials of fewer than 2 * steps + 2 vectors, and where fewer than two steps have a distance.
     """
     names = list(keys)
-    given = df.select(*names, idx, value, delay.alias("delay"), dim.alias("dim"))
+    given = df.select(*names, idx, value, delay.cast("long").alias("delay"), dim.cast("long").alias("dim"))
+    done, given = whole_trials(given, names, idx, value, lambda x, trial: signals.lyapunov(x, int(trial["delay"].max()), int(trial["dim"].max()), steps), cell_rows)
+    done = done.withColumnRenamed("made", "lyapunov")
+    if given is None:
+        return done
     trials = given.groupBy(*names).agg((F.max("delay") * F.max("dim")).alias("apart"))
     p = written(delay_vectors(given, names, idx, value, F.col("delay"), F.col("dim")), "delay-vectors")
     size = p.groupBy(*(F.col(k).alias(f"_n_{k}") for k in names)).agg(F.count("*").alias("n")).filter(F.col("n") >= 2 * steps + 2)
@@ -169,4 +204,4 @@ def divergence(df: DataFrame, keys: Sequence[str], idx: str, value: str, delay:
     met = later.join(one, same([*names, "i"], "_h_")).join(other, same([*names, "j"], "_o_")).withColumn("gap", gap).filter("gap > 0")
     curve = met.groupBy(*names, "s").agg(F.avg(F.log("gap")).alias("d"))
     slope = curve.groupBy(*(F.col(k).alias(f"_e_{k}") for k in names)).agg(F.when(F.count("*") > 1, F.regr_slope("d", "s")).alias("lyapunov"))
-    return trials.select(*names).join(slope, same(names, "_e_"), "left").select(*names, "lyapunov")
+    return done.unionByName(trials.select(*names).join(slope, same(names, "_e_"), "left").select(*names, "lyapunov"))

@@ -50,3 +50,27 @@ def test_short_trials_go_by_in_a_stream(spark, monkeypatch):
     for k, i, q in rows:
         want = min(sum((a - b) ** 2 for a, b in zip(q, w, strict=True)) ** 0.5 for o, j, w in rows if o == k and abs(i - j) > 2)
         assert abs(got[k, i] - want) < 1e-9
+
+
+def test_short_trials_take_no_rounds_of_jobs(spark, monkeypatch):
+    """A job for each dimension and each step took longer than the work; long trials and those with gaps still take them."""
+    rng, calls, plain = np.random.default_rng(6), [], delays.nearest
+    monkeypatch.setattr(delays, "nearest", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    rows = [(k, i, float(v)) for k in range(8) for i, v in enumerate(rng.normal(size=20 + 6 * k).cumsum())]
+    given = spark.createDataFrame(rows, "t long, i long, v double").repartition(3)
+
+    def both(df, cell_rows):
+        dims = {r.t: r.dim for r in delays.embedding_dimension(df, ["t"], "i", "v", F.lit(1), high=4, cell_rows=cell_rows).collect()}
+        slopes = {r.t: r.lyapunov for r in delays.divergence(df, ["t"], "i", "v", F.lit(3), F.lit(4), 8, cell_rows=cell_rows).collect()}
+        return dims, slopes
+
+    dims, slopes = both(given, 4096)
+    assert not calls and set(dims) == set(slopes) == set(range(8))
+    # the last trials of 3 * 4 places apart have points without a neighbour, which are left out
+    for cell_rows, df in ((30, given), (4096, given.filter("t <> 7 OR i <> 40"))):
+        others = both(df, cell_rows)
+        assert calls and set(others[0]) == set(others[1]) == set(dims)
+        for k in range(7 if cell_rows == 4096 else 8):
+            assert others[0][k] == dims[k], k
+            assert others[1][k] == slopes[k] if slopes[k] is None else others[1][k] == pytest.approx(slopes[k], abs=1e-9), k
+        calls.clear()
